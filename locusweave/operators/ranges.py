@@ -12,6 +12,7 @@ of the axis to the key, so the work spreads over (chromosome, bin) and any furth
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -142,13 +143,15 @@ def point_in_interval(
         intervals, start=start, end=end, keys=keys, closed=closed, pad=pad, widths=widths
     )
     for level, width in enumerate(widths):
-        mine = pieces.where(F.col("_lvl") == level).drop("_lvl").withColumnsRenamed({k: f"_i_{k}" for k in keys})
-        binned = flagged.withColumn("_pb", _bin(at, width))
-        match = (F.col("_pb") == F.col("_bin")) & _inside(at, F.col("_lo"), F.col("_hi"), closed)
-        for k in keys:
+        left, right, on = salted_pair(
+            flagged.withColumn("_bin", _bin(at, width)),
+            pieces.where(F.col("_lvl") == level).drop("_lvl"), [*keys, "_bin"], points.columns, hot_rows,
+        )
+        match = _inside(at, F.col("_lo"), F.col("_hi"), closed)
+        for k in on:
             match = match & (F.col(k) == F.col(f"_i_{k}"))
         flagged = (
-            binned.join(mine, match, "left")
+            left.join(right.withColumnsRenamed({k: f"_i_{k}" for k in on}), match, "left")
             .withColumn("hit", F.col("hit") | F.col("_lo").isNotNull())
             .select(*points.columns, "hit")
         )
@@ -250,7 +253,7 @@ def nearest_join(
     neighbouring bins are looked up in a per-bin summary. A bin holds distinct positions only.
     """
     keys = [*by, chrom]
-    width = max(1, int(max_distance))
+    width = max(1, math.ceil(max_distance))
     spots = points.select(*keys, F.col(pos).alias("_at")).where(F.col(pos).isNotNull()).distinct()
     stops = targets.where(F.col(target_pos).isNotNull()).groupBy(*keys, F.col(target_pos).alias("_at")).agg(
         F.min(target_key).alias("_first"), F.max(target_key).alias("_last")
