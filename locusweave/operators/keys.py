@@ -54,3 +54,9 @@ def salted_pair(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shares"), F.lit(1)) - 1))
     ).drop("_shares")
     return big_salted, other_salted, [*keys, "_salt"]
+
+
+def attach_single(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row aggregate to every row, by a join on a constant key. A global
+    aggregate is one row by construction, which bounds the broadcast."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.operators.aggregates import count_if
+from locusweave.operators.keys import attach_single
 from locusweave.operators.ranges import annotate_labels
 from locusweave.operators.stats import fisher_exact, katz_fold
 
@@ -46,7 +47,7 @@ def class_counts(labelled: DataFrame, classes: DataFrame | None = None) -> DataF
     )
     if classes is not None:
         counts = classes.select("class").distinct().join(counts, "class", "left").fillna(0, ["fg_n", "bg_n"])
-    return counts.join(F.broadcast(totals), F.lit(True))
+    return attach_single(counts, totals)
 
 
 def class_enrichment(counts: DataFrame, with_p: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locusweave.functions.scalar import CODING_TERMS, IN_SAMPLE, PLOF_TERMS, distance_tier, id_field, joined_key
 from locusweave.operators.aggregates import count_if, dedup_rollup
+from locusweave.operators.keys import attach_single
 from locusweave.operators.ranges import both_orientations, point_in_interval
 
 # ---- non-coding lead with a truncating co-member -----------------------------------------------
@@ -186,7 +187,7 @@ def status_shares(status: DataFrame) -> DataFrame:
     known = status.where(F.col("coloc_status") != "UNKNOWN")
     totals = known.groupBy("coloc_status").agg(F.count(F.lit(1)).alias("n"))
     whole = known.agg(F.count(F.lit(1)).alias("n_known"))
-    return totals.join(F.broadcast(whole), F.lit(True)).withColumn("pct", 100 * F.col("n") / F.col("n_known"))
+    return attach_single(totals, whole).withColumn("pct", 100 * F.col("n") / F.col("n_known"))
 
 
 def coloc_feasibility(gwas: DataFrame, qtl: DataFrame, *, max_distance: int = 500_000, min_pip: float = 0.5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.functions.scalar import contact, l2_norm, prefixed, strand_code, tier
+from locusweave.operators.keys import attach_single
 from locusweave.operators.ranges import interval_overlap, nearest_join
 from locusweave.operators.ranking import binary_metrics, ranking_metrics
 from locusweave.operators.sampling import sample_groups
@@ -37,9 +38,8 @@ def pair_features(pairs: DataFrame, embeddings: DataFrame, *, split_max: bool =
         confident.alias("mask_sign"), (confident & (F.col("consensus_sign") == -1)).cast("int").alias("y_rep"),
     )
     if split_max:
-        # One row of two maxima.
-        peak = F.broadcast(out.agg(F.max("contact").alias("_mc"), F.max("abc").alias("_ma")))
-        out = out.join(peak, F.lit(True)).withColumn("contact", F.try_divide("contact", "_mc")).withColumn(
+        peak = out.agg(F.max("contact").alias("_mc"), F.max("abc").alias("_ma"))
+        out = attach_single(out, peak).withColumn("contact", F.try_divide("contact", "_mc")).withColumn(
             "abc", F.try_divide("abc", "_ma")
         ).drop("_mc", "_ma")
     return out
