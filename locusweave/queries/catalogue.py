@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from locusweave.queries import pair_queries  # noqa: F401
+from locusweave.queries import pair_queries, range_queries  # noqa: F401
 from locusweave.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusweave.plans.pairs import clean_pairs, positive_pairs
 from locusweave.queries.fixtures import BASE, DERIVED, as_template, used_tables, with_fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +37,7 @@ class Tables:
 
     # ---- nested and renamed inputs, in the shape the pipelines take ------------------------------
 
-    @property
+    @cached_property
     def raw_pairs(self) -> DataFrame:
         o = self.fx_obs
         plus = F.col("strand") == "+"
@@ -53,7 +55,15 @@ class Tables:
             (F.col("distance_tss") - 30000).alias("distance_tes"), F.col("n_obs").alias("nObs"), "gtex", "chiapet",
         )
 
-    @property
+    @cached_property
+    def obs(self) -> DataFrame:
+        return clean_pairs(self.raw_pairs)
+
+    @cached_property
+    def positives(self) -> DataFrame:
+        return positive_pairs(self.obs)
+
+    @cached_property
     def credible_set(self) -> DataFrame:
         members = self.fx_cs_member.groupBy("study_locus_id").agg(F.collect_list(F.struct(
             F.col("variant_id").alias("variantId"), F.col("pip").alias("posteriorProbability"),
@@ -65,7 +75,7 @@ class Tables:
             F.col("study_type").alias("studyType"), "confidence", "locus",
         )
 
-    @property
+    @cached_property
     def study(self) -> DataFrame:
         return self.fx_study.select(
             F.col("study_id").alias("studyId"), F.col("study_type").alias("studyType"), F.col("gene_id").alias("geneId"),
@@ -73,7 +83,7 @@ class Tables:
             F.array("disease_id").alias("diseaseIds"),
         )
 
-    @property
+    @cached_property
     def target(self) -> DataFrame:
         return self.fx_gene.select(
             F.col("gene_id").alias("id"), F.col("symbol").alias("approvedSymbol"),
@@ -83,7 +93,7 @@ class Tables:
             ).alias("genomicLocation"),
         )
 
-    @property
+    @cached_property
     def variant(self) -> DataFrame:
         def call(prediction: str):
             return F.struct(
@@ -96,7 +106,7 @@ class Tables:
             F.when(F.col("lof_gene").isNotNull(), F.array(call("LC"), call("HC"))).alias("transcriptConsequences"),
         )
 
-    @property
+    @cached_property
     def gene_burden(self) -> DataFrame:
         return self.fx_burden.select(
             F.col("gene_id").alias("targetId"), F.col("disease_id").alias("diseaseId"), "score",
@@ -104,14 +114,14 @@ class Tables:
             F.col("direction").alias("directionOnTarget"),
         )
 
-    @property
+    @cached_property
     def colocalisation(self) -> DataFrame:
         return self.fx_coloc.select(
             F.col("left_id").alias("leftStudyLocusId"), F.col("right_id").alias("rightStudyLocusId"), "h4", "clpp",
             F.col("beta_sign").alias("betaRatioSignAverage"),
         )
 
-    @property
+    @cached_property
     def screen(self) -> DataFrame:
         return self.fx_screen.select(
             "chrom", F.col("gene").alias("measuredGeneSymbol"), F.col("el_start").alias("chromStart"),
@@ -120,7 +130,7 @@ class Tables:
             F.col("cell_type").alias("CellType"), F.col("valid_connection").alias("ValidConnection"),
         )
 
-    @property
+    @cached_property
     def model_pairs(self) -> DataFrame:
         return self.fx_scored.select(
             F.col("element_id").alias("elem_id"), "gene_id", "chrom", "strand", "abs_distance", "link",
