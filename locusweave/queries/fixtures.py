@@ -159,7 +159,7 @@ DERIVED: dict[str, str] = {
     "fx_e2g": """
         SELECT 'G'||CAST(l_suppkey AS STRING) AS gene_id, CAST(l_orderkey%5+1 AS STRING) AS chrom,
           l_orderkey*100 AS i_start, l_orderkey*100+500 AS i_end, round(1-l_discount*3,4) AS score,
-          CAST(l_extendedprice AS BIGINT)-30000 AS distance, 'B'||CAST(l_linenumber AS STRING) AS biosample,
+          CAST(floor(l_extendedprice) AS BIGINT)-30000 AS distance, 'B'||CAST(l_linenumber AS STRING) AS biosample,
           CASE l_returnflag WHEN 'R' THEN 'promoter' WHEN 'A' THEN 'genic' ELSE 'intergenic' END AS interval_type,
           CASE WHEN l_linestatus='F' THEN l_tax*10 END AS dnase,
           CASE WHEN l_quantity>25 THEN l_quantity/10 END AS hic
