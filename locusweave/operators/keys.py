@@ -14,10 +14,8 @@ HOT_ROWS = 1_000_000
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; the right side's key columns are dropped."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
+    condition = " AND ".join(f"`{k}` <=> `__r_{k}`" for k in keys)
+    return left.join(renamed, F.expr(condition), how).drop(*[f"__r_{k}" for k in keys])
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -26,9 +24,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     The result has fewer than ``rows / hot_rows`` rows, which is what makes it safe to broadcast.
     """
     return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_shares"))
+        df.groupBy(*keys).agg(F.expr("count(1) AS _n")).where(f"_n > {hot_rows}")
+        .selectExpr(*[f"`{k}`" for k in keys], f"CAST(ceil(_n / {hot_rows}) AS INT) AS _shares")
     )
 
 
@@ -39,21 +36,20 @@ def salted_pair(
     """Spread the hot keys of ``big`` and repeat the rows of ``other`` for them.
 
     Both sides gain a ``_salt`` column. The salt is a hash of ``salt_on``, so a task that is run
-    again after a lost executor puts its rows where the first run put them.
+    again after a lost executor puts its rows where the first run put them. Rows with a NULL key
+    match nothing and stay unsalted.
     """
     if hot_rows is None:
         return big, other, list(keys)
-    hot = hot_keys(big, keys, hot_rows)
-    big_salted = join_on(big, F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_shares").isNull(), 0).otherwise(
-            F.pmod(F.xxhash64(*[F.col(c) for c in salt_on]), F.col("_shares").cast("bigint"))
-        ).cast("int"),
-    ).drop("_shares")
-    other_salted = join_on(other, F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shares"), F.lit(1)) - 1))
-    ).drop("_shares")
-    return big_salted, other_salted, [*keys, "_salt"]
+    keys = list(keys)
+    hot = F.broadcast(hot_keys(big, keys, hot_rows))
+    hashed = ", ".join(f"`{c}`" for c in salt_on)
+    salt = f"CAST(coalesce(pmod(xxhash64({hashed}), CAST(_shares AS BIGINT)), 0) AS INT) AS _salt"
+    left = big.join(hot, keys, "left").selectExpr(*[f"`{c}`" for c in big.columns], salt)
+    right = other.join(hot, keys, "left").selectExpr(
+        *[f"`{c}`" for c in other.columns], "explode(sequence(0, coalesce(_shares, 1) - 1)) AS _salt"
+    )
+    return left, right, [*keys, "_salt"]
 
 
 def attach_single(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.operators.keys import join_on
@@ -21,54 +21,49 @@ PER_OCTAVE = 1024
 _SHIFT = 1100
 
 
-def order_bucket(value: Column | str, per_octave: int = PER_OCTAVE) -> Column:
-    """A non-decreasing step function of a number that needs no pass over the data.
+def order_bucket(value: str, per_octave: int = PER_OCTAVE) -> str:
+    """SQL for a non-decreasing step function of a number that needs no pass over the data.
 
     Buckets are equal steps of log2 of the magnitude, mirrored for negative numbers, so their
-    count is bounded by the range of a double and not by the number of rows.
+    count is bounded by the range of a double and not by the number of rows. NULL has the first
+    bucket and NaN the last, so every value has one.
     """
-    v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    size = F.least(F.log2(F.abs(v)), F.lit(1050.0)) + F.lit(float(_SHIFT))
-    step = F.floor(size * F.lit(float(per_octave)))
+    v = f"CAST(`{value}` AS DOUBLE)"
+    step = f"floor((least(log2(abs({v})), 1050D) + {_SHIFT}D) * {per_octave}D)"
     return (
-        F.when(v.isNull(), F.lit(None))
-        .when(F.isnan(v), F.lit((_SHIFT + 1060) * per_octave))
-        .when(v > 0, step).when(v < 0, -step).otherwise(F.lit(0))
-    ).cast("long")
+        f"CAST(CASE WHEN {v} IS NULL THEN {-(_SHIFT + 1060) * per_octave} WHEN isnan({v}) THEN {(_SHIFT + 1060) * per_octave} "
+        f"WHEN {v} > 0 THEN {step} WHEN {v} < 0 THEN -{step} ELSE 0 END AS BIGINT)"
+    )
+
+
+def _group(by: Sequence[str]) -> str:
+    """SQL for one non-NULL key out of several nullable ones: NULL fields of a struct are equal, and
+    one key lets the aggregate, the window and the join below share their partitioning."""
+    return f"struct({', '.join(f'`{k}`' for k in by)})" if by else "0"
 
 
 def prefix_sums(
-    hist: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), bucket: Column | None = None,
+    hist: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), bucket: str | None = None,
 ) -> DataFrame:
     """Running totals in the order of ``value``, exclusive of the row itself.
 
     ``hist`` holds one row per (``by``, ``value``). For each column c of ``sums`` the result has
     ``before_c`` (sum over smaller values) and ``total_c`` (sum over the group). For values that
-    are not numbers pass a ``bucket`` expression that is monotone in them.
+    are not numbers pass SQL for a ``bucket`` that is monotone in them.
     """
-    by = list(by)
-    parts = hist.withColumn("_b", order_bucket(value) if bucket is None else bucket)
-    group = Window.partitionBy(*([F.col(k) for k in by] or [F.lit(0)]))
-    earlier = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = hist.selectExpr("*", f"{_group(by)} AS _g", f"{bucket or order_bucket(value)} AS _b")
+    earlier = "PARTITION BY _g ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offsets = (
-        parts.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
-        .select(
-            *by, "_b",
-            *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums],
-            *[F.sum(f"_s_{c}").over(group).alias(f"total_{c}") for c in sums],
+        parts.groupBy("_g", "_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
+        .selectExpr(
+            "_g", "_b", *[f"coalesce(sum(_s_{c}) OVER ({earlier}), 0) AS _off_{c}" for c in sums],
+            *[f"sum(_s_{c}) OVER (PARTITION BY _g) AS total_{c}" for c in sums],
         )
     )
-    inside = (
-        Window.partitionBy(*[F.col(k) for k in by], F.col("_b")).orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = parts.select(
-        "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in sums]
-    )
-    joined = join_on(local, offsets, [*by, "_b"])
-    return joined.select(
-        *[c for c in hist.columns],
-        *[(F.col(f"_off_{c}") + F.col(f"_in_{c}")).alias(f"before_{c}") for c in sums],
+    inside = f"PARTITION BY _g, _b ORDER BY `{value}` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    local = parts.selectExpr("*", *[f"coalesce(sum(`{c}`) OVER ({inside}), 0) AS _in_{c}" for c in sums])
+    return local.join(offsets, ["_g", "_b"]).selectExpr(
+        *[f"`{c}`" for c in hist.columns], *[f"_off_{c} + _in_{c} AS before_{c}" for c in sums],
         *[f"total_{c}" for c in sums],
     )
 
@@ -81,50 +76,43 @@ def quantile_profile(
     Columns: ``by``, ``metric``, ``n_nonnull`` and ``q1 .. qk`` in the order of ``probs``.
     """
     by = list(by)
-    long = df.select(
-        *by,
-        F.explode(F.array(*[
-            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols
-        ])).alias("m"),
-    ).select(*by, "m.metric", "m.value")
-    hist = long.groupBy(*by, "metric", "value").agg(F.count("value").alias("n"))
+    cells = ", ".join(f"struct('{c}' AS metric, CAST(`{c}` AS DOUBLE) AS value)" for c in cols)
+    long = df.selectExpr(*[f"`{k}`" for k in by], f"inline(array({cells}))")
+    hist = long.groupBy(*by, "metric", "value").agg(F.expr("count(value) AS n"))
     ordered = prefix_sums(hist, "value", ["n"], by=[*by, "metric"])
     picks = []
     for i, p in enumerate(probs, 1):
-        at = F.lit(float(p)) * (F.col("total_n") - 1)
-        for name, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n"))
-            picks.append(F.max(F.when(inside, F.col("value"))).alias(f"_{name}{i}"))
-    packed = ordered.groupBy(*by, "metric").agg(F.max("total_n").alias("n_nonnull"), *picks)
-    out = []
-    for i, p in enumerate(probs, 1):
-        at = F.lit(float(p)) * (F.col("n_nonnull") - 1)
-        step = F.col(f"_hi{i}") - F.col(f"_lo{i}")
-        out.append((F.col(f"_lo{i}") + step * (at - F.floor(at))).alias(f"q{i}"))
-    return packed.select(*by, "metric", "n_nonnull", *out)
+        for name, rank in (("lo", f"floor({p}D * (total_n - 1))"), ("hi", f"ceil({p}D * (total_n - 1))")):
+            picks.append(
+                f"max(CASE WHEN before_n <= {rank} AND {rank} < before_n + n THEN value END) AS _{name}{i}"
+            )
+    packed = ordered.groupBy(*by, "metric").agg(F.expr("max(total_n) AS n_nonnull"), *[F.expr(e) for e in picks])
+    return packed.selectExpr(
+        *[f"`{k}`" for k in by], "metric", "n_nonnull",
+        *[
+            f"_lo{i} + (_hi{i} - _lo{i}) * ({p}D * (n_nonnull - 1) - floor({p}D * (n_nonnull - 1))) AS q{i}"
+            for i, p in enumerate(probs, 1)
+        ],
+    )
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Adds the rank with ties averaged; a NULL value has no rank."""
     by = list(by)
-    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    ranks = prefix_sums(hist, value, ["n"], by=by).select(
-        *by, value, (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias(out)
+    hist = df.where(f"`{value}` IS NOT NULL").groupBy(*by, value).agg(F.expr("count(1) AS n"))
+    ranks = prefix_sums(hist, value, ["n"], by=by).selectExpr(
+        *[f"`{k}`" for k in by], f"`{value}`", f"before_n + (n + 1) / 2.0D AS `{out}`"
     )
     return join_on(df, ranks, [*by, value], "left")
 
 
-def row_numbers(df: DataFrame, order: Sequence[str], bucket: Column, by: Sequence[str] = (), out: str = "rn") -> DataFrame:
-    """1-based row numbers in the order of ``order``; ``bucket`` must be monotone in it."""
-    by = list(by)
-    parts = df.withColumn("_b", bucket)
-    group = Window.partitionBy(*([F.col(k) for k in by] or [F.lit(0)]))
-    offsets = (
-        parts.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_s"))
-        .select(*by, "_b", F.coalesce(
-            F.sum("_s").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"))
+def row_numbers(df: DataFrame, order: Sequence[str], bucket: str, by: Sequence[str] = (), out: str = "rn") -> DataFrame:
+    """1-based row numbers in the order of ``order``; ``bucket`` is SQL for a monotone step of it."""
+    parts = df.selectExpr("*", f"{_group(by)} AS _g", f"{bucket} AS _b")
+    earlier = "PARTITION BY _g ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    offsets = parts.groupBy("_g", "_b").agg(F.expr("count(1) AS _s")).selectExpr(
+        "_g", "_b", f"coalesce(sum(_s) OVER ({earlier}), 0) AS _off"
     )
-    inside = Window.partitionBy(*[F.col(k) for k in by], F.col("_b")).orderBy(*order)
-    local = parts.withColumn("_in", F.row_number().over(inside))
-    return join_on(local, offsets, [*by, "_b"]).withColumn(out, F.col("_off") + F.col("_in")).drop("_off", "_in", "_b")
+    inside = f"PARTITION BY _g, _b ORDER BY {', '.join(f'`{c}`' for c in order)}"
+    local = parts.selectExpr("*", f"row_number() OVER ({inside}) AS _in")
+    return local.join(offsets, ["_g", "_b"]).selectExpr(*[f"`{c}`" for c in df.columns], f"_off + _in AS `{out}`")

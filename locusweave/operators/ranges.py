@@ -15,10 +15,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.operators.keys import HOT_ROWS, join_on, salted_pair
+from locusweave.operators.keys import HOT_ROWS, salted_pair
 
 # An interval is copied to at most this many bins of its level, plus one.
 FANOUT = 16
@@ -40,48 +40,49 @@ def choose_widths(intervals: DataFrame, start: str, end: str, pad: float = 0) ->
     return tuple(widths)
 
 
-def _bin(value: Column, width: int) -> Column:
-    return F.floor(value / F.lit(float(width))).cast("long")
+def _cols(names: Sequence[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
 
 
-def _interval_bins(df: DataFrame, low: Column, high: Column, widths: Sequence[int]) -> DataFrame:
+def _bin(value: str, width: int) -> str:
+    return f"CAST(floor({value} / {float(width)}D) AS BIGINT)"
+
+
+def _interval_bins(df: DataFrame, low: str, high: str, widths: Sequence[int]) -> DataFrame:
     """One row per (interval, bin); ``_lvl`` is the index of the interval's bin width."""
-    length = (high - low).cast("double")
-    level = F.lit(len(widths) - 1)
-    for i in reversed(range(len(widths) - 1)):
-        level = F.when(length <= FANOUT * widths[i], i).otherwise(level)
-    width = F.lit(float(widths[0]))
-    for i, w in enumerate(widths[1:], 1):
-        width = F.when(F.col("_lvl") == i, F.lit(float(w))).otherwise(width)
-    leveled = df.withColumn("_lvl", level).where(high >= low)
-    bins = F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long"))
-    return leveled.withColumn("_bin", F.explode(bins))
-
-
-def _point_bins(df: DataFrame, at: Column, widths: Sequence[int]) -> DataFrame:
+    last = len(widths) - 1
+    steps = " ".join(f"WHEN {high} - ({low}) <= {FANOUT * w} THEN {i}" for i, w in enumerate(widths[:-1]))
+    level = f"CASE {steps} ELSE {last} END" if steps else str(last)
+    bins = [f"sequence({_bin(low, w)}, {_bin(high, w)})" for w in widths]
+    choice = bins[0] if len(bins) == 1 else "CASE _lvl " + " ".join(
+        f"WHEN {i} THEN {b}" for i, b in enumerate(bins)
+    ) + " END"
+    return df.where(f"{high} >= {low}").selectExpr("*", f"{level} AS _lvl").selectExpr("*", f"explode({choice}) AS _bin")
+
+
+def _point_bins(df: DataFrame, at: str, widths: Sequence[int]) -> DataFrame:
     """One row per (point, level)."""
     if len(widths) == 1:
-        return df.withColumn("_lvl", F.lit(0)).withColumn("_bin", _bin(at, widths[0]))
-    options = F.array(*[
-        F.struct(F.lit(i).alias("l"), _bin(at, w).alias("b")) for i, w in enumerate(widths)
-    ])
-    return (
-        df.withColumn("_o", F.explode(options))
-        .withColumn("_lvl", F.col("_o.l")).withColumn("_bin", F.col("_o.b")).drop("_o")
-    )
+        return df.selectExpr("*", "0 AS _lvl", f"{_bin(at, widths[0])} AS _bin")
+    options = ", ".join(f"struct({i} AS _lvl, {_bin(at, w)} AS _bin)" for i, w in enumerate(widths))
+    return df.selectExpr("*", f"inline(array({options}))")
+
+
+def _at(pos: str, base: int) -> str:
+    return f"(`{pos}` - {base})" if base else f"`{pos}`"
 
 
-def _bounds(start: str, end: str, pad: float) -> tuple[Column, Column]:
-    return (F.col(start) - F.lit(pad), F.col(end) + F.lit(pad)) if pad else (F.col(start), F.col(end))
+def _bounds(start: str, end: str, pad: float) -> tuple[str, str]:
+    return (f"(`{start}` - {pad})", f"(`{end}` + {pad})") if pad else (f"`{start}`", f"`{end}`")
 
 
-def _inside(at: Column, low: Column, high: Column, closed: str) -> Column:
+def _inside(at: str, low: str, high: str, closed: str) -> str:
     if closed == "both":
-        return (at >= low) & (at <= high)
+        return f"{at} >= {low} AND {at} <= {high}"
     if closed == "left":
-        return (at >= low) & (at < high)
+        return f"{at} >= {low} AND {at} < {high}"
     if closed == "right":
-        return (at > low) & (at <= high)
+        return f"{at} > {low} AND {at} <= {high}"
     raise ValueError(f"closed={closed!r}")
 
 
@@ -100,18 +101,16 @@ def merge_pieces(
     Duplicate pieces are dropped before the window, so copies of one interval cost one row.
     """
     low, high = _bounds(start, end, pad)
-    ranged = intervals.select(*keys, low.alias("_lo"), high.alias("_hi")).where(F.col("_lo").isNotNull())
-    binned = _interval_bins(ranged, F.col("_lo"), F.col("_hi"), widths)
-    pieces = binned.select(*keys, "_lvl", "_bin", "_lo", "_hi").distinct()
+    ranged = intervals.selectExpr(*_cols(keys), f"{low} AS _lo", f"{high} AS _hi").where("_lo IS NOT NULL")
+    pieces = _interval_bins(ranged, "_lo", "_hi", widths).select(*keys, "_lvl", "_bin", "_lo", "_hi").distinct()
     if closed == "left":
-        pieces = pieces.where(F.col("_lo") < F.col("_hi"))
-    group = Window.partitionBy(*[F.col(k) for k in keys], F.col("_lvl"), F.col("_bin")).orderBy("_lo", "_hi")
-    reach = F.max("_hi").over(group.rowsBetween(Window.unboundedPreceding, -1))
-    opened = pieces.withColumn("_new", F.when(reach.isNull() | (F.col("_lo") > reach), 1).otherwise(0))
-    island = F.sum("_new").over(group.rowsBetween(Window.unboundedPreceding, 0))
+        pieces = pieces.where("_lo < _hi")
+    part = ", ".join([*_cols(keys), "_lvl", "_bin"])
+    order = f"PARTITION BY {part} ORDER BY _lo, _hi ROWS BETWEEN UNBOUNDED PRECEDING AND"
     return (
-        opened.withColumn("_isl", island).groupBy(*keys, "_lvl", "_bin", "_isl")
-        .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).drop("_isl")
+        pieces.selectExpr("*", f"max(_hi) OVER ({order} 1 PRECEDING) AS _reach")
+        .selectExpr("*", f"sum(CASE WHEN _reach IS NULL OR _lo > _reach THEN 1 ELSE 0 END) OVER ({order} CURRENT ROW) AS _isl")
+        .groupBy(*keys, "_lvl", "_bin", "_isl").agg(F.expr("min(_lo) AS _lo"), F.expr("max(_hi) AS _hi")).drop("_isl")
     )
 
 
@@ -130,36 +129,31 @@ def point_in_interval(
     """
     keys = [*by, chrom]
     widths = _widths(bin_width, intervals, start, end, pad)
-    at = (F.col(pos) - F.lit(point_base)) if point_base else F.col(pos)
+    at = _at(pos, point_base)
     low, high = _bounds(start, end, pad)
     if how == "inner":
         left = _point_bins(points, at, widths)
         right = _interval_bins(intervals, low, high, widths)
         left, right, on = salted_pair(left, right, [*keys, "_lvl", "_bin"], points.columns, hot_rows)
-        joined = left.join(right, on)
-        return joined.where(_inside(at, low, high, closed)).drop("_lvl", "_bin", "_salt")
-    flagged = points.withColumn("hit", F.lit(False))
+        return left.join(right, on).where(_inside(at, low, high, closed)).drop("_lvl", "_bin", "_salt")
+    flagged = points.selectExpr("*", "false AS hit")
     pieces = merge_pieces(
         intervals, start=start, end=end, keys=keys, closed=closed, pad=pad, widths=widths
     )
     for level, width in enumerate(widths):
         left, right, on = salted_pair(
-            flagged.withColumn("_bin", _bin(at, width)),
-            pieces.where(F.col("_lvl") == level).drop("_lvl"), [*keys, "_bin"], points.columns, hot_rows,
-        )
-        match = _inside(at, F.col("_lo"), F.col("_hi"), closed)
-        for k in on:
-            match = match & (F.col(k) == F.col(f"_i_{k}"))
-        flagged = (
-            left.join(right.withColumnsRenamed({k: f"_i_{k}" for k in on}), match, "left")
-            .withColumn("hit", F.col("hit") | F.col("_lo").isNotNull())
-            .select(*points.columns, "hit")
+            flagged.selectExpr("*", f"{_bin(at, width)} AS _bin"),
+            pieces.where(f"_lvl = {level}").drop("_lvl"), [*keys, "_bin"], points.columns, hot_rows,
         )
+        match = " AND ".join([_inside(at, "_lo", "_hi", closed), *[f"`{k}` = `_i_{k}`" for k in on]])
+        flagged = left.join(
+            right.withColumnsRenamed({k: f"_i_{k}" for k in on}), F.expr(match), "left"
+        ).selectExpr(*_cols(points.columns), "hit OR _lo IS NOT NULL AS hit")
     if how == "flag":
         return flagged
     if how not in ("semi", "anti"):
         raise ValueError(f"how={how!r}")
-    return flagged.where(F.col("hit") if how == "semi" else ~F.col("hit")).drop("hit")
+    return flagged.where("hit" if how == "semi" else "NOT hit").drop("hit")
 
 
 def intervals_hit(
@@ -175,26 +169,25 @@ def intervals_hit(
     """
     keys = [*by, chrom]
     widths = _widths(bin_width, intervals, start, end, pad)
-    at = (F.col(pos) - F.lit(point_base)) if point_base else F.col(pos)
+    at = _at(pos, point_base)
     low, high = _bounds(start, end, pad)
-    spots = _point_bins(points.select(*keys, at.alias("_at")).distinct(), F.col("_at"), widths)
-    spots = spots.withColumnsRenamed({k: f"_p_{k}" for k in [*keys, "_lvl", "_bin"]})
+    spots = _point_bins(points.selectExpr(*_cols(keys), f"{at} AS _at").distinct(), "_at", widths)
+    on = [*keys, "_lvl", "_bin"]
+    spots = spots.withColumnsRenamed({k: f"_p_{k}" for k in on})
     spans = _interval_bins(intervals.select(*keys, start, end).distinct(), low, high, widths)
-    match = _inside(F.col("_at"), low, high, closed)
-    for k in [*keys, "_lvl", "_bin"]:
-        match = match & (F.col(k) == F.col(f"_p_{k}"))
+    match = " AND ".join([_inside("_at", low, high, closed), *[f"`{k}` = `_p_{k}`" for k in on]])
     found = (
-        spans.join(spots, match, "left_semi").select(*keys, start, end).distinct()
+        spans.join(spots, F.expr(match), "left_semi").select(*keys, start, end).distinct()
         .withColumn("_found", F.lit(True))
     )
-    flagged = join_on(intervals, found, [*keys, start, end], "left").withColumn(
-        "hit", F.coalesce(F.col("_found"), F.lit(False))
-    ).drop("_found")
+    flagged = intervals.join(found, [*keys, start, end], "left").selectExpr(
+        *_cols(intervals.columns), "coalesce(_found, false) AS hit"
+    )
     if how == "flag":
         return flagged
     if how not in ("semi", "anti"):
         raise ValueError(f"how={how!r}")
-    return flagged.where(F.col("hit") if how == "semi" else ~F.col("hit")).drop("hit")
+    return flagged.where("hit" if how == "semi" else "NOT hit").drop("hit")
 
 
 def interval_overlap(
@@ -216,15 +209,12 @@ def interval_overlap(
             a, b, chrom=chrom, pos=a_start, start=b_start, end=b_end, by=by, closed="right", hot_rows=hot_rows
         ).where(F.col(a_end) >= F.col(a_start))
         return first.unionByName(second)
-    left = _interval_bins(a, F.col(a_start), F.col(a_end), (bin_width,)).drop("_lvl")
-    right = _interval_bins(b, F.col(b_start), F.col(b_end), (bin_width,)).drop("_lvl")
+    left = _interval_bins(a, f"`{a_start}`", f"`{a_end}`", (bin_width,)).drop("_lvl")
+    right = _interval_bins(b, f"`{b_start}`", f"`{b_end}`", (bin_width,)).drop("_lvl")
     left, right, on = salted_pair(left, right, [*keys, "_bin"], a.columns, hot_rows)
-    shared = F.greatest(_bin(F.col(a_start), bin_width), _bin(F.col(b_start), bin_width))
-    return (
-        left.join(right, on)
-        .where((F.col(a_start) <= F.col(b_end)) & (F.col(a_end) >= F.col(b_start)) & (F.col("_bin") == shared))
-        .drop("_bin", "_salt")
-    )
+    shared = f"greatest({_bin(f'`{a_start}`', bin_width)}, {_bin(f'`{b_start}`', bin_width)})"
+    overlap = f"`{a_start}` <= `{b_end}` AND `{a_end}` >= `{b_start}` AND _bin = {shared}"
+    return left.join(right, on).where(overlap).drop("_bin", "_salt")
 
 
 def band_join(
@@ -237,7 +227,7 @@ def band_join(
         a, b, chrom=chrom, pos=a_pos, start=b_pos, end=b_pos, by=by, pad=max_distance,
         bin_width=max(1, int(max_distance)), hot_rows=hot_rows,
     )
-    return pairs.withColumn(distance, F.abs(F.col(a_pos) - F.col(b_pos)))
+    return pairs.selectExpr("*", f"abs(`{a_pos}` - `{b_pos}`) AS `{distance}`")
 
 
 def nearest_join(
@@ -254,37 +244,34 @@ def nearest_join(
     """
     keys = [*by, chrom]
     width = max(1, math.ceil(max_distance))
-    spots = points.select(*keys, F.col(pos).alias("_at")).where(F.col(pos).isNotNull()).distinct()
-    stops = targets.where(F.col(target_pos).isNotNull()).groupBy(*keys, F.col(target_pos).alias("_at")).agg(
-        F.min(target_key).alias("_first"), F.max(target_key).alias("_last")
-    ).withColumn("_t", F.struct(F.col("_at").alias("p"), F.col("_first").alias("f"), F.col("_last").alias("l")))
-    stops = stops.withColumn("_bin", _bin(F.col("_at"), width)).select(*keys, "_bin", "_at", "_t")
-    edges = stops.groupBy(*keys, "_bin").agg(F.min("_t").alias("_low"), F.max("_t").alias("_high"))
-    below = edges.select(*keys, (F.col("_bin") + 1).alias("_bin"), F.col("_high").alias("_prev"))
-    above = edges.select(*keys, (F.col("_bin") - 1).alias("_bin"), F.col("_low").alias("_next"))
-    merged = stops.withColumn("_is_spot", F.lit(0)).unionByName(
-        spots.select(*keys, _bin(F.col("_at"), width).alias("_bin"), "_at", F.lit(1).alias("_is_spot")),
-        allowMissingColumns=True,
-    )
-    sweep = Window.partitionBy(*[F.col(k) for k in keys], F.col("_bin")).orderBy("_at")
-    under = F.last("_t", ignorenulls=True).over(sweep.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    over = F.first("_t", ignorenulls=True).over(sweep.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    swept = merged.withColumn("_u", under).withColumn("_o", over).where(F.col("_is_spot") == 1)
-    swept = join_on(join_on(swept, below, [*keys, "_bin"], "left"), above, [*keys, "_bin"], "left")
+    spots = points.selectExpr(*_cols(keys), f"`{pos}` AS _at").where("_at IS NOT NULL").distinct()
+    spots = spots.selectExpr("*", f"{_bin('_at', width)} AS _bin", "1 AS _spot")
+    stops = targets.selectExpr(*_cols(keys), f"`{target_pos}` AS _at", f"`{target_key}` AS _key").where("_at IS NOT NULL")
+    stops = stops.groupBy(*keys, "_at").agg(F.expr("struct(min(_at) AS p, min(_key) AS f, max(_key) AS l) AS _t"))
+    stops = stops.selectExpr("*", f"{_bin('_at', width)} AS _bin")
+    edges = stops.groupBy(*keys, "_bin").agg(F.expr("min(_t) AS _low"), F.expr("max(_t) AS _high"))
+    below = edges.selectExpr(*_cols(keys), "_bin + 1 AS _bin", "_high AS _prev")
+    above = edges.selectExpr(*_cols(keys), "_bin - 1 AS _bin", "_low AS _next")
+    merged = spots.unionByName(stops, allowMissingColumns=True)
+    sweep = f"PARTITION BY {', '.join([*_cols(keys), '_bin'])} ORDER BY _at RANGE BETWEEN"
+    swept = merged.selectExpr(
+        *_cols(keys), "_bin", "_at", "_spot",
+        f"last(_t, true) OVER ({sweep} UNBOUNDED PRECEDING AND CURRENT ROW) AS _u",
+        f"first(_t, true) OVER ({sweep} CURRENT ROW AND UNBOUNDED FOLLOWING) AS _o",
+    ).where("_spot = 1")
+    swept = swept.join(below, [*keys, "_bin"], "left").join(above, [*keys, "_bin"], "left")
     # A target at the point itself is seen from both sides and belongs to "at or above".
-    exact = F.col("_u.p") == F.col("_at")
-    down = F.when(exact, F.lit(None)).otherwise(F.coalesce(F.col("_u"), F.col("_prev")))
-    up = F.coalesce(F.col("_o"), F.col("_next"))
-    chosen = swept.withColumn("_down", down).withColumn("_up", up)
-    d_down, d_up = F.col("_at") - F.col("_down.p"), F.col("_up.p") - F.col("_at")
-    take_down = F.col("_down").isNotNull() & (F.col("_up").isNull() | (d_down <= d_up))
-    best = chosen.select(
-        *keys, F.col("_at").alias(pos),
-        F.when(take_down, F.col("_down.p")).otherwise(F.col("_up.p")).alias(pos_out),
-        F.when(take_down, F.col("_down.l")).otherwise(F.col("_up.f")).alias(key_out),
-        F.when(take_down, d_down).otherwise(d_up).alias(distance),
-    ).where(F.col(distance) <= max_distance)
-    return join_on(points, best, [*keys, pos], how)
+    best = swept.selectExpr(
+        *_cols(keys), "_at", "CASE WHEN _u.p = _at THEN NULL ELSE coalesce(_u, _prev) END AS _down",
+        "coalesce(_o, _next) AS _up",
+    ).selectExpr(
+        "*", "_down IS NOT NULL AND (_up IS NULL OR _at - _down.p <= _up.p - _at) AS _take",
+    ).selectExpr(
+        *_cols(keys), f"_at AS `{pos}`", f"CASE WHEN _take THEN _down.p ELSE _up.p END AS `{pos_out}`",
+        f"CASE WHEN _take THEN _down.l ELSE _up.f END AS `{key_out}`",
+        f"CASE WHEN _take THEN _at - _down.p ELSE _up.p - _at END AS `{distance}`",
+    ).where(f"`{distance}` <= {max_distance}")
+    return points.join(best, [*keys, pos], how)
 
 
 def annotate_labels(
@@ -303,15 +290,17 @@ def annotate_labels(
         intervals, start=start, end=end, keys=[chrom, label], closed=closed, pad=0, widths=widths
     )
     spots = points.select(chrom, pos).distinct()
-    at = F.col(pos) - F.lit(point_base)
+    at = _at(pos, point_base)
     left, right, on = salted_pair(
         _point_bins(spots, at, widths), pieces, [chrom, "_lvl", "_bin"], [pos], hot_rows
     )
     found = (
-        left.join(right, on).where(_inside(at, F.col("_lo"), F.col("_hi"), closed))
-        .groupBy(chrom, pos).agg(F.array_join(F.array_sort(F.collect_set(label)), sep).alias(out))
+        left.join(right, on).where(_inside(at, "_lo", "_hi", closed))
+        .groupBy(chrom, pos).agg(F.array_join(F.array_sort(F.collect_set(label)), sep).alias("_labels"))
+    )
+    return points.join(found, [chrom, pos], "left").select(
+        *points.columns, F.coalesce("_labels", F.lit(none)).alias(out)
     )
-    return join_on(points, found, [chrom, pos], "left").withColumn(out, F.coalesce(F.col(out), F.lit(none)))
 
 
 def lift_positions(
@@ -325,30 +314,24 @@ def lift_positions(
     on the minus strand around). Positions without a block keep NULLs. Distinct positions are
     mapped once.
     """
-    chain = blocks
-    for name, default in (("score", F.lit(0)), ("dst_size", F.lit(None))):
-        if name not in blocks.columns:
-            chain = chain.withColumn(name, default.cast("long"))
-    spots = df.select(F.col(chrom).alias("src_chrom"), F.col(pos).alias("_at")).where(
-        F.col(chrom).isNotNull() & F.col(pos).isNotNull()
+    chain = blocks.selectExpr(
+        "src_chrom", "src_start", "src_end", "dst_chrom", "dst_start", "dst_strand",
+        *[c if c in blocks.columns else f"CAST({d} AS BIGINT) AS {c}" for c, d in (("score", "0"), ("dst_size", "NULL"))],
+    )
+    spots = df.selectExpr(f"`{chrom}` AS src_chrom", f"`{pos}` AS _at").where(
+        "src_chrom IS NOT NULL AND _at IS NOT NULL"
     ).distinct()
     hits = point_in_interval(
         spots, chain, chrom="src_chrom", pos="_at", start="src_start", end="src_end",
         closed="left", point_base=base, bin_width=bin_width,
     )
-    offset = F.col("_at") - F.lit(base) - F.col("src_start")
-    forward = F.col("dst_start") + offset
-    placed = forward
-    if reverse_strand:
-        turned = (F.col("dst_strand") == "-") & F.col("dst_size").isNotNull()
-        placed = F.when(turned, F.col("dst_size") - 1 - forward).otherwise(forward)
-    best = hits.groupBy(F.col("src_chrom").alias(chrom), F.col("_at").alias(pos)).agg(
-        F.min_by(
-            F.struct("dst_chrom", (placed + F.lit(base)).alias("dst_pos"), "dst_strand"),
-            F.struct((-F.col("score")).alias("s"), F.col("dst_chrom"), F.col("dst_start")),
-        ).alias("_best")
-    ).select(chrom, pos, "_best.*")
-    return join_on(df, best, [chrom, pos], "left")
+    forward = f"(dst_start + _at - {base} - src_start)"
+    turned = f"dst_strand = '-' AND dst_size IS NOT NULL AND {'true' if reverse_strand else 'false'}"
+    placed = f"CASE WHEN {turned} THEN dst_size - 1 - {forward} ELSE {forward} END + {base}"
+    best = hits.groupBy(F.col("src_chrom").alias(chrom), F.col("_at").alias(pos)).agg(F.expr(
+        f"min_by(struct(dst_chrom, {placed} AS dst_pos, dst_strand), struct(-score, dst_chrom, dst_start)) AS _best"
+    )).select(chrom, pos, "_best.*")
+    return df.join(best, [chrom, pos], "left").select(*df.columns, "dst_chrom", "dst_pos", "dst_strand")
 
 
 def both_orientations(links: DataFrame, left: str, right: str) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.functions.tails import correlation_p, fisher_p
-from locusweave.operators.keys import join_on
-from locusweave.operators.ordered import prefix_sums, row_numbers
+from locusweave.operators.keys import attach_single
+from locusweave.operators.ordered import average_rank, prefix_sums, row_numbers
+from locusweave.session import durable
 
 
 def rank_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -21,24 +22,24 @@ def rank_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), wei
     are first merged to distinct value tuples, so repeated tuples cost nothing.
     """
     by, cols = list(by), list(cols)
-    w = F.sum(weight) if weight else F.count(F.lit(1))
-    cells = df.dropna(subset=cols).groupBy(*by, *cols).agg(w.alias("_w"))
+    w = f"sum(`{weight}`)" if weight else "count(1)"
+    key = f"struct({', '.join(f'`{k}`' for k in by)})" if by else "0"
+    cells = df.dropna(subset=cols).selectExpr(
+        f"{key} AS _key", *[f"`{c}` AS _v{i}" for i, c in enumerate(cols)], *([f"`{weight}`"] if weight else [])
+    ).groupBy("_key", *[f"_v{i}" for i in range(len(cols))]).agg(F.expr(f"{w} AS _w"))
     ranked = cells
-    for i, c in enumerate(cols):
-        hist = cells.groupBy(*by, c).agg(F.sum("_w").alias("_n"))
-        ranks = prefix_sums(hist, c, ["_n"], by=by).select(
-            *by, c,
-            (F.col("before__n") + (F.col("_n") - F.col("total__n")) / F.lit(2.0)).alias(f"_d{i}"),
-            *(["total__n"] if i == 0 else []),
+    for i in range(len(cols)):
+        hist = cells.groupBy("_key", f"_v{i}").agg(F.expr("sum(_w) AS _n"))
+        ranks = prefix_sums(hist, f"_v{i}", ["_n"], by=["_key"]).selectExpr(
+            "_key", f"_v{i}", f"before__n + (_n - total__n) / 2.0D AS _d{i}", *(["total__n"] if i == 0 else [])
         )
-        ranked = join_on(ranked, ranks, [*by, c])
-    return ranked.groupBy(*by).agg(
-        F.max("total__n").alias("n"),
-        *[
-            F.sum(F.col("_w") * F.col(f"_d{i}") * F.col(f"_d{j}")).alias(f"m_{i}_{j}")
-            for i, j in combinations_with_replacement(range(len(cols)), 2)
-        ],
+        ranked = ranked.join(ranks, ["_key", f"_v{i}"])
+    pairs = combinations_with_replacement(range(len(cols)), 2)
+    grouped = ranked.groupBy("_key") if by else ranked
+    moments = grouped.agg(
+        F.expr("coalesce(max(total__n), 0) AS n"), *[F.expr(f"sum(_w * _d{i} * _d{j}) AS m_{i}_{j}") for i, j in pairs]
     )
+    return moments.selectExpr(*([f"_key.`{k}`" for k in by]), *[f"`{c}`" for c in moments.columns if c != "_key"])
 
 
 def _moment_corr(i: int, j: int) -> Column:
@@ -107,7 +108,7 @@ def _replicated(df: DataFrame, reps: int) -> DataFrame:
 def bootstrap_rhos(df: DataFrame, x: str, y: str, row_id: str, reps: int = 2000, seed: int = 42) -> DataFrame:
     """Spearman's rho of each replicate. A replicate weighs every row by a Poisson(1) draw that
     depends only on (seed, replicate, row id), so replicates need no shared sample state."""
-    rows = df.dropna(subset=[x, y]).select(x, y, row_id)
+    rows = durable(df.dropna(subset=[x, y]).select(x, y, row_id))
     drawn = _replicated(rows, reps).withColumn(
         "_w", poisson_weight(hash_uniform(F.lit(seed), F.col("rep"), F.col(row_id)))
     ).where(F.col("_w") > 0)
@@ -126,40 +127,39 @@ def bootstrap_corr(
     )
 
 
-def permutation_rhos(df: DataFrame, x: str, y: str, row_id: str, reps: int = 5000, seed: int = 7) -> DataFrame:
-    """Spearman's rho of each shuffle, shuffling the ranks of y.
+def _ranked_rows(df: DataFrame, x: str, y: str, row_id: str) -> DataFrame:
+    """Complete rows with the ranks of both columns, written once: every replicate reads them."""
+    rows = df.dropna(subset=[x, y]).select(x, y, row_id)
+    return durable(average_rank(average_rank(rows, x, out="_rx"), y, out="_ry").select(row_id, "_rx", "_ry"))
 
-    Ranks are permutation-invariant, so they are computed once. A shuffle pairs the k-th row in
-    id order with the k-th row in the order of a per-replicate hash.
-    """
-    from locusweave.operators.ordered import average_rank
 
-    rows = df.dropna(subset=[x, y]).select(x, y, row_id)
-    ranked = average_rank(average_rank(rows, x, out="_rx"), y, out="_ry")
-    ranked = ranked.withColumn("_idh", hash_hex(F.lit(seed), F.lit("id"), F.col(row_id)))
-    prefix = F.conv(F.substring("_idh", 1, 3), 16, 10).cast("long")
-    placed = row_numbers(ranked, ["_idh", row_id], prefix, out="_k").select("_k", "_rx")
+def _shuffled_rhos(ranked: DataFrame, row_id: str, reps: int, seed: int) -> DataFrame:
+    """The k-th row in id order is paired with the k-th row in the order of a per-replicate hash."""
+    def prefix(h: str) -> str:
+        return f"CAST(conv(substring({h}, 1, 3), 16, 10) AS INT)"
+
+    fixed = ranked.withColumn("_h", hash_hex(F.lit(seed), F.lit("id"), F.col(row_id)))
+    placed = row_numbers(fixed, ["_h", row_id], prefix("_h"), out="_k").select("_k", "_rx")
     shuffled = _replicated(ranked.select("_ry", row_id), reps).withColumn(
         "_h", hash_hex(F.lit(seed), F.col("rep"), F.col(row_id))
     )
-    prefix = F.conv(F.substring("_h", 1, 3), 16, 10).cast("long")
-    shuffled = row_numbers(shuffled, ["_h", row_id], prefix, by=["rep"], out="_k").select("rep", "_k", "_ry")
+    shuffled = row_numbers(shuffled, ["_h", row_id], prefix("_h"), by=["rep"], out="_k").select("rep", "_k", "_ry")
     return shuffled.join(placed, "_k").groupBy("rep").agg(F.corr("_rx", "_ry").alias("rho"))
 
 
+def permutation_rhos(df: DataFrame, x: str, y: str, row_id: str, reps: int = 5000, seed: int = 7) -> DataFrame:
+    """Spearman's rho of each shuffle. Ranks do not change under a shuffle and are computed once."""
+    return _shuffled_rhos(_ranked_rows(df, x, y, row_id), row_id, reps, seed)
+
+
 def permutation_corr(df: DataFrame, x: str, y: str, row_id: str, reps: int = 5000, seed: int = 7) -> DataFrame:
     """One-sided permutation p (rho at or below the observed one) with add-one smoothing."""
-    observed = spearman(df, x, y).select(F.lit(1).alias("_k"), F.col("rho").alias("obs_rho"))
-    shuffles = permutation_rhos(df, x, y, row_id, reps, seed).select(F.lit(1).alias("_k"), "rho")
-    # The observed side is a single row by construction, and so is the broadcast.
-    return (
-        shuffles.join(F.broadcast(observed), "_k")
-        .agg(
-            F.max("obs_rho").alias("obs_rho"), F.count(F.lit(1)).alias("reps"),
-            F.sum((F.col("rho") <= F.col("obs_rho")).cast("long")).alias("n_le"),
-        )
-        .select("obs_rho", "reps", "n_le", ((F.col("n_le") + 1) / (F.col("reps") + 1)).alias("p_one_sided"))
-    )
+    ranked = _ranked_rows(df, x, y, row_id)
+    observed = ranked.agg(F.corr("_rx", "_ry").alias("obs_rho"))
+    return attach_single(_shuffled_rhos(ranked, row_id, reps, seed), observed).agg(
+        F.max("obs_rho").alias("obs_rho"), F.count(F.lit(1)).alias("reps"),
+        F.expr("sum(CASE WHEN rho <= obs_rho THEN 1 ELSE 0 END) AS n_le"),
+    ).selectExpr("obs_rho", "reps", "n_le", "(n_le + 1) / (reps + 1) AS p_one_sided")
 
 
 # ---- contingency -----------------------------------------------------------------------------
