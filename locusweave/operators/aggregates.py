@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusweave.operators.keys import join_on
 from locusweave.operators.ordered import quantile_profile
 
 
@@ -60,29 +61,24 @@ def sign_consistency(
     All aggregates merge on the map side; the median comes from the distributed quantile.
     """
     keys = list(keys)
-    v = F.col(value)
-    stats = obs.groupBy(*keys).agg(
-        *[F.min(c).alias(c) for c in first],
-        F.count_distinct(group).alias("n_groups"),
-        count_if(v > 0).alias("n_pos"), count_if(v < 0).alias("n_neg"),
-        F.avg(v).alias("mean_value"), F.min(v).alias("min_value"), F.max(v).alias("max_value"),
-        F.stddev_samp(v).alias("sd_value"),
-        *[F.min(c).alias(out) for out, c in (lowest or {}).items()],
-        *[F.max(c).alias(out) for out, c in (highest or {}).items()],
-        *[F.avg(c).alias(out) for out, c in (mean or {}).items()],
-    )
+    v = f"`{value}`"
+    stats = obs.groupBy(*keys).agg(*[F.expr(e) for e in (
+        *[f"min(`{c}`) AS `{c}`" for c in first],
+        f"count(DISTINCT `{group}`) AS n_groups",
+        f"count(CASE WHEN {v} > 0 THEN 1 END) AS n_pos", f"count(CASE WHEN {v} < 0 THEN 1 END) AS n_neg",
+        f"avg({v}) AS mean_value", f"min({v}) AS min_value", f"max({v}) AS max_value", f"stddev_samp({v}) AS sd_value",
+        *[f"min(`{c}`) AS `{out}`" for out, c in (lowest or {}).items()],
+        *[f"max(`{c}`) AS `{out}`" for out, c in (highest or {}).items()],
+        *[f"avg(`{c}`) AS `{out}`" for out, c in (mean or {}).items()],
+    )])
     if median:
-        from locusweave.operators.keys import join_on
-
-        middle = quantile_profile(obs, [value], [0.5], by=keys).select(*keys, F.col("q1").alias("median_value"))
+        middle = quantile_profile(obs, [value], [0.5], by=keys).selectExpr(*[f"`{k}`" for k in keys], "q1 AS median_value")
         stats = join_on(stats, middle, keys)
-    return stats.select(
-        "*",
-        (F.greatest("n_pos", "n_neg") / F.col("n_groups")).alias("sign_concordance"),
-        F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), "sign_flip")
-        .when(F.col("n_pos") > 0, "consistent_positive")
-        .otherwise("consistent_negative").alias("sign_class"),
-        F.when(F.col("mean_value") > 0, 1).otherwise(-1).alias("consensus_sign"),
+    return stats.selectExpr(
+        "*", "greatest(n_pos, n_neg) / n_groups AS sign_concordance",
+        "CASE WHEN n_pos > 0 AND n_neg > 0 THEN 'sign_flip' WHEN n_pos > 0 THEN 'consistent_positive' "
+        "ELSE 'consistent_negative' END AS sign_class",
+        "CASE WHEN mean_value > 0 THEN 1 ELSE -1 END AS consensus_sign",
     )
 
 
@@ -128,20 +124,18 @@ def enrichment(pos: DataFrame, neg: DataFrame, hit: str = "hit", by: Sequence[st
 
     With ``by`` only strata present in both groups are reported.
     """
-    tagged = pos.select(*by, F.col(hit).alias("_hit"), F.lit(1).alias("_pos")).unionByName(
-        neg.select(*by, F.col(hit).alias("_hit"), F.lit(0).alias("_pos"))
-    )
-    is_pos, is_hit = F.col("_pos") == 1, F.col("_hit")
-    counts = tagged.groupBy(*by).agg(
-        count_if(is_pos).alias("n_pos"), count_if(is_pos & is_hit).alias("hits_pos"),
-        count_if(~is_pos).alias("n_neg"), count_if(~is_pos & is_hit).alias("hits_neg"),
+    kept = [f"`{k}`" for k in by]
+    tagged = pos.selectExpr(*kept, f"`{hit}` AS _hit", "true AS _pos").unionByName(
+        neg.selectExpr(*kept, f"`{hit}` AS _hit", "false AS _pos")
     )
+    counts = tagged.groupBy(*by).agg(*[F.expr(e) for e in (
+        "count(CASE WHEN _pos THEN 1 END) AS n_pos", "count(CASE WHEN _pos AND _hit THEN 1 END) AS hits_pos",
+        "count(CASE WHEN NOT _pos THEN 1 END) AS n_neg", "count(CASE WHEN NOT _pos AND _hit THEN 1 END) AS hits_neg",
+    )])
     if by:
-        counts = counts.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-    rated = counts.withColumn("rate_pos", F.try_divide(F.col("hits_pos"), F.col("n_pos"))).withColumn(
-        "rate_neg", F.try_divide(F.col("hits_neg"), F.col("n_neg"))
-    )
-    return rated.withColumn("enrichment", F.try_divide(F.col("rate_pos"), F.col("rate_neg")))
+        counts = counts.where("n_pos > 0 AND n_neg > 0")
+    rates = counts.selectExpr("*", "try_divide(hits_pos, n_pos) AS rate_pos", "try_divide(hits_neg, n_neg) AS rate_neg")
+    return rates.selectExpr("*", "try_divide(rate_pos, rate_neg) AS enrichment")
 
 
 def prevalence_weight(df: DataFrame, flag: Column, by: Sequence[str] = ()) -> DataFrame:

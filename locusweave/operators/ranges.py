@@ -98,11 +98,16 @@ def merge_pieces(
 ) -> DataFrame:
     """Disjoint pieces ``_lo.._hi`` per (keys, level, bin) covering exactly the given intervals.
 
-    Duplicate pieces are dropped before the window, so copies of one interval cost one row.
+    Intervals are clipped to the bin and made distinct before the window, so copies of one interval
+    and intervals that cover the whole bin cost one row. The clip leaves one unit below the bin, so
+    that an open lower end does not lose the first position.
     """
     low, high = _bounds(start, end, pad)
     ranged = intervals.selectExpr(*_cols(keys), f"{low} AS _lo", f"{high} AS _hi").where("_lo IS NOT NULL")
-    pieces = _interval_bins(ranged, "_lo", "_hi", widths).select(*keys, "_lvl", "_bin", "_lo", "_hi").distinct()
+    size = "CASE _lvl " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(widths)) + " END"
+    pieces = _interval_bins(ranged, "_lo", "_hi", widths).selectExpr(
+        *_cols(keys), "_lvl", "_bin", f"greatest(_lo, _bin * {size} - 1) AS _lo", f"least(_hi, (_bin + 1) * {size}) AS _hi"
+    ).distinct()
     if closed == "left":
         pieces = pieces.where("_lo < _hi")
     part = ", ".join([*_cols(keys), "_lvl", "_bin"])

@@ -29,12 +29,16 @@ def first_per_bin(pool: DataFrame, quota: DataFrame, *, bin: str, key: Sequence[
         .select(bin, "_s", "_left", (F.col("_left") >= F.col("_n")).alias("_whole"))
     )
     chosen = join_on(hashed, plan, [bin, "_s"])
-    cut = Window.partitionBy(bin, "_s").orderBy("_h", *key)
-    partial = chosen.where(~F.col("_whole")).withColumn("_rn", F.row_number().over(cut))
-    return (
-        chosen.where("_whole").select(*pool.columns)
-        .unionByName(partial.where(F.col("_rn") <= F.col("_left")).select(*pool.columns))
-    )
+    # Copies of one row share a hash. In the shares that are cut they are merged to one row with a
+    # count before the window, and written out again up to the quota.
+    columns = [f"`{c}`" for c in pool.columns]
+    cut = chosen.where("NOT _whole").groupBy(*pool.columns, "_s", "_h", "_left").agg(F.expr("count(1) AS _n"))
+    order = ", ".join(["_h", *[f"`{c}`" for c in key], f"xxhash64({', '.join(columns)})"])
+    placed = cut.selectExpr(
+        "*", f"coalesce(sum(_n) OVER (PARTITION BY `{bin}`, _s ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _done"
+    ).where("_done < _left")
+    taken = placed.selectExpr(*columns, "explode(sequence(1, least(_n, _left - _done))) AS _copy").drop("_copy")
+    return chosen.where("_whole").select(*pool.columns).unionByName(taken)
 
 
 def hash_sample_per_bin(

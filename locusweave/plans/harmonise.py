@@ -145,17 +145,28 @@ def _unique(col: str) -> Column:
 
 
 def source_qc(table: DataFrame) -> DataFrame:
-    """One QC row per source from a single grouped aggregate plus the exact median."""
+    """One QC row per source.
+
+    Counts are summed per (source, ancestry, assay, layer) first: a handful of rows, hash-aggregated
+    on numbers only. Distinct counts and the exact median are separate narrow passes, because text
+    minima or sets next to distinct counts would make Spark sort every expanded row.
+    """
     named = F.col("gene").isNotNull() & ~F.col("gene").isin("NA", "")
-    stats = table.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_rows"), _unique("variant_hg38").alias("n_variants"), _unique("trait").alias("n_traits"),
-        _unique("cs_id").alias("n_cs"), count_if(F.col("PIP") > 0.5).alias("pip_gt05"), count_if(F.col("PIP") > 0.9).alias("pip_gt09"),
-        count_if(F.col("r2_to_lead").isNotNull()).alias("has_r2"), count_if(named).alias("has_gene"),
+    parts = table.groupBy("source", "ancestry", "assay_basis", "data_layer").agg(
+        F.count(F.lit(1)).alias("n_rows"), count_if(F.col("PIP") > 0.5).alias("pip_gt05"),
+        count_if(F.col("PIP") > 0.9).alias("pip_gt09"), count_if(F.col("r2_to_lead").isNotNull()).alias("has_r2"),
+        count_if(named).alias("has_gene"),
+    )
+    stats = parts.groupBy("source").agg(
+        *[F.sum(c).alias(c) for c in ("n_rows", "pip_gt05", "pip_gt09", "has_r2", "has_gene")],
         F.array_join(F.array_sort(F.collect_set("ancestry")), ",").alias("ancestry"),
         F.min("assay_basis").alias("assay"), F.min("data_layer").alias("layer"),
     )
+    distinct = table.groupBy("source").agg(
+        _unique("variant_hg38").alias("n_variants"), _unique("trait").alias("n_traits"), _unique("cs_id").alias("n_cs")
+    )
     median = quantile_profile(table, ["PIP"], [0.5], by=["source"]).select("source", F.coalesce("q1", F.lit(0.0)).alias("pip_median"))
-    return join_on(stats, median, ["source"])
+    return join_on(join_on(stats, distinct, ["source"]), median, ["source"])
 
 
 def variant_overlap(table: DataFrame, sources: Sequence[str], variant: str = "variant_hg38") -> DataFrame:

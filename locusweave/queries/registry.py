@@ -39,21 +39,16 @@ class Tables:
 
     @cached_property
     def raw_pairs(self) -> DataFrame:
-        o = self.fx_obs
-        plus = F.col("strand") == "+"
-        return o.select(
-            "pair_id", "gene_id", F.concat(F.lit("TX"), F.col("gene_id")).alias("transcript_1"),
-            F.col("element_id").alias("transcript_2"), "tissue",
-            F.when(F.col("distance_tss") < 0, "upstream").otherwise("downstream").alias("position"),
-            F.when(F.col("gtex") == 1, "intronic").alias("bidirectional_location"),
-            F.col("chrom").alias("transcript1_chrom"), F.col("strand").alias("transcript1_strand"),
-            F.when(plus, F.col("tss")).otherwise(F.col("tss") - 30000).alias("transcript1_start"),
-            F.when(plus, F.col("tss") + 30000).otherwise(F.col("tss")).alias("transcript1_stop"),
-            F.col("el_start").alias("transcript2_start"), F.col("el_stop").alias("transcript2_stop"), "pcc",
-            (F.col("adj_p") / 2).alias("pval"), F.col("adj_p").alias("adj_p_BH"), F.col("t_stat").alias("t"),
-            (F.col("n_obs") * 2.0).alias("percent_transcribed_both"), "distance_tss",
-            (F.col("distance_tss") - 30000).alias("distance_tes"), F.col("n_obs").alias("nObs"), "gtex", "chiapet",
-        )
+        return self.sql("""
+            SELECT pair_id, gene_id, concat('TX', gene_id) AS transcript_1, element_id AS transcript_2, tissue,
+              CASE WHEN distance_tss < 0 THEN 'upstream' ELSE 'downstream' END AS position,
+              CASE WHEN gtex = 1 THEN 'intronic' END AS bidirectional_location, chrom AS transcript1_chrom,
+              strand AS transcript1_strand, CASE WHEN strand = '+' THEN tss ELSE tss - 30000 END AS transcript1_start,
+              CASE WHEN strand = '+' THEN tss + 30000 ELSE tss END AS transcript1_stop, el_start AS transcript2_start,
+              el_stop AS transcript2_stop, pcc, adj_p / 2 AS pval, adj_p AS adj_p_BH, t_stat AS t,
+              n_obs * 2.0D AS percent_transcribed_both, distance_tss, distance_tss - 30000 AS distance_tes,
+              n_obs AS nObs, gtex, chiapet
+            FROM fx_obs""")
 
     @cached_property
     def obs(self) -> DataFrame:
@@ -61,82 +56,62 @@ class Tables:
 
     @cached_property
     def positives(self) -> DataFrame:
-        return positive_pairs(self.obs)
+        return positive_pairs(self.obs, median=False)
 
     @cached_property
     def credible_set(self) -> DataFrame:
-        members = self.fx_cs_member.groupBy("study_locus_id").agg(F.collect_list(F.struct(
-            F.col("variant_id").alias("variantId"), F.col("pip").alias("posteriorProbability"),
-            F.col("is_95").alias("is95CredibleSet"), F.col("is_99").alias("is99CredibleSet"),
-        )).alias("locus"))
-        return self.fx_credible.join(members, "study_locus_id").select(
-            F.col("study_locus_id").alias("studyLocusId"), F.col("study_id").alias("studyId"),
-            F.col("lead").alias("variantId"), F.col("chrom").alias("chromosome"), F.col("lead_pos").alias("position"),
-            F.col("study_type").alias("studyType"), "confidence", "locus",
-        )
+        return self.sql("""
+            SELECT c.study_locus_id AS studyLocusId, c.study_id AS studyId, c.lead AS variantId, c.chrom AS chromosome,
+              c.lead_pos AS position, c.study_type AS studyType, c.confidence, m.locus
+            FROM fx_credible c JOIN (
+              SELECT study_locus_id, collect_list(struct(variant_id AS variantId, pip AS posteriorProbability,
+                is_95 AS is95CredibleSet, is_99 AS is99CredibleSet)) AS locus
+              FROM fx_cs_member GROUP BY study_locus_id) m ON m.study_locus_id = c.study_locus_id""")
 
     @cached_property
     def study(self) -> DataFrame:
-        return self.fx_study.select(
-            F.col("study_id").alias("studyId"), F.col("study_type").alias("studyType"), F.col("gene_id").alias("geneId"),
-            F.col("project_id").alias("projectId"), F.col("trait").alias("traitFromSource"),
-            F.array("disease_id").alias("diseaseIds"),
-        )
+        return self.sql("""
+            SELECT study_id AS studyId, study_type AS studyType, gene_id AS geneId, project_id AS projectId,
+              trait AS traitFromSource, array(disease_id) AS diseaseIds FROM fx_study""")
 
     @cached_property
     def target(self) -> DataFrame:
-        return self.fx_gene.select(
-            F.col("gene_id").alias("id"), F.col("symbol").alias("approvedSymbol"),
-            F.struct(
-                F.regexp_replace("chrom", "^chr", "").alias("chromosome"), F.col("g_start").alias("start"),
-                F.col("g_end").alias("end"),
-            ).alias("genomicLocation"),
-        )
+        return self.sql("""
+            SELECT gene_id AS id, symbol AS approvedSymbol,
+              struct(replace(chrom, 'chr', '') AS chromosome, g_start AS start, g_end AS end) AS genomicLocation
+            FROM fx_gene""")
 
     @cached_property
     def variant(self) -> DataFrame:
-        def call(prediction: str):
-            return F.struct(
-                F.regexp_replace("lof_gene", "^G", "SYM").alias("approvedSymbol"), F.col("lof_gene").alias("targetId"),
-                F.lit(prediction).alias("lofteePrediction"),
-            )
-
-        return self.fx_variant.select(
-            F.col("variant_id").alias("variantId"), F.col("conseq").alias("mostSevereConsequenceId"),
-            F.when(F.col("lof_gene").isNotNull(), F.array(call("LC"), call("HC"))).alias("transcriptConsequences"),
-        )
+        return self.sql("""
+            SELECT variant_id AS variantId, conseq AS mostSevereConsequenceId, CASE WHEN lof_gene IS NOT NULL THEN
+              transform(array('LC', 'HC'), p -> struct(replace(lof_gene, 'G', 'SYM') AS approvedSymbol,
+                lof_gene AS targetId, p AS lofteePrediction)) END AS transcriptConsequences FROM fx_variant""")
 
     @cached_property
     def gene_burden(self) -> DataFrame:
-        return self.fx_burden.select(
-            F.col("gene_id").alias("targetId"), F.col("disease_id").alias("diseaseId"), "score",
-            F.col("p_exp").alias("pValueExponent"), F.lit("burden").alias("statisticalMethod"),
-            F.col("direction").alias("directionOnTarget"),
-        )
+        return self.sql("""
+            SELECT gene_id AS targetId, disease_id AS diseaseId, score, p_exp AS pValueExponent,
+              'burden' AS statisticalMethod, direction AS directionOnTarget FROM fx_burden""")
 
     @cached_property
     def colocalisation(self) -> DataFrame:
-        return self.fx_coloc.select(
-            F.col("left_id").alias("leftStudyLocusId"), F.col("right_id").alias("rightStudyLocusId"), "h4", "clpp",
-            F.col("beta_sign").alias("betaRatioSignAverage"),
-        )
+        return self.sql("""
+            SELECT left_id AS leftStudyLocusId, right_id AS rightStudyLocusId, h4, clpp,
+              beta_sign AS betaRatioSignAverage FROM fx_coloc""")
 
     @cached_property
     def screen(self) -> DataFrame:
-        return self.fx_screen.select(
-            "chrom", F.col("gene").alias("measuredGeneSymbol"), F.col("el_start").alias("chromStart"),
-            F.col("el_end").alias("chromEnd"), F.col("effect_size").alias("EffectSize"), F.col("p_adj").alias("pValueAdjusted"),
-            F.col("power").alias("PowerAtEffectSize25"), F.col("regulated").alias("Regulated"),
-            F.col("cell_type").alias("CellType"), F.col("valid_connection").alias("ValidConnection"),
-        )
+        return self.sql("""
+            SELECT chrom, gene AS measuredGeneSymbol, el_start AS chromStart, el_end AS chromEnd,
+              effect_size AS EffectSize, p_adj AS pValueAdjusted, power AS PowerAtEffectSize25,
+              regulated AS Regulated, cell_type AS CellType, valid_connection AS ValidConnection FROM fx_screen""")
 
     @cached_property
     def model_pairs(self) -> DataFrame:
-        return self.fx_scored.select(
-            F.col("element_id").alias("elem_id"), "gene_id", "chrom", "strand", "abs_distance", "link",
-            F.col("sign").alias("consensus_sign"), F.col("route").alias("label_route"), F.col("score").alias("link_score"),
-            "rep_score",
-        )
+        return self.sql("""
+            SELECT element_id AS elem_id, gene_id, chrom, strand, abs_distance, link, sign AS consensus_sign,
+              route AS label_route, score AS link_score, rep_score FROM fx_scored""")
 
 
 def query(name: str, sql: str | None = None) -> Callable:

@@ -16,6 +16,8 @@ def build_session(app: str = "locusweave", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Groups kept in hash maps before lists, sets and percentiles fall back to sorting.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.parquet.compression.codec": "zstd",
         **conf,
