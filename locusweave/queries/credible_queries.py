@@ -521,9 +521,23 @@ def _enrich(t):
     return rounded(found, "fg_pct", "bg_pct", "fold", "ci_lo", "ci_hi", "odds_ratio")
 
 
-@query("class_enrichment_exact")
+_CELLS = f"""SELECT class, fg_n AS a, n_fg AS m, bg_n AS b, n_bg AS n, fg_n+bg_n AS k FROM
+  (SELECT class, count(*) FILTER (WHERE "group"='fg') AS fg_n, count(*) FILTER (WHERE "group"='bg') AS bg_n FROM ({_LABELS}) l GROUP BY 1) c,
+  (SELECT count(*) FILTER (WHERE "group"='fg') AS n_fg, count(*) FILTER (WHERE "group"='bg') AS n_bg FROM ({_FGBG}) v) t"""
+
+
+def _log_p(i: str) -> str:
+    return (f"lgamma(m+1)-lgamma({i}+1)-lgamma(m-({i})+1)+lgamma(n+1)-lgamma(k-({i})+1)-lgamma(n-k+({i})+1)"
+            "-lgamma(m+n+1)+lgamma(k+1)+lgamma(m+n-k+1)")
+
+
+@query("class_enrichment_exact", f"""
+SELECT class, a AS fg_n, b AS bg_n, round(sum(exp({_log_p('i')})),6) AS fisher_p FROM (
+  SELECT *, unnest(generate_series(greatest(0, k-n), least(k, m))) AS i FROM ({_CELLS}) c) x
+WHERE {_log_p('i')}<={_log_p('a')}+1e-7 GROUP BY 1, 2, 3""")
 def _enrich_exact(t):
-    return enrichment.class_enrichment(enrichment.class_counts(labelled(t), t.fx_interval)).select("class", "fg_n", "bg_n", "fold", "fisher_p")
+    found = enrichment.class_enrichment(enrichment.class_counts(labelled(t), t.fx_interval))
+    return rounded(found.select("class", "fg_n", "bg_n", "fisher_p"), "fisher_p")
 
 
 # ---- loci ----------------------------------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from locusweave.functions.scalar import (
@@ -195,25 +197,49 @@ _RID = f"""SELECT rid, round(avg(x),6) AS x, round(avg(y),6) AS y FROM (
   FROM (SELECT *, effect_size AS y FROM fx_screen) c JOIN (SELECT *, pcc AS x FROM fx_obs) d
     ON c.chrom=d.chrom AND c.gene=d.gene_id AND c.el_start<=d.el_stop AND c.el_end>=d.el_start WHERE c.p_adj<0.05 AND d.pcc<>0) m GROUP BY rid"""
 _REPS = 100
-_PERM = f"""SELECT rep, corr(a.rx, b.ry) AS rho FROM (
+
+
+def _perm_sql(reps: int) -> str:
+    return f"""SELECT rep, corr(a.rx, b.ry) AS rho FROM (
   SELECT rx, row_number() OVER (ORDER BY md5('7|id|'||rid), rid) AS k FROM ({_ranks({'rx': 'x'}, _RID)}) q) a
 JOIN (SELECT rep, ry, row_number() OVER (PARTITION BY rep ORDER BY md5('7|'||CAST(rep AS STRING)||'|'||rid), rid) AS k
-  FROM ({_ranks({'ry': 'y'}, _RID)}) p, (SELECT unnest(generate_series(1, {_REPS})) AS rep) g) b ON a.k=b.k GROUP BY rep"""
+  FROM ({_ranks({'ry': 'y'}, _RID)}) p, (SELECT unnest(generate_series(1, {reps})) AS rep) g) b ON a.k=b.k GROUP BY rep"""
 
 
-@query("permutation_rhos", f"SELECT CAST(rep AS INT) AS rep, round(rho,6) AS rho FROM ({_PERM}) x")
+@query("permutation_rhos", f"SELECT CAST(rep AS INT) AS rep, round(rho,6) AS rho FROM ({_perm_sql(_REPS)}) x")
 def _perm_rhos(t):
     return rounded(permutation_rhos(with_row_id(t), "pcc", "EffectSize", "row_id", reps=_REPS), "rho")
 
 
-@query("permutation_p")
+@query("permutation_p", f"""
+SELECT round(max(o.rho),6) AS obs_rho, count(*) AS reps, count(*) FILTER (WHERE p.rho<=o.rho) AS n_le,
+  round((count(*) FILTER (WHERE p.rho<=o.rho)+1)/(count(*)+1)::DOUBLE,6) AS p_one_sided
+FROM ({_perm_sql(200)}) p, (SELECT corr(rx, ry) AS rho FROM ({_ranks({'rx': 'x', 'ry': 'y'}, _RID)}) r) o""")
 def _perm(t):
-    return permutation_corr(with_row_id(t), "pcc", "EffectSize", "row_id", reps=200)
+    return rounded(permutation_corr(with_row_id(t), "pcc", "EffectSize", "row_id", reps=200), "obs_rho", "p_one_sided")
+
+
+def _poisson_sql(u: str) -> str:
+    """Poisson(1) by inversion, from the definition of the distribution."""
+    limits, total = [], 0.0
+    for k in range(13):
+        total += math.exp(-1) / math.factorial(k)
+        limits.append(total)
+    return "CASE " + " ".join(f"WHEN {u}<{limit!r}::DOUBLE THEN {k}" for k, limit in enumerate(limits)) + " ELSE 13 END"
+
+
+_BOOT = f"""SELECT rep, sum(w*dx*dy)/sqrt(sum(w*dx*dx)*sum(w*dy*dy)) AS rho FROM (
+  SELECT rep, w, sum(w) OVER (PARTITION BY rep ORDER BY x)-sum(w) OVER (PARTITION BY rep, x)/2.0D-sum(w) OVER (PARTITION BY rep)/2.0D AS dx,
+    sum(w) OVER (PARTITION BY rep ORDER BY y)-sum(w) OVER (PARTITION BY rep, y)/2.0D-sum(w) OVER (PARTITION BY rep)/2.0D AS dy FROM (
+      SELECT rep, x, y, {_poisson_sql('u')} AS w FROM (
+        SELECT g.rep, x, y, CAST('0x'||substr(md5('42|'||CAST(g.rep AS STRING)||'|'||rid),1,12) AS BIGINT)/281474976710656.0D AS u
+        FROM ({_RID}) r, (SELECT unnest(generate_series(1, 200)) AS rep) g) h) k WHERE w>0) m GROUP BY rep"""
 
 
-@query("bootstrap_ci")
+@query("bootstrap_ci", f"""
+SELECT count(rho) AS reps, round(quantile_cont(rho,0.025),6) AS ci_lo, round(quantile_cont(rho,0.975),6) AS ci_hi FROM ({_BOOT}) b""")
 def _boot(t):
-    return bootstrap_corr(with_row_id(t), "pcc", "EffectSize", "row_id", reps=200)
+    return rounded(bootstrap_corr(with_row_id(t), "pcc", "EffectSize", "row_id", reps=200), "ci_lo", "ci_hi")
 
 
 # ---- features --------------------------------------------------------------------------------------------------

@@ -33,8 +33,13 @@ def durable(df: DataFrame) -> DataFrame:
     The folder comes from ``spark.checkpoint.dir``. Where a session has none (tests, a laptop) a
     fresh temporary one is set; on a cluster the setting must name a shared folder.
     """
-    context = df.sparkSession.sparkContext
+    session = df.sparkSession
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
