@@ -53,6 +53,6 @@ def salted_pair(
 
 
 def attach_single(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Adds the columns of a one-row aggregate to every row, by a join on a constant key. A global
-    aggregate is one row by construction, which bounds the broadcast."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Adds the columns of a one-row aggregate to every row, as a scalar subquery: no join at all."""
+    packed = one_row.select(F.struct("*").alias("_one")).scalar()
+    return df.select("*", packed.alias("_one")).select(*df.columns, "_one.*")

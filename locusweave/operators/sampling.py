@@ -50,10 +50,11 @@ def hash_sample_per_bin(
 
 
 def sample_groups(df: DataFrame, *, group: str, n_groups: int, per_group: int, key: Sequence[str], seed: int = 0) -> DataFrame:
-    """Up to ``per_group`` rows of each of ``n_groups`` groups, both chosen by hash order."""
-    groups = df.select(group).distinct().withColumn("_all", F.lit(0))
-    quota = df.sparkSession.createDataFrame([(0, n_groups)], "_all int, quota long")
-    picked = first_per_bin(groups, quota, bin="_all", key=[group], seed=seed).select(group)
+    """Up to ``per_group`` rows of each of ``n_groups`` groups, both chosen by hash order.
+
+    The groups are a top-k of their hashes, of which each task keeps at most ``n_groups``.
+    """
+    groups = df.select(group).distinct().withColumn("_h", hash_hex(F.lit(seed), F.col(group)))
+    picked = groups.orderBy("_h", group).limit(n_groups).select(group)
     rows = df.join(picked, group, "left_semi")
-    per = picked.withColumn("quota", F.lit(per_group).cast("long"))
-    return first_per_bin(rows, per, bin=group, key=key, seed=seed)
+    return first_per_bin(rows, picked.withColumn("quota", F.lit(per_group).cast("long")), bin=group, key=key, seed=seed)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.functions.scalar import prefixed, split_list, strip_chr
-from locusweave.operators.keys import join_on
+from locusweave.operators.keys import attach_single, join_on
 from locusweave.operators.ranges import lift_positions
 
 
@@ -54,12 +54,13 @@ def lift_variant_list(df: DataFrame, blocks: DataFrame, *, col: str, row_id: str
 def lift_qc(top: DataFrame, lists: DataFrame, status: str = "lift_status") -> DataFrame:
     """One row: signals by status and the share of list members that mapped."""
     one = top.agg(
-        F.lit(1).alias("_k"), F.count(F.lit(1)).alias("n_signals"),
+        F.count(F.lit(1)).alias("n_signals"),
         *[F.count(F.when(F.col(status) == s, 1)).alias(f"top_{s}") for s in ("ok", "unmapped", "unparseable")],
     )
-    many = lists.agg(F.lit(1).alias("_k"), F.sum("n_input").alias("members_input"), F.sum("n_mapped").alias("members_mapped"))
-    return one.join(many, "_k").drop("_k").withColumn("top_map_rate", F.try_divide("top_ok", "n_signals")).withColumn(
-        "member_map_rate", F.col("members_mapped") / F.greatest(F.col("members_input"), F.lit(1))
+    many = lists.agg(F.sum("n_input").alias("members_input"), F.sum("n_mapped").alias("members_mapped"))
+    return attach_single(one, many).selectExpr(
+        "*", "try_divide(top_ok, n_signals) AS top_map_rate",
+        "members_mapped / greatest(members_input, 1) AS member_map_rate",
     )
 
 

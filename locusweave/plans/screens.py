@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.functions.scalar import bin_floor, interval_start, interval_stop
-from locusweave.operators.keys import join_on
+from locusweave.operators.keys import attach_single, join_on
 from locusweave.operators.ranges import interval_overlap
 from locusweave.operators.stats import (
     bootstrap_corr, fisher_exact, partial_spearman, pearson, permutation_corr, sign_table, spearman,
@@ -107,7 +107,7 @@ def signed_readouts(matched: DataFrame, readouts: dict[str, str], by: list[str]
 def robustness_stats(matched: DataFrame, row_id: str, *, reps: int = 2000, shuffles: int = 5000) -> DataFrame:
     """One row: permutation p, bootstrap interval, partial and magnitude correlation."""
     def one(df: DataFrame, **names: str) -> DataFrame:
-        return df.select(F.lit(1).alias("_k"), *[F.col(c).alias(n) for n, c in names.items()])
+        return df.select(*[F.col(c).alias(n) for n, c in names.items()])
 
     parts = [
         one(permutation_corr(matched, "pcc", "EffectSize", row_id, shuffles), obs_rho="obs_rho", permutation_p="p_one_sided"),
@@ -115,4 +115,4 @@ def robustness_stats(matched: DataFrame, row_id: str, *, reps: int = 2000, shuff
         one(partial_spearman(matched, "pcc", "EffectSize", "abs_dist", with_p=True), partial_rho="rho", partial_p="p_value"),
         one(magnitude_concordance(matched, "pcc"), magnitude_rho="rho", n_regulated="n"),
     ]
-    return reduce(lambda a, b: a.join(b, "_k"), parts).drop("_k")
+    return reduce(attach_single, parts)
