@@ -59,7 +59,7 @@ def unresolved_pairs(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
 def chromosome_split(pairs: Sequence[tuple[str, DataFrame]], manifest: DataFrame) -> DataFrame:
     """Species tables stacked with canonical types, ids prefixed by species, split by chromosome.
 
-    ``manifest``: ``chrom, split``, one row per chromosome (a few dozen, hence the broadcast).
+    ``manifest``: ``chrom, split``, one row per chromosome.
     Columns one species lacks are NULL; chromosomes outside the manifest drop.
     """
     frames = []
@@ -72,7 +72,7 @@ def chromosome_split(pairs: Sequence[tuple[str, DataFrame]], manifest: DataFrame
     stacked = frames[0]
     for df in frames[1:]:
         stacked = stacked.unionByName(df, allowMissingColumns=True)
-    return stacked.join(F.broadcast(manifest), "chrom")
+    return stacked.join(manifest, "chrom")
 
 
 def sample_tokens(tokens: DataFrame, *, n_windows: int, per_window: int, seed: int = 0) -> DataFrame:

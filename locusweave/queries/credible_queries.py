@@ -76,10 +76,10 @@ def _top_traits(t):
 
 
 @query("link_credible_sets", f"""
-SELECT s.study_locus_id, s.credible_set_size, s.max_pip, c.trait FROM ({_SETS}) s JOIN fx_study c ON c.study_id=s.study_id
-WHERE c.study_type='gwas' AND regexp_matches(lower(c.trait), '00[0-9]*1|9$') AND s.confidence LIKE 'SuSiE%'""")
+SELECT s.study_locus_id, s.credible_set_size, s.max_pip, c.project_id AS trait FROM ({_SETS}) s JOIN fx_study c ON c.study_id=s.study_id
+WHERE c.study_type='gwas' AND regexp_matches(lower(c.project_id), 'build|mach') AND s.confidence LIKE 'SuSiE%'""")
 def _link(t):
-    studies = t.study.where((F.col("studyType") == "gwas") & F.lower("traitFromSource").rlike("00[0-9]*1|9$"))
+    studies = credible.keyword_studies(t.study.withColumn("traitFromSource", F.col("projectId")), ["Build", "mach"])
     return credible.link_credible_sets(t.credible_set, studies).select(
         F.col("studyLocusId").alias("study_locus_id"), "credible_set_size", "max_pip", F.col("traitFromSource").alias("trait")
     )
@@ -196,7 +196,7 @@ def _molqtl_sql(kind: str) -> str:
 
 
 METAB = _member(
-    "fx_source_a WHERE bp%7<>0", variant_hg38="replace(chromosome,'chr','')||'_'||CAST(bp AS STRING)||'_A_G'",
+    "fx_source_a WHERE beta_0>=0", variant_hg38="replace(chromosome,'chr','')||'_'||CAST(bp AS STRING)||'_A_G'",
     chromosome="replace(chromosome,'chr','')", position="CASE WHEN bp%11<>0 THEN bp END", ref="'A'", alt="'G'", trait="trait",
     study="'UKB_metabolomics'", PIP="pip_raw", cs_id="trait||'|'||cohort", cs_membership="true", r2_to_lead="pip_raw",
     ancestry="'multi_ancestry_UKB'", assay_basis="'imputation'", build="'hg38'", source="'UKB_metabolomics'", beta="beta_0",
@@ -243,7 +243,7 @@ def metabolomics(t: Tables):
     return harmonise.harmonize_metabolomics(a.select(
         F.col("chromosome").alias("chrom"), F.when(F.col("bp") % 11 != 0, F.col("bp").cast("string")).otherwise("unknown").alias("pos.hg38"),
         F.lit("A").alias("allele0"), F.lit("G").alias("allele1"), F.col("trait").alias("pheno"),
-        F.when(F.col("bp") % 7 != 0, F.col("pip_raw").cast("string")).otherwise("").alias("pip"), F.col("cohort").alias("region"),
+        F.when(F.col("beta_0") >= 0, F.col("pip_raw").cast("string")).otherwise("").alias("pip"), F.col("cohort").alias("region"),
         F.col("pip_raw").cast("string").alias("R2"), F.col("beta_0").cast("string").alias("beta_joint"),
         F.when(F.col("bp") % 3 == 0, "NA").when(F.col("bp") % 3 == 1, "SYM1").alias("SYMBOL.lead"),
     ))
