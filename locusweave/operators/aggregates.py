@@ -125,12 +125,16 @@ def enrichment(pos: DataFrame, neg: DataFrame, hit: str = "hit", by: Sequence[st
     With ``by`` only strata present in both groups are reported.
     """
     kept = [f"`{k}`" for k in by]
-    tagged = pos.selectExpr(*kept, f"`{hit}` AS _hit", "true AS _pos").unionByName(
-        neg.selectExpr(*kept, f"`{hit}` AS _hit", "false AS _pos")
-    )
-    counts = tagged.groupBy(*by).agg(*[F.expr(e) for e in (
-        "count(CASE WHEN _pos THEN 1 END) AS n_pos", "count(CASE WHEN _pos AND _hit THEN 1 END) AS hits_pos",
-        "count(CASE WHEN NOT _pos THEN 1 END) AS n_neg", "count(CASE WHEN NOT _pos AND _hit THEN 1 END) AS hits_neg",
+    return tagged_enrichment(pos.selectExpr(*kept, f"`{hit}` AS hit", "true AS positive").unionByName(
+        neg.selectExpr(*kept, f"`{hit}` AS hit", "false AS positive")
+    ), by)
+
+
+def tagged_enrichment(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same for rows that carry ``hit`` and the flag ``positive``."""
+    counts = rows.groupBy(*by).agg(*[F.expr(e) for e in (
+        "count(CASE WHEN positive THEN 1 END) AS n_pos", "count(CASE WHEN positive AND hit THEN 1 END) AS hits_pos",
+        "count(CASE WHEN NOT positive THEN 1 END) AS n_neg", "count(CASE WHEN NOT positive AND hit THEN 1 END) AS hits_neg",
     )])
     if by:
         counts = counts.where("n_pos > 0 AND n_neg > 0")
