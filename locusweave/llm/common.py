@@ -84,9 +84,9 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word; no word runs across two rows."""
-    inside = ~_WHITE[data]
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of bytes that ``gaps`` does not mark; no word runs across two rows."""
+    inside = ~gaps[data]
     if not len(inside):
         return (np.zeros(0, np.int64),) * 3
     first, last = inside.copy(), inside.copy()
