@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusweave.llm import bpe, language_id, mixing, quality_classifier, quality_rules, token_counts, toxicity
+from locusweave.llm import bpe, language_id, mixing, quality_classifier, quality_rules, simhash, token_counts, toxicity
 from locusweave.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     chain = toxicity.fit(docs, table(spark, folder, "labels"), CATEGORIES)
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(docs, chain).alias("_p"))
     return out.select("doc_id", "held_out", *[F.col(f"_p.{c}").alias(f"p_{c}") for c in CATEGORIES], F.col("_p.toxic").alias("score"), (F.col("_p.toxic") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.groups(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
