@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusweave.llm import bpe, language_id, mixing, quality_classifier, quality_rules, simhash, token_counts, toxicity
+from locusweave.llm import bpe, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash, token_counts, toxicity
 from locusweave.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,13 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.groups(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: lines with enough words, how many of them go, and their numbers."""
+    docs = table(spark, folder, "documents")
+    found = line_dedup.gone_lines(docs).select(F.col("id").alias("_id"), "h", F.col("n").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("h")), "left")
+    return rows.select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_removed")], F.coalesce("removed", F.lit("")).alias("removed"))
