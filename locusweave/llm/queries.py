@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusweave.llm import bpe, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash, token_counts, toxicity
+from locusweave.llm import bpe, language_id, line_dedup, mixing, neighbours, quality_classifier, quality_rules, simhash, token_counts, toxicity
 from locusweave.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("h")), "left")
     return rows.select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_removed")], F.coalesce("removed", F.lit("")).alias("removed"))
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, folder, "embeddings"))

@@ -176,5 +176,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     kept = own.groupBy("component_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("n"))
     kept = stored(kept.select(F.col("component_id.id").alias("_id"), F.col("component_id.row").alias("_row"), "n"))
     found = docs.withColumn("_r", row).join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_r") == F.col("_row")))
-    single = found.where("n = 1").select(*docs.columns)
-    return single.unionByName(found.where("n > 1").select(*docs.columns).dropDuplicates())
+    out = found.where("n = 1").select(*docs.columns)
+    # Only rows repeated in every column share an id and a hash; few inputs have any.
+    if kept.where("n > 1").take(1):
+        out = out.unionByName(found.where("n > 1").select(*docs.columns).dropDuplicates())
+    return out
