@@ -200,8 +200,10 @@ def gone_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` with the matching later lines taken out of the text; rows that lose all words go."""
     found = stored(gone_lines(docs, doc_id, text, least).where(F.size("gone") > 0).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone")))
-    rows = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))).join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, k: ~F.array_contains(F.col("_gone"), k)), "\n")
-    rows = rows.withColumn("_left", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left))
-    rows = rows.where(F.col("_gone").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
-    return rows.select(*[F.col("_left").alias(c) if c == text else F.col(c) for c in docs.columns])
+    # The row travels as one struct, so its columns cannot clash with those made here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    rows = rows.withColumn("t", F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_h")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(F.col("_gone"), k)), "\n")
+    rows = rows.withColumn("left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    rows = rows.where(F.col("_gone").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select(*[(F.col("left") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

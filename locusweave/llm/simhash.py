@@ -170,14 +170,15 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
 
     Of rows that share that id, the one with the smallest hash of all columns stays.
     """
-    row = F.xxhash64(*[F.col(c) for c in docs.columns])
-    marked = docs.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), row.alias("row")).alias("_at"), F.col(text).alias("_text"))
-    own = groups(marked, "_at", "_text", **options)
+    row = F.xxhash64(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(doc_id).alias("id"), F.col(text).alias("text"), row.alias("row"))
+    marked = rows.select(F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("at"), "text")
+    own = groups(marked, "at", "text", **options)
     kept = own.groupBy("component_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("n"))
-    kept = stored(kept.select(F.col("component_id.id").alias("_id"), F.col("component_id.row").alias("_row"), "n"))
-    found = docs.withColumn("_r", row).join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_r") == F.col("_row")))
-    out = found.where("n = 1").select(*docs.columns)
+    kept = stored(kept.select(F.col("component_id.id").alias("id2"), F.col("component_id.row").alias("row2"), "n"))
+    found = rows.select("whole", "id", "row").join(kept, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")))
+    out = found.where("n = 1").select("whole")
     # Only rows repeated in every column share an id and a hash; few inputs have any.
     if kept.where("n > 1").take(1):
-        out = out.unionByName(found.where("n > 1").select(*docs.columns).dropDuplicates())
-    return out
+        out = out.unionByName(found.where("n > 1").select("whole").distinct())
+    return out.select("whole.*")

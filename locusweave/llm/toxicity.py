@@ -109,38 +109,53 @@ def _regress(row: np.ndarray, place: np.ndarray, x: np.ndarray, width: int, earl
     rows_with = np.maximum(np.bincount(place, minlength=width), 1)
     # By chance alone the slope of a word in d rows has the deviation sqrt(d p (1 - p)) / n.
     penalty = strictness * np.sqrt(rows_with * y.mean() * (1 - y.mean())) / n
-    # Steps are scaled by how often a word occurs, so a rare word needs no more rounds than a common one.
-    rate = n / rows_with / 8
+    # Steps are scaled by how often a word occurs, so a rare word needs no more rounds than a common one; a step
+    # that makes things worse is taken back and halved.
+    scale = n / rows_with
     for phase in range(2):
-        free = np.ones(width, bool) if phase == 0 else own.word != 0
+        free, step, kept, least = own.word != 0, 0.5, None, np.inf
         for _ in range(rounds):
             z = own.bias + np.bincount(row, own.word[place] * x, n) + earlier @ own.earlier
+            cost = np.mean(np.logaddexp(0, z) - y * z) + (penalty @ np.abs(own.word) if phase == 0 else 5e-5 * (own.word @ own.word)) + 5e-4 * (own.earlier @ own.earlier)
+            if cost > least and kept is not None:
+                own, step = Link(kept.bias, kept.word, kept.earlier), step / 2
+                z = own.bias + np.bincount(row, own.word[place] * x, n) + earlier @ own.earlier
+            else:
+                kept, least, step = own, cost, min(step * 1.1, 1.0)
             slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+            rate = step * scale
             moved = own.word - rate * (np.bincount(place, slope[row] * x, width) + (phase and 1e-4 * own.word))
-            own.word = np.sign(moved) * np.maximum(0, np.abs(moved) - rate * penalty) if phase == 0 else np.where(free, moved, 0)
-            own.bias -= 2 * slope.sum()
-            own.earlier -= 0.2 * (slope @ earlier + 0.001 * own.earlier)
+            word = np.sign(moved) * np.maximum(0, np.abs(moved) - rate * penalty) if phase == 0 else np.where(free, moved, 0)
+            own = Link(own.bias - 2 * step * slope.sum(), word, own.earlier - 0.2 * step * (slope @ earlier + 0.001 * own.earlier))
+        own = kept
     return own
 
 
-def _different(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """Rows that share at least two of three smallest-hash values with no earlier row."""
-    keep, seen = np.ones(n, bool), set()
-    least = []
+def sketches(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Three smallest hashes of the runs of three words of each text; ``h``: its words in order."""
+    runs = mixed(h)
+    for k in (1, 2):
+        ahead = np.zeros_like(runs)
+        ahead[: max(0, len(h) - k)] = np.where(row[k:] == row[: len(row) - k], h[k:], 0)
+        runs = mixed(runs + ahead * np.uint64(2 * k + 1))
+    out = np.full((n, 3), np.iinfo(np.uint64).max, np.uint64)
     for seed in range(3):
-        v = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(v, row, mixed(h ^ np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))))
-        least.append(v)
-    for i in range(n):
-        pairs = {(a, b, int(least[a][i]), int(least[b][i])) for a, b in ((0, 1), (0, 2), (1, 2))}
+        np.minimum.at(out[:, seed], row, mixed(runs ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % 2**64)))
+    return out
+
+
+def _different(sketch: np.ndarray) -> np.ndarray:
+    """Rows that share at least two of three sketch values with no earlier row."""
+    keep, seen = np.ones(len(sketch), bool), set()
+    for i, own in enumerate(sketch.tolist()):
+        pairs = {(a, b, own[a], own[b]) for a, b in ((0, 1), (0, 2), (1, 2))}
         keep[i] = not pairs & seen
         seen |= pairs
     return keep
 
 
-def train(row: np.ndarray, h: np.ndarray, x: np.ndarray, labels: np.ndarray, categories: list[str], folds: int = 5, strictness: float = 5.0) -> Chain:
-    n = len(labels)
-    keep = _different(row, h, n)
+def train(row: np.ndarray, h: np.ndarray, x: np.ndarray, sketch: np.ndarray, labels: np.ndarray, categories: list[str], folds: int = 5, strictness: float = 5.0) -> Chain:
+    keep = _different(sketch)
     number = np.cumsum(keep) - 1
     mask = keep[row]
     row, h, x, labels = number[row[mask]], h[mask], x[mask], labels[keep]
@@ -178,18 +193,21 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str | None], l
     def inputs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for at, to, data, offsets in text_chunks(part.column("text")):
-                row, h, x = counted(*(np.concatenate(c) for c in zip(*found(data, offsets), strict=True)))
+                each = list(found(data, offsets))
+                sketch = sketches(*each[0], to - at)
+                row, h, x = counted(*(np.concatenate(c) for c in zip(*each, strict=True)))
                 cut = pa.array(np.searchsorted(row, np.arange(to - at + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([
                     part.column("id").slice(at, to - at), part.column("y").slice(at, to - at),
                     pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(x)),
-                ], ["id", "y", "h", "x"])
+                    pa.ListArray.from_arrays(pa.array(np.arange(to - at + 1, dtype=np.int32) * 3), pa.array(sketch.ravel().view(np.int64))),
+                ], ["id", "y", "h", "x", "sketch"])
 
-    got = rows.mapInArrow(inputs, "id string, y array<double>, h array<bigint>, x array<double>").toArrow().combine_chunks().sort_by("id").slice(0, 2 * most)
-    h, x, y = (got.column(c).combine_chunks() for c in ("h", "x", "y"))
+    got = rows.mapInArrow(inputs, "id string, y array<double>, h array<bigint>, x array<double>, sketch array<bigint>").toArrow().combine_chunks().sort_by("id").slice(0, 2 * most)
+    h, x, y, sketch = (got.column(c).combine_chunks() for c in ("h", "x", "y", "sketch"))
     row = np.repeat(np.arange(len(got)), h.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
     y = y.flatten().to_numpy(zero_copy_only=False).reshape(len(got), len(categories))
-    return train(row, h.flatten().to_numpy().view(np.uint64), x.flatten().to_numpy(), y, list(categories))
+    return train(row, h.flatten().to_numpy().view(np.uint64), x.flatten().to_numpy(), sketch.flatten().to_numpy().reshape(-1, 3), y, list(categories))
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text") -> Column:
