@@ -50,7 +50,7 @@ def sign_consistency(
     obs: DataFrame, *, keys: Sequence[str] = ("pair_id", "gene_id"), value: str = "pcc",
     group: str = "tissue", first: Sequence[str] = (), lowest: Mapping[str, str] | None = None,
     highest: Mapping[str, str] | None = None, mean: Mapping[str, str] | None = None,
-    median: bool = True,
+    median: bool = True, long_keys: bool = False, lists: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Signed observations reduced to one row per key with cross-group consistency.
 
@@ -58,20 +58,28 @@ def sign_consistency(
     exceed 1; the class ``consistent_negative`` also takes keys whose values are all zero, and
     ``consensus_sign`` is -1 for a mean of zero. ``first``/``lowest``/``highest``/``mean`` carry
     further columns (for ``first`` the smallest non-NULL value, which makes it deterministic).
-    All aggregates merge on the map side; the median comes from the distributed quantile.
+    ``lists`` names two more columns: the groups of a key and its values rounded to four digits,
+    sorted alike. One hash aggregate does it all. A key's median and lists are held in memory, which
+    suits keys with one row per group; for keys of any length set ``long_keys`` (distributed median)
+    and leave out the lists.
     """
     keys = list(keys)
     v = f"`{value}`"
     stats = obs.groupBy(*keys).agg(*[F.expr(e) for e in (
         *[f"min(`{c}`) AS `{c}`" for c in first],
-        f"count(DISTINCT `{group}`) AS n_groups",
+        f"CAST(size(collect_set(`{group}`)) AS BIGINT) AS n_groups",
         f"count(CASE WHEN {v} > 0 THEN 1 END) AS n_pos", f"count(CASE WHEN {v} < 0 THEN 1 END) AS n_neg",
         f"avg({v}) AS mean_value", f"min({v}) AS min_value", f"max({v}) AS max_value", f"stddev_samp({v}) AS sd_value",
         *[f"min(`{c}`) AS `{out}`" for out, c in (lowest or {}).items()],
         *[f"max(`{c}`) AS `{out}`" for out, c in (highest or {}).items()],
         *[f"avg(`{c}`) AS `{out}`" for out, c in (mean or {}).items()],
+        *([f"percentile({v}, 0.5D) AS median_value"] if median and not long_keys else []),
+        *([f"array_sort(collect_list(struct(`{group}` AS g, round({v}, 4) AS v))) AS _lists"] if lists else []),
     )])
-    if median:
+    if lists:
+        rest = [c for c in stats.columns if c != "_lists"]
+        stats = stats.selectExpr(*[f"`{c}`" for c in rest], f"_lists.g AS `{lists[0]}`", f"_lists.v AS `{lists[1]}`")
+    if median and long_keys:
         middle = quantile_profile(obs, [value], [0.5], by=keys).selectExpr(*[f"`{k}`" for k in keys], "q1 AS median_value")
         stats = join_on(stats, middle, keys)
     return stats.selectExpr(

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is spread over several tasks.
+# A key with more rows than this, and more than this share of all rows, is spread over several tasks.
 HOT_ROWS = 1_000_000
+HOT_SHARE = 10_000
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -21,12 +22,12 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and the number of shares to cut each into.
 
-    The result has fewer than ``rows / hot_rows`` rows, which is what makes it safe to broadcast.
+    A key must also hold over one in ``HOT_SHARE`` of all rows, so the result has fewer than
+    ``HOT_SHARE`` rows whatever the data, which is what makes it safe to broadcast.
     """
-    return (
-        df.groupBy(*keys).agg(F.expr("count(1) AS _n")).where(f"_n > {hot_rows}")
-        .selectExpr(*[f"`{k}`" for k in keys], f"CAST(ceil(_n / {hot_rows}) AS INT) AS _shares")
-    )
+    counts = df.groupBy(*keys).agg(F.expr("count(1) AS _n"))
+    least = attach_single(counts, df.agg(F.expr(f"greatest(CAST({hot_rows} AS BIGINT), count(1) DIV {HOT_SHARE}) AS _least")))
+    return least.where("_n > _least").selectExpr(*[f"`{k}`" for k in keys], "CAST(ceil(_n / _least) AS INT) AS _shares")
 
 
 def salted_pair(

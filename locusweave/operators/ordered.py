@@ -2,8 +2,9 @@
 
 Everything is built on one primitive, :func:`prefix_sums`: the rows are first reduced to one row
 per distinct value, cut into many monotone buckets, summed per bucket, and the running totals of
-the buckets are added to running totals inside each bucket. The window inside a bucket and the
-window over the bucket totals are both small, however large the group is.
+the buckets are added to running totals inside each bucket. A bucket is a pair: the place among
+approximate percentiles of the values, then a step of log2 of the magnitude. The first splits values
+that lie close together far from zero, the second goes on splitting where the values are many.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.operators.keys import join_on
+from locusweave.operators.keys import attach_single, join_on
 
 # Buckets per factor of two in magnitude.
 PER_OCTAVE = 1024
 # Larger than the most negative bucket exponent of a double.
 _SHIFT = 1100
+# Percentiles are looked up in blocks of this many, of as many blocks.
+_PARTS = 32
 
 
 def order_bucket(value: str, per_octave: int = PER_OCTAVE) -> str:
@@ -42,6 +45,21 @@ def _group(by: Sequence[str]) -> str:
     return f"struct({', '.join(f'`{k}`' for k in by)})" if by else "0"
 
 
+def _percentiles(hist: DataFrame, value: str) -> DataFrame:
+    """One row: ``_q``, 1,023 approximate percentiles of the distinct values, and ``_top``, every 32nd of them."""
+    v = f"CAST(`{value}` AS DOUBLE)"
+    shares = ", ".join(f"{k / _PARTS**2!r}D" for k in range(1, _PARTS**2))
+    one = hist.agg(F.expr(f"percentile_approx(CASE WHEN isnan({v}) THEN NULL ELSE {v} END, array({shares}), 10000) AS _q"))
+    return one.selectExpr("_q", f"transform(sequence(1, {_PARTS - 1}), k -> _q[{_PARTS} * k - 1]) AS _top")
+
+
+def _place(value: str) -> str:
+    """SQL for the number of percentiles below a value, by two short searches."""
+    v = f"CAST(`{value}` AS DOUBLE)"
+    block = f"{_PARTS} * size(filter(_top, x -> x < {v}))"
+    return f"CASE WHEN _q IS NULL OR {v} IS NULL THEN -1 ELSE {block} + size(filter(slice(_q, {block} + 1, {_PARTS}), x -> x < {v})) END"
+
+
 def prefix_sums(
     hist: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), bucket: str | None = None,
 ) -> DataFrame:
@@ -51,7 +69,11 @@ def prefix_sums(
     ``before_c`` (sum over smaller values) and ``total_c`` (sum over the group). For values that
     are not numbers pass SQL for a ``bucket`` that is monotone in them.
     """
-    parts = hist.selectExpr("*", f"{_group(by)} AS _g", f"{bucket or order_bucket(value)} AS _b")
+    if bucket is None:
+        cut = attach_single(hist, _percentiles(hist, value))
+        parts = cut.selectExpr(*[f"`{c}`" for c in hist.columns], f"{_group(by)} AS _g", f"struct({_place(value)} AS p, {order_bucket(value)} AS s) AS _b")
+    else:
+        parts = hist.selectExpr("*", f"{_group(by)} AS _g", f"{bucket} AS _b")
     earlier = "PARTITION BY _g ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offsets = (
         parts.groupBy("_g", "_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])

@@ -4,7 +4,8 @@ Equality on a chromosome alone leaves a few dozen join keys. Every join here the
 of the axis to the key, so the work spreads over (chromosome, bin) and any further equality keys.
 
 * An interval is written to every bin it touches, a point to exactly one: no pair is found twice.
-* Long intervals use wider bins (a *level*), which bounds the copies of one interval.
+* Long intervals use wider bins (a *level*), which bounds the copies of one interval. Points are copied
+  to the levels that the intervals have.
 * Bins holding very many points are cut into shares (see ``keys.salted_pair``).
 * Where only the existence of a hit or the set of labels is asked for, overlapping intervals are
   first merged inside each bin, so a point meets at most one piece (per label).
@@ -18,11 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.operators.keys import HOT_ROWS, salted_pair
+from locusweave.operators.keys import HOT_ROWS, attach_single, salted_pair
 
 # An interval is copied to at most this many bins of its level, plus one.
 FANOUT = 16
 _STEP = 64
+_LONGEST = 1 << 32
 
 
 def choose_widths(intervals: DataFrame, start: str, end: str, pad: float = 0) -> tuple[int, ...]:
@@ -60,12 +62,13 @@ def _interval_bins(df: DataFrame, low: str, high: str, widths: Sequence[int]) ->
     return df.where(f"{high} >= {low}").selectExpr("*", f"{level} AS _lvl").selectExpr("*", f"explode({choice}) AS _bin")
 
 
-def _point_bins(df: DataFrame, at: str, widths: Sequence[int]) -> DataFrame:
-    """One row per (point, level)."""
+def _point_bins(df: DataFrame, at: str, widths: Sequence[int], spans: DataFrame) -> DataFrame:
+    """One row per point and level that ``spans`` (intervals with ``_lvl``) has."""
     if len(widths) == 1:
         return df.selectExpr("*", "0 AS _lvl", f"{_bin(at, widths[0])} AS _bin")
     options = ", ".join(f"struct({i} AS _lvl, {_bin(at, w)} AS _bin)" for i, w in enumerate(widths))
-    return df.selectExpr("*", f"inline(array({options}))")
+    seen = attach_single(df, spans.agg(F.collect_set("_lvl").alias("_seen")))
+    return seen.selectExpr(*_cols(df.columns), f"inline(filter(array({options}), o -> array_contains(_seen, o._lvl)))")
 
 
 def _at(pos: str, base: int) -> str:
@@ -89,7 +92,13 @@ def _inside(at: str, low: str, high: str, closed: str) -> str:
 def _widths(bin_width: int | Sequence[int] | None, intervals: DataFrame, start: str, end: str, pad: float) -> tuple[int, ...]:
     if bin_width is None:
         return choose_widths(intervals, start, end, pad)
-    return (bin_width,) if isinstance(bin_width, int) else tuple(bin_width)
+    if not isinstance(bin_width, int):
+        return tuple(bin_width)
+    # Wider levels for what is too long for the given width, up to any genome position.
+    widths = [bin_width]
+    while FANOUT * widths[-1] < _LONGEST:
+        widths.append(widths[-1] * _STEP)
+    return tuple(widths)
 
 
 def merge_pieces(
@@ -137,23 +146,20 @@ def point_in_interval(
     at = _at(pos, point_base)
     low, high = _bounds(start, end, pad)
     if how == "inner":
-        left = _point_bins(points, at, widths)
         right = _interval_bins(intervals, low, high, widths)
+        left = _point_bins(points, at, widths, right)
         left, right, on = salted_pair(left, right, [*keys, "_lvl", "_bin"], points.columns, hot_rows)
         return left.join(right, on).where(_inside(at, low, high, closed)).drop("_lvl", "_bin", "_salt")
-    flagged = points.selectExpr("*", "false AS hit")
     pieces = merge_pieces(
         intervals, start=start, end=end, keys=keys, closed=closed, pad=pad, widths=widths
     )
-    for level, width in enumerate(widths):
-        left, right, on = salted_pair(
-            flagged.selectExpr("*", f"{_bin(at, width)} AS _bin"),
-            pieces.where(f"_lvl = {level}").drop("_lvl"), [*keys, "_bin"], points.columns, hot_rows,
-        )
-        match = " AND ".join([_inside(at, "_lo", "_hi", closed), *[f"`{k}` = `_i_{k}`" for k in on]])
-        flagged = left.join(
-            right.withColumnsRenamed({k: f"_i_{k}" for k in on}), F.expr(match), "left"
-        ).selectExpr(*_cols(points.columns), "hit OR _lo IS NOT NULL AS hit")
+    # Distinct positions meet the pieces; the points themselves are shuffled once, to take the flag.
+    spots = points.select(*keys, pos).distinct()
+    found = (
+        _point_bins(spots, at, widths, pieces).join(pieces, [*keys, "_lvl", "_bin"])
+        .where(_inside(at, "_lo", "_hi", closed)).select(*keys, pos).distinct().withColumn("_found", F.lit(True))
+    )
+    flagged = points.join(found, [*keys, pos], "left").selectExpr(*_cols(points.columns), "coalesce(_found, false) AS hit")
     if how == "flag":
         return flagged
     if how not in ("semi", "anti"):
@@ -176,10 +182,10 @@ def intervals_hit(
     widths = _widths(bin_width, intervals, start, end, pad)
     at = _at(pos, point_base)
     low, high = _bounds(start, end, pad)
-    spots = _point_bins(points.selectExpr(*_cols(keys), f"{at} AS _at").distinct(), "_at", widths)
+    spans = _interval_bins(intervals.select(*keys, start, end).distinct(), low, high, widths)
+    spots = _point_bins(points.selectExpr(*_cols(keys), f"{at} AS _at").distinct(), "_at", widths, spans)
     on = [*keys, "_lvl", "_bin"]
     spots = spots.withColumnsRenamed({k: f"_p_{k}" for k in on})
-    spans = _interval_bins(intervals.select(*keys, start, end).distinct(), low, high, widths)
     match = " AND ".join([_inside("_at", low, high, closed), *[f"`{k}` = `_p_{k}`" for k in on]])
     found = (
         spans.join(spots, F.expr(match), "left_semi").select(*keys, start, end).distinct()
@@ -201,25 +207,16 @@ def interval_overlap(
 ) -> DataFrame:
     """Pairs of closed intervals that overlap.
 
-    With ``bin_width`` both sides are written to their bins and a pair is kept only in the first
-    bin they share. Without it the join is split into the two exclusive cases "b starts inside a"
-    and "a starts inside b, after its start", each of which handles any interval length.
+    The join is split into the two exclusive cases "b starts inside a" and "a starts inside b, after
+    its start", each of which handles any interval length. ``bin_width`` is the narrowest level.
     """
-    keys = [*by, chrom]
-    if bin_width is None:
-        first = point_in_interval(
-            b, a, chrom=chrom, pos=b_start, start=a_start, end=a_end, by=by, hot_rows=hot_rows
-        ).where(F.col(b_end) >= F.col(b_start))
-        second = point_in_interval(
-            a, b, chrom=chrom, pos=a_start, start=b_start, end=b_end, by=by, closed="right", hot_rows=hot_rows
-        ).where(F.col(a_end) >= F.col(a_start))
-        return first.unionByName(second)
-    left = _interval_bins(a, f"`{a_start}`", f"`{a_end}`", (bin_width,)).drop("_lvl")
-    right = _interval_bins(b, f"`{b_start}`", f"`{b_end}`", (bin_width,)).drop("_lvl")
-    left, right, on = salted_pair(left, right, [*keys, "_bin"], a.columns, hot_rows)
-    shared = f"greatest({_bin(f'`{a_start}`', bin_width)}, {_bin(f'`{b_start}`', bin_width)})"
-    overlap = f"`{a_start}` <= `{b_end}` AND `{a_end}` >= `{b_start}` AND _bin = {shared}"
-    return left.join(right, on).where(overlap).drop("_bin", "_salt")
+    first = point_in_interval(
+        b, a, chrom=chrom, pos=b_start, start=a_start, end=a_end, by=by, hot_rows=hot_rows, bin_width=bin_width
+    ).where(F.col(b_end) >= F.col(b_start))
+    second = point_in_interval(
+        a, b, chrom=chrom, pos=a_start, start=b_start, end=b_end, by=by, closed="right", hot_rows=hot_rows, bin_width=bin_width
+    ).where(F.col(a_end) >= F.col(a_start))
+    return first.unionByName(second)
 
 
 def band_join(
@@ -230,7 +227,7 @@ def band_join(
     written to up to three bins, so pass the smaller side there."""
     pairs = point_in_interval(
         a, b, chrom=chrom, pos=a_pos, start=b_pos, end=b_pos, by=by, pad=max_distance,
-        bin_width=max(1, int(max_distance)), hot_rows=hot_rows,
+        bin_width=(max(1, int(max_distance)),), hot_rows=hot_rows,
     )
     return pairs.selectExpr("*", f"abs(`{a_pos}` - `{b_pos}`) AS `{distance}`")
 
@@ -258,11 +255,12 @@ def nearest_join(
     below = edges.selectExpr(*_cols(keys), "_bin + 1 AS _bin", "_high AS _prev")
     above = edges.selectExpr(*_cols(keys), "_bin - 1 AS _bin", "_low AS _next")
     merged = spots.unionByName(stops, allowMissingColumns=True)
-    sweep = f"PARTITION BY {', '.join([*_cols(keys), '_bin'])} ORDER BY _at RANGE BETWEEN"
+    # Both windows run from an end of the bin to the row, so each is one pass over the bin.
+    part = f"PARTITION BY {', '.join([*_cols(keys), '_bin'])} ORDER BY _at"
+    so_far = "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     swept = merged.selectExpr(
         *_cols(keys), "_bin", "_at", "_spot",
-        f"last(_t, true) OVER ({sweep} UNBOUNDED PRECEDING AND CURRENT ROW) AS _u",
-        f"first(_t, true) OVER ({sweep} CURRENT ROW AND UNBOUNDED FOLLOWING) AS _o",
+        f"last(_t, true) OVER ({part} {so_far}) AS _u", f"last(_t, true) OVER ({part} DESC {so_far}) AS _o",
     ).where("_spot = 1")
     swept = swept.join(below, [*keys, "_bin"], "left").join(above, [*keys, "_bin"], "left")
     # A target at the point itself is seen from both sides and belongs to "at or above".
@@ -297,7 +295,7 @@ def annotate_labels(
     spots = points.select(chrom, pos).distinct()
     at = _at(pos, point_base)
     left, right, on = salted_pair(
-        _point_bins(spots, at, widths), pieces, [chrom, "_lvl", "_bin"], [pos], hot_rows
+        _point_bins(spots, at, widths, pieces), pieces, [chrom, "_lvl", "_bin"], [pos], hot_rows
     )
     found = (
         left.join(right, on).where(_inside(at, "_lo", "_hi", closed))

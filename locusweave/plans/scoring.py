@@ -139,15 +139,15 @@ def candidate_genes(loci: DataFrame, genes: DataFrame, window: int = 500_000) ->
 
 
 def scored_candidates(loci: DataFrame, elements: DataFrame, tss: DataFrame, max_anchor: int = 50_000) -> DataFrame:
-    """Each locus with its anchor element and one row per candidate gene that has a TSS.
+    """Each locus with its anchor element and one row per candidate gene.
 
     ``loci``: ``locus_id, chrom, pos, candidate_genes, effector``; ``elements``: ``chrom, mid,
     key``; ``tss``: ``gene_id, gene_chrom, tss``. Distance runs from the anchor to the TSS, or to
-    the locus when the gene lies on another chromosome.
+    the locus when the gene lies on another chromosome or has no TSS.
     """
     anchored = nearest_join(loci, elements, max_distance=max_anchor, key_out="anchor", pos_out="anchor_mid", distance="anchor_dist")
     listed = anchored.select("*", F.posexplode(F.split("candidate_genes", ";")).alias("cand_no", "gene_id"))
-    placed = listed.join(tss, "gene_id")
+    placed = listed.join(tss, "gene_id", "left")
     away = F.when(F.col("gene_chrom") == F.col("chrom"), F.abs(F.col("anchor_mid") - F.col("tss")))
     return placed.withColumn("gene_dist", F.coalesce(away, F.abs(F.col("anchor_mid") - F.col("pos"))))
 

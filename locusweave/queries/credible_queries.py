@@ -466,11 +466,11 @@ def _feasibility(t):
 
 @query("clpp", f"""
 SELECT a.study_locus_id AS a_id, b.study_locus_id AS b_id, round(sum(a.p*b.p),6) AS clpp, count(*) AS n_shared FROM
-  (SELECT study_locus_id, variant_id, sum(pip) AS p FROM ({_SIDE}) x WHERE study_type='eqtl' AND pip>=0.5 GROUP BY 1, 2) a JOIN
-  (SELECT study_locus_id, variant_id, sum(pip) AS p FROM ({_SIDE}) x WHERE study_type='pqtl' AND pip>=0.5 GROUP BY 1, 2) b ON a.variant_id=b.variant_id
+  (SELECT study_locus_id, variant_id, sum(pip) AS p FROM ({_SIDE}) x WHERE study_type='eqtl' GROUP BY 1, 2) a JOIN
+  (SELECT study_locus_id, variant_id, sum(pip) AS p FROM ({_SIDE}) x WHERE study_type='pqtl' GROUP BY 1, 2) b ON a.variant_id=b.variant_id
 GROUP BY 1, 2""")
 def _clpp(t):
-    return rounded(evidence.clpp(side(t, "eqtl").where("pip>=0.5"), side(t, "pqtl").where("pip>=0.5")), "clpp")
+    return rounded(evidence.clpp(side(t, "eqtl"), side(t, "pqtl")), "clpp")
 
 
 # ---- enrichment ------------------------------------------------------------------------------------------------------------
@@ -552,7 +552,8 @@ def _candidates(t):
     return scoring.candidate_genes(t.fx_locus, t.fx_gene).select("locus_id", "candidate_genes", "n_candidates", "effector_outside")
 
 
-_SCORED_CANDS = f"""SELECT a.locus_id, a.effector, a.element_id AS anchor, a.d AS anchor_dist, g.gene_id, abs(a.mid-g.tss) AS gene_dist,
+_SCORED_CANDS = f"""SELECT a.locus_id, a.effector, a.element_id AS anchor, a.d AS anchor_dist, g.gene_id,
+  CASE WHEN CAST(substr(g.gene_id,2) AS BIGINT)%7=3 THEN abs(a.mid-a.pos) ELSE abs(a.mid-g.tss) END AS gene_dist,
   list_position(string_split(a.candidate_genes,';'), g.gene_id) AS no FROM (
     SELECT c.*, e.element_id, e.el_start+500 AS mid, abs(e.el_start+500-c.pos) AS d,
       row_number() OVER (PARTITION BY c.locus_id ORDER BY abs(e.el_start+500-c.pos), e.el_start) AS rn
@@ -567,7 +568,8 @@ _NOMINATED = f"""SELECT locus_id, max(effector) AS effector, max(anchor) AS anch
 def nominated(t: Tables):
     loci = scoring.candidate_genes(t.fx_locus, t.fx_gene).select("locus_id", "chrom", "pos", "candidate_genes", "effector")
     elements = t.fx_element.select("chrom", (F.col("el_start") + 500).alias("mid"), F.col("element_id").alias("key"))
-    tss = t.fx_gene.select("gene_id", F.col("chrom").alias("gene_chrom"), "tss")
+    # Some genes have no TSS; their distance runs to the locus.
+    tss = t.fx_gene.where("CAST(substr(gene_id, 2) AS BIGINT) % 7 <> 3").select("gene_id", F.col("chrom").alias("gene_chrom"), "tss")
     candidates = scoring.scored_candidates(loci, elements, tss)
     # A score that differs from plain distance, so that the two rankings can disagree.
     return scoring.nominate_effectors(candidates, F.expr("((gene_dist * 31 + anchor_dist) % 997) / 997.0D"))

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusweave.plans.pairs import clean_pairs, positive_pairs
+from locusweave.plans.pairs import candidate_pairs, clean_pairs, positive_pairs
 from locusweave.queries.fixtures import BASE, DERIVED, as_template, used_tables, with_fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,21 @@ class Tables:
               n_obs AS nObs, gtex, chiapet
             FROM fx_obs""")
 
+    @cached_property
+    def fx_scored(self) -> DataFrame:
+        """The scored candidates of the oracle's statement, their pairs found by the band join."""
+        genes = self.fx_gene.select("gene_id", "chrom", "tss")
+        elements = self.fx_element.select(F.col("element_id").alias("bidirectional_id"), "chrom", (F.col("el_start") + 500).alias("bidir_center"))
+        near = candidate_pairs(genes, elements).select("gene_id", F.col("bidirectional_id").alias("element_id"), "chrom", F.col("dist").alias("abs_distance"))
+        seen = self.fx_obs.groupBy("gene_id", "element_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pcc").alias("s"))
+        rows = near.join(self.fx_gene.select("gene_id", "strand", "tss"), "gene_id").join(
+            self.fx_element.select("element_id", "element_no"), "element_id").join(seen, ["gene_id", "element_id"], "left")
+        return rows.selectExpr(
+            "gene_id", "element_id", "chrom", "strand", "abs_distance", "CASE WHEN n IS NULL THEN 0 ELSE 1 END AS link",
+            "CASE WHEN round(s,4)<0 THEN -1 WHEN round(s,4)>0 THEN 1 ELSE 0 END AS sign", "CASE WHEN n>=2 THEN 'confident' ELSE 'weak' END AS route",
+            "round(1000.0D/(1000+abs_distance) + ((element_no*37+tss)%101)/1000.0D,6) AS score", "((abs_distance*7+element_no*13)%1009)/1009.0D AS rep_score",
+        )
+
     @cached_property
     def obs(self) -> DataFrame:
         return clean_pairs(self.raw_pairs)

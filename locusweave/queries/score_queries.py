@@ -17,6 +17,7 @@ from locusweave.operators.stats import (
 )
 from locusweave.plans import models, scoring, screens
 from locusweave.queries.registry import Tables, query, rounded
+from locusweave.session import durable
 
 # ---- matched screens -------------------------------------------------------------------------------------
 
@@ -196,7 +197,7 @@ _RID = f"""SELECT rid, round(avg(x),6) AS x, round(avg(y),6) AS y FROM (
   SELECT x, y, c.gene||'|'||CAST(c.el_start AS STRING)||'|'||c.cell_type||'|'||d.pair_id||'|'||d.tissue||'|'||CAST(d.n_obs AS STRING)||'|'||CAST(round(d.adj_p*8,2) AS STRING) AS rid
   FROM (SELECT *, effect_size AS y FROM fx_screen) c JOIN (SELECT *, pcc AS x FROM fx_obs) d
     ON c.chrom=d.chrom AND c.gene=d.gene_id AND c.el_start<=d.el_stop AND c.el_end>=d.el_start WHERE c.p_adj<0.05 AND d.pcc<>0) m GROUP BY rid"""
-_REPS = 100
+_REPS = 5000
 
 
 def _perm_sql(reps: int) -> str:
@@ -214,9 +215,9 @@ def _perm_rhos(t):
 @query("permutation_p", f"""
 SELECT round(max(o.rho),6) AS obs_rho, count(*) AS reps, count(*) FILTER (WHERE p.rho<=o.rho) AS n_le,
   round((count(*) FILTER (WHERE p.rho<=o.rho)+1)/(count(*)+1)::DOUBLE,6) AS p_one_sided
-FROM ({_perm_sql(200)}) p, (SELECT corr(rx, ry) AS rho FROM ({_ranks({'rx': 'x', 'ry': 'y'}, _RID)}) r) o""")
+FROM ({_perm_sql(_REPS)}) p, (SELECT corr(rx, ry) AS rho FROM ({_ranks({'rx': 'x', 'ry': 'y'}, _RID)}) r) o""")
 def _perm(t):
-    return rounded(permutation_corr(with_row_id(t), "pcc", "EffectSize", "row_id", reps=200), "obs_rho", "p_one_sided")
+    return rounded(permutation_corr(with_row_id(t), "pcc", "EffectSize", "row_id", reps=_REPS), "obs_rho", "p_one_sided")
 
 
 def _poisson_sql(u: str) -> str:
@@ -233,13 +234,13 @@ _BOOT = f"""SELECT rep, sum(w*dx*dy)/sqrt(sum(w*dx*dx)*sum(w*dy*dy)) AS rho FROM
     sum(w) OVER (PARTITION BY rep ORDER BY y)-sum(w) OVER (PARTITION BY rep, y)/2.0D-sum(w) OVER (PARTITION BY rep)/2.0D AS dy FROM (
       SELECT rep, x, y, {_poisson_sql('u')} AS w FROM (
         SELECT g.rep, x, y, CAST('0x'||substr(md5('42|'||CAST(g.rep AS STRING)||'|'||rid),1,12) AS BIGINT)/281474976710656.0D AS u
-        FROM ({_RID}) r, (SELECT unnest(generate_series(1, 200)) AS rep) g) h) k WHERE w>0) m GROUP BY rep"""
+        FROM ({_RID}) r, (SELECT unnest(generate_series(1, 2000)) AS rep) g) h) k WHERE w>0) m GROUP BY rep"""
 
 
 @query("bootstrap_ci", f"""
 SELECT count(rho) AS reps, round(quantile_cont(rho,0.025),6) AS ci_lo, round(quantile_cont(rho,0.975),6) AS ci_hi FROM ({_BOOT}) b""")
 def _boot(t):
-    return rounded(bootstrap_corr(with_row_id(t), "pcc", "EffectSize", "row_id", reps=200), "ci_lo", "ci_hi")
+    return rounded(bootstrap_corr(with_row_id(t), "pcc", "EffectSize", "row_id", reps=2000), "ci_lo", "ci_hi")
 
 
 # ---- features --------------------------------------------------------------------------------------------------
@@ -420,11 +421,10 @@ def _pca(t):
 
 @query("link_sign_models")
 def _models(t):
-    features = models.interaction_features(scoring.pair_features(t.model_pairs, windows(t), vectors=True))
-    # Both fits and the scoring pass read the same rows several times.
-    features = features.persist()
+    # Both fits and the scoring pass read the same rows several times, so they are written once.
+    features = durable(models.interaction_features(scoring.pair_features(t.model_pairs, windows(t), vectors=True)))
     scored = models.score_pairs(
-        features.drop("link_score", "rep_score"), models.link_model(features, max_iter=10), models.sign_model(features, max_iter=10)
+        features.drop("link_score", "rep_score"), models.link_model(features), models.sign_model(features)
     )
     return rounded(scoring.heldout_scores(scored), "prevalence", "auroc", "auprc")
 

@@ -27,13 +27,12 @@ def build_session(app: str = "locusweave", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` on reliable storage.
+def shared_folder(session: SparkSession) -> str:
+    """The folder for intermediate data that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Where a session has none (tests, a laptop) a
-    fresh temporary one is set; on a cluster the setting must name a shared folder.
+    Where a local session (tests, a laptop) has none, a fresh temporary one is set; elsewhere the
+    setting must be there.
     """
-    session = df.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         folder = session.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +41,10 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` on reliable storage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -25,17 +25,3 @@ UNIFIED_MEMBER = _schema(
     "variant_hg38:s chromosome:s position:l ref:s alt:s trait:s study:s PIP:d cs_id:s cs_membership:b "
     "r2_to_lead:d ancestry:s assay_basis:s build:s source:s beta:d gene:s"
 )
-
-FINNGEN_SNP = _schema(
-    "v:s chromosome:s position:l allele1:s allele2:s trait:s region:s cs:s cs_specific_prob:d beta:d "
-    "gene_most_severe:s"
-)
-FINNGEN_CRED = _schema(
-    "trait:s region:s cs:s cs_avg_r2:d cs_min_r2:d low_purity:s cs_size:l good_cs:s cs_log10bf:d"
-)
-MOLQTL = _schema("variant_id_hg38:s gene_id:s gene_name:s pip_susie:d slope:d")
-
-LOCUS_MEMBER = T.ArrayType(T.StructType([
-    T.StructField("variantId", T.StringType()), T.StructField("posteriorProbability", T.DoubleType()),
-    T.StructField("is95CredibleSet", T.BooleanType()), T.StructField("is99CredibleSet", T.BooleanType()),
-]))

@@ -1,31 +1,40 @@
-"""Sinks. Outputs go to new paths: no job overwrites a table it reads."""
+"""Sinks. Outputs go to new paths: no job overwrites a table it reads. A small report is one file."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Parquet with zstd, rows of one partition value brought together so each writes few files."""
+    """Parquet with zstd, rows of one partition value brought together so each writes few files.
+
+    The rebalance is by size: adaptive execution splits a large partition value over many tasks and
+    puts small ones together.
+    """
     if partition_by:
-        df = df.repartition(*[F.col(c) for c in partition_by], F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("errorifexists").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """A small report table as CSV with header, or JSON lines."""
-    writer = df.coalesce(1).write.mode("errorifexists")
+    # A shuffle to one task, so that the work before it stays spread.
+    writer = df.repartition(1).write.mode("errorifexists")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.json(path)
 
 
 def materialize(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Read the table at ``path`` if it is there and complete, else build and read it."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(jvm_path):
+    """Read the table at ``path`` if it is there and complete, else build and read it.
+
+    Complete means that the writer left its ``_SUCCESS`` file. A half-written table is replaced.
+    """
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("length").first()
+    except AnalysisException:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 

@@ -84,7 +84,7 @@ def parse_fasta(lines: DataFrame, keep: Sequence[str] | None = None, chunk: int
     holds more than ``chunk`` letters.
     """
     is_head = F.col("value").startswith(">")
-    name = F.when(is_head, F.split(F.substring(F.trim("value"), 2, 1_000_000), r"\s+")[0])
+    name = F.when(is_head, F.split(F.expr("substring(trim(value), 2)"), r"\s+")[0])
     named = carry_down(lines, name, "chrom").where(~is_head & F.col("chrom").isNotNull())
     if keep is not None:
         named = named.where(F.col("chrom").isin(list(keep)))
