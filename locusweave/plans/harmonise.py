@@ -169,6 +169,23 @@ def source_qc(table: DataFrame) -> DataFrame:
     return join_on(join_on(stats, distinct, ["source"]), median, ["source"])
 
 
+def qc_document(table: DataFrame) -> DataFrame:
+    """Rows ``section, item, n``: members by layer and by assay, all members, those with PIP over 0.9, distinct variants.
+
+    Counts are taken once per (layer, assay), so the sections are sums over a handful of rows.
+    """
+    parts = table.groupBy("data_layer", "assay_basis").agg(F.count(F.lit(1)).alias("rows"), count_if(F.col("PIP") > 0.9).alias("pip_gt09"))
+    cells = F.array(
+        F.struct(F.lit("layer").alias("section"), F.col("data_layer").alias("item"), F.col("rows").alias("n")),
+        F.struct(F.lit("assay").alias("section"), F.col("assay_basis").alias("item"), F.col("rows").alias("n")),
+        F.struct(F.lit("total").alias("section"), F.lit("rows").alias("item"), F.col("rows").alias("n")),
+        F.struct(F.lit("total").alias("section"), F.lit("pip_gt09").alias("item"), F.col("pip_gt09").alias("n")),
+    )
+    counts = parts.select(F.inline(cells)).groupBy("section", "item").agg(F.sum("n").alias("n"))
+    variants = table.where(F.col("variant_hg38").isNotNull()).select("variant_hg38").distinct().agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(variants.select(F.lit("total").alias("section"), F.lit("variants").alias("item"), "n"))
+
+
 def variant_overlap(table: DataFrame, sources: Sequence[str], variant: str = "variant_hg38") -> DataFrame:
     """Distinct variants per combination of sources they occur in."""
     flags = table.where(F.col("source").isin(list(sources))).groupBy(variant).agg(

@@ -81,10 +81,10 @@ def concordance_stats(matched: DataFrame, value: str = "pcc", by: list[str] | No
 
 
 def distance_stratified(matched: DataFrame, value: str = "pcc", width: int = 100_000, max_bin: int = 10, min_n: int = 20) -> DataFrame:
-    """Rank correlation per floor distance bin with enough matches."""
+    """Rank correlation and its p per floor distance bin with enough matches."""
     binned = matched.withColumn("dbin", bin_floor("abs_dist", width, max_bin))
-    return spearman(binned, value, "EffectSize", by=["dbin"], min_n=min_n).where(F.col("n") >= min_n).select(
-        (F.col("dbin") * (width // 1000)).alias("dist_kb"), "n", "rho"
+    return spearman(binned, value, "EffectSize", by=["dbin"], min_n=min_n, with_p=True).where(F.col("n") >= min_n).select(
+        (F.col("dbin") * (width // 1000)).alias("dist_kb"), "n", "rho", "p_value"
     )
 
 
@@ -104,6 +104,23 @@ def signed_readouts(matched: DataFrame, readouts: dict[str, str], by: list[str]
     return join_on(rho, pearson(long, "_x", "EffectSize", by=keys).select(*keys, "r"), keys)
 
 
+def confident_signs(matched: DataFrame, value: str = "pcc", least: float = 0.3, by: list[str] | None = None) -> DataFrame:
+    """Sign table of the matches with a clear value, its exact p, and their magnitude concordance, per group."""
+    key = by or ["_all"]
+    rows = (matched if by else matched.withColumn("_all", F.lit(1))).where(F.abs(F.col(value)) > least)
+    size = magnitude_concordance(rows, value, by=key).select(*key, F.col("rho").alias("magnitude_rho"), F.col("n").alias("n_regulated"))
+    out = join_on(fisher_exact(sign_table(rows, value, "EffectSize", by=key)), size, key, "left")
+    return out if by else out.drop("_all")
+
+
+def zscore_concordance(matched: DataFrame, precise: Column) -> DataFrame:
+    """Combined z and mean value against the effect, signed and by magnitude, over all matches and the precise ones."""
+    rows = by_subset(matched, {"all": F.lit(True), "precise": precise})
+    signed = signed_readouts(rows, {"stouffer": "stouffer_z", "mean": "mean_pcc"}, by=["label"])
+    size = rows.withColumns({"_z": F.abs("stouffer_z"), "_m": F.abs("mean_pcc"), "EffectSize": F.abs("EffectSize")})
+    return signed.unionByName(signed_readouts(size, {"stouffer_magnitude": "_z", "mean_magnitude": "_m"}, by=["label"])).select("label", "readout", "n", "rho", "r")
+
+
 def robustness_stats(matched: DataFrame, row_id: str, *, reps: int = 2000, shuffles: int = 5000) -> DataFrame:
     """One row: permutation p, bootstrap interval, partial and magnitude correlation."""
     def one(df: DataFrame, **names: str) -> DataFrame:

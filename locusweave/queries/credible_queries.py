@@ -317,6 +317,14 @@ def _source_qc(t):
     return rounded(harmonise.source_qc(unified(t)), "pip_median")
 
 
+@query("unified_qc_document", f"""
+SELECT 'layer' AS section, data_layer AS item, count(*) AS n FROM ({UNIFIED}) x GROUP BY 2
+UNION ALL SELECT 'assay', assay_basis, count(*) FROM ({UNIFIED}) x GROUP BY 2
+UNION ALL SELECT 'total', unnest(['rows', 'pip_gt09', 'variants']), unnest([count(*), count(*) FILTER (WHERE pip>0.9), count(DISTINCT variant_hg38)]) FROM ({UNIFIED}) x""")
+def _qc_document(t):
+    return harmonise.qc_document(unified(t))
+
+
 @query("variant_overlap", f"""
 SELECT CASE WHEN a THEN CASE WHEN b AND c THEN 'AoU+FinnGen+UKB_metabolomics' WHEN b THEN 'AoU+FinnGen' WHEN c THEN 'AoU+UKB_metabolomics' ELSE 'AoU' END
   ELSE CASE WHEN b AND c THEN 'FinnGen+UKB_metabolomics' WHEN b THEN 'FinnGen' ELSE 'UKB_metabolomics' END END AS sources, count(*) AS n_variants

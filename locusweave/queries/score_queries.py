@@ -91,9 +91,20 @@ def _insufficient(t):
     return spearman(usable(t), "pcc", "EffectSize", by=["pair_id"], min_n=20).drop("rho")
 
 
-@query("spearman_p")
+def _two_sided(rho: str, n: str) -> str:
+    """p of a correlation: one minus the incomplete beta function of rho squared at 1/2 and (n-2)/2, summed as its power series."""
+    a = f"(({n}-2)/2.0)"
+    term = f"0.5*ln({rho}*{rho})+{a}*ln(1-{rho}*{rho})-lgamma({a})+lgamma({a}+0.5+k)-lgamma(1.5+k)+k*ln({rho}*{rho})"
+    return f"CASE WHEN abs({rho})<1e-12 THEN 1 ELSE 1-(SELECT sum(exp({term})) FROM (SELECT unnest(generate_series(0, 5000)) AS k) s) END"
+
+
+_RHO = f"SELECT cell_type, count(*) AS n, corr(rx, ry) AS rho FROM ({_ranks({'rx': 'x', 'ry': 'y'}, _U, 'cell_type')}) r GROUP BY 1"
+
+
+@query("spearman_p", f"SELECT cell_type, n, round(rho,6) AS rho, round({_two_sided('rho', 'n')},6) AS p_value FROM ({_RHO}) q")
 def _spearman_p(t):
-    return spearman(usable(t), "pcc", "EffectSize", by=["CellType"], min_n=20, with_p=True)
+    found = spearman(usable(t).withColumnRenamed("CellType", "cell_type"), "pcc", "EffectSize", by=["cell_type"], min_n=20, with_p=True)
+    return rounded(found.drop("note"), "rho", "p_value")
 
 
 @query("pearson", f"SELECT cell_type, count(*) AS n, round(corr(x, y),6) AS r FROM ({_U}) u GROUP BY 1")
@@ -142,6 +153,27 @@ def _stouffer_conc(t):
     return rounded(spearman(found.withColumn("z", F.round("stouffer_z", 9)), "z", "EffectSize").drop("note"), "rho")
 
 
+_ZM = """SELECT c.effect_size AS y, z.* FROM fx_screen c JOIN (
+  SELECT gene_id, chrom, el_start, el_stop, sum(t_stat)/sqrt(count(*)) AS z, avg(pcc) AS m, sum(n_obs) AS tot FROM fx_obs GROUP BY 1, 2, 3, 4) z
+ON c.chrom=z.chrom AND c.gene=z.gene_id AND c.el_start<=z.el_stop AND c.el_end>=z.el_start WHERE c.p_adj<0.05"""
+_ZLONG = " UNION ALL ".join(
+    f"SELECT '{label}' AS label, '{name}' AS readout, {x} AS x, {y} AS y FROM ({_ZM}) q {where}"
+    for label, where in (("all", ""), ("precise", "WHERE tot>=60"))
+    for name, x, y in (("stouffer", "round(z,9)", "y"), ("mean", "round(m,9)", "y"), ("stouffer_magnitude", "abs(round(z,9))", "abs(y)"), ("mean_magnitude", "abs(round(m,9))", "abs(y)"))
+)
+
+
+@query("zscore_concordance", f"""
+SELECT label, readout, count(*) AS n, round(corr(rx, ry),6) AS rho, round(corr(x, y),6) AS r
+FROM ({_ranks({'rx': 'x', 'ry': 'y'}, _ZLONG, 'label, readout')}) w GROUP BY 1, 2""")
+def _zscores(t):
+    obs = t.obs.withColumn("es", interval_start("bidirectional_id")).withColumn("ee", interval_stop("bidirectional_id"))
+    # Equal sums in different order differ in the last bit; rounding keeps them tied.
+    combined = screens.stouffer(obs, ["gene_id", "chrom", "es", "ee"]).withColumns({"stouffer_z": F.round("stouffer_z", 9), "mean_pcc": F.round("mean_pcc", 9)})
+    found = screens.match_perturbation(t.screen.where("pValueAdjusted<0.05"), combined, bin_width=2048)
+    return rounded(screens.zscore_concordance(found, precise=F.col("tot_obs") >= 60), "rho", "r")
+
+
 @query("magnitude_concordance", f"""
 SELECT count(*) AS n, round(corr(rx, ry),6) AS rho FROM ({_ranks({'rx': 'abs(x)', 'ry': 'abs(y)'}, f'SELECT * FROM ({_U}) u WHERE regulated')}) r""")
 def _magnitude(t):
@@ -152,10 +184,11 @@ _D = f"SELECT *, least(floor(abs_dist/100000), 10) AS b FROM ({_U}) u"
 
 
 @query("distance_stratified", f"""
-SELECT CAST(b*100 AS INT) AS dist_kb, count(*) AS n, round(corr(rx, ry),6) AS rho FROM ({_ranks({'rx': 'x', 'ry': 'y'}, _D, 'b')}) r
-GROUP BY b HAVING count(*)>=20""")
+SELECT dist_kb, n, round(rho,6) AS rho, round({_two_sided('rho', 'n')},6) AS p_value FROM (
+  SELECT CAST(b*100 AS INT) AS dist_kb, count(*) AS n, corr(rx, ry) AS rho FROM ({_ranks({'rx': 'x', 'ry': 'y'}, _D, 'b')}) r
+  GROUP BY b HAVING count(*)>=20) q""")
 def _distance(t):
-    return rounded(screens.distance_stratified(usable(t)), "rho")
+    return rounded(screens.distance_stratified(usable(t)), "rho", "p_value")
 
 
 @query("signed_readouts", f"""
@@ -180,9 +213,34 @@ def _subsets(t):
     return rounded(screens.concordance_stats(rows, by=["label"], with_p=False).select("label", "n", "a", "d", "rho"), "rho")
 
 
-@query("concordance_exact")
+def _exact_sql(source: str) -> str:
+    """Two-sided exact p of 2x2 counts: all tables with these margins that are no likelier."""
+    def log_p(i: str) -> str:
+        return (f"lgamma(a+b+1)-lgamma({i}+1)-lgamma(a+b-{i}+1)+lgamma(c+d+1)-lgamma(a+c-{i}+1)-lgamma(d-a+{i}+1)"
+                "-lgamma(a+b+c+d+1)+lgamma(a+c+1)+lgamma(b+d+1)")
+
+    return f"""SELECT cell_type, any_value(n) AS n, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d, round(sum(exp({log_p('i')})),6) AS fisher_p
+FROM (SELECT *, unnest(generate_series(greatest(0, a-d), least(a+b, a+c))) AS i FROM ({source}) t) x WHERE {log_p('i')}<={log_p('a')}+1e-7 GROUP BY 1"""
+
+
+_CELLS = f"""SELECT cell_type, count(*) AS n, count(*) FILTER (WHERE x>0 AND y<0) AS a, count(*) FILTER (WHERE x>0 AND y>0) AS b,
+  count(*) FILTER (WHERE x<0 AND y<0) AS c, count(*) FILTER (WHERE x<0 AND y>0) AS d FROM ({_U}) u"""
+
+
+@query("concordance_exact", f"""
+SELECT e.*, round(rho,6) AS rho, round({_two_sided('rho', 'r.n')},6) AS spearman_p FROM ({_exact_sql(f'{_CELLS} GROUP BY 1')}) e JOIN ({_RHO}) r ON r.cell_type=e.cell_type""")
 def _exact(t):
-    return screens.concordance_stats(usable(t), by=["CellType"])
+    found = screens.concordance_stats(usable(t).withColumnRenamed("CellType", "cell_type"), by=["cell_type"])
+    return rounded(found.select("cell_type", "n", "a", "b", "c", "d", "rho", "spearman_p", "fisher_p"), "rho", "spearman_p", "fisher_p")
+
+
+@query("confident_signs", f"""
+SELECT e.*, round(rho,6) AS magnitude_rho, n_regulated FROM ({_exact_sql(f"{_CELLS} WHERE abs(x)>0.3 GROUP BY 1")}) e LEFT JOIN (
+  SELECT cell_type, count(*) AS n_regulated, CASE WHEN count(*)>=15 THEN corr(rx, ry) END AS rho
+  FROM ({_ranks({'rx': 'abs(x)', 'ry': 'abs(y)'}, f'SELECT * FROM ({_U}) u WHERE regulated AND abs(x)>0.3', 'cell_type')}) r GROUP BY 1) m ON m.cell_type=e.cell_type""")
+def _confident(t):
+    found = screens.confident_signs(usable(t).withColumnRenamed("CellType", "cell_type"), by=["cell_type"])
+    return rounded(found.select("cell_type", "n", "a", "b", "c", "d", "fisher_p", "magnitude_rho", "n_regulated"), "fisher_p", "magnitude_rho")
 
 
 def with_row_id(t: Tables):
@@ -429,8 +487,12 @@ def _models(t):
     return rounded(scoring.heldout_scores(scored), "prevalence", "auroc", "auprc")
 
 
-@query("distance_prior")
+@query("distance_prior", """
+WITH p AS (SELECT CAST(abs_distance AS DOUBLE) AS x, count(*) AS w, sum(link) AS s FROM fx_scored GROUP BY 1),
+c AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS sw, sum(s) OVER (ORDER BY x) AS ss, w, s FROM p)
+SELECT abs_distance, round(min(m),6) AS link_prior FROM (
+  SELECT i.x AS abs_distance, j.i, max((k.ss-j.ss+j.s)*1.0D/(k.sw-j.sw+j.w)) AS m FROM c i JOIN c j ON j.i<=i.i JOIN c k ON k.i>=i.i GROUP BY 1, 2) q GROUP BY 1""")
 def _prior(t):
     model = models.distance_prior(t.fx_scored)
     grid = t.fx_scored.select(F.col("abs_distance").cast("double").alias("x")).distinct()
-    return model.transform(grid).select(F.col("x").alias("abs_distance"), F.col("prediction").alias("link_prior"))
+    return rounded(model.transform(grid).select(F.col("x").alias("abs_distance"), F.col("prediction").alias("link_prior")), "link_prior")
