@@ -156,3 +156,33 @@ def test_orientations_and_widths(spark, frames):
     long = spark.createDataFrame([(0, 10), (0, 50_000_000)], "start long, end long")
     widths = choose_widths(long, "start", "end")
     assert 50_000_000 <= 16 * widths[-1]
+
+
+def test_a_long_interval_has_few_copies():
+    from pyspark.sql import SparkSession
+
+    from locusweave.operators.ranges import _interval_bins, _widths
+
+    spark = SparkSession.getActiveSession()
+    df = spark.createDataFrame([(0, 250_000_000), (5, 2_000), (10, 4_000_000_000)], "s long, e long")
+    widths = _widths(1024, df, "s", "e", 0)
+    copies = {r.e: r.n for r in _interval_bins(df, "s", "e", widths).groupBy("e").count().withColumnRenamed("count", "n").collect()}
+    assert set(copies) == {250_000_000, 2_000, 4_000_000_000} and max(copies.values()) <= 17
+
+
+def test_hot_keys_have_a_fixed_bound(spark, monkeypatch):
+    from locusweave.operators import keys
+
+    df = spark.range(4000).selectExpr("id % 400 AS k").unionByName(spark.range(900).selectExpr("CAST(7 AS BIGINT) AS k"))
+    monkeypatch.setattr(keys, "HOT_SHARE", 20)
+    rows = keys.hot_keys(df, ["k"], hot_rows=5).collect()
+    # 4,900 rows in 20 shares of 245: only the key with 910 rows is over that.
+    assert [(r.k, r["_shares"]) for r in rows] == [(7, 4)]
+
+
+def test_nearest_join_on_one_full_bin(spark):
+    n = 60_000
+    points = spark.range(n).selectExpr("'1' AS chrom", "id * 3 AS pos")
+    targets = spark.range(n).selectExpr("'1' AS chrom", "id * 3 + 1 AS mid", "CAST(id AS STRING) AS key")
+    found = nearest_join(points, targets, max_distance=4 * n)
+    assert found.where("near_dist = 1").count() == n
