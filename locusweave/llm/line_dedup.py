@@ -4,10 +4,17 @@ A line is the set of its words, A-Z lower-cased. Lines with at least ``least`` d
 Jaccard index of 4/5 or more match, and a line that matches an earlier one (by document id, then place in the
 text) goes. Lines with fewer words, and lines without words, stay.
 
-Equal sets are one entry, with its first place. For the others: words are ordered by rarity, so that two matching sets share
-one of the first |x| - ceil(4/5 |x|) + 1 words of each. Entries that share such a word are a candidate pair if
-their sizes allow 4/5, if the places of the word leave enough common words behind it, and if their 64-bit word
-maps do not differ in more places than 4/5 allows. What is left is verified on the words themselves.
+Equal sets are found by a hash: all but the first place of a set go. First places are compared by words: these
+are ordered by rarity, so that two matching sets share one of the first |x| - ceil(4/5 |x|) + 1 words of each.
+An entry is such a word of a line, with its place and size. Entries that share a word are a candidate pair if
+their sizes allow 4/5, if the places of the word leave enough common words behind it, and if their parity maps
+(each word flips one of 124 bits, or of 248 between two lines of 128 words or more) do not differ in more places
+than 4/5 allows. What is left is verified on the words. A word that more than ``BLOCK`` entries share is dealt
+out as tiles of two blocks.
+
+A line goes by any one earlier match, so the pairs within a family of similar lines are not all written: first a
+line's ``FIRST`` earliest candidates behind each word are verified; only lines that had more and still stay are then
+compared with all of theirs.
 
 Rarity is a count over all lines of all documents, kept in a table of 2^20 cells by word hash, so what is
 broadcast has a fixed size; any order is right, a rare-first order is fast.
@@ -29,7 +36,22 @@ from pyspark.sql import functions as F
 from locusweave.llm.common import lower, mixed, stored, text_chunks, word_hashes, words
 
 CELLS = 1 << 20
+#: Cells that travel together when the tasks' counts are added up.
+PART = 1 << 14
 LEAST = 5
+BLOCK = 4096
+#: Earliest candidates of a line behind one word that are verified first.
+FIRST = 2
+#: Bits of the maps that tell which lines and documents to read again; fixed, and read again means only more work.
+LINE_BITS, DOC_BITS = 1 << 26, 1 << 23
+#: Line numbers from here on share a code of order.
+LINES = (1 << 20) - 1
+#: Pairs compared in one NumPy step.
+STEP = 1 << 20
+#: Bits of a parity map, and words from which on a line has as many more.
+HALF, WIDE = 124, 128
+#: Sizes and places from here on are not told apart; such entries pass every filter.
+MANY = (1 << 14) - 1
 
 
 class Lines:
@@ -48,8 +70,8 @@ class Lines:
         line = np.cumsum(first) - 1
         at = np.flatnonzero(first)
         self.doc, self.number = doc[at], feed[at] - before[doc[at]]
-        order = np.argsort(h, kind="stable")
-        order = order[np.argsort(line[order], kind="stable")]
+        order = np.argsort(h)
+        order = order[np.argsort(_short(line[order]), kind="stable")]
         h, line = h[order], line[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -67,128 +89,367 @@ class Lines:
     def check_hash(self) -> np.ndarray:
         return np.add.reduceat(mixed(self.word ^ np.uint64(0xE7037ED1A0B428DB)), self.head).view(np.int64)
 
-    def word_map(self) -> np.ndarray:
-        return np.bitwise_or.reduceat(np.uint64(1) << (self.word & np.uint64(63)), self.head).view(np.int64)
-
-    def prefixes(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, words): each line's rarest words, rarest first."""
+    def parities(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Parity of the words by hash mod 124, as 60 and 64 bits; the part of it with hash mod 248 over 123, for long lines."""
+        own = self.word % np.uint64(2 * HALF)
+        upper, bit = own >= HALF, own % np.uint64(HALF)
+        first = bit < 60
+        low = np.where(first, np.uint64(1) << np.minimum(bit, np.uint64(59)), np.uint64(0))
+        high = np.where(first, np.uint64(0), np.uint64(1) << (np.maximum(bit, np.uint64(60)) - np.uint64(60)))
+        none = np.uint64(0)
+        flip = lambda x: np.bitwise_xor.reduceat(x, self.head)
+        long = self.size >= WIDE
+        return flip(low), flip(high), np.where(long, flip(np.where(upper, low, none)), none), np.where(long, flip(np.where(upper, high, none)), none)
+
+    def prefixes(self, level: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(line, word, place, three further parities) of the rarest words of the lines in ``new``.
+
+        A word keeps 40 bits of its hash, then 24 of its line's parity bits; a place holds the line's size, the place
+        and the other 36 parity bits. Words that agree in 40 bits only make a candidate more.
+        """
         rank = level[(self.word % np.uint64(CELLS)).astype(np.int64)]
         # Words of a line are in hash order already; stable sorts by rarity, then by line, keep it for ties.
         order = np.argsort(rank, kind="stable")
-        order = order[np.argsort(self.line[order], kind="stable")]
+        order = order[np.argsort(_short(self.line[order]), kind="stable")]
         length = self.size - (4 * self.size + 4) // 5 + 1
         place = np.arange(len(order)) - np.repeat(self.head, self.size)
-        return np.concatenate([[0], np.cumsum(length)]), self.word[order][place < np.repeat(length, self.size)].view(np.int64)
+        keep = (place < np.repeat(length, self.size)) & new[self.line]
+        line = self.line[keep]
+        parity, *further = (x[line] for x in self.parities())
+        size = np.minimum(self.size, MANY)[line].astype(np.uint64)
+        word = self.word[order][keep] >> np.uint64(24) << np.uint64(24) | parity & np.uint64(0xFFFFFF)
+        at = size << np.uint64(50) | np.minimum(place[keep], MANY).astype(np.uint64) << np.uint64(36) | parity >> np.uint64(24)
+        return line, word.view(np.int64), at.view(np.int64), *(x.view(np.int64) for x in further)
 
 
-def _cells(least: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for part in parts:
-            for _, _, data, offsets in text_chunks(part.column(0)):
-                own = Lines(data, offsets, least)
-                total += np.bincount((own.word % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+def _short(x: np.ndarray) -> np.ndarray:
+    """Sixteen bits where they suffice: those are sorted by radix."""
+    return x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x
 
-    return run
 
+def _cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CELLS, np.int64)
+    for part in parts:
+        for _, _, data, offsets in text_chunks(part.column(0)):
+            data = lower(data)
+            start, end, _ = words(data, offsets)
+            total += np.bincount((word_hashes(data, start, end) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    if total.any():
+        pieces = total.astype("<i8").reshape(-1, PART)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces))), pa.array([p.tobytes() for p in pieces], pa.binary())], ["part", "n"])
 
-def rarity(docs: DataFrame, text: str, least: int) -> np.ndarray:
+
+def _added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in parts:
+        for part, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            total[part] = total.get(part, 0) + np.frombuffer(n.as_py(), "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "n"])
+
+
+def rarity(docs: DataFrame, text: str) -> np.ndarray:
     """A 16-bit level of each cell that rises with its count; 2^20 numbers whatever the data."""
-    found = docs.select(text).mapInArrow(_cells(least), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    count = np.zeros(CELLS)
-    count[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return np.minimum(np.log2(1 + count) * 1500, 65535).astype(np.uint16)
+    schema = "part bigint, n binary"
+    found = docs.select(text).mapInArrow(_cells, schema).repartition("part").mapInArrow(_added, schema).toArrow()
+    count = np.zeros((CELLS // PART, PART))
+    for part, n in zip(found.column("part").to_pylist(), found.column("n"), strict=True):
+        count[part] = np.frombuffer(n.as_py(), "<i8")
+    return np.minimum(np.log2(1 + count.ravel()) * 1500, 65535).astype(np.uint16)
+
+
+#: Columns that lines (set hash, order, check hash, text hash, -, -, id, number) and entries (word, order, place, parities) share.
+NUMBERS = ["word", "q", "at", "high", "more_low", "more_high"]
+FLAT = [*NUMBERS, "id", "line"]
+
+
+def order_code(kind: str):
+    """(column, whether it follows the order of ids): 2^20 codes for each document, one per line."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        edge = 1 << 42
+        code = F.greatest(F.lit(-edge), F.least(F.lit(edge), F.col("id").cast("long")))
+        return F.coalesce(code, F.lit(edge)) * (LINES + 1), True
+    return F.shiftleft(F.shiftright(F.xxhash64("id", "h"), 20), 20), False
 
 
 def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """(id, h, line, gone): a row for each line with enough words; ``h`` is the hash of its text, ``gone`` if it goes."""
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.where(F.length("text") > 0).withColumn("h", F.xxhash64("text"))
-    level = docs.sparkSession.sparkContext.broadcast(rarity(rows, "text", least))
     kind = dict(rows.dtypes)["id"]
+    code, ordered = order_code(kind)
+    rows = rows.withColumn("o", code)
+    level = docs.sparkSession.sparkContext.broadcast(rarity(rows, "text"))
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for part in parts:
+            order = part.column("o").to_numpy()
             for at, to, data, offsets in text_chunks(part.column("text")):
                 own = Lines(data, offsets, least)
                 if not len(own.doc):
                     continue
-                ends, prefix = own.prefixes(level.value)
-                take = pa.array(own.doc)
+                s, q = own.set_hash(), order[at:to][own.doc] + np.minimum(own.number, LINES)
+                # A set that this task has met at an earlier place has its entries already.
+                new = np.zeros(len(s), bool)
+                for k in np.lexsort((q, s)).tolist():
+                    x, y = int(s[k]), int(q[k])
+                    if (before := seen.get(x)) is None or y < before:
+                        seen[x], new[k] = y, True
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                line, word, *rest = own.prefixes(level.value, new)
+                ids = part.column("id").slice(at, to - at)
+                none = pa.nulls(len(line), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(q[line]), *map(pa.array, rest), pa.nulls(len(line), ids.type), none], FLAT)
+                take, zero = pa.array(own.doc), pa.array(np.zeros(len(s), np.int64))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("id").slice(at, to - at).take(take), part.column("h").slice(at, to - at).take(take), pa.array(own.number.astype(np.int32)),
-                    pa.array(own.set_hash()), pa.array(own.check_hash()), pa.array(own.size.astype(np.int32)), pa.array(own.word_map()),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(prefix)),
-                ], ["id", "h", "line", "s", "c", "n", "map", "prefix"])
-
-    lines = stored(rows.mapInArrow(cut, f"id {kind}, h bigint, line int, s bigint, c bigint, n int, map bigint, prefix array<bigint>"))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "line")
-    entries = lines.groupBy("s", "c").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("prefix").alias("prefix"))
-    pairs = candidates(entries)
-    later = verified(rows, lines, pairs, least, kind)
-    # An entry's first place goes if a matching entry came earlier; its other places always go.
-    firsts = lines.groupBy("s", "c").agg(F.min(place).alias("first")).join(later, ["s", "c"], "left").select("s", "c", "first", F.col("beaten").isNotNull().alias("beaten"))
-    marked = lines.select("id", "h", "line", "s", "c").join(stored(firsts), ["s", "c"])
-    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("line") == F.col("first.line"))
-    return marked.select("id", "h", "line", (F.col("beaten") | ~same).alias("gone"))
-
-
-def candidates(entries: DataFrame) -> DataFrame:
-    """(s, c, s2, c2): pairs of entries that may reach 4/5, each once."""
-    e = entries.select("s", "c", F.col("n").cast("long").alias("n"), "map", F.posexplode("prefix").alias("i", "word"))
-    x, y = e, e.select(*[F.col(k).alias(k + "2") for k in ("s", "c", "n", "map", "i")], F.col("word").alias("word2"))
-    both = F.col("n") + F.col("n2")
-    # Common words that 4/5 asks for, and those that can still come.
+                    pa.array(s), pa.array(q), pa.array(own.check_hash()), part.column("h").slice(at, to - at).take(take), zero, zero, ids.take(take), pa.array(own.number.astype(np.int32)),
+                ], FLAT)
+
+    flat = ", ".join(f"{c} bigint" for c in NUMBERS) + f", id {kind}, line int"
+    # Lines and entries share one pass and one shuffle: entries go by their word, lines anywhere.
+    made = rows.mapInArrow(cut, flat)
+    key = F.when(F.col("line").isNull(), _key()).otherwise(F.xxhash64("q"))
+    made = stored(made.repartition(key).sortWithinPartitions(_key()).mapInArrow(_paired(BLOCK, ordered, FIRST), f"{flat}, y bigint, more int"))
+    lines = made.where("line IS NOT NULL").select("id", F.col("high").alias("h"), "line", "q", F.col("word").alias("s"), F.col("at").alias("c"))
+    firsts = lines.groupBy("s", "c").agg(F.min(place_of()).alias("first"), F.count("*").alias("n")).where("n > 1")
+    marked = lines.select("id", "h", "line", "s", "c").join(firsts.select("s", "c", "first"), ["s", "c"], "left")
+    again = F.col("first").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("line") == F.col("first.line")))
+    found = candidates(made, ordered)
+    beaten = stored(verified(rows, found.select("x", "y").distinct(), least, kind))
+    # Lines that stay although they had more candidates than were verified; the entries behind their words were kept.
+    open_ = stored(found.where("more = 1").select(F.col("x").alias("q")).distinct().join(beaten.select("q").distinct(), "q", "left_anti"))
+    if open_.take(1):
+        entries = made.where("line IS NULL AND y IS NULL").select(*FLAT)
+        beaten = stored(beaten.unionByName(verified(rows, all_candidates(entries, open_), least, kind)).distinct())
+    gone = beaten.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("line").alias("line2"))
+    out = marked.select("id", "h", "line", again.alias("again")).join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")) & (F.col("line") == F.col("line2")), "left")
+    return out.select("id", "h", "line", (F.col("again") | F.col("line2").isNotNull()).alias("gone"))
+
+
+def place_of():
+    """The order of lines: null ids last."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "h", "line")
+
+
+def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray, further: np.ndarray, ordered: bool, first_few: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(later, earlier, more, keys): the earliest candidates of each later entry of a key, and keys where some had more.
+
+    Rows of a key lie together.
+    """
+    if len(key) < 2:
+        return
+    n = (at >> np.uint64(50)).astype(np.int64)
+    place = (at >> np.uint64(36) & np.uint64(MANY)).astype(np.int64)
+    parity = word & np.uint64(0xFFFFFF) | (at & np.uint64((1 << 36) - 1)) << np.uint64(24)
+    group = np.cumsum(np.append(False, key[1:] != key[:-1])).astype(np.int64) << 15
+    by_size = order = np.argsort(group + n, kind="stable")
+    n, place, parity, q, group, (fold, more_low, more_high) = n[order], place[order], parity[order], q[order], group[order], further[:, order]
+    # The entries behind an entry that are at most 5/4 as large.
+    reach = np.searchsorted(group + n, group + np.minimum(n * 5 // 4, MANY), side="right") - np.arange(len(n)) - 1
+    cut = np.concatenate([[0], np.cumsum(reach)])
+    rest = n - place
+    later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    first = 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(cut, cut[first] + STEP, side="right")) - 1)
+        for low in range(int(cut[first]), int(cut[last]), STEP):
+            high = min(int(cut[last]), low + STEP)
+            a = np.repeat(np.arange(first, last), np.diff(np.clip(cut[first : last + 1], low, high)))
+            b = np.arange(low, high) - cut[a] + a + 1
+            both = n[a] + n[b]
+            need = (both * 4 + 8) // 9
+            many = n[b] == MANY
+            ok = np.flatnonzero(many | (np.minimum(rest[a], rest[b]) >= need))
+            a, b, both, need, many = a[ok], b[ok], both[ok], need[ok], many[ok]
+            low_, high_ = parity[a] ^ parity[b], fold[a] ^ fold[b]
+            flips = np.bitwise_count(low_).astype(np.int64) + np.bitwise_count(high_)
+            long = np.flatnonzero(np.minimum(n[a], n[b]) >= WIDE)
+            for x, more in ((low_, more_low), (high_, more_high)):
+                upper = more[a[long]] ^ more[b[long]]
+                flips[long] += np.bitwise_count(x[long] ^ upper).astype(np.int64) + np.bitwise_count(upper) - np.bitwise_count(x[long])
+            ok = many | (flips <= both - 2 * need)
+            a, b = a[ok], b[ok]
+            ahead = q[a] <= q[b]
+            later.append(np.where(ahead, b, a))
+            earlier.append(np.where(ahead, a, b))
+            if not ordered:
+                later.append(earlier[-1])
+                earlier.append(later[-2])
+        first = last
+    later, earlier = np.concatenate(later), np.concatenate(earlier)
+    if len(later):
+        order = np.lexsort((q[earlier], later))
+        later, earlier = later[order], earlier[order]
+        start = np.flatnonzero(np.append(True, later[1:] != later[:-1]))
+        size = np.diff(np.append(start, len(later)))
+        keep = np.arange(len(later)) - np.repeat(start, size) < first_few
+        more = np.repeat(size > first_few, size)[keep].astype(np.int32)
+        cut_short = np.unique(key[by_size][later[keep][more == 1]])
+        later, earlier = q[later[keep]], q[earlier[keep]]
+        yield later, earlier, more, cut_short
+
+
+def _paired(most: int | None, ordered: bool, first_few: int):
+    """Partitions sorted by word -> candidate pairs.
+
+    Lines, entries of a word with over ``most`` entries, and (marked with 2) entries of a word behind which a line had
+    more candidates than came out, come out as they are.
+    """
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, hot, kind = np.zeros((1 + len(NUMBERS), 0), np.int64), None, pa.null()
+
+        def out(rows: np.ndarray, y: pa.Array, more: pa.Array) -> pa.RecordBatch:
+            n = rows.shape[1]
+            return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(n, kind), pa.nulls(n, pa.int32()), y, more], [*FLAT, "y", "more"])
+
+        def as_is(rows: np.ndarray, mark: int | None = None) -> pa.RecordBatch:
+            n = rows.shape[1]
+            return out(rows[1:], pa.nulls(n, pa.int64()), pa.array([mark] * n, pa.int32()))
+
+        def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            key = rows[0]
+            size = np.bincount(np.cumsum(np.append(False, key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            size = np.repeat(size, size)
+            if most is not None and (size > most).any():
+                yield as_is(rows[:, size > most])
+            rows = rows[:, (size > 1) & (size <= most) if most is not None else size > 1]
+            bits = rows.view(np.uint64)
+            for later, earlier, more, keys in _compared(rows[0], bits[1], rows[2], bits[3], bits[4:], ordered, first_few):
+                if most is not None and len(keys):
+                    yield as_is(rows[:, np.isin(rows[0], keys)], 2)
+                pairs = np.zeros((len(NUMBERS), len(later)), np.int64)
+                pairs[1] = later
+                yield out(pairs, pa.array(earlier), pa.array(more))
+
+        for part in parts:
+            kind = part.schema.field("id").type
+            line = part.column("line").is_valid()
+            if line.true_count:
+                own = part.filter(line)
+                yield pa.RecordBatch.from_arrays([*own.select(FLAT).columns, pa.nulls(own.num_rows, pa.int64()), pa.nulls(own.num_rows, pa.int32())], [*FLAT, "y", "more"])
+                part = part.filter(part.column("line").is_null())
+            rows = np.stack([part.column(c).to_numpy() for c in NUMBERS])
+            key = rows[:1] >> 24
+            rows = np.concatenate([key if "tile" not in part.schema.names else mixed(mixed(key) + part.column("tile").to_numpy().astype(np.uint64)).view(np.int64), rows])
+            if hot is not None and rows.shape[1]:
+                more = int(np.argmin(np.append(rows[0] == hot, False)))
+                if more:
+                    yield as_is(rows[:, :more])
+                rows, hot = rows[:, more:], hot if more == rows.shape[1] else None
+            rows = np.concatenate([rest, rows], 1)
+            if not rows.shape[1]:
+                rest = rows
+                continue
+            cut = rows.shape[1] - int(np.argmin(np.append(rows[0, ::-1] == rows[0, -1], False)))
+            rest = rows[:, cut:]
+            if cut:
+                yield from emit(rows[:, :cut])
+            if most is not None and rest.shape[1] > most:
+                yield as_is(rest)
+                rest, hot = rest[:, :0], rest[0, -1]
+        yield from emit(rest)
+
+    return run
+
+
+def _key():
+    return F.shiftright("word", 24)
+
+
+def candidates(made: DataFrame, ordered: bool) -> DataFrame:
+    """(x, y, more): candidate pairs of lines, y the earlier; ``more`` if x has further ones behind the same word."""
+    pairs = made.where("y IS NOT NULL").select(F.col("q").alias("x"), "y", "more")
+    hot = made.where("y IS NULL AND line IS NULL AND more IS NULL")
+    if not hot.take(1):
+        return pairs
+    blocks = hot.groupBy(_key().alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    hot = hot.join(blocks, _key() == F.col("k")).withColumn("own", F.pmod(F.xxhash64("q"), F.col("n")).cast("long"))
+    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least("own", j) * (1 << 31) + F.greatest(F.col("own"), j)))
+    hot = hot.select(*FLAT, tile.alias("tile")).repartition(_key(), "tile").sortWithinPartitions(_key(), "tile")
+    tiled = hot.mapInArrow(_paired(None, ordered, FIRST), made.select(*FLAT, "y", "more").schema)
+    return stored(pairs.unionByName(tiled.select(F.col("q").alias("x"), "y", "more")))
+
+
+def all_candidates(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(x, y): every candidate pair of the lines in ``wanted`` (q)."""
+    def numbers(at: str) -> list:
+        a = F.col(at)
+        return [F.shiftrightunsigned(a, 50), F.shiftrightunsigned(a, 36).bitwiseAND(F.lit(MANY))]
+
+    def side(df: DataFrame, k: int) -> DataFrame:
+        return df.select(_key().alias("k" if k == 1 else "k2"), *[F.col(c).alias(f"{c}{k}") for c in NUMBERS])
+
+    def flips(name: str, mask: int = -1):
+        return F.col(f"{name}1").bitwiseXOR(F.col(f"{name}2")).bitwiseAND(F.lit(mask))
+
+    x, y = side(entries.join(wanted, "q", "left_semi"), 1), side(entries, 2)
+    (n1, i1), (n2, i2) = numbers("at1"), numbers("at2")
+    both = n1 + n2
     need = F.floor((both * 4 + 8) / 9)
-    left = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
-    ordered = (F.col("s") < F.col("s2")) | ((F.col("s") == F.col("s2")) & (F.col("c") < F.col("c2")))
-    possible = (F.col("n") * 5 >= F.col("n2") * 4) & (F.col("n2") * 5 >= F.col("n") * 4) & (left >= need)
-    alike = F.bit_count(F.col("map").bitwiseXOR(F.col("map2"))) <= both - 2 * need
-    return x.join(y, (F.col("word") == F.col("word2")) & ordered & possible & alike).select("s", "c", "s2", "c2").distinct()
+    differ = F.bit_count(flips("word", 0xFFFFFF)) + F.bit_count(flips("at", (1 << 36) - 1)) + F.bit_count(flips("high"))
+    many = (n1 == MANY) | (n2 == MANY)
+    fits = many | ((n1 * 5 >= n2 * 4) & (n2 * 5 >= n1 * 4) & (F.least(n1 - i1, n2 - i2) >= need) & (differ <= both - 2 * need))
+    found = x.join(y, F.col("k") == F.col("k2")).where(fits)
+    return found.select(F.col("q1").alias("x"), F.col("q2").alias("y")).distinct()
+
 
+def _bits(size: int, column: str):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at = np.unique(mixed(part.column(column).to_numpy().view(np.uint64)) % np.uint64(size))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["cell", "bits"])
 
-def verified(rows: DataFrame, lines: DataFrame, pairs: DataFrame, least: int, kind: str) -> DataFrame:
-    """(s, c, beaten): entries that match an entry with an earlier first place."""
+    return run
+
+
+def bit_map(rows: DataFrame, column: str, size: int) -> np.ndarray:
+    """A map of ``size`` bits with the bit of each value's hash; what reaches the driver is size / 64 numbers at most."""
+    found = rows.select(column).mapInArrow(_bits(size, column), "cell bigint, bits bigint").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = mixed(values.view(np.uint64)) % np.uint64(len(bits) * 64)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def verified(rows: DataFrame, pairs: DataFrame, least: int, kind: str) -> DataFrame:
+    """(q, id, h, line): lines that match an earlier one of their pair."""
     pairs = stored(pairs)
-    involved = pairs.select("s", "c").unionByName(pairs.select(F.col("s2").alias("s"), F.col("c2").alias("c"))).distinct()
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "line")
-    involved = lines.select("s", "c", place.alias("first")).join(involved, ["s", "c"], "left_semi").groupBy("s", "c").agg(F.min("first").alias("first"))
-    # A document brings all lines that it is the first place of.
-    wanted = involved.groupBy("first.id", "first.h").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "s", "c")).alias("wanted"))
-    wanted = wanted.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "wanted")
-    found = rows.join(wanted, (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("id2"))).select("id", "h", "text", "wanted")
+    involved = pairs.select(F.col("x").alias("q")).unionByName(pairs.select(F.col("y").alias("q")))
+    context = rows.sparkSession.sparkContext
+    in_lines, in_docs = context.broadcast(bit_map(involved, "q", LINE_BITS)), context.broadcast(bit_map(involved.select((F.col("q") - F.pmod("q", F.lit(LINES + 1))).alias("q")), "q", DOC_BITS))
 
     def bring(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            wanted = part.column("wanted")
+            part = part.filter(pa.array(in_map(in_docs.value, part.column("o").to_numpy())))
+            order = part.column("o").to_numpy()
             for at, to, data, offsets in text_chunks(part.column("text")):
                 own = Lines(data, offsets, least)
-                lists = wanted.slice(at, to - at)
-                of = np.repeat(np.arange(to - at), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-                asked = lists.flatten()
-                number, s, c = (asked.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                key = own.doc * (1 << 32) + own.number
-                hit = np.searchsorted(key, of * (1 << 32) + number)
+                if not len(own.doc):
+                    continue
+                q = order[at:to][own.doc] + np.minimum(own.number, LINES)
+                hit = np.flatnonzero(in_map(in_lines.value, q))
                 size = own.size[hit]
                 ends = np.concatenate([[0], np.cumsum(size)])
                 index = np.arange(ends[-1]) + np.repeat(own.head[hit] - ends[:-1], size)
+                take = pa.array(own.doc[hit])
                 yield pa.RecordBatch.from_arrays([
-                    part.column("id").slice(at, to - at).take(pa.array(of)), part.column("h").slice(at, to - at).take(pa.array(of)), pa.array(number), pa.array(s), pa.array(c),
+                    pa.array(q[hit]), part.column("id").slice(at, to - at).take(take), part.column("h").slice(at, to - at).take(take), pa.array(own.number[hit].astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(own.word[index].view(np.int64))),
-                ], ["id", "h", "line", "s", "c", "words"])
-
-    sets = found.mapInArrow(bring, f"id {kind}, h bigint, line int, s bigint, c bigint, words array<bigint>")
-    # Rows that share id and text bring the same sets; one is enough.
-    sets = stored(sets.select("s", "c", "words", place.alias("first")).dropDuplicates(["s", "c"]))
-    a = sets.select("s", "c", F.col("words").alias("w"), F.col("first").alias("f"))
-    b = sets.select(F.col("s").alias("s2"), F.col("c").alias("c2"), F.col("words").alias("w2"), F.col("first").alias("f2"))
-    full = pairs.join(a, ["s", "c"]).join(b, ["s2", "c2"])
-    common = F.size(F.array_intersect("w", "w2"))
-    full = full.where(common * 9 >= (F.size("w") + F.size("w2")) * 4)
-    beaten = F.when(F.col("f") > F.col("f2"), F.struct("s", "c")).otherwise(F.struct(F.col("s2").alias("s"), F.col("c2").alias("c")))
-    return full.select(beaten.alias("e")).select("e.s", "e.c").distinct().withColumn("beaten", F.lit(True))
+                ], ["q", "id", "h", "line", "words"])
+
+    # Every line whose bit is set comes; the joins keep those that are asked for. Rows that share id and text bring a line twice.
+    sets = rows.select("id", "h", "o", "text").mapInArrow(bring, f"q bigint, id {kind}, h bigint, line int, words array<bigint>")
+    sets = stored(sets.join(involved.distinct(), "q", "left_semi").select("q", place_of().alias("p"), "words"))
+    full = pairs.join(sets.select(F.col("q").alias("x"), F.col("p").alias("p1"), F.col("words").alias("w1")), "x")
+    full = full.join(sets.select(F.col("q").alias("y"), F.col("p").alias("p2"), F.col("words").alias("w2")), "y").where("p1 <> p2")
+    full = full.where(F.size(F.array_intersect("w1", "w2")) * 9 >= (F.size("w1") + F.size("w2")) * 4)
+    first = F.col("p1") < F.col("p2")
+    return full.select(F.when(first, F.col("y")).otherwise(F.col("x")).alias("q"), F.when(first, F.col("p2")).otherwise(F.col("p1")).alias("p")).select("q", "p.id", "p.h", "p.line").distinct()
 
 
 def gone_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:

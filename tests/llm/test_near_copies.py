@@ -115,7 +115,10 @@ def brute_lines(rows, least=5):
     return gone
 
 
-def test_lines_on_hard_rows(spark, hard, empty):
+@pytest.mark.parametrize("block,first", [(4096, 2), (6, 1)])
+def test_lines_on_hard_rows(spark, hard, empty, monkeypatch, block, first):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "FIRST", first)
     rng = random.Random(13)
     rows = [(r.doc_id, r.text) for r in hard.select("doc_id", "text").collect() if r.text is None or len(r.text) < 60_000]
     pool = [sentence(rng, "en", rng.randint(5, 40)) for _ in range(40)]
