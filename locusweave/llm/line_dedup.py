@@ -8,8 +8,7 @@ Equal sets are found by a hash: all but the first place of a set go. First place
 are ordered by rarity, so that two matching sets share one of the first |x| - ceil(4/5 |x|) + 1 words of each.
 An entry is such a word of a line, with its place and size. Entries that share a word are a candidate pair if
 their sizes allow 4/5, if the places of the word leave enough common words behind it, and if their parity maps
-(each word flips one of 124 bits, or of 248 between two lines of 128 words or more) do not differ in more places
-than 4/5 allows. What is left is verified on the words. A word that more than ``BLOCK`` entries share is dealt
+(each word flips one of 124 bits) do not differ in more places than 4/5 allows. What is left is verified on the words. A word that more than ``BLOCK`` entries share is dealt
 out as tiles of two blocks.
 
 A line goes by any one earlier match, so the pairs within a family of similar lines are not all written: first a
@@ -48,8 +47,8 @@ LINE_BITS, DOC_BITS = 1 << 26, 1 << 23
 LINES = (1 << 20) - 1
 #: Pairs compared in one NumPy step.
 STEP = 1 << 20
-#: Bits of a parity map, and words from which on a line has as many more.
-HALF, WIDE = 124, 128
+#: Bits of a parity map.
+PARITY = 124
 #: Sizes and places from here on are not told apart; such entries pass every filter.
 MANY = (1 << 14) - 1
 
@@ -89,20 +88,16 @@ class Lines:
     def check_hash(self) -> np.ndarray:
         return np.add.reduceat(mixed(self.word ^ np.uint64(0xE7037ED1A0B428DB)), self.head).view(np.int64)
 
-    def parities(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Parity of the words by hash mod 124, as 60 and 64 bits; the part of it with hash mod 248 over 123, for long lines."""
-        own = self.word % np.uint64(2 * HALF)
-        upper, bit = own >= HALF, own % np.uint64(HALF)
+    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """Parity of the words by hash mod 124, as 60 and 64 bits."""
+        bit = self.word % np.uint64(PARITY)
         first = bit < 60
         low = np.where(first, np.uint64(1) << np.minimum(bit, np.uint64(59)), np.uint64(0))
         high = np.where(first, np.uint64(0), np.uint64(1) << (np.maximum(bit, np.uint64(60)) - np.uint64(60)))
-        none = np.uint64(0)
-        flip = lambda x: np.bitwise_xor.reduceat(x, self.head)
-        long = self.size >= WIDE
-        return flip(low), flip(high), np.where(long, flip(np.where(upper, low, none)), none), np.where(long, flip(np.where(upper, high, none)), none)
+        return np.bitwise_xor.reduceat(low, self.head), np.bitwise_xor.reduceat(high, self.head)
 
-    def prefixes(self, level: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(line, word, place, three further parities) of the rarest words of the lines in ``new``.
+    def prefixes(self, level: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(line, word, place, other parity bits) of the rarest words of the lines in ``new``.
 
         A word keeps 40 bits of its hash, then 24 of its line's parity bits; a place holds the line's size, the place
         and the other 36 parity bits. Words that agree in 40 bits only make a candidate more.
@@ -115,11 +110,11 @@ class Lines:
         place = np.arange(len(order)) - np.repeat(self.head, self.size)
         keep = (place < np.repeat(length, self.size)) & new[self.line]
         line = self.line[keep]
-        parity, *further = (x[line] for x in self.parities())
+        parity, high = (x[line] for x in self.parities())
         size = np.minimum(self.size, MANY)[line].astype(np.uint64)
         word = self.word[order][keep] >> np.uint64(24) << np.uint64(24) | parity & np.uint64(0xFFFFFF)
         at = size << np.uint64(50) | np.minimum(place[keep], MANY).astype(np.uint64) << np.uint64(36) | parity >> np.uint64(24)
-        return line, word.view(np.int64), at.view(np.int64), *(x.view(np.int64) for x in further)
+        return line, word.view(np.int64), at.view(np.int64), high.view(np.int64)
 
 
 def _short(x: np.ndarray) -> np.ndarray:
@@ -157,8 +152,8 @@ def rarity(docs: DataFrame, text: str) -> np.ndarray:
     return np.minimum(np.log2(1 + count.ravel()) * 1500, 65535).astype(np.uint16)
 
 
-#: Columns that lines (set hash, order, check hash, text hash, -, -, id, number) and entries (word, order, place, parities) share.
-NUMBERS = ["word", "q", "at", "high", "more_low", "more_high"]
+#: Columns that lines (set hash, order, check hash, text hash, id, number) and entries (word, order, place, parity) share.
+NUMBERS = ["word", "q", "at", "high"]
 FLAT = [*NUMBERS, "id", "line"]
 
 
@@ -201,9 +196,9 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
                 ids = part.column("id").slice(at, to - at)
                 none = pa.nulls(len(line), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(q[line]), *map(pa.array, rest), pa.nulls(len(line), ids.type), none], FLAT)
-                take, zero = pa.array(own.doc), pa.array(np.zeros(len(s), np.int64))
+                take = pa.array(own.doc)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(s), pa.array(q), pa.array(own.check_hash()), part.column("h").slice(at, to - at).take(take), zero, zero, ids.take(take), pa.array(own.number.astype(np.int32)),
+                    pa.array(s), pa.array(q), pa.array(own.check_hash()), part.column("h").slice(at, to - at).take(take), ids.take(take), pa.array(own.number.astype(np.int32)),
                 ], FLAT)
 
     flat = ", ".join(f"{c} bigint" for c in NUMBERS) + f", id {kind}, line int"
@@ -232,7 +227,7 @@ def place_of():
     return F.struct(F.col("id").isNull().alias("none"), "id", "h", "line")
 
 
-def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray, further: np.ndarray, ordered: bool, first_few: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray, high: np.ndarray, ordered: bool, first_few: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(later, earlier, more, keys): the earliest candidates of each later entry of a key, and keys where some had more.
 
     Rows of a key lie together.
@@ -244,7 +239,7 @@ def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray,
     parity = word & np.uint64(0xFFFFFF) | (at & np.uint64((1 << 36) - 1)) << np.uint64(24)
     group = np.cumsum(np.append(False, key[1:] != key[:-1])).astype(np.int64) << 15
     by_size = order = np.argsort(group + n, kind="stable")
-    n, place, parity, q, group, (fold, more_low, more_high) = n[order], place[order], parity[order], q[order], group[order], further[:, order]
+    n, place, parity, q, group, fold = n[order], place[order], parity[order], q[order], group[order], high[order]
     # The entries behind an entry that are at most 5/4 as large.
     reach = np.searchsorted(group + n, group + np.minimum(n * 5 // 4, MANY), side="right") - np.arange(len(n)) - 1
     cut = np.concatenate([[0], np.cumsum(reach)])
@@ -262,12 +257,7 @@ def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray,
             many = n[b] == MANY
             ok = np.flatnonzero(many | (np.minimum(rest[a], rest[b]) >= need))
             a, b, both, need, many = a[ok], b[ok], both[ok], need[ok], many[ok]
-            low_, high_ = parity[a] ^ parity[b], fold[a] ^ fold[b]
-            flips = np.bitwise_count(low_).astype(np.int64) + np.bitwise_count(high_)
-            long = np.flatnonzero(np.minimum(n[a], n[b]) >= WIDE)
-            for x, more in ((low_, more_low), (high_, more_high)):
-                upper = more[a[long]] ^ more[b[long]]
-                flips[long] += np.bitwise_count(x[long] ^ upper).astype(np.int64) + np.bitwise_count(upper) - np.bitwise_count(x[long])
+            flips = np.bitwise_count(parity[a] ^ parity[b]).astype(np.int64) + np.bitwise_count(fold[a] ^ fold[b])
             ok = many | (flips <= both - 2 * need)
             a, b = a[ok], b[ok]
             ahead = q[a] <= q[b]
@@ -315,7 +305,7 @@ def _paired(most: int | None, ordered: bool, first_few: int):
                 yield as_is(rows[:, size > most])
             rows = rows[:, (size > 1) & (size <= most) if most is not None else size > 1]
             bits = rows.view(np.uint64)
-            for later, earlier, more, keys in _compared(rows[0], bits[1], rows[2], bits[3], bits[4:], ordered, first_few):
+            for later, earlier, more, keys in _compared(rows[0], bits[1], rows[2], bits[3], bits[4], ordered, first_few):
                 if most is not None and len(keys):
                     yield as_is(rows[:, np.isin(rows[0], keys)], 2)
                 pairs = np.zeros((len(NUMBERS), len(later)), np.int64)
@@ -463,7 +453,7 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     found = stored(gone_lines(docs, doc_id, text, least).where(F.size("gone") > 0).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone")))
     # The row travels as one struct, so its columns cannot clash with those made here.
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    rows = rows.withColumn("t", F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_h")), "left")
+    rows = rows.withColumn("t", F.xxhash64(F.coalesce("text", F.lit("")))).join(found.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_h")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(F.col("_gone"), k)), "\n")
     rows = rows.withColumn("left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     rows = rows.where(F.col("_gone").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))

@@ -176,7 +176,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     own = groups(marked, "at", "text", **options)
     kept = own.groupBy("component_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("n"))
     kept = stored(kept.select(F.col("component_id.id").alias("id2"), F.col("component_id.row").alias("row2"), "n"))
-    found = rows.select("whole", "id", "row").join(kept, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")))
+    found = rows.select("whole", "id", "row").join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")))
     out = found.where("n = 1").select("whole")
     # Only rows repeated in every column share an id and a hash; few inputs have any.
     if kept.where("n > 1").take(1):
