@@ -143,10 +143,10 @@ def scored_candidates(loci: DataFrame, elements: DataFrame, tss: DataFrame, max_
 
     ``loci``: ``locus_id, chrom, pos, candidate_genes, effector``; ``elements``: ``chrom, mid,
     key``; ``tss``: ``gene_id, gene_chrom, tss``. Distance runs from the anchor to the TSS, or to
-    the locus when the gene lies on another chromosome or has no TSS.
+    the locus when the gene lies on another chromosome or has no TSS. A locus without a candidate has no row.
     """
     anchored = nearest_join(loci, elements, max_distance=max_anchor, key_out="anchor", pos_out="anchor_mid", distance="anchor_dist")
-    listed = anchored.select("*", F.posexplode(F.split("candidate_genes", ";")).alias("cand_no", "gene_id"))
+    listed = anchored.select("*", F.posexplode(F.split("candidate_genes", ";")).alias("cand_no", "gene_id")).where("gene_id <> ''")
     placed = listed.join(tss, "gene_id", "left")
     away = F.when(F.col("gene_chrom") == F.col("chrom"), F.abs(F.col("anchor_mid") - F.col("tss")))
     return placed.withColumn("gene_dist", F.coalesce(away, F.abs(F.col("anchor_mid") - F.col("pos"))))
