@@ -25,18 +25,19 @@ _LOWER[65:91] += 32
 STEP_BYTES = 1 << 20
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, parts: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
     This cuts the lineage: a lost executor costs no more than the tasks it held. The tables stay until
     the folder is emptied. Without ``spark.checkpoint.dir`` (a local session) a reliable checkpoint is
-    made where the session helper says.
+    made where the session helper says. ``parts`` names a column of few values: a read that filters on it
+    opens the files of those values only.
     """
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         return _checkpoint_folder_of(df)
     path = f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(parts) if parts else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

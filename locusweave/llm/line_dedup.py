@@ -205,8 +205,11 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     # Lines and entries share one pass and one shuffle: entries go by their word, lines anywhere.
     made = rows.mapInArrow(cut, flat)
     key = F.when(F.col("line").isNull(), _key()).otherwise(F.xxhash64("q"))
-    made = stored(made.repartition(key).sortWithinPartitions(_key()).mapInArrow(_paired(BLOCK, ordered, FIRST), f"{flat}, y bigint, more int"))
-    lines = made.where("line IS NOT NULL").select("id", F.col("high").alias("h"), "line", "q", F.col("word").alias("s"), F.col("at").alias("c"))
+    made = made.repartition(key).sortWithinPartitions(_key()).mapInArrow(_paired(BLOCK, ordered, FIRST), f"{flat}, y bigint, more int")
+    # Read several times, by kind: lines, pairs, entries kept for the second pass, entries of hot words.
+    kind_of = "CASE WHEN line IS NOT NULL THEN 0 WHEN y IS NOT NULL THEN 1 WHEN more = 2 THEN 2 ELSE 3 END"
+    made = stored(made.withColumn("kind", F.expr(kind_of)), "kind")
+    lines = made.where("kind = 0").select("id", F.col("high").alias("h"), "line", "q", F.col("word").alias("s"), F.col("at").alias("c"))
     firsts = lines.groupBy("s", "c").agg(F.min(place_of()).alias("first"), F.count("*").alias("n")).where("n > 1")
     marked = lines.select("id", "h", "line", "s", "c").join(firsts.select("s", "c", "first"), ["s", "c"], "left")
     again = F.col("first").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("line") == F.col("first.line")))
@@ -215,7 +218,7 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     # Lines that stay although they had more candidates than were verified; the entries behind their words were kept.
     open_ = stored(found.where("more = 1").select(F.col("x").alias("q")).distinct().join(beaten.select("q").distinct(), "q", "left_anti"))
     if open_.take(1):
-        entries = made.where("line IS NULL AND y IS NULL").select(*FLAT)
+        entries = made.where("kind IN (2, 3)").select(*FLAT)
         beaten = stored(beaten.unionByName(verified(rows, all_candidates(entries, open_), least, kind)).distinct())
     gone = beaten.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("line").alias("line2"))
     out = marked.select("id", "h", "line", again.alias("again")).join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")) & (F.col("line") == F.col("line2")), "left")
@@ -349,8 +352,8 @@ def _key():
 
 def candidates(made: DataFrame, ordered: bool) -> DataFrame:
     """(x, y, more): candidate pairs of lines, y the earlier; ``more`` if x has further ones behind the same word."""
-    pairs = made.where("y IS NOT NULL").select(F.col("q").alias("x"), "y", "more")
-    hot = made.where("y IS NULL AND line IS NULL AND more IS NULL")
+    pairs = made.where("kind = 1").select(F.col("q").alias("x"), "y", "more")
+    hot = made.where("kind = 3")
     if not hot.take(1):
         return pairs
     blocks = hot.groupBy(_key().alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
