@@ -6,8 +6,11 @@ block kept. Then each round joins the neighbours of every node, in both directio
 one of the two is new to the list, and keeps the best of what each node had and met. A list that is full of
 links (all at or above the threshold) is saturated and its length doubles.
 
-Rounds end when few lists change. A bounded sample of nodes is then compared with all vectors; while the links
-found for it fall short of ``recall``, new trees are added, lists grow and the rounds go on.
+Rounds end when few lists change. Then nodes drawn by hash are compared with all vectors: ``AUDITED`` members of the
+dense groups below, and of the others as many as it takes to meet ``AUDITED`` that have a link (all of them, if there
+are fewer). The two shares of links found are kept apart, so that dense groups do not hide lost pairs. While one
+falls short of ``recall``, new trees are added, lists grow and the rounds go on; if the last of ``attempts`` falls short
+too, all vectors of a label are compared in tiles. The shares are logged.
 
 Lists of a dense group could grow to the group's size. From ``LONGEST`` on, the exact way takes over: the
 members of the group (a component of the links found) are dealt out in tiles of two blocks, and each tile adds up
@@ -20,6 +23,7 @@ not null; an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.llm.common import components, stored
+from locusweave.llm.simhash import forest
 
-#: First and last list length, rows of a starting block, trees, rows of a tile block, nodes of the audit, rows of a hub's share.
+log = logging.getLogger(__name__)
+
+#: First and last list length, rows of a starting block, trees, rows of a tile block, linked nodes of the audit, rows of a hub's share.
 FIRST, LONGEST, BLOCK, TREES, TILE, AUDITED, HUB = 8, 64, 128, 5, 1024, 256, 256
 ROUNDS = 3
+#: Nodes that one step of the audit compares at most; they are broadcast.
+ASKED = 8192
 #: Rounds end when under this share of list entries is new.
 FEW = 0.01
 
@@ -174,6 +183,7 @@ def links_of(lists: DataFrame, threshold: float) -> DataFrame:
 
 
 def _tiles(threshold: float):
+    """(v, n, root): links of a tile's rows, and (without n) what joins the rows that its links join."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, cut in _groups(parts, ["component", "low", "high"]):
             ids, block, copies = (batch.column(c).to_numpy() for c in ("v", "block", "copies"))
@@ -185,56 +195,108 @@ def _tiles(threshold: float):
                 near = x[first] @ x[other].T >= threshold
                 if low[a] == high[a]:
                     np.fill_diagonal(near, False)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + first]), pa.array(near @ copies[a + other])], ["v", "n"])
+                    v, n = ids[a + first], near @ copies[a + other]
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate([a + first, a + other])]), pa.array(np.concatenate([near @ copies[a + other], copies[a + first] @ near]))], ["v", "n"])
+                    v, n = ids[np.concatenate([a + first, a + other])], np.concatenate([near @ copies[a + other], copies[a + first] @ near])
+                i, j = np.nonzero(near)
+                node, root = forest(ids[a + first[i]], ids[a + other[j]]) if len(i) else (ids[:0], ids[:0])
+                some = n > 0
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([v[some], node])), pa.array(np.concatenate([n[some], np.zeros(len(node), np.int64)])), pa.array([None] * int(some.sum()) + root.tolist(), pa.int64()),
+                ], ["v", "n", "root"])
 
     return run
 
 
-def counted_in_tiles(nodes: DataFrame, dense: DataFrame, threshold: float) -> DataFrame:
-    """(v, n): links of every node of the components in ``dense`` (component, v), by comparing whole components in tiles."""
-    sizes = dense.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    rows = dense.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+def tiled(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """(v, n, root) of the tiles of whole ``groups`` (component, v)."""
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    rows = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     rows = rows.select("component", "v", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     rows = rows.select("component", "v", "block", F.least("block", "j").alias("low"), F.greatest("block", "j").alias("high"))
     rows = rows.join(nodes.select("v", "vec", "copies"), "v").repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "v")
-    return rows.select("component", "low", "high", "v", "block", "copies", "vec").mapInArrow(_tiles(threshold), "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
+    return rows.select("component", "low", "high", "v", "block", "copies", "vec").mapInArrow(_tiles(threshold), "v bigint, n bigint, root bigint")
+
+
+def counted_in_tiles(nodes: DataFrame, dense: DataFrame, threshold: float) -> DataFrame:
+    """(v, n): links of every node of the components in ``dense`` (component, v), by comparing whole components in tiles."""
+    return tiled(nodes, dense, threshold).where("root IS NULL").groupBy("v").agg(F.sum("n").alias("n"))
+
+
+def exact_counts(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """What ``link_counts`` gives, by comparing all vectors of a label and length in tiles."""
+    found = stored(tiled(nodes, nodes.select(F.col("g").alias("component"), "v"), threshold))
+    counts = stored(found.where("root IS NULL").groupBy("v").agg(F.sum("n").alias("n")))
+    return counts, stored(components(found.where("root IS NOT NULL"), "v", "root"))
 
 
-def link_counts(nodes: DataFrame, lists: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """((v, n): copies at linked nodes; (node, component)), for nodes with links."""
+def link_counts(nodes: DataFrame, lists: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((v, n): copies at linked nodes; (node, component)), for nodes with links; (component, v) of those counted in tiles."""
     links = stored(links_of(lists, threshold))
     found = stored(components(links, "v", "u"))
     full = lists.where(saturated(threshold)).select(F.col("v").alias("node")).join(found, "node").select("component").distinct()
     dense = stored(found.join(full, "component", "left_semi").select("component", F.col("node").alias("v")))
     sparse = links.join(dense, "v", "left_anti").join(nodes.select(F.col("v").alias("u"), "copies"), "u").groupBy("v").agg(F.sum("copies").alias("n"))
-    return stored(sparse.unionByName(counted_in_tiles(nodes, dense, threshold))), found
+    return stored(sparse.unionByName(counted_in_tiles(nodes, dense, threshold))), found, dense
 
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Mean share of a node's links that were found, over a fixed number of nodes compared with all."""
-    asked = nodes.select("g", "v", "vec", F.xxhash64("v").alias("h")).orderBy("h").limit(AUDITED).toArrow().to_batches()
-    shared = nodes.sparkSession.sparkContext.broadcast(asked)  # AUDITED vectors
+def compared(nodes: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """(v, exact): the links of the nodes in ``asked`` (g, v, vec), which are broadcast and compared with all."""
+    shared = nodes.sparkSession.sparkContext.broadcast(asked.toArrow().combine_chunks().to_batches(max_chunksize=256))  # ASKED vectors at most
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
+        queries = []
+        for query in shared.value:
+            g = query.column("g").to_numpy()
+            for own in np.unique(g):
+                rows = query.take(pa.array(np.flatnonzero(g == own)))
+                queries.append((own, rows.column("v").to_numpy(), _matrix(rows.column("vec"))))
+        total = [np.zeros(len(v), np.int64) for _, v, _ in queries]
         for part in parts:
             g, v, copies = (part.column(c).to_numpy() for c in ("g", "v", "copies"))
-            for query in shared.value:
-                qg, qv = query.column("g").to_numpy(), query.column("v").to_numpy()
-                for own in np.intersect1d(g, qg):
-                    i, j = np.flatnonzero(g == own), np.flatnonzero(qg == own)
-                    near = _matrix(query.column("vec").take(pa.array(j))) @ _matrix(part.column("vec").take(pa.array(i))).T >= threshold
-                    near &= qv[j][:, None] != v[i][None]
-                    for q, n in zip(qv[j].tolist(), (near @ copies[i]).tolist(), strict=True):
-                        total[q] = total.get(q, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["v", "exact"])
-
-    exact = nodes.select("g", "v", "copies", "vec").mapInArrow(run, "v bigint, exact bigint").groupBy("v").agg(F.sum("exact").alias("exact"))
-    found = F.least("exact", F.coalesce("n", F.lit(0))) / F.col("exact")
-    share = exact.where("exact > 0").join(counts, "v", "left").agg(F.avg(found).alias("share")).first()["share"]
-    return 1.0 if share is None else share
+            own_rows = {own: np.flatnonzero(g == own) for own in np.unique(g)}
+            vectors = {own: _matrix(part.column("vec").take(pa.array(i))) for own, i in own_rows.items()}
+            for k, (own, qv, x) in enumerate(queries):
+                if own in own_rows:
+                    i = own_rows[own]
+                    a, b = np.nonzero(x @ vectors[own].T >= threshold)
+                    a, b = a[other := qv[a] != v[i[b]]], b[other]
+                    np.add.at(total[k], a, copies[i[b]])
+        if queries:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v for _, v, _ in queries])), pa.array(np.concatenate(total))], ["v", "exact"])
+
+    return stored(nodes.select("g", "v", "copies", "vec").mapInArrow(run, "v bigint, exact bigint").groupBy("v").agg(F.sum("exact").alias("exact")))
+
+
+def share_found(exact: DataFrame, counts: DataFrame) -> tuple[int, float]:
+    """Nodes with a link, and the mean share of their links that was found (1 if there are none)."""
+    share = F.avg(F.least("exact", F.coalesce("n", F.lit(0))) / F.col("exact"))
+    row = exact.where("exact > 0").join(counts, "v", "left").agg(F.count("*").alias("n"), share.alias("share")).first()
+    return row["n"], 1.0 if row["share"] is None else row["share"]
+
+
+def audit(nodes: DataFrame, counts: DataFrame, dense: DataFrame, threshold: float, seen: DataFrame | None) -> tuple[float, float, DataFrame]:
+    """Shares of links found for nodes outside and inside of ``dense``; (v, exact) of the nodes compared so far, for a later ``seen``.
+
+    Outside, nodes are compared until AUDITED with a link are met or none is left, so no link met means that there is none.
+    """
+    def drawn(rows: DataFrame, n: int) -> DataFrame:
+        return stored(rows.orderBy(F.xxhash64("v"), "v").limit(n).select("g", "v", "vec"))
+
+    inside = share_found(compared(nodes, drawn(nodes.join(dense, "v", "left_semi"), AUDITED), threshold), counts)[1] if dense.take(1) else 1.0
+    step = AUDITED
+    while True:
+        linked, outside = (0, 1.0) if seen is None else share_found(seen.join(dense, "v", "left_anti"), counts)
+        if linked >= AUDITED:
+            break
+        left = nodes.join(dense, "v", "left_anti")
+        asked = drawn(left if seen is None else left.join(seen, "v", "left_anti"), step)
+        if not asked.take(1):
+            break
+        new = compared(nodes, asked, threshold)
+        seen, step = new if seen is None else stored(seen.unionByName(new)), min(4 * step, ASKED)
+    log.info("links found: %.4f of those of %d linked nodes outside dense groups, %.4f inside", outside, linked, inside)
+    return outside, inside, seen
 
 
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, recall: float = 0.98, attempts: int = 3) -> DataFrame:
@@ -245,14 +307,20 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     nodes = stored(nodes.withColumns({"v": F.monotonically_increasing_id(), "g": F.xxhash64(F.col("label").cast("string"), F.size("vec"))}))
     n = nodes.count()
     lists = stored(best(started(nodes, FIRST, 1).withColumn("old", F.lit(0)), None))
+    seen = None
     for attempt in range(attempts):
         for _ in range(ROUNDS):
             lists = refined(nodes, lists, threshold)
             changed = lists.agg(F.sum(F.size(F.filter("list", lambda e: e["new"]))).alias("n")).first()["n"] or 0
             if changed <= FEW * n * FIRST:
                 break
-        counts, found = link_counts(nodes, lists, threshold)
-        if attempt + 1 == attempts or audit(nodes, counts, threshold) >= recall:
+        counts, found, dense = link_counts(nodes, lists, threshold)
+        outside, inside, seen = audit(nodes, counts, dense, threshold, seen)
+        if min(outside, inside) >= recall:
+            break
+        if attempt + 1 == attempts:
+            log.warning("recall of %s not reached in %d attempts: all vectors of a label are compared", recall, attempts)
+            counts, found = exact_counts(nodes, threshold)
             break
         had = lists.select("v", F.explode("list").alias("e")).select("v", F.col("e.u").alias("u"), (-F.col("e.far")).alias("cos"), F.lit(1).alias("old"))
         lists = stored(best(had.unionByName(started(nodes, FIRST, attempt + 2, 2 * TREES).withColumn("old", F.lit(0))), lists.select("v", (F.col("k") + FIRST).alias("k"))))

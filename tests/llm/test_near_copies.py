@@ -5,8 +5,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from locusweave.llm import line_dedup, neighbours, simhash
 from locusweave.llm.common import components
@@ -184,3 +186,41 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert got[None].component_id == got[9000].component_id == 9000 and got[9000].kept
     assert all(r.kept == (r.vec_id == r.component_id) for r in found if r.vec_id is not None)
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rare_lost_links_are_found_exactly(spark, monkeypatch):
+    """Few isolated pairs beside a dense group, with a search that loses them: the audit meets them and the exact way counts them."""
+    rng = np.random.default_rng(5)
+    alone = rng.normal(size=(900, 16))
+    pairs = alone[:12] + rng.normal(size=(12, 16)) * 0.01
+    dense = rng.normal(size=16) + rng.normal(size=(100, 16)) * 0.01
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(np.concatenate([alone, pairs, dense]))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    near = neighbours._best_of_blocks
+
+    def lossy(k):
+        def run(parts):
+            for b in near(k)(parts):
+                yield b.filter(pa.array(b.column("cos").to_numpy() < 0.93))
+        return run
+
+    monkeypatch.setattr(neighbours, "_best_of_blocks", lossy)
+    monkeypatch.setattr(neighbours, "refined", lambda nodes, lists, threshold: lists)
+    monkeypatch.setattr(neighbours, "TILE", 64)
+    found = {r.vec_id: r for r in neighbours.near_duplicates(df, attempts=2).collect()}
+    assert all(found[k].n_links == 1 and found[900 + k].component_id == k for k in range(12))
+    assert all(found[k].n_links == 99 and found[k].component_id == 912 for k in range(912, 1012))
+    assert all(found[k].n_links == 0 and found[k].component_id == k for k in range(12, 900))
+
+
+def test_audit_tells_lost_pairs_from_dense_groups(spark):
+    rng = np.random.default_rng(6)
+    alone = rng.normal(size=(1500, 16))
+    rows = np.concatenate([alone, alone[:10] + rng.normal(size=(10, 16)) * 0.01, rng.normal(size=16) + rng.normal(size=(500, 16)) * 0.01])
+    nodes = spark.createDataFrame([(k, 7, v.tolist(), 1) for k, v in enumerate(rows)], "v bigint, g bigint, vec array<float>, copies bigint").cache()
+    dense = nodes.where("v >= 1510").select(F.lit(1).alias("component"), "v")
+    none = dense.select("v", F.lit(499).cast("bigint").alias("n"))
+    outside, inside, seen = neighbours.audit(nodes, none, dense, 0.93, None)
+    assert outside == 0.0 and inside == 1.0 and seen.count() == 1510
+    found = none.unionByName(nodes.where("v < 10 OR v BETWEEN 1500 AND 1509").select("v", F.lit(1).cast("bigint").alias("n")))
+    assert neighbours.audit(nodes, found, dense, 0.93, seen)[:2] == (1.0, 1.0)
