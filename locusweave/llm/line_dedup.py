@@ -18,6 +18,8 @@ compared with all of theirs.
 Rarity is a count over all lines of all documents, kept in a table of 2^20 cells by word hash, so what is
 broadcast has a fixed size; any order is right, a rare-first order is fast.
 
+Lines are told apart, and put in order, by a number of their own (``numbered``), whatever the ids are.
+
 Rows: null and empty texts have no lines; very long texts and lines are taken whole; a null id comes after all
 others; rows that share id and text are one document and are cleaned alike; a document that loses all of its
 words goes, one that never had any stays; an empty table gives an empty table; other columns are kept as they are.
@@ -29,7 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.llm.common import lower, mixed, stored, text_chunks, word_hashes, words
@@ -43,7 +46,7 @@ BLOCK = 4096
 FIRST = 2
 #: Bits of the maps that tell which lines and documents to read again; fixed, and read again means only more work.
 LINE_BITS, DOC_BITS = 1 << 26, 1 << 23
-#: Line numbers from here on share a code of order.
+#: The last line number of a run of numbers.
 LINES = (1 << 20) - 1
 #: Pairs compared in one NumPy step.
 STEP = 1 << 20
@@ -157,13 +160,40 @@ NUMBERS = ["word", "q", "at", "high"]
 FLAT = [*NUMBERS, "id", "line"]
 
 
-def order_code(kind: str):
-    """(column, whether it follows the order of ids): 2^20 codes for each document, one per line."""
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        edge = 1 << 42
-        code = F.greatest(F.lit(-edge), F.least(F.lit(edge), F.col("id").cast("long")))
-        return F.coalesce(code, F.lit(edge)) * (LINES + 1), True
-    return F.shiftleft(F.shiftright(F.xxhash64("id", "h"), 20), 20), False
+def numbered(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` (id, text, h) with ``o``, the number of the first line of a row's document, and whether documents repeat.
+
+    Line k of a document is ``o`` + k: a number of its own, in the order of lines. Whole-number ids within 2^42 of which
+    none is null, has two texts or more than 2^20 lines tell it themselves; other documents are counted in their order.
+    """
+    kind = dict(rows.dtypes)["id"]
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    # Line feeds, counted only where there may be too many.
+    size = F.octet_length("text")
+    size = F.when(size > LINES, size - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))).otherwise(0).cast("long")
+    documents = rows.groupBy("id", "h").agg(F.count("*").alias("n"), F.max(size).alias("size"))
+    ids = documents.groupBy("id").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.max("size").alias("size"))
+    edge = 1 << 42
+    far = ~F.col("id").between(-edge, edge - 1) if whole else F.lit(True)
+    found = ids.agg(F.max("n").alias("n"), F.max((F.col("texts") > 1) | F.col("id").isNull() | far | (F.col("size") > LINES)).alias("odd")).first()
+    repeats = (found["n"] or 0) > 1
+    if not found["odd"]:
+        return rows.withColumn("o", (F.col("id").cast("long") if whole else F.lit(0).cast("long")) * (LINES + 1)), repeats
+    # A document takes as many runs of 2^20 numbers as its lines fill.
+    order = [F.col("id").isNull(), F.col("id"), F.col("h")]
+    own = documents.select("id", "h", (F.shiftright("size", 20) + 1).alias("runs"))
+    own = stored(own.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    ahead = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each partition of the sort.
+    parts = sorted((r["part"], r["runs"]) for r in own.groupBy("part").agg(F.sum("runs").alias("runs")).collect())
+    starts, total = [], 0
+    for part, runs in parts:
+        starts.append((part, total))
+        total += runs
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, start bigint"))
+    own = own.join(starts, "part").withColumn("o", (F.col("start") + F.coalesce(F.sum("runs").over(ahead), F.lit(0))) * (LINES + 1))
+    own = own.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "o")
+    return stored(rows.join(own, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))).select("id", "text", "h", "o")), repeats
 
 
 def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -171,8 +201,7 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.where(F.length("text") > 0).withColumn("h", F.xxhash64("text"))
     kind = dict(rows.dtypes)["id"]
-    code, ordered = order_code(kind)
-    rows = rows.withColumn("o", code)
+    rows, repeats = numbered(rows)
     level = docs.sparkSession.sparkContext.broadcast(rarity(rows, "text"))
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +212,7 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
                 own = Lines(data, offsets, least)
                 if not len(own.doc):
                     continue
-                s, q = own.set_hash(), order[at:to][own.doc] + np.minimum(own.number, LINES)
+                s, q = own.set_hash(), order[at:to][own.doc] + own.number
                 # A set that this task has met at an earlier place has its entries already.
                 new = np.zeros(len(s), bool)
                 for k in np.lexsort((q, s)).tolist():
@@ -205,7 +234,7 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     # Lines and entries share one pass and one shuffle: entries go by their word, lines anywhere.
     made = rows.mapInArrow(cut, flat)
     key = F.when(F.col("line").isNull(), _key()).otherwise(F.xxhash64("q"))
-    made = made.repartition(key).sortWithinPartitions(_key()).mapInArrow(_paired(BLOCK, ordered, FIRST), f"{flat}, y bigint, more int")
+    made = made.repartition(key).sortWithinPartitions(_key()).mapInArrow(_paired(BLOCK, FIRST), f"{flat}, y bigint, more int")
     # Read several times, by kind: lines, pairs, entries kept for the second pass, entries of hot words.
     kind_of = "CASE WHEN line IS NOT NULL THEN 0 WHEN y IS NOT NULL THEN 1 WHEN more = 2 THEN 2 ELSE 3 END"
     made = stored(made.withColumn("kind", F.expr(kind_of)), "kind")
@@ -213,13 +242,13 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     firsts = lines.groupBy("s", "c").agg(F.min(place_of()).alias("first"), F.count("*").alias("n")).where("n > 1")
     marked = lines.select("id", "h", "line", "s", "c").join(firsts.select("s", "c", "first"), ["s", "c"], "left")
     again = F.col("first").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("line") == F.col("first.line")))
-    found = candidates(made, ordered)
-    beaten = stored(verified(rows, found.select("x", "y").distinct(), least, kind))
+    found = candidates(made)
+    beaten = stored(verified(rows, found.select("x", "y").distinct(), least, kind, repeats))
     # Lines that stay although they had more candidates than were verified; the entries behind their words were kept.
     open_ = stored(found.where("more = 1").select(F.col("x").alias("q")).distinct().join(beaten.select("q").distinct(), "q", "left_anti"))
     if open_.take(1):
         entries = made.where("kind IN (2, 3)").select(*FLAT)
-        beaten = stored(beaten.unionByName(verified(rows, all_candidates(entries, open_), least, kind)).distinct())
+        beaten = stored(beaten.unionByName(verified(rows, all_candidates(entries, open_), least, kind, repeats)).distinct())
     gone = beaten.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("line").alias("line2"))
     out = marked.select("id", "h", "line", again.alias("again")).join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")) & (F.col("line") == F.col("line2")), "left")
     return out.select("id", "h", "line", (F.col("again") | F.col("line2").isNotNull()).alias("gone"))
@@ -230,7 +259,7 @@ def place_of():
     return F.struct(F.col("id").isNull().alias("none"), "id", "h", "line")
 
 
-def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray, high: np.ndarray, ordered: bool, first_few: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray, high: np.ndarray, first_few: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(later, earlier, more, keys): the earliest candidates of each later entry of a key, and keys where some had more.
 
     Rows of a key lie together.
@@ -263,12 +292,12 @@ def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray,
             flips = np.bitwise_count(parity[a] ^ parity[b]).astype(np.int64) + np.bitwise_count(fold[a] ^ fold[b])
             ok = many | (flips <= both - 2 * need)
             a, b = a[ok], b[ok]
+            # Rows that repeat a document bring its lines twice.
+            other = q[a] != q[b]
+            a, b = a[other], b[other]
             ahead = q[a] <= q[b]
             later.append(np.where(ahead, b, a))
             earlier.append(np.where(ahead, a, b))
-            if not ordered:
-                later.append(earlier[-1])
-                earlier.append(later[-2])
         first = last
     later, earlier = np.concatenate(later), np.concatenate(earlier)
     if len(later):
@@ -283,7 +312,7 @@ def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray,
         yield later, earlier, more, cut_short
 
 
-def _paired(most: int | None, ordered: bool, first_few: int):
+def _paired(most: int | None, first_few: int):
     """Partitions sorted by word -> candidate pairs.
 
     Lines, entries of a word with over ``most`` entries, and (marked with 2) entries of a word behind which a line had
@@ -308,7 +337,7 @@ def _paired(most: int | None, ordered: bool, first_few: int):
                 yield as_is(rows[:, size > most])
             rows = rows[:, (size > 1) & (size <= most) if most is not None else size > 1]
             bits = rows.view(np.uint64)
-            for later, earlier, more, keys in _compared(rows[0], bits[1], rows[2], bits[3], bits[4], ordered, first_few):
+            for later, earlier, more, keys in _compared(rows[0], bits[1], rows[2], bits[3], bits[4], first_few):
                 if most is not None and len(keys):
                     yield as_is(rows[:, np.isin(rows[0], keys)], 2)
                 pairs = np.zeros((len(NUMBERS), len(later)), np.int64)
@@ -350,7 +379,7 @@ def _key():
     return F.shiftright("word", 24)
 
 
-def candidates(made: DataFrame, ordered: bool) -> DataFrame:
+def candidates(made: DataFrame) -> DataFrame:
     """(x, y, more): candidate pairs of lines, y the earlier; ``more`` if x has further ones behind the same word."""
     pairs = made.where("kind = 1").select(F.col("q").alias("x"), "y", "more")
     hot = made.where("kind = 3")
@@ -360,7 +389,7 @@ def candidates(made: DataFrame, ordered: bool) -> DataFrame:
     hot = hot.join(blocks, _key() == F.col("k")).withColumn("own", F.pmod(F.xxhash64("q"), F.col("n")).cast("long"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least("own", j) * (1 << 31) + F.greatest(F.col("own"), j)))
     hot = hot.select(*FLAT, tile.alias("tile")).repartition(_key(), "tile").sortWithinPartitions(_key(), "tile")
-    tiled = hot.mapInArrow(_paired(None, ordered, FIRST), made.select(*FLAT, "y", "more").schema)
+    tiled = hot.mapInArrow(_paired(None, FIRST), made.select(*FLAT, "y", "more").schema)
     return stored(pairs.unionByName(tiled.select(F.col("q").alias("x"), "y", "more")))
 
 
@@ -409,7 +438,7 @@ def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def verified(rows: DataFrame, pairs: DataFrame, least: int, kind: str) -> DataFrame:
+def verified(rows: DataFrame, pairs: DataFrame, least: int, kind: str, repeats: bool) -> DataFrame:
     """(q, id, h, line): lines that match an earlier one of their pair."""
     pairs = stored(pairs)
     involved = pairs.select(F.col("x").alias("q")).unionByName(pairs.select(F.col("y").alias("q")))
@@ -418,13 +447,15 @@ def verified(rows: DataFrame, pairs: DataFrame, least: int, kind: str) -> DataFr
 
     def bring(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            part = part.filter(pa.array(in_map(in_docs.value, part.column("o").to_numpy())))
+            # A document that may have more than one run of numbers is always read.
+            many = pc.greater(pc.binary_length(part.column("text").cast(pa.large_string())), LINES).to_numpy(zero_copy_only=False)
+            part = part.filter(pa.array(in_map(in_docs.value, part.column("o").to_numpy()) | many))
             order = part.column("o").to_numpy()
             for at, to, data, offsets in text_chunks(part.column("text")):
                 own = Lines(data, offsets, least)
                 if not len(own.doc):
                     continue
-                q = order[at:to][own.doc] + np.minimum(own.number, LINES)
+                q = order[at:to][own.doc] + own.number
                 hit = np.flatnonzero(in_map(in_lines.value, q))
                 size = own.size[hit]
                 ends = np.concatenate([[0], np.cumsum(size)])
@@ -435,9 +466,10 @@ def verified(rows: DataFrame, pairs: DataFrame, least: int, kind: str) -> DataFr
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(own.word[index].view(np.int64))),
                 ], ["q", "id", "h", "line", "words"])
 
-    # Every line whose bit is set comes; the joins keep those that are asked for. Rows that share id and text bring a line twice.
+    # Every line whose bit is set comes; the joins keep those that are asked for. Rows that share id and text bring a line twice; one is kept.
     sets = rows.select("id", "h", "o", "text").mapInArrow(bring, f"q bigint, id {kind}, h bigint, line int, words array<bigint>")
-    sets = stored(sets.join(involved.distinct(), "q", "left_semi").select("q", place_of().alias("p"), "words"))
+    sets = sets.join(involved.distinct(), "q", "left_semi").select("q", place_of().alias("p"), "words")
+    sets = stored(sets.dropDuplicates(["q"]) if repeats else sets)
     full = pairs.join(sets.select(F.col("q").alias("x"), F.col("p").alias("p1"), F.col("words").alias("w1")), "x")
     full = full.join(sets.select(F.col("q").alias("y"), F.col("p").alias("p2"), F.col("words").alias("w2")), "y").where("p1 <> p2")
     full = full.where(F.size(F.array_intersect("w1", "w2")) * 9 >= (F.size("w1") + F.size("w2")) * 4)

@@ -224,3 +224,27 @@ def test_audit_tells_lost_pairs_from_dense_groups(spark):
     assert outside == 0.0 and inside == 1.0 and seen.count() == 1510
     found = none.unionByName(nodes.where("v < 10 OR v BETWEEN 1500 AND 1509").select("v", F.lit(1).cast("bigint").alias("n")))
     assert neighbours.audit(nodes, found, dense, 0.93, seen)[:2] == (1.0, 1.0)
+
+
+@pytest.mark.parametrize("kind", ["null", "far", "repeated", "string"])
+def test_lines_of_any_ids(spark, monkeypatch, kind):
+    """Lines of documents with null, 64-bit, repeated or text ids are told apart and put in the order of ids."""
+    monkeypatch.setattr(line_dedup, "FIRST", 1)
+    rng = random.Random(17)
+    pool = [[f"{kind}{k}w{j}" for j in range(10)] for k in range(6)]
+    rows = []
+    for k in range(60):
+        lines = []
+        for _ in range(3):
+            words = list(rng.choice(pool))
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                words[rng.randrange(10)] = f"new{rng.randrange(12)}"
+            lines.append(" ".join(words))
+        i = {"null": None if k % 3 else k, "far": (1 << 60) + 7919 * k * (-1) ** k, "repeated": k % 5, "string": f"id{k * 37 % 60}"}[kind]
+        rows += [(i, "\n".join(lines))] * (2 if k % 7 == 0 else 1)
+    docs = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'string' else 'bigint'}, text string").repartition(5)
+    signed = lambda text: (xxhash.xxh64_intdigest(text.encode(), 42) + 2**63) % 2**64 - 2**63
+    ordered = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or (0 if kind != "string" else ""), signed(r[1])))
+    want = {(ordered[n][0], signed(ordered[n][1])): gone for (n, _), gone in brute_lines([(n, r[1]) for n, r in enumerate(ordered)]).items()}
+    found = {(r.id, r.h): list(r.gone) for r in line_dedup.gone_lines(docs).collect() if r.gone}
+    assert found == want
