@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusweave.llm import bpe, language_id, line_dedup, mixing, neighbours, quality_classifier, quality_rules, simhash, token_counts, toxicity
+from locusweave.llm import bpe, language_id, line_dedup, mixing, neighbours, quality_classifier, quality_rules, secret_scan, simhash, token_counts, toxicity
 from locusweave.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,11 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(table(spark, folder, "documents"))
+
+
+ORACLES["op11_secret_scan"] = secret_scan.SQL

@@ -25,5 +25,5 @@ def test_registered():
     from locusweave.llm import queries
 
     names = entry.queries()
-    assert [n for n in names if n.startswith("op")] == [*queries.QUERIES] and sorted({n.split("_")[0] for n in queries.QUERIES}) == sorted(f"op{k}" for k in range(1, 11))
+    assert [n for n in names if n.startswith("op")] == [*queries.QUERIES] and sorted({n.split("_")[0] for n in queries.QUERIES}) == sorted(f"op{k}" for k in range(1, len(queries.QUERIES) + 1))
     assert names["pipeline"] is corpus_pipeline.run and set(queries.ORACLES) <= set(names)
