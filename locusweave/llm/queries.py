@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusweave.llm import bpe, language_id, line_dedup, mixing, neighbours, quality_classifier, quality_rules, secret_scan, simhash, token_counts, toxicity
+from locusweave.llm import bpe, language_id, line_dedup, mixing, neighbours, quality_classifier, quality_rules, secret_scan, simhash, token_counts, toxicity, whitening
 from locusweave.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op11_secret_scan"] = secret_scan.SQL
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
