@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusweave.llm import bpe, language_id, line_dedup, mixing, neighbours, quality_classifier, quality_rules, secret_scan, simhash, token_counts, toxicity, whitening
+from locusweave.llm import bpe, hard_negatives, language_id, line_dedup, mixing, neighbours, quality_classifier, quality_rules, secret_scan, simhash, token_counts, toxicity, whitening
 from locusweave.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,13 @@ ORACLES["op11_secret_scan"] = secret_scan.SQL
 @query
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = hard_negatives.SQL
