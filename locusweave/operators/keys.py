@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key with more rows than this, and more than this share of all rows, is spread over several tasks.
 HOT_ROWS = 1_000_000
@@ -19,41 +20,88 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, F.expr(condition), how).drop(*[f"__r_{k}" for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and the number of shares to cut each into.
+def hot_counts(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> dict[tuple, int]:
+    """Keys with more than ``hot_rows`` rows and the number of shares to cut each into, found by a job of its own.
 
     A key must also hold over one in ``HOT_SHARE`` of all rows, so the result has fewer than
-    ``HOT_SHARE`` rows whatever the data, which is what makes it safe to broadcast.
+    ``HOT_SHARE`` entries whatever the data, which is what makes it safe to bring it to the driver and
+    to broadcast it. Most relations have none, and then the plans that follow have no trace of it.
     """
-    counts = df.groupBy(*keys).agg(F.expr("count(1) AS _n"))
-    least = attach_single(counts, df.agg(F.expr(f"greatest(CAST({hot_rows} AS BIGINT), count(1) DIV {HOT_SHARE}) AS _least")))
-    return least.where("_n > _least").selectExpr(*[f"`{k}`" for k in keys], "CAST(ceil(_n / _least) AS INT) AS _shares")
+    counts = df.groupBy(*keys).agg(F.expr("count(1) AS _n")).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    whole = counts.agg(F.expr("coalesce(sum(_n), 0) AS n"), F.expr("coalesce(max(_n), 0) AS most")).first()
+    least = max(hot_rows, whole["n"] // HOT_SHARE)
+    if whole["most"] <= least:
+        return {}
+    return {tuple(row)[:-1]: -(-row["_n"] // least) for row in counts.where(F.col("_n") > least).collect()}
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same as a small table with the column ``_shares``."""
+    found = hot_counts(df, keys, hot_rows)
+    return hot_table(df, keys, {k: (n,) for k, n in found.items()}, ["_shares"])
+
+
+def hot_table(like: DataFrame, keys: Sequence[str], found: dict[tuple, tuple], names: Sequence[str]) -> DataFrame:
+    """A local table of keys and numbers."""
+    schema = T.StructType([like.schema[k] for k in keys] + [T.StructField(n, T.IntegerType()) for n in names])
+    return like.sparkSession.createDataFrame([(*k, *v) for k, v in found.items()], schema)
 
 
 def salted_pair(
     big: DataFrame, other: DataFrame, keys: Sequence[str], salt_on: Sequence[str],
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS, tiles_on: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Spread the hot keys of ``big`` and repeat the rows of ``other`` for them.
+    """Cut the hot keys of ``big`` into shares and repeat the rows of ``other`` for them.
 
-    Both sides gain a ``_salt`` column. The salt is a hash of ``salt_on``, so a task that is run
-    again after a lost executor puts its rows where the first run put them. Rows with a NULL key
-    match nothing and stay unsalted.
+    With ``tiles_on``, the keys that are hot in ``other`` are cut too, by a hash of those columns, and
+    each share of one side meets each share of the other in a tile of its own. That is for inner joins; for
+    the others only ``big``, whose rows are then in one place each, may be cut. Where a key is hot, both
+    sides gain salt columns, and the keys to join on are returned. The salt is a hash of ``salt_on``, so a
+    task that is run again after a lost executor puts its rows where the first run put them. Rows with a
+    NULL key match nothing and stay unsalted.
     """
-    if hot_rows is None:
-        return big, other, list(keys)
     keys = list(keys)
-    hot = F.broadcast(hot_keys(big, keys, hot_rows))
-    hashed = ", ".join(f"`{c}`" for c in salt_on)
-    salt = f"CAST(coalesce(pmod(xxhash64({hashed}), CAST(_shares AS BIGINT)), 0) AS INT) AS _salt"
-    left = big.join(hot, keys, "left").selectExpr(*[f"`{c}`" for c in big.columns], salt)
-    right = other.join(hot, keys, "left").selectExpr(
-        *[f"`{c}`" for c in other.columns], "explode(sequence(0, coalesce(_shares, 1) - 1)) AS _salt"
-    )
-    return left, right, [*keys, "_salt"]
+    if hot_rows is None:
+        return big, other, keys
+    one = hot_counts(big, keys, hot_rows)
+    two = hot_counts(other, keys, hot_rows) if tiles_on else {}
+    if not one and not two:
+        return big, other, keys
+    found = {k: (one.get(k, 1), two.get(k, 1)) for k in {**one, **two}}
+
+    def cut(df: DataFrame, own: str, across: str, hashed: Sequence[str] | None) -> DataFrame:
+        hot = F.broadcast(hot_table(df, keys, found, ["_one", "_two"]))  # bounded, see hot_counts
+        salt = f"CAST(coalesce(pmod(xxhash64({', '.join(f'`{c}`' for c in hashed)}), CAST({own} AS BIGINT)), 0) AS INT)" if hashed else "0"
+        names = {"_one": "_salt_one", "_two": "_salt_two"}
+        return df.join(hot, keys, "left").selectExpr(
+            *[f"`{c}`" for c in df.columns], f"{salt} AS {names[own]}", f"explode(sequence(0, coalesce({across}, 1) - 1)) AS {names[across]}"
+        )
+
+    return cut(big, "_one", "_two", salt_on), cut(other, "_two", "_one", tiles_on), [*keys, "_salt_one", "_salt_two"]
+
+
+def skew_join(
+    big: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner", salt_on: Sequence[str] | None = None, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """An equi-join of ``big`` with a side that was reduced on the same keys (one row per key, or few).
+
+    Adaptive execution splits a hot key only where both sides come straight from a shuffle; a side that was
+    grouped or made distinct on the key does not, and the key stays one task. Here the hot keys are
+    counted first, ``big`` is cut into shares by a hash of ``salt_on`` (all its other columns by default) and
+    the reduced rows of those keys are repeated. ``how`` is inner, left, left_semi or left_anti.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"how={how!r}")
+    salt_on = [c for c in big.columns if c not in keys] if salt_on is None else list(salt_on)
+    left, right, on = salted_pair(big, other, keys, salt_on or list(keys), hot_rows)
+    return left.join(right, on, how).drop(*[c for c in on if c not in keys])
 
 
 def attach_single(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Adds the columns of a one-row aggregate to every row, as a scalar subquery: no join at all."""
+    """Adds the columns of a one-row aggregate to every row, as a scalar subquery: no join at all.
+
+    The plan of the aggregate is part of the plan of every use, so it is for reports and the last step of a
+    plan; numbers that operators need on the way are found by a small job and passed as literals.
+    """
     packed = one_row.select(F.struct("*").alias("_one")).scalar()
     return df.select("*", packed.alias("_one")).select(*df.columns, "_one.*")

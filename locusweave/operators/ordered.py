@@ -9,12 +9,14 @@ that lie close together far from zero, the second goes on splitting where the va
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.operators.keys import attach_single, join_on
+from locusweave.operators.keys import join_on
+from locusweave.session import durable
 
 # Buckets per factor of two in magnitude.
 PER_OCTAVE = 1024
@@ -45,35 +47,50 @@ def _group(by: Sequence[str]) -> str:
     return f"struct({', '.join(f'`{k}`' for k in by)})" if by else "0"
 
 
-def _percentiles(hist: DataFrame, value: str) -> DataFrame:
-    """One row: ``_q``, 1,023 approximate percentiles of the distinct values, and ``_top``, every 32nd of them."""
-    v = f"CAST(`{value}` AS DOUBLE)"
+def fit_cuts(df: DataFrame, values: Sequence[str]) -> dict[str, list[float]]:
+    """1,023 approximate percentiles of each column, by one small job: the cuts that buckets are made of.
+
+    Cuts only decide how evenly buckets are filled, never the result. They come back as plain numbers, so
+    that a plan that uses them does not hold the plan of ``df`` a second time.
+    """
     shares = ", ".join(f"{k / _PARTS**2!r}D" for k in range(1, _PARTS**2))
-    one = hist.agg(F.expr(f"percentile_approx(CASE WHEN isnan({v}) THEN NULL ELSE {v} END, array({shares}), 10000) AS _q"))
-    return one.selectExpr("_q", f"transform(sequence(1, {_PARTS - 1}), k -> _q[{_PARTS} * k - 1]) AS _top")
+    numbers = {v: f"CAST(`{v}` AS DOUBLE)" for v in values}
+    row = df.agg(*[
+        F.expr(f"percentile_approx(CASE WHEN isnan({n}) THEN NULL ELSE {n} END, array({shares}), 10000) AS `{v}`") for v, n in numbers.items()
+    ]).first()
+    return {v: list(row[v] or []) for v in values}
+
+
+def _place(value: str, cuts: Sequence[float]) -> str:
+    """SQL for the number of cuts below a value, by two short searches."""
+    if not cuts:
+        return "-1"
 
+    def numbers(xs: Sequence[float]) -> str:
+        return f"array({', '.join(f'CAST({str(x)!r} AS DOUBLE)' if math.isinf(x) else f'{x!r}D' for x in xs)})"
 
-def _place(value: str) -> str:
-    """SQL for the number of percentiles below a value, by two short searches."""
     v = f"CAST(`{value}` AS DOUBLE)"
-    block = f"{_PARTS} * size(filter(_top, x -> x < {v}))"
-    return f"CASE WHEN _q IS NULL OR {v} IS NULL THEN -1 ELSE {block} + size(filter(slice(_q, {block} + 1, {_PARTS}), x -> x < {v})) END"
+    block = f"{_PARTS} * size(filter({numbers(cuts[_PARTS - 1 :: _PARTS])}, x -> x < {v}))"
+    return f"CASE WHEN {v} IS NULL THEN -1 ELSE {block} + size(filter(slice({numbers(cuts)}, {block} + 1, {_PARTS}), x -> x < {v})) END"
 
 
 def prefix_sums(
     hist: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), bucket: str | None = None,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Running totals in the order of ``value``, exclusive of the row itself.
 
     ``hist`` holds one row per (``by``, ``value``). For each column c of ``sums`` the result has
     ``before_c`` (sum over smaller values) and ``total_c`` (sum over the group). For values that
-    are not numbers pass SQL for a ``bucket`` that is monotone in them.
+    are not numbers pass SQL for a ``bucket`` that is monotone in them. Without ``cuts`` (of ``fit_cuts``)
+    the merged rows are stored once and the cuts fitted to them.
     """
     if bucket is None:
-        cut = attach_single(hist, _percentiles(hist, value))
-        parts = cut.selectExpr(*[f"`{c}`" for c in hist.columns], f"{_group(by)} AS _g", f"struct({_place(value)} AS p, {order_bucket(value)} AS s) AS _b")
-    else:
-        parts = hist.selectExpr("*", f"{_group(by)} AS _g", f"{bucket} AS _b")
+        if cuts is None:
+            hist = durable(hist)
+            cuts = fit_cuts(hist, [value])[value]
+        bucket = f"struct({_place(value, cuts)} AS p, {order_bucket(value)} AS s)"
+    parts = hist.selectExpr("*", f"{_group(by)} AS _g", f"{bucket} AS _b")
     earlier = "PARTITION BY _g ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offsets = (
         parts.groupBy("_g", "_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])

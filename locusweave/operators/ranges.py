@@ -5,8 +5,9 @@ of the axis to the key, so the work spreads over (chromosome, bin) and any furth
 
 * An interval is written to every bin it touches, a point to exactly one: no pair is found twice.
 * Long intervals use wider bins (a *level*), which bounds the copies of one interval. Points are copied
-  to the levels that the intervals have.
-* Bins holding very many points are cut into shares (see ``keys.salted_pair``).
+  to the levels up to that of the longest interval.
+* Bins holding very many points, or very many intervals, are cut into shares on both sides, and each
+  share meets each in a tile of its own (see ``keys.salted_pair``).
 * Where only the existence of a hit or the set of labels is asked for, overlapping intervals are
   first merged inside each bin, so a point meets at most one piece (per label).
 """
@@ -19,12 +20,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.operators.keys import HOT_ROWS, attach_single, salted_pair
+from locusweave.operators.keys import HOT_ROWS, hot_counts, hot_table, salted_pair
 
 # An interval is copied to at most this many bins of its level, plus one.
 FANOUT = 16
 _STEP = 64
-_LONGEST = 1 << 32
 
 
 def choose_widths(intervals: DataFrame, start: str, end: str, pad: float = 0) -> tuple[int, ...]:
@@ -62,13 +62,12 @@ def _interval_bins(df: DataFrame, low: str, high: str, widths: Sequence[int]) ->
     return df.where(f"{high} >= {low}").selectExpr("*", f"{level} AS _lvl").selectExpr("*", f"explode({choice}) AS _bin")
 
 
-def _point_bins(df: DataFrame, at: str, widths: Sequence[int], spans: DataFrame) -> DataFrame:
-    """One row per point and level that ``spans`` (intervals with ``_lvl``) has."""
+def _point_bins(df: DataFrame, at: str, widths: Sequence[int]) -> DataFrame:
+    """One row per point and level."""
     if len(widths) == 1:
         return df.selectExpr("*", "0 AS _lvl", f"{_bin(at, widths[0])} AS _bin")
     options = ", ".join(f"struct({i} AS _lvl, {_bin(at, w)} AS _bin)" for i, w in enumerate(widths))
-    seen = attach_single(df, spans.agg(F.collect_set("_lvl").alias("_seen")))
-    return seen.selectExpr(*_cols(df.columns), f"inline(filter(array({options}), o -> array_contains(_seen, o._lvl)))")
+    return df.selectExpr("*", f"inline(array({options}))")
 
 
 def _at(pos: str, base: int) -> str:
@@ -94,22 +93,35 @@ def _widths(bin_width: int | Sequence[int] | None, intervals: DataFrame, start:
         return choose_widths(intervals, start, end, pad)
     if not isinstance(bin_width, int):
         return tuple(bin_width)
-    # Wider levels for what is too long for the given width, up to any genome position.
+    # Wider levels for what is too long for the given width, as far as the longest interval goes.
+    longest = intervals.agg(F.max((F.col(end) - F.col(start) + F.lit(2 * pad)).cast("double"))).first()[0] or 0
     widths = [bin_width]
-    while FANOUT * widths[-1] < _LONGEST:
+    while longest > FANOUT * widths[-1]:
         widths.append(widths[-1] * _STEP)
     return tuple(widths)
 
 
+def _unions(pieces: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Overlapping and touching pieces of each group of ``part`` made one."""
+    order = f"PARTITION BY {', '.join(_cols(part))} ORDER BY _lo, _hi ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    return (
+        pieces.selectExpr("*", f"max(_hi) OVER ({order} 1 PRECEDING) AS _reach")
+        .selectExpr("*", f"sum(CASE WHEN _reach IS NULL OR _lo > _reach THEN 1 ELSE 0 END) OVER ({order} CURRENT ROW) AS _isl")
+        .groupBy(*part, "_isl").agg(F.expr("min(_lo) AS _lo"), F.expr("max(_hi) AS _hi")).drop("_isl")
+    )
+
+
 def merge_pieces(
     intervals: DataFrame, *, start: str, end: str, keys: Sequence[str], closed: str, pad: float,
-    widths: Sequence[int],
+    widths: Sequence[int], hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Disjoint pieces ``_lo.._hi`` per (keys, level, bin) covering exactly the given intervals.
 
     Intervals are clipped to the bin and made distinct before the window, so copies of one interval
     and intervals that cover the whole bin cost one row. The clip leaves one unit below the bin, so
-    that an open lower end does not lose the first position.
+    that an open lower end does not lose the first position. A union of intervals can be built from
+    unions of any shares of them: bins with more than ``hot_rows`` pieces are dealt into shares by a hash,
+    each share is merged in a task of its own, and the few pieces that each leaves are merged again.
     """
     low, high = _bounds(start, end, pad)
     ranged = intervals.selectExpr(*_cols(keys), f"{low} AS _lo", f"{high} AS _hi").where("_lo IS NOT NULL")
@@ -119,13 +131,15 @@ def merge_pieces(
     ).distinct()
     if closed == "left":
         pieces = pieces.where("_lo < _hi")
-    part = ", ".join([*_cols(keys), "_lvl", "_bin"])
-    order = f"PARTITION BY {part} ORDER BY _lo, _hi ROWS BETWEEN UNBOUNDED PRECEDING AND"
-    return (
-        pieces.selectExpr("*", f"max(_hi) OVER ({order} 1 PRECEDING) AS _reach")
-        .selectExpr("*", f"sum(CASE WHEN _reach IS NULL OR _lo > _reach THEN 1 ELSE 0 END) OVER ({order} CURRENT ROW) AS _isl")
-        .groupBy(*keys, "_lvl", "_bin", "_isl").agg(F.expr("min(_lo) AS _lo"), F.expr("max(_hi) AS _hi")).drop("_isl")
-    )
+    part = [*keys, "_lvl", "_bin"]
+    hot = hot_counts(pieces, part, hot_rows) if hot_rows is not None else {}
+    if hot:
+        shares = F.broadcast(hot_table(pieces, part, {k: (n,) for k, n in hot.items()}, ["_shares"]))  # bounded, see hot_counts
+        dealt = pieces.join(shares, part, "left").selectExpr(
+            *_cols(part), "_lo", "_hi", "CAST(coalesce(pmod(xxhash64(_lo, _hi), CAST(_shares AS BIGINT)), 0) AS INT) AS _share"
+        )
+        pieces = _unions(dealt, [*part, "_share"]).drop("_share")
+    return _unions(pieces, part)
 
 
 def point_in_interval(
@@ -147,16 +161,16 @@ def point_in_interval(
     low, high = _bounds(start, end, pad)
     if how == "inner":
         right = _interval_bins(intervals, low, high, widths)
-        left = _point_bins(points, at, widths, right)
-        left, right, on = salted_pair(left, right, [*keys, "_lvl", "_bin"], points.columns, hot_rows)
-        return left.join(right, on).where(_inside(at, low, high, closed)).drop("_lvl", "_bin", "_salt")
+        left = _point_bins(points, at, widths)
+        left, right, on = salted_pair(left, right, [*keys, "_lvl", "_bin"], points.columns, hot_rows, tiles_on=intervals.columns)
+        return left.join(right, on).where(_inside(at, low, high, closed)).drop(*[c for c in on if c not in keys])
     pieces = merge_pieces(
-        intervals, start=start, end=end, keys=keys, closed=closed, pad=pad, widths=widths
+        intervals, start=start, end=end, keys=keys, closed=closed, pad=pad, widths=widths, hot_rows=hot_rows
     )
     # Distinct positions meet the pieces; the points themselves are shuffled once, to take the flag.
     spots = points.select(*keys, pos).distinct()
     found = (
-        _point_bins(spots, at, widths, pieces).join(pieces, [*keys, "_lvl", "_bin"])
+        _point_bins(spots, at, widths).join(pieces, [*keys, "_lvl", "_bin"])
         .where(_inside(at, "_lo", "_hi", closed)).select(*keys, pos).distinct().withColumn("_found", F.lit(True))
     )
     flagged = points.join(found, [*keys, pos], "left").selectExpr(*_cols(points.columns), "coalesce(_found, false) AS hit")
@@ -183,7 +197,7 @@ def intervals_hit(
     at = _at(pos, point_base)
     low, high = _bounds(start, end, pad)
     spans = _interval_bins(intervals.select(*keys, start, end).distinct(), low, high, widths)
-    spots = _point_bins(points.selectExpr(*_cols(keys), f"{at} AS _at").distinct(), "_at", widths, spans)
+    spots = _point_bins(points.selectExpr(*_cols(keys), f"{at} AS _at").distinct(), "_at", widths)
     on = [*keys, "_lvl", "_bin"]
     spots = spots.withColumnsRenamed({k: f"_p_{k}" for k in on})
     match = " AND ".join([_inside("_at", low, high, closed), *[f"`{k}` = `_p_{k}`" for k in on]])
@@ -290,12 +304,12 @@ def annotate_labels(
     """
     widths = _widths(bin_width, intervals, start, end, 0)
     pieces = merge_pieces(
-        intervals, start=start, end=end, keys=[chrom, label], closed=closed, pad=0, widths=widths
+        intervals, start=start, end=end, keys=[chrom, label], closed=closed, pad=0, widths=widths, hot_rows=hot_rows
     )
     spots = points.select(chrom, pos).distinct()
     at = _at(pos, point_base)
     left, right, on = salted_pair(
-        _point_bins(spots, at, widths, pieces), pieces, [chrom, "_lvl", "_bin"], [pos], hot_rows
+        _point_bins(spots, at, widths), pieces, [chrom, "_lvl", "_bin"], [pos], hot_rows
     )
     found = (
         left.join(right, on).where(_inside(at, "_lo", "_hi", closed))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from locusweave.functions.tails import correlation_p, fisher_p
 from locusweave.operators.keys import attach_single
-from locusweave.operators.ordered import average_rank, prefix_sums, row_numbers
+from locusweave.operators.ordered import average_rank, fit_cuts, prefix_sums, row_numbers
 from locusweave.session import durable
 
 
@@ -19,7 +19,8 @@ def rank_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), wei
     """Centred cross moments of the average ranks of several columns, complete cases only.
 
     One row per group: ``n`` and ``m_i_j`` for every pair i <= j of positions in ``cols``. Rows
-    are first merged to distinct value tuples, so repeated tuples cost nothing.
+    are first merged to distinct value tuples, so repeated tuples cost nothing; the tuples are stored
+    once, and the cuts of all columns fitted to them in one job.
     """
     by, cols = list(by), list(cols)
     w = f"sum(`{weight}`)" if weight else "count(1)"
@@ -27,10 +28,12 @@ def rank_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), wei
     cells = df.dropna(subset=cols).selectExpr(
         f"{key} AS _key", *[f"`{c}` AS _v{i}" for i, c in enumerate(cols)], *([f"`{weight}`"] if weight else [])
     ).groupBy("_key", *[f"_v{i}" for i in range(len(cols))]).agg(F.expr(f"{w} AS _w"))
+    cells = durable(cells)
+    cuts = fit_cuts(cells, [f"_v{i}" for i in range(len(cols))])
     ranked = cells
     for i in range(len(cols)):
         hist = cells.groupBy("_key", f"_v{i}").agg(F.expr("sum(_w) AS _n"))
-        ranks = prefix_sums(hist, f"_v{i}", ["_n"], by=["_key"]).selectExpr(
+        ranks = prefix_sums(hist, f"_v{i}", ["_n"], by=["_key"], cuts=cuts[f"_v{i}"]).selectExpr(
             "_key", f"_v{i}", f"before__n + (_n - total__n) / 2.0D AS _d{i}", *(["total__n"] if i == 0 else [])
         )
         ranked = ranked.join(ranks, ["_key", f"_v{i}"])
