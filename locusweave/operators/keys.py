@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +28,21 @@ def hot_counts(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     ``HOT_SHARE`` entries whatever the data, which is what makes it safe to bring it to the driver and
     to broadcast it. Most relations have none, and then the plans that follow have no trace of it.
     """
-    counts = df.groupBy(*keys).agg(F.expr("count(1) AS _n")).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    whole = counts.agg(F.expr("coalesce(sum(_n), 0) AS n"), F.expr("coalesce(max(_n), 0) AS most")).first()
-    least = max(hot_rows, whole["n"] // HOT_SHARE)
-    if whole["most"] <= least:
-        return {}
-    return {tuple(row)[:-1]: -(-row["_n"] // least) for row in counts.where(F.col("_n") > least).collect()}
+    return hot_pair_counts([df], keys, hot_rows)[0]
+
+
+def hot_pair_counts(sides: Sequence[DataFrame], keys: Sequence[str], hot_rows: int) -> list[dict[tuple, int]]:
+    """``hot_counts`` of several relations with the same keys, all by one job (and one more where there are hot keys)."""
+    tagged = [side.select(*keys, F.lit(i).alias("_side")) for i, side in enumerate(sides)]
+    counts = reduce(DataFrame.unionByName, tagged).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys, "_side").agg(F.expr("count(1) AS _n"))
+    whole = {r["_side"]: r for r in counts.groupBy("_side").agg(F.sum("_n").alias("n"), F.max("_n").alias("most")).collect()}
+    least = {i: max(hot_rows, r["n"] // HOT_SHARE) for i, r in whole.items()}
+    found: list[dict[tuple, int]] = [{} for _ in sides]
+    if hot := [i for i, r in whole.items() if r["most"] > least[i]]:
+        tests = " OR ".join(f"(_side = {i} AND _n > {least[i]})" for i in hot)
+        for row in counts.where(tests).collect():
+            found[row["_side"]][tuple(row)[:-2]] = -(-row["_n"] // least[row["_side"]])
+    return found
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -49,7 +59,7 @@ def hot_table(like: DataFrame, keys: Sequence[str], found: dict[tuple, tuple], n
 
 def salted_pair(
     big: DataFrame, other: DataFrame, keys: Sequence[str], salt_on: Sequence[str],
-    hot_rows: int | None = HOT_ROWS, tiles_on: Sequence[str] | None = None,
+    hot_rows: int | None = HOT_ROWS, tiles_on: Sequence[str] | None = None, most: int | None = None,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Cut the hot keys of ``big`` into shares and repeat the rows of ``other`` for them.
 
@@ -58,13 +68,13 @@ def salted_pair(
     the others only ``big``, whose rows are then in one place each, may be cut. Where a key is hot, both
     sides gain salt columns, and the keys to join on are returned. The salt is a hash of ``salt_on``, so a
     task that is run again after a lost executor puts its rows where the first run put them. Rows with a
-    NULL key match nothing and stay unsalted.
+    NULL key match nothing and stay unsalted. ``most`` is a known bound of the rows of a key on either side: where
+    it is no more than ``hot_rows``, nothing needs to be counted.
     """
     keys = list(keys)
-    if hot_rows is None:
+    if hot_rows is None or (most is not None and most <= hot_rows):
         return big, other, keys
-    one = hot_counts(big, keys, hot_rows)
-    two = hot_counts(other, keys, hot_rows) if tiles_on else {}
+    one, two = hot_pair_counts([big, other], keys, hot_rows) if tiles_on else (hot_counts(big, keys, hot_rows), {})
     if not one and not two:
         return big, other, keys
     found = {k: (one.get(k, 1), two.get(k, 1)) for k in {**one, **two}}

@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,19 +29,28 @@ FANOUT = 16
 _STEP = 64
 
 
+@dataclass(frozen=True)
+class Extent:
+    """Rows of a relation and, for intervals, their longest length and the length that nine in ten have at most."""
+
+    rows: int
+    longest: float = 0.0
+    usual: float = 0.0
+
+
+def extents(*sides: tuple[DataFrame, str | None, str | None, float]) -> list[Extent]:
+    """Measures relations ``(df, start, end, pad)`` (no bounds: points) by one small job: three numbers of each come back."""
+    parts = []
+    for i, (df, start, end, pad) in enumerate(sides):
+        length = (F.col(end) - F.col(start) + F.lit(2 * pad)).cast("double") if start else F.lit(0.0)
+        parts.append(df.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest"), F.percentile_approx(length, 0.9, 1000).alias("usual")).withColumn("i", F.lit(i)))
+    rows = {r["i"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
+    return [Extent(rows[i]["n"], rows[i]["longest"] or 0.0, rows[i]["usual"] or 0.0) for i in range(len(sides))]
+
+
 def choose_widths(intervals: DataFrame, start: str, end: str, pad: float = 0) -> tuple[int, ...]:
-    """Bin widths for a set of intervals from one small aggregate (two numbers come back)."""
-    length = (F.col(end) - F.col(start) + F.lit(2 * pad)).cast("double")
-    row = intervals.agg(
-        F.percentile_approx(length, 0.9, 1000).alias("p90"), F.max(length).alias("longest")
-    ).first()
-    width = 1024
-    while width < (row["p90"] or 0):
-        width *= 2
-    widths = [width]
-    while (row["longest"] or 0) > FANOUT * widths[-1]:
-        widths.append(widths[-1] * _STEP)
-    return tuple(widths)
+    """Bin widths for a set of intervals from one small aggregate."""
+    return _widths(None, extents((intervals, start, end, pad))[0])
 
 
 def _cols(names: Sequence[str]) -> list[str]:
@@ -88,15 +99,14 @@ def _inside(at: str, low: str, high: str, closed: str) -> str:
     raise ValueError(f"closed={closed!r}")
 
 
-def _widths(bin_width: int | Sequence[int] | None, intervals: DataFrame, start: str, end: str, pad: float) -> tuple[int, ...]:
-    if bin_width is None:
-        return choose_widths(intervals, start, end, pad)
-    if not isinstance(bin_width, int):
+def _widths(bin_width: int | Sequence[int] | None, size: Extent) -> tuple[int, ...]:
+    """The given width, or one that suits most intervals, and wider levels as far as the longest interval goes."""
+    if bin_width is not None and not isinstance(bin_width, int):
         return tuple(bin_width)
-    # Wider levels for what is too long for the given width, as far as the longest interval goes.
-    longest = intervals.agg(F.max((F.col(end) - F.col(start) + F.lit(2 * pad)).cast("double"))).first()[0] or 0
-    widths = [bin_width]
-    while longest > FANOUT * widths[-1]:
+    widths = [bin_width or 1024]
+    while bin_width is None and widths[0] < size.usual:
+        widths[0] *= 2
+    while size.longest > FANOUT * widths[-1]:
         widths.append(widths[-1] * _STEP)
     return tuple(widths)
 
@@ -113,7 +123,7 @@ def _unions(pieces: DataFrame, part: Sequence[str]) -> DataFrame:
 
 def merge_pieces(
     intervals: DataFrame, *, start: str, end: str, keys: Sequence[str], closed: str, pad: float,
-    widths: Sequence[int], hot_rows: int | None = HOT_ROWS,
+    widths: Sequence[int], hot_rows: int | None = HOT_ROWS, most: int | None = None,
 ) -> DataFrame:
     """Disjoint pieces ``_lo.._hi`` per (keys, level, bin) covering exactly the given intervals.
 
@@ -132,7 +142,7 @@ def merge_pieces(
     if closed == "left":
         pieces = pieces.where("_lo < _hi")
     part = [*keys, "_lvl", "_bin"]
-    hot = hot_counts(pieces, part, hot_rows) if hot_rows is not None else {}
+    hot = {} if hot_rows is None or (most is not None and most <= hot_rows) else hot_counts(pieces, part, hot_rows)
     if hot:
         shares = F.broadcast(hot_table(pieces, part, {k: (n,) for k, n in hot.items()}, ["_shares"]))  # bounded, see hot_counts
         dealt = pieces.join(shares, part, "left").selectExpr(
@@ -147,25 +157,27 @@ def point_in_interval(
     start: str = "start", end: str = "end", by: Sequence[str] = (), closed: str = "both",
     point_base: int = 0, pad: float = 0, how: str = "inner",
     bin_width: int | Sequence[int] | None = None, hot_rows: int | None = HOT_ROWS,
+    sizes: tuple[Extent, Extent] | None = None,
 ) -> DataFrame:
     """Points against intervals that contain them.
 
     ``how``: ``inner`` gives all pairs; ``semi``, ``anti`` and ``flag`` (a boolean ``hit``) keep
     each point once. ``by`` are further equality keys present on both sides. A 1-based point on
     0-based half-open intervals is ``closed="left", point_base=1``. Without ``bin_width`` the
-    widths come from the interval lengths.
+    widths come from the interval lengths. ``sizes`` are the extents of both sides where they are known.
     """
     keys = [*by, chrom]
-    widths = _widths(bin_width, intervals, start, end, pad)
+    sizes = sizes or tuple(extents((points, None, None, 0), (intervals, start, end, pad)))
+    widths = _widths(bin_width, sizes[1])
     at = _at(pos, point_base)
     low, high = _bounds(start, end, pad)
     if how == "inner":
         right = _interval_bins(intervals, low, high, widths)
         left = _point_bins(points, at, widths)
-        left, right, on = salted_pair(left, right, [*keys, "_lvl", "_bin"], points.columns, hot_rows, tiles_on=intervals.columns)
+        left, right, on = salted_pair(left, right, [*keys, "_lvl", "_bin"], points.columns, hot_rows, tiles_on=intervals.columns, most=max(s.rows for s in sizes))
         return left.join(right, on).where(_inside(at, low, high, closed)).drop(*[c for c in on if c not in keys])
     pieces = merge_pieces(
-        intervals, start=start, end=end, keys=keys, closed=closed, pad=pad, widths=widths, hot_rows=hot_rows
+        intervals, start=start, end=end, keys=keys, closed=closed, pad=pad, widths=widths, hot_rows=hot_rows, most=sizes[1].rows
     )
     # Distinct positions meet the pieces; the points themselves are shuffled once, to take the flag.
     spots = points.select(*keys, pos).distinct()
@@ -193,7 +205,7 @@ def intervals_hit(
     one position nor many rows with one interval multiply the work.
     """
     keys = [*by, chrom]
-    widths = _widths(bin_width, intervals, start, end, pad)
+    widths = _widths(bin_width, extents((intervals, start, end, pad))[0])
     at = _at(pos, point_base)
     low, high = _bounds(start, end, pad)
     spans = _interval_bins(intervals.select(*keys, start, end).distinct(), low, high, widths)
@@ -224,11 +236,12 @@ def interval_overlap(
     The join is split into the two exclusive cases "b starts inside a" and "a starts inside b, after
     its start", each of which handles any interval length. ``bin_width`` is the narrowest level.
     """
+    of_a, of_b = extents((a, a_start, a_end, 0), (b, b_start, b_end, 0))
     first = point_in_interval(
-        b, a, chrom=chrom, pos=b_start, start=a_start, end=a_end, by=by, hot_rows=hot_rows, bin_width=bin_width
+        b, a, chrom=chrom, pos=b_start, start=a_start, end=a_end, by=by, hot_rows=hot_rows, bin_width=bin_width, sizes=(of_b, of_a)
     ).where(F.col(b_end) >= F.col(b_start))
     second = point_in_interval(
-        a, b, chrom=chrom, pos=a_start, start=b_start, end=b_end, by=by, closed="right", hot_rows=hot_rows, bin_width=bin_width
+        a, b, chrom=chrom, pos=a_start, start=b_start, end=b_end, by=by, closed="right", hot_rows=hot_rows, bin_width=bin_width, sizes=(of_a, of_b)
     ).where(F.col(a_end) >= F.col(a_start))
     return first.unionByName(second)
 
@@ -302,14 +315,16 @@ def annotate_labels(
     Positions are made distinct and intervals merged per label first, so a position meets at most
     one piece per label whatever the depth of the annotation.
     """
-    widths = _widths(bin_width, intervals, start, end, 0)
+    of_points, of_intervals = extents((points, None, None, 0), (intervals, start, end, 0))
+    widths = _widths(bin_width, of_intervals)
     pieces = merge_pieces(
-        intervals, start=start, end=end, keys=[chrom, label], closed=closed, pad=0, widths=widths, hot_rows=hot_rows
+        intervals, start=start, end=end, keys=[chrom, label], closed=closed, pad=0, widths=widths, hot_rows=hot_rows, most=of_intervals.rows
     )
     spots = points.select(chrom, pos).distinct()
     at = _at(pos, point_base)
     left, right, on = salted_pair(
-        _point_bins(spots, at, widths), pieces, [chrom, "_lvl", "_bin"], [pos], hot_rows
+        _point_bins(spots, at, widths), pieces, [chrom, "_lvl", "_bin"], [pos], hot_rows,
+        tiles_on=[label, "_lo", "_hi"], most=max(of_points.rows, of_intervals.rows),
     )
     found = (
         left.join(right, on).where(_inside(at, "_lo", "_hi", closed))

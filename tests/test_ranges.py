@@ -161,11 +161,11 @@ def test_orientations_and_widths(spark, frames):
 def test_a_long_interval_has_few_copies():
     from pyspark.sql import SparkSession
 
-    from locusweave.operators.ranges import _interval_bins, _widths
+    from locusweave.operators.ranges import _interval_bins, _widths, extents
 
     spark = SparkSession.getActiveSession()
     df = spark.createDataFrame([(0, 250_000_000), (5, 2_000), (10, 4_000_000_000)], "s long, e long")
-    widths = _widths(1024, df, "s", "e", 0)
+    widths = _widths(1024, extents((df, "s", "e", 0))[0])
     copies = {r.e: r.n for r in _interval_bins(df, "s", "e", widths).groupBy("e").count().withColumnRenamed("count", "n").collect()}
     assert set(copies) == {250_000_000, 2_000, 4_000_000_000} and max(copies.values()) <= 17
 
