@@ -22,8 +22,8 @@ from locusweave.session import durable
 PER_OCTAVE = 1024
 # Larger than the most negative bucket exponent of a double.
 _SHIFT = 1100
-# Percentiles are looked up in blocks of this many, of as many blocks.
-_PARTS = 32
+# One more than the number of percentiles that cut the values.
+_PARTS = 1024
 
 
 def order_bucket(value: str, per_octave: int = PER_OCTAVE) -> str:
@@ -53,7 +53,7 @@ def fit_cuts(df: DataFrame, values: Sequence[str]) -> dict[str, list[float]]:
     Cuts only decide how evenly buckets are filled, never the result. They come back as plain numbers, so
     that a plan that uses them does not hold the plan of ``df`` a second time.
     """
-    shares = ", ".join(f"{k / _PARTS**2!r}D" for k in range(1, _PARTS**2))
+    shares = ", ".join(f"{k / _PARTS!r}D" for k in range(1, _PARTS))
     numbers = {v: f"CAST(`{v}` AS DOUBLE)" for v in values}
     row = df.agg(*[
         F.expr(f"percentile_approx(CASE WHEN isnan({n}) THEN NULL ELSE {n} END, array({shares}), 10000) AS `{v}`") for v, n in numbers.items()
@@ -61,17 +61,24 @@ def fit_cuts(df: DataFrame, values: Sequence[str]) -> dict[str, list[float]]:
     return {v: list(row[v] or []) for v in values}
 
 
-def _place(value: str, cuts: Sequence[float]) -> str:
-    """SQL for the number of cuts below a value, by two short searches."""
-    if not cuts:
-        return "-1"
-
-    def numbers(xs: Sequence[float]) -> str:
-        return f"array({', '.join(f'CAST({str(x)!r} AS DOUBLE)' if math.isinf(x) else f'{x!r}D' for x in xs)})"
+def with_place(df: DataFrame, value: str, cuts: Sequence[float], out: str) -> DataFrame:
+    """Adds the number of cuts below a value (-1 for NULL), by a binary search of one column per halving.
 
-    v = f"CAST(`{value}` AS DOUBLE)"
-    block = f"{_PARTS} * size(filter({numbers(cuts[_PARTS - 1 :: _PARTS])}, x -> x < {v}))"
-    return f"CASE WHEN {v} IS NULL THEN -1 ELSE {block} + size(filter(slice({numbers(cuts)}, {block} + 1, {_PARTS}), x -> x < {v})) END"
+    Each step reads the one before it twice, so the steps stay projections of their own in the compiled stage.
+    """
+    if not cuts:
+        return df.withColumn(out, F.lit(-1))
+    step = 1
+    while 2 * step <= len(cuts):
+        step *= 2
+    numbers = [*cuts, *[float("inf")] * (2 * step - 1 - len(cuts))]
+    array = f"array({', '.join(f'CAST({str(x)!r} AS DOUBLE)' if math.isinf(x) else f'{x!r}D' for x in numbers)})"
+    kept = [f"`{c}`" for c in df.columns]
+    df = df.selectExpr(*kept, f"CAST(`{value}` AS DOUBLE) AS _value", "0 AS _at")
+    while step:
+        df = df.selectExpr(*kept, "_value", f"_at + CASE WHEN get({array}, _at + {step - 1}) < _value THEN {step} ELSE 0 END AS _at")
+        step //= 2
+    return df.selectExpr(*kept, f"CASE WHEN _value IS NULL THEN -1 ELSE _at END AS `{out}`")
 
 
 def prefix_sums(
@@ -89,8 +96,9 @@ def prefix_sums(
         if cuts is None:
             hist = durable(hist)
             cuts = fit_cuts(hist, [value])[value]
-        bucket = f"struct({_place(value, cuts)} AS p, {order_bucket(value)} AS s)"
-    parts = hist.selectExpr("*", f"{_group(by)} AS _g", f"{bucket} AS _b")
+        parts = with_place(hist, value, cuts, "_p").selectExpr(*[f"`{c}`" for c in hist.columns], f"{_group(by)} AS _g", f"struct(_p AS p, {order_bucket(value)} AS s) AS _b")
+    else:
+        parts = hist.selectExpr("*", f"{_group(by)} AS _g", f"{bucket} AS _b")
     earlier = "PARTITION BY _g ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offsets = (
         parts.groupBy("_g", "_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
@@ -118,18 +126,27 @@ def quantile_profile(
     cells = ", ".join(f"struct('{c}' AS metric, CAST(`{c}` AS DOUBLE) AS value)" for c in cols)
     long = df.selectExpr(*[f"`{k}`" for k in by], f"inline(array({cells}))")
     hist = long.groupBy(*by, "metric", "value").agg(F.expr("count(value) AS n"))
-    ordered = prefix_sums(hist, "value", ["n"], by=[*by, "metric"])
+    return weighted_quantiles(hist, "value", "n", probs, [*by, "metric"]).withColumnRenamed("total", "n_nonnull")
+
+
+def weighted_quantiles(hist: DataFrame, value: str, weight: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """The same for values that are merged already: ``by``, ``total`` (sum of the counts) and ``q1 .. qk``.
+
+    ``hist`` has one row per (``by``, ``value``) with a whole-number count; a NULL value must count 0.
+    """
+    by = list(by)
+    ordered = prefix_sums(hist.selectExpr(*[f"`{k}`" for k in by], f"`{value}` AS value", f"`{weight}` AS n"), "value", ["n"], by=by)
     picks = []
     for i, p in enumerate(probs, 1):
         for name, rank in (("lo", f"floor({p}D * (total_n - 1))"), ("hi", f"ceil({p}D * (total_n - 1))")):
             picks.append(
                 f"max(CASE WHEN before_n <= {rank} AND {rank} < before_n + n THEN value END) AS _{name}{i}"
             )
-    packed = ordered.groupBy(*by, "metric").agg(F.expr("max(total_n) AS n_nonnull"), *[F.expr(e) for e in picks])
+    packed = ordered.groupBy(*by).agg(F.expr("max(total_n) AS total"), *[F.expr(e) for e in picks])
     return packed.selectExpr(
-        *[f"`{k}`" for k in by], "metric", "n_nonnull",
+        *[f"`{k}`" for k in by], "total",
         *[
-            f"_lo{i} + (_hi{i} - _lo{i}) * ({p}D * (n_nonnull - 1) - floor({p}D * (n_nonnull - 1))) AS q{i}"
+            f"_lo{i} + (_hi{i} - _lo{i}) * ({p}D * (total - 1) - floor({p}D * (total - 1))) AS q{i}"
             for i, p in enumerate(probs, 1)
         ],
     )

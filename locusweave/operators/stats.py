@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,18 +138,46 @@ def _ranked_rows(df: DataFrame, x: str, y: str, row_id: str) -> DataFrame:
     return durable(average_rank(average_rank(rows, x, out="_rx"), y, out="_ry").select(row_id, "_rx", "_ry"))
 
 
-def _shuffled_rhos(ranked: DataFrame, row_id: str, reps: int, seed: int) -> DataFrame:
-    """The k-th row in id order is paired with the k-th row in the order of a per-replicate hash."""
-    def prefix(h: str) -> str:
-        return f"CAST(conv(substring({h}, 1, 3), 16, 10) AS INT)"
+#: Rounds of the keyed shuffle, and the prime that its numbers stay below.
+SHUFFLE_ROUNDS, _PRIME = 12, 2_147_483_647
+
+
+def _mixed(x: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A number below the prime that depends on both in a way that no sum of them shows; two squarings, all within a long."""
+    t = (x + key) % _PRIME
+    t = (t * t + 48271 * t + 11) % _PRIME
+    return (t * t + 16807 * t + key) % _PRIME
+
+
+def shuffled_places(k: np.ndarray, n: int, rep: np.ndarray, seed: int) -> np.ndarray:
+    """A bijection of the places 0 .. n - 1 for every ``rep``, by arithmetic alone.
 
+    In each round a place has one partner, at the same sum; a coin that both share decides whether they swap.
+    """
+    for i in range(SHUFFLE_ROUNDS):
+        turn = _mixed(rep * SHUFFLE_ROUNDS + i, np.int64(seed))
+        partner = (turn % n + n - k) % n
+        coin = _mixed(np.maximum(k, partner) % _PRIME, turn) // 8 % 2
+        k = np.where(coin == 1, partner, k)
+    return k
+
+
+def _shuffled_rhos(ranked: DataFrame, row_id: str, reps: int, seed: int) -> DataFrame:
+    """Rows are numbered once, in the order of a hash of their ids; each replicate finds the partner of every row by arithmetic."""
     fixed = ranked.withColumn("_h", hash_hex(F.lit(seed), F.lit("id"), F.col(row_id)))
-    placed = row_numbers(fixed, ["_h", row_id], prefix("_h"), out="_k").select("_k", "_rx")
-    shuffled = _replicated(ranked.select("_ry", row_id), reps).withColumn(
-        "_h", hash_hex(F.lit(seed), F.col("rep"), F.col(row_id))
-    )
-    shuffled = row_numbers(shuffled, ["_h", row_id], prefix("_h"), by=["rep"], out="_k").select("rep", "_k", "_ry")
-    return shuffled.join(placed, "_k").groupBy("rep").agg(F.corr("_rx", "_ry").alias("rho"))
+    placed = durable(row_numbers(fixed, ["_h", row_id], "CAST(conv(substring(_h, 1, 3), 16, 10) AS INT)", out="_k").selectExpr("_k - 1 AS _k", "_rx", "_ry"))
+    n = placed.count()
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        rep = np.arange(1, reps + 1, dtype=np.int64)
+        for part in parts:
+            k = part.to_numpy(zero_copy_only=False).astype(np.int64)
+            found = shuffled_places(np.repeat(k, reps), n, np.tile(rep, len(k)), seed)
+            yield pa.FixedSizeListArray.from_arrays(pa.array(found), reps).cast(pa.list_(pa.int64()))
+
+    # A few rows at a time become ``reps`` numbers each; the rows of all replicates meet their partners by one equi-join.
+    spread = placed.repartition("_k").select("_rx", F.posexplode(F.arrow_udf(run, "array<bigint>")("_k")).alias("_r", "_k"))
+    return spread.join(placed.select("_k", "_ry"), "_k").groupBy((F.col("_r") + 1).alias("rep")).agg(F.corr("_rx", "_ry").alias("rho"))
 
 
 def permutation_rhos(df: DataFrame, x: str, y: str, row_id: str, reps: int = 5000, seed: int = 7) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from locusweave.functions.scalar import (
     ancestry_label, as_null, canonical_chrom, id_field, joined_key, strip_chr, underscore_id,
 )
-from locusweave.operators.aggregates import count_if, latest_or_best
+from locusweave.operators.aggregates import latest_or_best
 from locusweave.operators.keys import join_on
-from locusweave.operators.ordered import quantile_profile
+from locusweave.operators.ordered import weighted_quantiles
 from locusweave.sources.schemas import UNIFIED_MEMBER
 
 
@@ -139,50 +139,63 @@ def unify(sources: Sequence[DataFrame]) -> DataFrame:
     )
 
 
-def _unique(col: str) -> Column:
-    """Distinct values, with NULL counted as one of them."""
-    return F.count_distinct(col) + F.max(F.col(col).isNull().cast("int"))
+#: Columns whose values are told apart, each a metric of the profile beside ``row`` and ``PIP``.
+_IDS = {"variant_hg38": "n_variants", "trait": "n_traits", "cs_id": "n_cs"}
+#: Bits of a row's flags, in ``code``.
+_FLAGS = ("pip_gt05", "pip_gt09", "has_r2", "has_gene")
 
 
-def source_qc(table: DataFrame) -> DataFrame:
-    """One QC row per source.
+def source_profile(table: DataFrame) -> DataFrame:
+    """One pass over the unified table: ``source, metric, ancestry, assay, layer, code, number, n``, merged.
 
-    Counts are summed per (source, ancestry, assay, layer) first: a handful of rows, hash-aggregated
-    on numbers only. Distinct counts and the exact median are separate narrow passes, because text
-    minima or sets next to distinct counts would make Spark sort every expanded row.
+    ``row`` has the classes of the members and, in the bits of ``code``, their flags; an id column has the 64-bit hash
+    of each value in ``code``; ``PIP`` has each probability in ``number``. Everything in the QC follows from
+    these merged rows by small aggregates. Every member becomes a row per metric on its task and is merged there
+    first; nothing is expanded behind a shuffle. Ids are told apart by their hash: any two of a billion ids of a
+    source collide with a chance of 1 in 37.
     """
-    named = F.col("gene").isNotNull() & ~F.col("gene").isin("NA", "")
-    parts = table.groupBy("source", "ancestry", "assay_basis", "data_layer").agg(
-        F.count(F.lit(1)).alias("n_rows"), count_if(F.col("PIP") > 0.5).alias("pip_gt05"),
-        count_if(F.col("PIP") > 0.9).alias("pip_gt09"), count_if(F.col("r2_to_lead").isNotNull()).alias("has_r2"),
-        count_if(named).alias("has_gene"),
-    )
-    stats = parts.groupBy("source").agg(
-        *[F.sum(c).alias(c) for c in ("n_rows", "pip_gt05", "pip_gt09", "has_r2", "has_gene")],
-        F.array_join(F.array_sort(F.collect_set("ancestry")), ",").alias("ancestry"),
-        F.min("assay_basis").alias("assay"), F.min("data_layer").alias("layer"),
-    )
-    distinct = table.groupBy("source").agg(
-        _unique("variant_hg38").alias("n_variants"), _unique("trait").alias("n_traits"), _unique("cs_id").alias("n_cs")
-    )
-    median = quantile_profile(table, ["PIP"], [0.5], by=["source"]).select("source", F.coalesce("q1", F.lit(0.0)).alias("pip_median"))
-    return join_on(join_on(stats, distinct, ["source"]), median, ["source"])
+    tests = (F.col("PIP") > 0.5, F.col("PIP") > 0.9, F.col("r2_to_lead").isNotNull(), F.col("gene").isNotNull() & ~F.col("gene").isin("NA", ""))
+    flags = reduce(lambda a, b: a + b, [F.when(t, F.lit(1 << i)).otherwise(0) for i, t in enumerate(tests)]).cast("bigint")
+    nothing = {"ancestry": "string", "assay": "string", "layer": "string", "code": "bigint", "number": "double"}
 
+    def cell(metric: str, **value: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), *[value.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in nothing.items()])
 
-def qc_document(table: DataFrame) -> DataFrame:
-    """Rows ``section, item, n``: members by layer and by assay, all members, those with PIP over 0.9, distinct variants.
+    cells = [
+        cell("row", ancestry=F.col("ancestry"), assay=F.col("assay_basis"), layer=F.col("data_layer"), code=flags), cell("PIP", number=F.col("PIP")),
+        *[cell(c, code=F.when(F.col(c).isNotNull(), F.xxhash64(c))) for c in _IDS],
+    ]
+    return table.select("source", F.inline(F.array(*cells))).groupBy("source", "metric", *nothing).agg(F.count(F.lit(1)).alias("n"))
 
-    Counts are taken once per (layer, assay), so the sections are sums over a handful of rows.
-    """
-    parts = table.groupBy("data_layer", "assay_basis").agg(F.count(F.lit(1)).alias("rows"), count_if(F.col("PIP") > 0.9).alias("pip_gt09"))
+
+def _flagged(flag: str) -> Column:
+    bit = F.col("code").bitwiseAND(F.lit(1 << _FLAGS.index(flag)))
+    return F.coalesce(F.sum(F.when((F.col("metric") == "row") & (bit != 0), F.col("n"))), F.lit(0)).alias(flag)
+
+
+def source_qc(profile: DataFrame) -> DataFrame:
+    """One QC row per source, from its (stored) profile; NULL counts as one of the ids of a column."""
+    row = F.col("metric") == "row"
+    stats = profile.groupBy("source").agg(
+        F.sum(F.when(row, F.col("n"))).alias("n_rows"), *[F.count(F.when(F.col("metric") == c, 1)).alias(out) for c, out in _IDS.items()], *[_flagged(f) for f in _FLAGS],
+        F.array_join(F.array_sort(F.collect_set("ancestry")), ",").alias("ancestry"), F.min("assay").alias("assay"), F.min("layer").alias("layer"),
+    )
+    numbers = profile.where((F.col("metric") == "PIP") & F.col("number").isNotNull())
+    median = weighted_quantiles(numbers, "number", "n", [0.5], by=["source"]).select("source", F.col("q1").alias("pip_median"))
+    return join_on(stats, median, ["source"], "left").withColumn("pip_median", F.coalesce("pip_median", F.lit(0.0)))
+
+
+def qc_document(profile: DataFrame) -> DataFrame:
+    """Rows ``section, item, n``: members by layer and by assay, all members, those with PIP over 0.9, distinct variants; from the same profile."""
+    parts = profile.where("metric = 'row'").groupBy("layer", "assay").agg(F.sum("n").alias("rows"), _flagged("pip_gt09"))
     cells = F.array(
-        F.struct(F.lit("layer").alias("section"), F.col("data_layer").alias("item"), F.col("rows").alias("n")),
-        F.struct(F.lit("assay").alias("section"), F.col("assay_basis").alias("item"), F.col("rows").alias("n")),
+        F.struct(F.lit("layer").alias("section"), F.col("layer").alias("item"), F.col("rows").alias("n")),
+        F.struct(F.lit("assay").alias("section"), F.col("assay").alias("item"), F.col("rows").alias("n")),
         F.struct(F.lit("total").alias("section"), F.lit("rows").alias("item"), F.col("rows").alias("n")),
         F.struct(F.lit("total").alias("section"), F.lit("pip_gt09").alias("item"), F.col("pip_gt09").alias("n")),
     )
     counts = parts.select(F.inline(cells)).groupBy("section", "item").agg(F.sum("n").alias("n"))
-    variants = table.where(F.col("variant_hg38").isNotNull()).select("variant_hg38").distinct().agg(F.count(F.lit(1)).alias("n"))
+    variants = profile.where("metric = 'variant_hg38' AND code IS NOT NULL").select("code").distinct().agg(F.count(F.lit(1)).alias("n"))
     return counts.unionByName(variants.select(F.lit("total").alias("section"), F.lit("variants").alias("item"), "n"))
 
 

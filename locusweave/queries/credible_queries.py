@@ -315,8 +315,8 @@ SELECT source, count(*) AS n_rows, count(DISTINCT variant_hg38) AS n_variants, c
   string_agg(DISTINCT ancestry, ',' ORDER BY ancestry) AS ancestry, min(assay_basis) AS assay, min(data_layer) AS layer
 FROM ({UNIFIED}) x GROUP BY 1""")
 def _source_qc(t):
-    # Three passes over the six sources: they are put together once.
-    return rounded(harmonise.source_qc(durable(unified(t))), "pip_median")
+    # One pass over the six sources; what follows reads the stored profile.
+    return rounded(harmonise.source_qc(durable(harmonise.source_profile(unified(t)))), "pip_median")
 
 
 @query("unified_qc_document", f"""
@@ -324,7 +324,7 @@ SELECT 'layer' AS section, data_layer AS item, count(*) AS n FROM ({UNIFIED}) x
 UNION ALL SELECT 'assay', assay_basis, count(*) FROM ({UNIFIED}) x GROUP BY 2
 UNION ALL SELECT 'total', unnest(['rows', 'pip_gt09', 'variants']), unnest([count(*), count(*) FILTER (WHERE pip>0.9), count(DISTINCT variant_hg38)]) FROM ({UNIFIED}) x""")
 def _qc_document(t):
-    return harmonise.qc_document(durable(unified(t)))
+    return harmonise.qc_document(durable(harmonise.source_profile(unified(t))))
 
 
 @query("variant_overlap", f"""

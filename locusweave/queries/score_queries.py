@@ -13,7 +13,7 @@ from locusweave.operators.aggregates import prevalence_weight
 from locusweave.operators.ordered import average_rank
 from locusweave.operators.ranking import binary_metrics, group_rankings
 from locusweave.operators.stats import (
-    bootstrap_corr, partial_spearman, pearson, permutation_corr, permutation_rhos, sign_table, spearman,
+    SHUFFLE_ROUNDS, bootstrap_corr, partial_spearman, pearson, permutation_corr, permutation_rhos, sign_table, spearman,
 )
 from locusweave.plans import models, scoring, screens
 from locusweave.queries.registry import Tables, query, rounded
@@ -258,11 +258,22 @@ _RID = f"""SELECT rid, round(avg(x),6) AS x, round(avg(y),6) AS y FROM (
 _REPS = 5000
 
 
+def _mixed_sql(x: str, key: str) -> str:
+    t = f"((({x})+({key}))%2147483647)"
+    t = f"(({t}*{t}+48271*{t}+11)%2147483647)"
+    return f"(({t}*{t}+16807*{t}+({key}))%2147483647)"
+
+
 def _perm_sql(reps: int) -> str:
-    return f"""SELECT rep, corr(a.rx, b.ry) AS rho FROM (
-  SELECT rx, row_number() OVER (ORDER BY md5('7|id|'||rid), rid) AS k FROM ({_ranks({'rx': 'x'}, _RID)}) q) a
-JOIN (SELECT rep, ry, row_number() OVER (PARTITION BY rep ORDER BY md5('7|'||CAST(rep AS STRING)||'|'||rid), rid) AS k
-  FROM ({_ranks({'ry': 'y'}, _RID)}) p, (SELECT unnest(generate_series(1, {reps})) AS rep) g) b ON a.k=b.k GROUP BY rep"""
+    """The keyed shuffle written out, a step of the statement for each round."""
+    steps = []
+    for i in range(SHUFFLE_ROUNDS):
+        coin = f"({_mixed_sql('greatest(k,p)', 'turn')}//8)%2"
+        turn = f"SELECT rep, k0, n, k, CAST({_mixed_sql(f'rep*{SHUFFLE_ROUNDS}+{i}', '7')} AS BIGINT) AS turn FROM s{i}"
+        steps.append(f"s{i + 1} AS (SELECT rep, k0, n, CASE WHEN {coin}=1 THEN p ELSE k END AS k FROM (SELECT *, (turn%n+n-k)%n AS p FROM ({turn}) t) u)")
+    return f"""WITH placed AS (SELECT rx, ry, row_number() OVER (ORDER BY md5('7|id|'||rid), rid)-1 AS k FROM ({_ranks({'rx': 'x', 'ry': 'y'}, _RID)}) q),
+s0 AS (SELECT CAST(rep AS BIGINT) AS rep, k AS k0, k, (SELECT count(*) FROM placed) AS n FROM placed, (SELECT unnest(generate_series(1, {reps})) AS rep) g), {', '.join(steps)}
+SELECT rep, corr(a.rx, b.ry) AS rho FROM s{SHUFFLE_ROUNDS} s JOIN placed a ON a.k=s.k0 JOIN placed b ON b.k=s.k GROUP BY rep"""
 
 
 @query("permutation_rhos", f"SELECT CAST(rep AS INT) AS rep, round(rho,6) AS rho FROM ({_perm_sql(_REPS)}) x")

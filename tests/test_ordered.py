@@ -71,19 +71,31 @@ def test_row_numbers(spark):
 
 
 def test_values_close_together_far_from_zero_are_spread(spark):
-    from locusweave.operators.ordered import _place, fit_cuts, order_bucket
+    from locusweave.operators.ordered import fit_cuts, order_bucket, with_place
 
     hist = spark.range(100_000).selectExpr("1700000000 + id AS value")
-    cut = hist.selectExpr(f"struct({_place('value', fit_cuts(hist, ['value'])['value'])} AS p, {order_bucket('value')} AS s) AS b")
+    cut = with_place(hist, "value", fit_cuts(hist, ["value"])["value"], "p").selectExpr(f"struct(p, {order_bucket('value')} AS s) AS b")
     sizes = [r["count"] for r in cut.groupBy("b").count().collect()]
     assert len(sizes) >= 100 and max(sizes) <= 5_000
 
 
 def test_buckets_are_monotone(spark):
-    from locusweave.operators.ordered import _place, fit_cuts, order_bucket
+    from locusweave.operators.ordered import fit_cuts, order_bucket, with_place
 
     values = [-1e300, -5.0, -4.999, -1e-9, 0.0, 1e-9, 3.0, 3.0000001, 7e9, float("inf"), float("nan")] + [float(x) for x in range(2000)]
     hist = spark.createDataFrame([(v,) for v in set(values)] + [(None,)], "value double")
-    cut = hist.selectExpr("value", f"struct({_place('value', fit_cuts(hist, ['value'])['value'])} AS p, {order_bucket('value')} AS s) AS b")
+    cut = with_place(hist, "value", fit_cuts(hist, ["value"])["value"], "p").selectExpr("value", f"struct(p, {order_bucket('value')} AS s) AS b")
     rows = cut.orderBy("value").collect()
     assert all(tuple(x.b) <= tuple(y.b) for x, y in zip(rows, rows[1:]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 100, 1023])
+def test_place_counts_the_cuts_below(spark, n):
+    from locusweave.operators.ordered import with_place
+
+    cuts = sorted(rng.choice([float(k), k / 7, -float("inf"), float("inf")]) for k in range(n))
+    values = [-1e9, 0.0, 0.5, 3.0, 1e9, float("inf"), float("nan"), *cuts[:40]]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "value double")
+    for r in with_place(df, "value", cuts, "p").collect():
+        want = -1 if r.value is None or not cuts else len([c for c in cuts if r.value != r.value or c < r.value])
+        assert r.p == want or (r.value != r.value and r.p >= want)

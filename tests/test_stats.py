@@ -9,7 +9,7 @@ import pytest
 from locusweave.functions.tails import correlation_p_value, fisher_two_sided
 from locusweave.operators.ranking import binary_metrics, group_rankings
 from locusweave.operators.stats import (
-    bootstrap_corr, fisher_exact, katz_fold, partial_spearman, permutation_corr, poisson_weight, sign_table, spearman,
+    bootstrap_corr, fisher_exact, katz_fold, partial_spearman, permutation_corr, permutation_rhos, poisson_weight, shuffled_places, sign_table, spearman,
 )
 from locusweave.plans.screens import by_subset, concordance_stats, robustness_stats
 from pyspark.sql import functions as F
@@ -127,6 +127,26 @@ def test_resampling(data):
     assert perm.p_one_sided == pytest.approx(1 / 61)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 101, 1000])
+def test_shuffled_places_are_bijections(n):
+    reps = 200
+    k, rep = np.tile(np.arange(n), reps), np.repeat(np.arange(1, reps + 1), n)
+    found = shuffled_places(k, n, rep, 7).reshape(reps, n)
+    assert (np.sort(found, 1) == np.arange(n)).all()
+    if n >= 64:
+        # Places are about uniform, and differ between replicates.
+        assert abs(found[:, 0].mean() - (n - 1) / 2) < 4 * n / np.sqrt(12 * reps) and len(np.unique(found[:, 5])) > min(n, reps) / 3
+
+
+def test_shuffles_have_the_spread_of_random_ones(data):
+    """The standard deviation of rho over shuffles is 1 / sqrt(n - 1)."""
+    rows = permutation_rhos(data, "x", "y", "id", reps=400).collect()
+    rhos = np.array([r.rho for r in rows])
+    n = data.dropna(subset=["x", "y"]).count()
+    assert sorted(r.rep for r in rows) == list(range(1, 401))
+    assert abs(rhos.mean()) < 4 / np.sqrt(400 * (n - 1)) and rhos.std() * np.sqrt(n - 1) == pytest.approx(1, abs=0.15)
+
+
 def test_poisson_weight_mean(spark):
     df = spark.range(4000).select(poisson_weight((F.col("id") + 0.5) / 4000).alias("w"))
     r = df.agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
