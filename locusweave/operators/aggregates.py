@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.operators.keys import join_on
+from locusweave.operators.keys import HOT_ROWS, hot_counts, hot_table, join_on
 from locusweave.operators.ordered import quantile_profile
 
 
@@ -46,11 +46,41 @@ def latest_or_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     )
 
 
+def _sign_stats(
+    obs: DataFrame, keys: Sequence[str], value: str, group: str, first: Sequence[str], lowest: Mapping[str, str], highest: Mapping[str, str],
+    mean: Mapping[str, str], median: bool, lists: tuple[str, str] | None,
+) -> DataFrame:
+    """One hash aggregate; a median and lists hold all rows of a key in one buffer."""
+    v = f"`{value}`"
+    stats = obs.groupBy(*keys).agg(*[F.expr(e) for e in (
+        *[f"min(`{c}`) AS `{c}`" for c in first],
+        f"CAST(size(collect_set(`{group}`)) AS BIGINT) AS n_groups",
+        f"count(CASE WHEN {v} > 0 THEN 1 END) AS n_pos", f"count(CASE WHEN {v} < 0 THEN 1 END) AS n_neg",
+        f"avg({v}) AS mean_value", f"min({v}) AS min_value", f"max({v}) AS max_value", f"stddev_samp({v}) AS sd_value",
+        *[f"min(`{c}`) AS `{out}`" for out, c in lowest.items()],
+        *[f"max(`{c}`) AS `{out}`" for out, c in highest.items()],
+        *[f"avg(`{c}`) AS `{out}`" for out, c in mean.items()],
+        *([f"percentile({v}, 0.5D) AS median_value"] if median else []),
+        *([f"array_sort(collect_list(struct(`{group}` AS g, round({v}, 4) AS v))) AS _lists"] if lists else []),
+    )])
+    if not lists:
+        return stats
+    rest = [c for c in stats.columns if c != "_lists"]
+    return stats.selectExpr(*[f"`{c}`" for c in rest], f"_lists.g AS `{lists[0]}`", f"_lists.v AS `{lists[1]}`")
+
+
+def _merged_lists(obs: DataFrame, keys: Sequence[str], value: str, group: str, lists: tuple[str, str]) -> DataFrame:
+    """The lists of keys of any length: equal entries are merged and counted before a key's entries meet."""
+    entries = obs.selectExpr(*[f"`{k}`" for k in keys], f"struct(`{group}` AS g, round(`{value}`, 4) AS v) AS _e").groupBy(*keys, "_e").agg(F.expr("CAST(count(1) AS INT) AS _n"))
+    packed = entries.groupBy(*keys).agg(F.expr("flatten(transform(array_sort(collect_list(struct(_e, _n))), s -> array_repeat(s._e, s._n))) AS _lists"))
+    return packed.selectExpr(*[f"`{k}`" for k in keys], f"_lists.g AS `{lists[0]}`", f"_lists.v AS `{lists[1]}`")
+
+
 def sign_consistency(
     obs: DataFrame, *, keys: Sequence[str] = ("pair_id", "gene_id"), value: str = "pcc",
     group: str = "tissue", first: Sequence[str] = (), lowest: Mapping[str, str] | None = None,
     highest: Mapping[str, str] | None = None, mean: Mapping[str, str] | None = None,
-    median: bool = True, long_keys: bool = False, lists: tuple[str, str] | None = None,
+    median: bool = True, lists: tuple[str, str] | None = None, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Signed observations reduced to one row per key with cross-group consistency.
 
@@ -59,29 +89,25 @@ def sign_consistency(
     ``consensus_sign`` is -1 for a mean of zero. ``first``/``lowest``/``highest``/``mean`` carry
     further columns (for ``first`` the smallest non-NULL value, which makes it deterministic).
     ``lists`` names two more columns: the groups of a key and its values rounded to four digits,
-    sorted alike. One hash aggregate does it all. A key's median and lists are held in memory, which
-    suits keys with one row per group; for keys of any length set ``long_keys`` (distributed median)
-    and leave out the lists.
+    sorted alike. One hash aggregate does it all. A median and lists hold a key's rows in one buffer, so where
+    they are asked for, keys with more than ``hot_rows`` rows are found first and go another way to the same
+    result: a median by merged values and running totals, and lists from merged entries.
     """
     keys = list(keys)
-    v = f"`{value}`"
-    stats = obs.groupBy(*keys).agg(*[F.expr(e) for e in (
-        *[f"min(`{c}`) AS `{c}`" for c in first],
-        f"CAST(size(collect_set(`{group}`)) AS BIGINT) AS n_groups",
-        f"count(CASE WHEN {v} > 0 THEN 1 END) AS n_pos", f"count(CASE WHEN {v} < 0 THEN 1 END) AS n_neg",
-        f"avg({v}) AS mean_value", f"min({v}) AS min_value", f"max({v}) AS max_value", f"stddev_samp({v}) AS sd_value",
-        *[f"min(`{c}`) AS `{out}`" for out, c in (lowest or {}).items()],
-        *[f"max(`{c}`) AS `{out}`" for out, c in (highest or {}).items()],
-        *[f"avg(`{c}`) AS `{out}`" for out, c in (mean or {}).items()],
-        *([f"percentile({v}, 0.5D) AS median_value"] if median and not long_keys else []),
-        *([f"array_sort(collect_list(struct(`{group}` AS g, round({v}, 4) AS v))) AS _lists"] if lists else []),
-    )])
-    if lists:
-        rest = [c for c in stats.columns if c != "_lists"]
-        stats = stats.selectExpr(*[f"`{c}`" for c in rest], f"_lists.g AS `{lists[0]}`", f"_lists.v AS `{lists[1]}`")
-    if median and long_keys:
-        middle = quantile_profile(obs, [value], [0.5], by=keys).selectExpr(*[f"`{k}`" for k in keys], "q1 AS median_value")
-        stats = join_on(stats, middle, keys)
+    wanted = (first, lowest or {}, highest or {}, mean or {})
+    hot = hot_counts(obs, keys, hot_rows) if hot_rows is not None and (median or lists) else {}
+    if hot:
+        marks = F.broadcast(hot_table(obs, keys, {k: (n,) for k, n in hot.items()}, ["_shares"]))  # bounded, see hot_counts
+        stats = _sign_stats(obs.join(marks, keys, "left_anti"), keys, value, group, *wanted, median, lists)
+        long = obs.join(marks, keys, "left_semi")
+        parts = _sign_stats(long, keys, value, group, *wanted, False, None)
+        if median:
+            parts = join_on(parts, quantile_profile(long, [value], [0.5], by=keys).selectExpr(*[f"`{k}`" for k in keys], "q1 AS median_value"), keys)
+        if lists:
+            parts = join_on(parts, _merged_lists(long, keys, value, group, lists), keys)
+        stats = stats.unionByName(parts)
+    else:
+        stats = _sign_stats(obs, keys, value, group, *wanted, median, lists)
     return stats.selectExpr(
         "*", "greatest(n_pos, n_neg) / n_groups AS sign_concordance",
         "CASE WHEN n_pos > 0 AND n_neg > 0 THEN 'sign_flip' WHEN n_pos > 0 THEN 'consistent_positive' "

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusweave.functions.scalar import CODING_TERMS, IN_SAMPLE, PLOF_TERMS, distance_tier, id_field, joined_key
 from locusweave.operators.aggregates import count_if, dedup_rollup
-from locusweave.operators.keys import attach_single
+from locusweave.operators.keys import HOT_ROWS, attach_single, salted_pair
 from locusweave.operators.ranges import both_orientations, point_in_interval
 
 # ---- non-coding lead with a truncating co-member -----------------------------------------------
@@ -205,14 +205,14 @@ def coloc_feasibility(gwas: DataFrame, qtl: DataFrame, *, max_distance: int = 50
     ).withColumn("near_rate", F.try_divide("n_near", "n_signals")).withColumn("shared_rate", F.try_divide("n_shared", "n_signals"))
 
 
-def clpp(a: DataFrame, b: DataFrame) -> DataFrame:
+def clpp(a: DataFrame, b: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Sum of products of member probabilities of every pair of sets that share variants.
 
-    Inputs: ``set_id, variant_id, pip``. Members of one set are merged per variant first.
+    Inputs: ``set_id, variant_id, pip``. Members of one set are merged per variant first. A variant that very
+    many sets hold is cut into shares on both sides, and each pair of shares is a tile of its own.
     """
     def merged(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(F.col("set_id").alias(f"{name}_id"), "variant_id").agg(F.sum("pip").alias(f"_{name}"))
 
-    return merged(a, "a").join(merged(b, "b"), "variant_id").groupBy("a_id", "b_id").agg(
-        F.sum(F.col("_a") * F.col("_b")).alias("clpp"), F.count(F.lit(1)).alias("n_shared")
-    )
+    left, right, on = salted_pair(merged(a, "a"), merged(b, "b"), ["variant_id"], ["a_id"], hot_rows, tiles_on=["b_id"])
+    return left.join(right, on).groupBy("a_id", "b_id").agg(F.sum(F.col("_a") * F.col("_b")).alias("clpp"), F.count(F.lit(1)).alias("n_shared"))

@@ -152,6 +152,16 @@ def scored_candidates(loci: DataFrame, elements: DataFrame, tss: DataFrame, max_
     return placed.withColumn("gene_dist", F.coalesce(away, F.abs(F.col("anchor_mid") - F.col("pos"))))
 
 
+def skipped_loci(loci: DataFrame, elements: DataFrame, max_anchor: int = 50_000) -> DataFrame:
+    """One row: loci in all, those without an anchor element, those with one but without candidate gene, and the rest, which are scored."""
+    anchored = nearest_join(loci, elements, max_distance=max_anchor, how="left", key_out="anchor", pos_out="anchor_mid", distance="anchor_dist")
+    bare, empty = F.col("anchor").isNull(), F.coalesce("candidate_genes", F.lit("")) == ""
+    return anchored.agg(
+        F.count(F.lit(1)).alias("n_loci"), F.count(F.when(bare, 1)).alias("no_anchor"), F.count(F.when(~bare & empty, 1)).alias("no_candidate"),
+        F.count(F.when(~bare & ~empty, 1)).alias("n_scored"),
+    )
+
+
 def nominate_effectors(candidates: DataFrame, score: Column | None = None) -> DataFrame:
     """Top gene by score and nearest gene per locus, ties to the earlier candidate."""
     value = contact("gene_dist") if score is None else score

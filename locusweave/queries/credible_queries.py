@@ -590,6 +590,16 @@ def _nominate(t):
     return nominated(t)
 
 
+@query("skipped_loci", f"""
+SELECT count(*) AS n_loci, count(*) FILTER (WHERE NOT near) AS no_anchor, count(*) FILTER (WHERE near AND candidate_genes='') AS no_candidate,
+  count(*) FILTER (WHERE near AND candidate_genes<>'') AS n_scored
+FROM (SELECT c.*, EXISTS (SELECT 1 FROM fx_element e WHERE e.chrom=c.chrom AND abs(e.el_start+500-c.pos)<=2000) AS near FROM ({_CANDS}) c) x""")
+def _skipped(t):
+    loci = scoring.candidate_genes(t.fx_locus, t.fx_gene, window=500_000)
+    elements = t.fx_element.select("chrom", (F.col("el_start") + 500).alias("mid"), F.col("element_id").alias("key"))
+    return scoring.skipped_loci(loci, elements, max_anchor=2_000)
+
+
 _RATED = f"""SELECT n.*, s.coloc_status, top_gene=n.effector AS hit, nearest_gene=n.effector AS dist_hit FROM ({_NOMINATED}) n
 JOIN ({_STATUS}) s ON s.locus_id=n.locus_id WHERE s.coloc_status<>'UNKNOWN'"""
 _RATE = """count(*) AS n_loci, count(*) FILTER (WHERE effector_in_cand) AS n_eff_in_cand,

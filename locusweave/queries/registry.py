@@ -71,7 +71,7 @@ class Tables:
 
     @cached_property
     def positives(self) -> DataFrame:
-        return positive_pairs(self.obs, median=False)
+        return positive_pairs(self.obs, median=False, lists=False)
 
     @cached_property
     def credible_set(self) -> DataFrame:
