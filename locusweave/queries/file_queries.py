@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from locusweave.operators.aggregates import value_counts
 from locusweave.queries.registry import Tables, query, rounded
 from locusweave.session import shared_folder
-from locusweave.sources import readers, sinks
+from locusweave.sources import readers, sinks, text
 from locusweave.sources.schemas import RAW_PAIRS, _schema
 
 
@@ -103,3 +103,26 @@ def _report(t):
     back = t.spark.read.csv(f"{path}.csv", schema=schema, header=True)
     sinks.write_report(back, f"{path}.json", fmt="json")
     return t.spark.read.json(f"{path}.json", schema=schema)
+
+
+# Every other sheet has another layout: without the chromosome, and with a note.
+@query("signal_sheet_files", """
+SELECT CASE WHEN CAST(substr(locus_id,2) AS BIGINT)//250%2=0 THEN chrom END AS chrom, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum,
+  count(DISTINCT effector) AS n_effectors, count(CASE WHEN CAST(substr(locus_id,2) AS BIGINT)//250%2=1 THEN 1 END) AS n_notes,
+  count(DISTINCT CAST(substr(locus_id,2) AS BIGINT)//250) AS n_files FROM fx_locus GROUP BY 1""")
+def _sheets(t):
+    """Sheets of two layouts as files with two lines before the header and an empty line at the end, read together."""
+    path = fresh(t)
+    rows = t.fx_locus.selectExpr("CAST(substr(locus_id, 2) AS BIGINT) AS no", "*").selectExpr("*", "no DIV 250 AS sheet")
+    first = "concat_ws('\t', locus_id, chrom, '', CAST(pos AS STRING), effector)"
+    second = "concat_ws('\t', effector, CAST(pos AS STRING), locus_id, concat('note ', no))"
+    body = rows.selectExpr("sheet", "no", f"CASE WHEN sheet % 2 = 0 THEN {first} ELSE {second} END AS value")
+    head = "array('Signals', 'exported', CASE WHEN sheet % 2 = 0 THEN 'locus_id\tchrom\t\tpos\teffector' ELSE 'effector\tpos\tlocus_id\tnote' END)"
+    top = rows.select("sheet").distinct().selectExpr("sheet", f"posexplode({head}) AS (no, value)").selectExpr("sheet", "no - 3 AS no", "value")
+    whole = body.unionByName(top).unionByName(rows.groupBy("sheet").agg((F.max("no") + 1).alias("no")).withColumn("value", F.lit("")))
+    whole.repartition("sheet").sortWithinPartitions("sheet", "no").select("sheet", "value").write.partitionBy("sheet").text(path)
+    sheets = text.read_sheets(t.spark, f"{path}/*", header_line=2, lineage="file")
+    return sheets.groupBy("chrom").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("bigint")).alias("pos_sum"), F.count_distinct("effector").alias("n_effectors"),
+        F.count("note").alias("n_notes"), F.count_distinct("file").alias("n_files"),
+    )

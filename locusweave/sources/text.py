@@ -9,6 +9,7 @@ is parsed by as many tasks as it has splits.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,21 +55,56 @@ def running_sum(lines: DataFrame, amount: Column, out: str, group: str) -> DataF
     ).drop("_v", "_in", "_off")
 
 
+def number_lines(lines: DataFrame, out: str = "number") -> DataFrame:
+    """The zero-based number of each line in its file, in any of its splits.
+
+    Lines are counted per split, the counts are added up over the few splits of a file, and inside a split the ids
+    that reading gave them follow on one another; no window runs over lines.
+    """
+    splits = lines.groupBy("file", "block").agg(F.min("line").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    return lines.join(offsets, ["file", "block"]).withColumn(out, F.col("_off") + F.col("line") - F.col("_first")).drop("_first", "_off")
+
+
+def read_sheets(
+    spark: SparkSession, path: str | Sequence[str], *, header_line: int, sep: str = "\t", blank_prefix: str = "col", lineage: str | None = None,
+) -> DataFrame:
+    """Several sheets in one read, each with its own header at the same zero-based line of its file.
+
+    Sheets that share a layout are parsed together, and layouts are stacked by column name: a column that a sheet lacks is
+    NULL. The distinct headers, one for each layout, come to the driver; a file without that line has no rows.
+    ``lineage`` names a column for the file.
+    """
+    lines = number_lines(read_lines(spark, path))
+    headers = lines.where(F.col("number") == header_line).select("file", F.col("value").alias("_header"))
+    body = lines.where(F.col("number") > header_line).join(headers, "file")
+    sheets = []
+    for row in headers.select("_header").distinct().orderBy("_header").collect():
+        own = body.where(F.col("_header") == row["_header"])
+        keep = [F.col("file").alias(lineage)] if lineage else []
+        sheets.append(parse_sheet(own, row["_header"].split(sep), header_line=header_line, sep=sep, blank_prefix=blank_prefix, line_number="number", keep=keep))
+    if not sheets:
+        return lines.select(*([F.col("file").alias(lineage)] if lineage else ["value"])).limit(0)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sheets)
+
+
 def parse_sheet(
     lines: DataFrame, header: Sequence[str | None], *, header_line: int, sep: str = "\t", blank_prefix: str = "col",
-    line_number: str = "line",
+    line_number: str = "line", keep: Sequence[Column] = (),
 ) -> DataFrame:
     """A delimited export of a spreadsheet whose header sits at a zero-based line number.
 
-    Blank header cells become ``<prefix><index>``, rows without any value are dropped and every
+    ``line_number`` must be the number in the file (:func:`number_lines`) unless one file is read in one split. Blank header cells become ``<prefix><index>``, rows without any value are dropped and every
     column stays a string. ``header`` is the header row (see :func:`sheet_header`).
     """
     names = [h.strip() if h and h.strip() else f"{blank_prefix}{i}" for i, h in enumerate(header)]
     parsed = lines.where(F.col(line_number) > header_line).select(
-        F.from_csv("value", F.lit(", ".join(f"`c{i}` string" for i in range(len(names)))), {"sep": sep}).alias("r")
-    ).select("r.*")
+        F.from_csv("value", F.lit(", ".join(f"`c{i}` string" for i in range(len(names)))), {"sep": sep}).alias("r"), *keep
+    )
+    parsed = parsed.select("r.*", *[c for c in parsed.columns if c != "r"])
     full = parsed.where(F.coalesce(*[F.col(f"c{i}") for i in range(len(names))]).isNotNull())
-    return full.toDF(*names)
+    return full.toDF(*names, *parsed.columns[len(names):])
 
 
 def sheet_header(lines: DataFrame, header_line: int, sep: str = "\t", line_number: str = "line") -> list[str]:

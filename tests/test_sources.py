@@ -128,3 +128,24 @@ def test_small_dimension(spark):
 
 def test_member_schema_has_17_columns():
     assert len(UNIFIED_MEMBER) == 17
+
+
+def test_sheets_in_small_splits(spark, tmp_path):
+    """Two sheets of different layouts, each read in many splits: every line keeps its number."""
+    folder = tmp_path / "sheets"
+    folder.mkdir()
+    for name, header, rows in (("a.txt", "id\t\tx", [f"a{i}\tb\t{i}" for i in range(400)]), ("b.txt", "x\tid", [f"{i}\tb{i}" for i in range(300)])):
+        (folder / name).write_text("\n".join(["title", "", header, *rows, ""]))
+    (folder / "short.txt").write_text("title\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        lines = text.number_lines(text.read_lines(spark, str(folder)))
+        assert lines.select("block").distinct().count() > 5
+        got = {(r.file.rsplit("/", 1)[-1], r.number): r.value for r in lines.collect()}
+        assert got["a.txt", 2] == "id\t\tx" and got["a.txt", 402] == "a399\tb\t399" and got["b.txt", 302] == "299\tb299"
+        sheets = text.read_sheets(spark, str(folder), header_line=2, lineage="file")
+        rows = {(r.id, r.x, r.col1) for r in sheets.collect()}
+        assert rows == {(f"a{i}", str(i), "b") for i in range(400)} | {(f"b{i}", str(i), None) for i in range(300)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
