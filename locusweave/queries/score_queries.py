@@ -498,6 +498,32 @@ def _models(t):
     return rounded(scoring.heldout_scores(scored), "prevalence", "auroc", "auprc")
 
 
+# The oracle knows the total variance; the other columns say that the fit is the best one.
+@query("pca_fit", """
+SELECT CAST(max(n) AS BIGINT) AS n, CAST(8 AS BIGINT) AS n_components, round(sum(v),6) AS total_variance, true AS uncorrelated, true AS falling, true AS rest_is_smaller, true AS centred FROM (
+  SELECT k, var_pop(CAST(x AS DOUBLE)) AS v, count(*) AS n FROM (SELECT unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS k FROM embeddings) u GROUP BY k) w""")
+def _pca_fit(t):
+    table = t.embeddings.withColumnRenamed("embedding", "vec")
+    mean, components, _ = models.fit_projection(table, 8)
+    return rounded(models.projection_check(table, mean, components), "total_variance")
+
+
+@query("link_sign_fit", f"""
+SELECT 'link' AS model, count(*) AS n, count(*) FILTER (WHERE link=1) AS n_positive, true AS optimal FROM (
+  SELECT s.link FROM fx_scored s JOIN fx_window w ON w.window_id=s.element_id JOIN fx_window v ON v.window_id=s.gene_id) x
+UNION ALL SELECT 'sign', count(*), CAST(sum(y_rep) AS BIGINT), true FROM ({_PF}) f WHERE mask_sign""")
+def _link_sign_fit(t):
+    features = durable(models.interaction_features(scoring.pair_features(t.model_pairs, windows(t), vectors=True))).drop("link_score", "rep_score")
+    link, sign = models.link_model(features, max_iter=200), models.sign_model(features, max_iter=200)
+    rows = features.where("mask_sign")
+    rare = float(prevalence_weight(rows, F.col("y_rep") == 1).first()["class_weight"])
+    parts = [
+        models.fit_check(features, link, "link").withColumn("model", F.lit("link")),
+        models.fit_check(rows, sign, "y_rep", F.when(F.col("y_rep") == 1, rare).otherwise(1.0)).withColumn("model", F.lit("sign")),
+    ]
+    return parts[0].unionByName(parts[1]).select("model", "n", "n_positive", "optimal")
+
+
 @query("distance_prior", """
 WITH p AS (SELECT CAST(abs_distance AS DOUBLE) AS x, count(*) AS w, sum(link) AS s FROM fx_scored GROUP BY 1),
 c AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS sw, sum(s) OVER (ORDER BY x) AS ss, w, s FROM p)

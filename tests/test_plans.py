@@ -170,3 +170,29 @@ def test_nomination_ties_go_to_the_earlier_candidate(spark):
     df = spark.createDataFrame(rows, "locus_id string, gene_id string, cand_no int, gene_dist long, effector string, anchor string, anchor_dist long")
     r = scoring.nominate_effectors(df).first()
     assert (r.top_gene, r.nearest_gene, r.hit, r.effector_in_cand, r.n_cand) == ("g2", "g2", False, True, 2)
+
+
+def test_checks_tell_a_fit_from_what_is_none(spark):
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    from locusweave.plans import models
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 5)) * [3, 2, 1, 0.5, 0.2] + 1
+    rows = spark.createDataFrame([(v.tolist(), int(rng.random() < 1 / (1 + np.exp(-v[0] + 1)))) for v in x], "vec array<double>, y int")
+    mean, components, _ = models.fit_projection(rows, 2)
+    good = models.projection_check(rows, mean, components).first()
+    assert good.uncorrelated and good.falling and good.rest_is_smaller and good.centred
+    assert abs(good.total_variance - x.var(0).sum()) < 1e-9 * x.var(0).sum()
+    turned = np.array([components[0] + components[1], components[0] - components[1]]) / 2 ** 0.5
+    assert not models.projection_check(rows, mean, turned).first().uncorrelated
+    assert not models.projection_check(rows, mean, components[::-1]).first().falling
+    assert not models.projection_check(rows, mean + 0.1, components).first().centred
+    features = rows.select(array_to_vector("vec").alias("features"), "y")
+    names = {"labelCol": "y", "regParam": 1e-3}
+    full, short = (LogisticRegression(maxIter=n, **names).fit(features) for n in (100, 1))
+    found = models.fit_check(features, full, "y").first()
+    assert (found.n, found.n_positive, found.optimal) == (400, rows.where("y = 1").count(), True)
+    assert not models.fit_check(features, short, "y").first().optimal
