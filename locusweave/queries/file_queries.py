@@ -64,11 +64,12 @@ def _nested(t):
 
 @query("track_files", "SELECT class, count(*) AS n, CAST(sum(i_end-i_start) AS BIGINT) AS bases FROM fx_interval GROUP BY 1")
 def _track(t):
-    """JSON documents that hold arrays of records, a document per bin of the axis."""
+    """JSON documents that hold arrays of about a thousand records of a bin of the axis."""
     path = fresh(t)
     record = F.struct("chrom", F.col("i_start").alias("chromStart"), F.col("i_end").alias("chromEnd"), "name", F.col("class").alias("cls"))
-    docs = t.fx_interval.groupBy("chrom", F.floor(F.col("i_start") / 100_000).alias("bin")).agg(F.collect_list(record).alias("ccre"))
-    docs.select("ccre").repartition(16).write.option("maxRecordsPerFile", 1).json(path)
+    binned = t.fx_interval.withColumn("bin", F.floor(F.col("i_start") / 100_000))
+    docs = sinks.track_documents(binned, record, "ccre", ["chrom", "bin"], ["name", "i_start"])
+    docs.select("ccre").write.option("maxRecordsPerFile", 1).json(path)
     rows = readers.read_track(t.spark, path, "ccre", "chrom: string, chromStart: bigint, chromEnd: bigint, name: string, cls: string")
     return rows.groupBy(F.col("cls").alias("class")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("chromEnd") - F.col("chromStart")).alias("bases"))
 

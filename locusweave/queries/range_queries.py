@@ -10,7 +10,7 @@ from locusweave.operators.ranges import (
 )
 from locusweave.plans import credible, liftover, screens
 from locusweave.queries.registry import Tables, query, rounded
-from locusweave.sources import text
+from locusweave.sources import sinks, text
 
 
 def member_points(t: Tables):
@@ -212,11 +212,9 @@ def _chain(t):
 SELECT chrom, i_start AS chrom_start, i_end AS chrom_end, name, class FROM fx_interval""")
 def _track(t):
     record = "struct<chrom: string, chromStart: bigint, chromEnd: bigint, name: string, cls: string>"
-    docs = t.fx_interval.groupBy("chrom", F.floor(F.col("i_start") / 100_000).alias("part")).agg(
-        F.to_json(F.struct(F.collect_list(F.struct(
-            "chrom", F.col("i_start").alias("chromStart"), F.col("i_end").alias("chromEnd"), "name", F.col("class").alias("cls")
-        )).alias("track"))).alias("doc")
-    )
+    fields = F.struct("chrom", F.col("i_start").alias("chromStart"), F.col("i_end").alias("chromEnd"), "name", F.col("class").alias("cls"))
+    binned = t.fx_interval.withColumn("part", F.floor(F.col("i_start") / 100_000))
+    docs = sinks.track_documents(binned, fields, "track", ["chrom", "part"], ["name", "i_start"]).select(F.to_json(F.struct("track")).alias("doc"))
     parsed = docs.select(F.inline(F.from_json("doc", f"track array<{record}>")["track"]))
     return parsed.select("chrom", F.col("chromStart").alias("chrom_start"), F.col("chromEnd").alias("chrom_end"), "name", F.col("cls").alias("class"))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusweave.operators.keys import join_on
+
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Parquet with zstd, rows of one partition value brought together so each writes few files.
@@ -42,3 +44,15 @@ def materialize(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
 def with_section(summary: DataFrame, section: str) -> DataFrame:
     """Summary rows tagged with a section, so that further sections are appended, not merged in."""
     return summary.select(F.lit(section).alias("section"), "*")
+
+
+def track_documents(df: DataFrame, record: Column, track: str, keys: Sequence[str], deal_on: Sequence[str], most: int = 1000) -> DataFrame:
+    """Documents ``keys, track`` that hold about ``most`` records each, whatever the rows of one key.
+
+    The rows of a key are counted first and dealt into shares by a hash of ``deal_on``, so a document does not grow with
+    the table.
+    """
+    shares = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).alias("_shares"))
+    share = F.pmod(F.xxhash64(*deal_on), F.col("_shares")).alias("_share")
+    dealt = join_on(df, shares, keys).select(*keys, share, record.alias("_record"))
+    return dealt.groupBy(*keys, "_share").agg(F.collect_list("_record").alias(track)).drop("_share")

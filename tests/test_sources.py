@@ -150,3 +150,12 @@ def test_sheets_in_small_splits(spark, tmp_path):
         assert rows == {(f"a{i}", str(i), "b") for i in range(400)} | {(f"b{i}", str(i), None) for i in range(300)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_track_documents_have_a_bound(spark):
+    from locusweave.sources.sinks import track_documents
+
+    rows = spark.range(5_000).selectExpr("CASE WHEN id % 10 = 0 THEN NULL ELSE concat('c', id % 2) END AS chrom", "id AS name")
+    docs = track_documents(rows, F.struct("name"), "track", ["chrom"], ["name"], most=100)
+    sizes = [len(r.track) for r in docs.collect()]
+    assert docs.columns == ["chrom", "track"] and sum(sizes) == 5_000 and max(sizes) <= 200
