@@ -4,6 +4,9 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
 from locusweave.llm import mixing, quality_rules
 from .conftest import rows_by_id
 
@@ -84,3 +87,59 @@ def test_mixed_documents(hard, empty):
     taken = sum(r.copies for r in mixing.mix(hard).collect())
     assert out.count() == taken
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def plain_dual(rows, target, shift):
+    """Newton on the whole gradient and Hessian of the dual; ``rows``: (source, size, z)."""
+    names = sorted(target)
+    source = np.array([names.index(k) for k, _, _ in rows])
+    n, z = (np.array([r[i] for r in rows], float) for i in (1, 2))
+    size = np.bincount(source, n, len(names))
+    want = np.array([target[k] for k in names])
+    want_z = (want / size) @ np.bincount(source, n * z, len(names)) + shift * want.sum()
+    columns = np.column_stack([np.eye(len(names))[source], z])
+    x = np.append(np.log(want / (2 * size - want)), 0.0)
+    for _ in range(200):
+        r = 2 / (1 + np.exp(-columns @ x))
+        miss = np.append(want, want_z) - columns.T @ (n * r)
+        x += np.clip(np.linalg.solve((columns.T * (n * r * (1 - r / 2))) @ columns, miss), -0.5, 0.5)
+    return dict(zip(names, x[:-1])), x[-1]
+
+
+@pytest.mark.parametrize("shift", [0.0, 0.2, -0.3])
+def test_dual_against_plain_solver(spark, shift):
+    rng = random.Random(21)
+    rows = [(k, " ".join(["w"] * (1 + int(rng.lognormvariate(3, 1)))), rng.choice("aabbbcd")) for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    base, sums = mixing.measured(docs)
+    target = {r["k"]: 0.7 * r["n"] for r in sums}
+    a, b = mixing._solve(spark, base, sums, target, shift)
+    want_a, want_b = plain_dual([(r.k, r.size, r.z) for r in base.collect()], target, shift)
+    assert abs(b - want_b) < 1e-5 and a.keys() == want_a.keys() and all(abs(a[k] - want_a[k]) < 1e-5 for k in a)
+
+
+def test_rates_that_do_not_exist(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 6)
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 7), "a") for k in range(60)], "doc_id bigint, text string, source string")
+    base, sums = mixing.measured(docs)
+    with pytest.raises(ArithmeticError):
+        mixing._solve(spark, base, sums, {r["k"]: 0.7 * r["n"] for r in sums}, 50.0)
+
+
+def test_mix_moves_the_mean_log_size(spark):
+    rng = random.Random(22)
+    docs = spark.createDataFrame([(k, "w " * (1 + int(rng.lognormvariate(3, 1))), rng.choice("ab")) for k in range(3000)], "doc_id bigint, text string, source string")
+    # Source a is at its bound, so only b can move.
+    mean = lambda rows: (lambda own: sum(r.taken * np.log1p(r.size) for r in own) / sum(r.taken for r in own))([r for r in rows if r.source == "b"])
+    still, moved = (mean(mixing.mix(docs, shift=s).collect()) for s in (0.0, -0.15))
+    assert abs(moved - still + 0.15) < 0.03
+
+
+def test_no_document_is_shuffled_by_source(spark):
+    docs = spark.createDataFrame([(k, "w " * (k % 90), "abc"[k % 3]) for k in range(500)], "doc_id bigint, text string, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"SortMergeJoin \[k#\d+\]", plan) and "BroadcastHashJoin" in plan
