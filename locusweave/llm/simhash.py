@@ -22,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.llm.common import components, stored
+from locusweave.operators.keys import skew_join
 
 BITS = 64
 BLOCK = 4096
@@ -143,9 +144,12 @@ def linked(entries: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``fp``) that join exactly those within the radius, through others."""
     tables = F.array(*[F.struct(F.lit(k).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks(radius))])
     keys = entries.select("fp", F.explode(tables).alias("e")).select("e.t", "e.key", "fp")
-    keys = keys.withColumn("n", F.count("*").over(Window.partitionBy("t", "key"))).where("n > 1")
+    # Counts are merged on the map side, and a hot bucket is cut into shares, so none is in one task before it is tiled.
+    counts = stored(keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    keys = skew_join(keys, counts, ["t", "key"], salt_on=["fp"])
     schema = "a bigint, b bigint"
-    plain = keys.where(F.col("n") <= BLOCK).select("t", "key", F.lit(0).cast("long").alias("tile"), "fp").mapInArrow(_links(radius), schema)
+    plain = keys.where(F.col("n") <= BLOCK).select("t", "key", F.lit(0).cast("long").alias("tile"), "fp")
+    plain = plain.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_links(radius), schema)
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("fp"), blocks)
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(own, j) * (1 << 31) + F.greatest(own, j))
