@@ -62,21 +62,16 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-#: Categories of the toxicity chain: insults of a person, contempt, and the label itself.
-# Stems that mark a labelled text as of one kind or the other, in the four languages.
-CATEGORIES = {
-    "insult": r"(?<![\p{L}\p{N}])(idiot|moron|clown|loser|scum|achlich|réeux|bomente)",
-    "contempt": r"(?<![\p{L}\p{N}])(stupid|pathetic|disgusting|worthless|trash|achkeit|réê|boco)",
-    "toxic": None,
-}
+#: Categories of the toxicity chain before the label itself: groups of the words that mark it.
+GROUPS = 2
 
 
 @query
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    chain = toxicity.fit(docs, table(spark, folder, "labels"), CATEGORIES)
+    chain = toxicity.fit(docs, table(spark, folder, "labels"), GROUPS)
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(docs, chain).alias("_p"))
-    return out.select("doc_id", "held_out", *[F.col(f"_p.{c}").alias(f"p_{c}") for c in CATEGORIES], F.col("_p.toxic").alias("score"), (F.col("_p.toxic") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", "held_out", *[F.col(f"_p.{c}").alias(f"p_{c}") for c in chain.categories], F.col("_p.toxic").alias("score"), (F.col("_p.toxic") >= 0.5).cast("int").alias("predicted"))
 
 
 @query

@@ -1,6 +1,7 @@
 """Toxicity by classifier chains.
 
-Categories come in a fixed order. Each has a logistic regression on the words present in a text; from the
+Categories come in a fixed order: given ones, or groups of the words that mark the label, found in the sample
+(``kinds``), then the label itself. Each has a logistic regression on the words present in a text; from the
 second on, its inputs also hold the log-odds of the categories before it. In training those come from models
 that did not see the row (out-of-fold), so a later model learns how far to trust an earlier one.
 
@@ -154,7 +155,41 @@ def _different(sketch: np.ndarray) -> np.ndarray:
     return keep
 
 
-def train(row: np.ndarray, h: np.ndarray, x: np.ndarray, sketch: np.ndarray, labels: np.ndarray, categories: list[str], folds: int = 5, strictness: float = 5.0) -> Chain:
+def kinds(row: np.ndarray, place: np.ndarray, x: np.ndarray, width: int, y: np.ndarray, groups: int, strictness: float) -> np.ndarray:
+    """A column for each category: 1 for the rows with label 1 that hold a word of the category's group.
+
+    The words are those that a model of the label alone gives a positive weight. They are grouped by how often they stand in
+    the same labelled texts (cosine): the most frequent one opens the first group, then the frequent one that is least like those
+    so far the next; every word joins the group that it is most like. Ties go to the smaller hash.
+    """
+    out = np.zeros((len(y), groups))
+    weight = _regress(row, place, x, width, np.zeros((len(y), 0)), y, strictness).word
+    marks = np.flatnonzero(weight > 0)
+    at = np.full(width, -1)
+    at[marks] = np.arange(len(marks))
+    bearing = np.cumsum(y == 1) - 1
+    inside = (y[row] == 1) & (at[place] >= 0)
+    holds = np.zeros((int((y == 1).sum()), len(marks)))
+    holds[bearing[row[inside]], at[place[inside]]] = 1
+    count = holds.sum(0)
+    holds, count = holds[:, count > 0], count[count > 0]
+    if not len(count):
+        return out
+    like = holds.T @ holds / np.sqrt(np.outer(count, count))
+    first = [int(np.argmax(count))]
+    while len(first) < min(groups, len(count)):
+        away = count * (1 - like[first].max(0))
+        away[first] = -1
+        first.append(int(np.argmax(away)))
+    own = np.argmax(like[first], axis=0)
+    own[first] = np.arange(len(first))
+    for k in range(len(first)):
+        out[y == 1, k] = holds[:, own == k].any(1)
+    return out
+
+
+def train(row: np.ndarray, h: np.ndarray, x: np.ndarray, sketch: np.ndarray, labels: np.ndarray, categories: list[str], folds: int = 5, strictness: float = 5.0, groups: int = 0) -> Chain:
+    """``labels``: a column for each category. With ``groups`` that many found in the rows come before the last one, the label."""
     keep = _different(sketch)
     number = np.cumsum(keep) - 1
     mask = keep[row]
@@ -165,6 +200,8 @@ def train(row: np.ndarray, h: np.ndarray, x: np.ndarray, sketch: np.ndarray, lab
     hit, place = own.places(row, h)
     row, x = row[hit], x[hit]
     width, fold, z = len(own.vocabulary), np.arange(n) % folds, np.zeros((n, 0))
+    if groups:
+        labels = np.column_stack([kinds(row, place, x, width, labels[:, -1], groups, strictness), labels[:, -1]])
     for j in range(len(categories)):
         out = np.zeros(n)
         for f in range(folds):
@@ -177,12 +214,15 @@ def train(row: np.ndarray, h: np.ndarray, x: np.ndarray, sketch: np.ndarray, lab
     return own.pruned()
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str | None], label: str = "toxic", text: str = "text", doc_id: str = "doc_id", most: int = 4000) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str | None] | int, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", most: int = 4000) -> Chain:
     """Learn from about ``most`` labelled rows chosen by a hash of the id.
 
     ``categories``: in chain order, a pattern or None. A row bears a category if its label is 1 and its lower-cased
-    text holds the pattern; None takes the label as it is.
+    text holds the pattern; None takes the label as it is. A number takes that many groups of words found in the sample
+    (``group_1``, ...) and then the label.
     """
+    groups = categories if isinstance(categories, int) else 0
+    categories = {label: None} if groups else categories
     known = labels.where(learnable(F.col(doc_id)) & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     n = known.count()
     known = known.where(share(F.col("id").cast("string")) < min(1.0, most / max(1, n)))
@@ -207,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str | None], l
     h, x, y, sketch = (got.column(c).combine_chunks() for c in ("h", "x", "y", "sketch"))
     row = np.repeat(np.arange(len(got)), h.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
     y = y.flatten().to_numpy(zero_copy_only=False).reshape(len(got), len(categories))
-    return train(row, h.flatten().to_numpy().view(np.uint64), x.flatten().to_numpy(), sketch.flatten().to_numpy().reshape(-1, 3), y, list(categories))
+    return train(row, h.flatten().to_numpy().view(np.uint64), x.flatten().to_numpy(), sketch.flatten().to_numpy().reshape(-1, 3), y, [*(f"group_{k + 1}" for k in range(groups)), *categories], groups=groups)
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text") -> Column:

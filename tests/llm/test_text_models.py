@@ -113,3 +113,46 @@ def test_toxicity(labelled, hard, empty):
     assert empty.select(toxicity.score(empty, chain)).count() == 0
     none = toxicity.fit(docs, labels.limit(0), kinds)
     assert {r.p["all"] for r in docs.select(toxicity.score(docs, none).alias("p")).collect()} == {0.5}
+
+
+def test_kinds_of_toxicity(labelled):
+    docs, labels = labelled
+    chain = toxicity.fit(docs, labels, 2)
+    assert chain.categories == ["group_1", "group_2", "toxic"] and [len(k.earlier) for k in chain.links] == [0, 1, 2]
+    found = docs.select("doc_id", held_out(docs.doc_id).alias("out"), toxicity.score(docs, chain).alias("p")).collect()
+    right = [(r.p["toxic"] >= 0.5) == (r.doc_id % 5 == 0) for r in found if r.out]
+    assert len(right) > 50 and np.mean(right) > 0.95
+    none = toxicity.fit(docs, labels.limit(0), 2)
+    assert {r.p["toxic"] for r in docs.select(toxicity.score(docs, none).alias("p")).collect()} == {0.5}
+
+
+def test_groups_of_marking_words():
+    """Words 0 and 1 stand together, as do 2 and 3; word 4 is everywhere."""
+    n = 400
+    y = (np.arange(n) % 2 == 0).astype(float)
+    first = (y == 1) & (np.arange(n) % 4 == 0)
+    holds = np.column_stack([first, first, (y == 1) & ~first, (y == 1) & ~first, np.ones(n, bool)])
+    row, place = np.nonzero(holds)
+    got = toxicity.kinds(row, place, np.ones(len(row)), 5, y, 2, 5.0)
+    assert {tuple(c) for c in got.T} == {tuple(first.astype(float)), tuple(((y == 1) & ~first).astype(float))}
+    assert not toxicity.kinds(row, place, np.ones(len(row)), 5, np.zeros(n), 2, 5.0).any()
+
+
+def test_out_of_fold_chances():
+    """Chances that later links learn from are those of models that did not see the row."""
+    rng = np.random.default_rng(4)
+    n, width = 120, 6
+    holds = rng.random((n, width)) < 0.4
+    y = np.column_stack([holds[:, 0], holds[:, 0] | holds[:, 1]]).astype(float)
+    row, place = np.nonzero(holds)
+    sketch = rng.integers(0, 2**62, (n, 3)).astype(np.uint64)
+    chain = toxicity.train(row, place.astype(np.uint64), np.ones(len(row)), sketch, y, ["a", "b"])
+    out = np.zeros((n, 1))
+    for f in range(5):
+        seen = np.flatnonzero(np.arange(n) % 5 != f)
+        r, p = np.nonzero(holds[seen])
+        link = toxicity._regress(r, p, np.ones(len(r)), width, np.zeros((len(seen), 0)), y[seen, 0], 5.0)
+        for i in np.flatnonzero(np.arange(n) % 5 == f):
+            out[i, 0] = np.clip(link.bias + link.word[holds[i]].sum(), -8, 8)
+    last = toxicity._regress(row, place, np.ones(len(row)), width, out, y[:, 1], 5.0)
+    assert np.allclose(chain.links[1].earlier, last.earlier) and np.isclose(chain.links[1].bias, last.bias)
