@@ -1,10 +1,11 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words, A-Z lower-cased. Lines with at least ``least`` different words whose sets have a
-Jaccard index of 4/5 or more match, and a line that matches an earlier one (by document id, then place in the
-text) goes. Lines with fewer words, and lines without words, stay.
+A line is the set of its words, A-Z lower-cased. Lines whose sets have a Jaccard index of 4/5 or more match, and a
+line that matches an earlier one (by document id, then place in the text) goes. Lines without words stay; ``least``
+can be raised to leave lines with fewer different words alone.
 
-Equal sets are found by a hash: all but the first place of a set go. First places are compared by words: these
+Equal sets are found by a hash: all but the first place of a set go. Sets of up to three words match equal ones
+only, so no more is done for them. First places of larger sets are compared by words: these
 are ordered by rarity, so that two matching sets share one of the first |x| - ceil(4/5 |x|) + 1 words of each.
 An entry is such a word of a line, with its place and size. Entries that share a word are a candidate pair if
 their sizes allow 4/5, if the places of the word leave enough common words behind it, and if their parity maps
@@ -27,6 +28,7 @@ words goes, one that never had any stays; an empty table gives an empty table; o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +38,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.llm.common import lower, mixed, stored, text_chunks, word_hashes, words
+from locusweave.operators.keys import skew_join
 
 CELLS = 1 << 20
 #: Cells that travel together when the tasks' counts are added up.
 PART = 1 << 14
-LEAST = 5
+LEAST = 1
+#: Words of the smallest set that can match one of another size: 4 of 5.
+SMALLEST = 4
+#: Rows of one set beyond which its first place is broadcast.
+HOT_SET = 1 << 13
+#: A hot set also holds over one in this many of all lines, so there are fewer of them.
+HOT_SHARE = 10_000
 BLOCK = 4096
 #: Earliest candidates of a line behind one word that are verified first.
 FIRST = 2
@@ -221,7 +230,7 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
                         seen[x], new[k] = y, True
                 if len(seen) > 1 << 20:
                     seen.clear()
-                line, word, *rest = own.prefixes(level.value, new)
+                line, word, *rest = own.prefixes(level.value, new & (own.size >= SMALLEST))
                 ids = part.column("id").slice(at, to - at)
                 none = pa.nulls(len(line), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(q[line]), *map(pa.array, rest), pa.nulls(len(line), ids.type), none], FLAT)
@@ -239,21 +248,36 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     kind_of = "CASE WHEN line IS NOT NULL THEN 0 WHEN y IS NOT NULL THEN 1 WHEN more = 2 THEN 2 ELSE 3 END"
     made = stored(made.withColumn("kind", F.expr(kind_of)), "kind")
     lines = made.where("kind = 0").select("id", F.col("high").alias("h"), "line", "q", F.col("word").alias("s"), F.col("at").alias("c"))
-    firsts = lines.groupBy("s", "c").agg(F.min(place_of()).alias("first"), F.count("*").alias("n")).where("n > 1")
-    marked = lines.select("id", "h", "line", "s", "c").join(firsts.select("s", "c", "first"), ["s", "c"], "left")
+    marked = with_first(lines)
     again = F.col("first").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("line") == F.col("first.line")))
     found = candidates(made)
     beaten = stored(verified(rows, found.select("x", "y").distinct(), least, kind, repeats))
     # Lines that stay although they had more candidates than were verified; the entries behind their words were kept.
     open_ = stored(found.where("more = 1").select(F.col("x").alias("q")).distinct().join(beaten.select("q").distinct(), "q", "left_anti"))
     if open_.take(1):
-        entries = made.where("kind IN (2, 3)").select(*FLAT)
+        entries = made.where("kind IN (2, 3)").select(*FLAT, "kind")
         beaten = stored(beaten.unionByName(verified(rows, all_candidates(entries, open_), least, kind, repeats)).distinct())
     gone = beaten.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("line").alias("line2"))
     out = marked.select("id", "h", "line", again.alias("again")).join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")) & (F.col("line") == F.col("line2")), "left")
     return out.select("id", "h", "line", (F.col("again") | F.col("line2").isNotNull()).alias("gone"))
 
 
+def with_first(lines: DataFrame) -> DataFrame:
+    """Adds ``first``, the first place of the line's set, or null where the set occurs once.
+
+    A set that very many lines hold never meets in one task: there are fewer than ``HOT_SHARE`` such sets, so their first places
+    are broadcast, and the other lines are joined without them.
+    """
+    firsts = stored(lines.groupBy("s", "c").agg(F.min(place_of()).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    lines = lines.select("id", "h", "line", "s", "c")
+    most = max(HOT_SET, lines.count() // HOT_SHARE)
+    cold, hot = (firsts.where(t).select("s", "c", "first") for t in (F.col("n") <= most, F.col("n") > most))
+    if not hot.take(1):
+        return lines.join(cold, ["s", "c"], "left")
+    rest = lines.join(F.broadcast(hot.select("s", "c")), ["s", "c"], "left_anti")
+    return rest.join(cold, ["s", "c"], "left").unionByName(lines.join(F.broadcast(hot), ["s", "c"]))
+
+
 def place_of():
     """The order of lines: null ids last."""
     return F.struct(F.col("id").isNull().alias("none"), "id", "h", "line")
@@ -386,7 +410,7 @@ def candidates(made: DataFrame) -> DataFrame:
     if not hot.take(1):
         return pairs
     blocks = hot.groupBy(_key().alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    hot = hot.join(blocks, _key() == F.col("k")).withColumn("own", F.pmod(F.xxhash64("q"), F.col("n")).cast("long"))
+    hot = skew_join(hot.withColumn("k", _key()), blocks, ["k"], salt_on=["q"]).withColumn("own", F.pmod(F.xxhash64("q"), F.col("n")).cast("long"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least("own", j) * (1 << 31) + F.greatest(F.col("own"), j)))
     hot = hot.select(*FLAT, tile.alias("tile")).repartition(_key(), "tile").sortWithinPartitions(_key(), "tile")
     tiled = hot.mapInArrow(_paired(None, FIRST), made.select(*FLAT, "y", "more").schema)
@@ -394,26 +418,43 @@ def candidates(made: DataFrame) -> DataFrame:
 
 
 def all_candidates(entries: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(x, y): every candidate pair of the lines in ``wanted`` (q)."""
+    """(x, y): every candidate pair of the lines in ``wanted`` (q).
+
+    Entries meet by word and size class (sizes that allow 4/5 lie in neighbouring classes); the entries of a hot word (kind 3)
+    are dealt out in shares of about ``BLOCK``, and a wanted line goes to each share.
+    """
     def numbers(at: str) -> list:
         a = F.col(at)
         return [F.shiftrightunsigned(a, 50), F.shiftrightunsigned(a, 36).bitwiseAND(F.lit(MANY))]
 
-    def side(df: DataFrame, k: int) -> DataFrame:
-        return df.select(_key().alias("k" if k == 1 else "k2"), *[F.col(c).alias(f"{c}{k}") for c in NUMBERS])
+    entries = entries.withColumn("k", _key())
+    blocks = entries.where("kind = 3").groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shares"))
+    hot = entries.where("kind = 3")
+    if hot.take(1):
+        hot = skew_join(hot, stored(blocks), ["k"], salt_on=["q"])
+    else:
+        hot = hot.withColumn("shares", F.lit(1))
+    shared = entries.where("kind = 2").withColumn("shares", F.lit(1)).unionByName(hot)
+    size_class = F.floor(F.log(numbers("at")[0].cast("double")) / math.log(1.3)).cast("int")
+
+    def side(df: DataFrame, k: int, share) -> DataFrame:
+        names = {"k": "k", "class": "class", "share": "share"} if k == 1 else {"k": "k2", "class": "class2", "share": "share2"}
+        return df.withColumn("share", share).select(*[F.col(c).alias(n) for c, n in names.items()], *[F.col(c).alias(f"{c}{k}") for c in NUMBERS])
 
     def flips(name: str, mask: int = -1):
         return F.col(f"{name}1").bitwiseXOR(F.col(f"{name}2")).bitwiseAND(F.lit(mask))
 
-    x, y = side(entries.join(wanted, "q", "left_semi"), 1), side(entries, 2)
+    own = shared.join(wanted, "q", "left_semi").withColumn("class", F.explode(F.array(*[size_class + d for d in (-1, 0, 1)])))
+    x = side(own, 1, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    y = side(shared.withColumn("class", size_class), 2, F.pmod(F.xxhash64("q"), F.col("shares")).cast("int"))
     (n1, i1), (n2, i2) = numbers("at1"), numbers("at2")
     both = n1 + n2
     need = F.floor((both * 4 + 8) / 9)
     differ = F.bit_count(flips("word", 0xFFFFFF)) + F.bit_count(flips("at", (1 << 36) - 1)) + F.bit_count(flips("high"))
     many = (n1 == MANY) | (n2 == MANY)
     fits = many | ((n1 * 5 >= n2 * 4) & (n2 * 5 >= n1 * 4) & (F.least(n1 - i1, n2 - i2) >= need) & (differ <= both - 2 * need))
-    found = x.join(y, F.col("k") == F.col("k2")).where(fits)
-    return found.select(F.col("q1").alias("x"), F.col("q2").alias("y")).distinct()
+    same = (F.col("k") == F.col("k2")) & (F.col("class") == F.col("class2")) & (F.col("share") == F.col("share2"))
+    return x.join(y, same).where(fits).select(F.col("q1").alias("x"), F.col("q2").alias("y")).distinct()
 
 
 def _bits(size: int, column: str):

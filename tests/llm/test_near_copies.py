@@ -102,14 +102,14 @@ def test_simhash_on_hard_rows(spark, hard, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
-def brute_lines(rows, least=5):
+def brute_lines(rows, least=1):
     """{(id, text): numbers of the lines that go}, over lines in order of id and place."""
     unique = sorted({(r[0], r[1]) for r in rows if r[1]}, key=lambda r: (r[0] is None, r[0] or 0))
     seen, gone = [], {}
     for i, text in unique:
         for k, line in enumerate(text.split("\n")):
             words = set(re.findall(WORD.encode(), line.encode().lower()))
-            if len(words) < least:
+            if len(words) < max(1, least):
                 continue
             if any(9 * len(words & other) >= 4 * (len(words) + len(other)) for other in seen):
                 gone.setdefault((i, text), []).append(k)
@@ -117,8 +117,9 @@ def brute_lines(rows, least=5):
     return gone
 
 
-@pytest.mark.parametrize("block,first", [(4096, 2), (6, 1)])
-def test_lines_on_hard_rows(spark, hard, empty, monkeypatch, block, first):
+@pytest.mark.parametrize("block,first,hot", [(4096, 2, 8192), (6, 1, 3)])
+def test_lines_on_hard_rows(spark, hard, empty, monkeypatch, block, first, hot):
+    monkeypatch.setattr(line_dedup, "HOT_SET", hot)
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     monkeypatch.setattr(line_dedup, "FIRST", first)
     rng = random.Random(13)
@@ -127,12 +128,19 @@ def test_lines_on_hard_rows(spark, hard, empty, monkeypatch, block, first):
     for k in range(80):
         lines = []
         for _ in range(rng.randint(1, 5)):
+            if rng.random() < 0.3:
+                lines.append(" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6))))
+                continue
             words = rng.choice(pool).split()
             for _ in range(rng.choice([0, 1, 2, 4])):
                 words[rng.randrange(len(words))] = f"new{rng.randrange(50)}"
             lines.append(" ".join(words).upper() if rng.random() < 0.2 else " ".join(words))
         rows.append((200 + k, "\n".join(lines)))
     docs = spark.createDataFrame([(*r, *[None] * 11) for r in rows], SCHEMA)
+    for least in (1, 5):
+        want = {k: v for k, v in brute_lines(rows, least).items()}
+        found = {(r.id, r.h): list(r.gone) for r in line_dedup.gone_lines(docs, least=least).collect() if r.gone}
+        assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
     gone = brute_lines(rows)
     found = {(r.id, r.h): list(r.gone) for r in line_dedup.gone_lines(docs).collect() if r.gone}
     assert sum(map(len, found.values())) == sum(map(len, gone.values()))
