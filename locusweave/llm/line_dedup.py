@@ -248,28 +248,27 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     kind_of = "CASE WHEN line IS NOT NULL THEN 0 WHEN y IS NOT NULL THEN 1 WHEN more = 2 THEN 2 ELSE 3 END"
     made = stored(made.withColumn("kind", F.expr(kind_of)), "kind")
     lines = made.where("kind = 0").select("id", F.col("high").alias("h"), "line", "q", F.col("word").alias("s"), F.col("at").alias("c"))
-    marked = with_first(lines)
-    again = F.col("first").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("line") == F.col("first.line")))
+    # Rows that share id and text bring each line as often; one is kept.
+    marked = with_first(lines.dropDuplicates(["q"]) if repeats else lines)
     found = candidates(made)
-    beaten = stored(verified(rows, found.select("x", "y").distinct(), least, kind, repeats))
+    beaten = stored(verified(rows, found.select("x", "y").distinct(), least, repeats))
     # Lines that stay although they had more candidates than were verified; the entries behind their words were kept.
-    open_ = stored(found.where("more = 1").select(F.col("x").alias("q")).distinct().join(beaten.select("q").distinct(), "q", "left_anti"))
+    open_ = stored(found.where("more = 1").select(F.col("x").alias("q")).distinct().join(beaten, "q", "left_anti"))
     if open_.take(1):
         entries = made.where("kind IN (2, 3)").select(*FLAT, "kind")
-        beaten = stored(beaten.unionByName(verified(rows, all_candidates(entries, open_), least, kind, repeats)).distinct())
-    gone = beaten.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("line").alias("line2"))
-    out = marked.select("id", "h", "line", again.alias("again")).join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")) & (F.col("line") == F.col("line2")), "left")
-    return out.select("id", "h", "line", (F.col("again") | F.col("line2").isNotNull()).alias("gone"))
+        beaten = stored(beaten.unionByName(verified(rows, all_candidates(entries, open_), least, repeats)).distinct())
+    again = F.col("first").isNotNull() & (F.col("q") != F.col("first"))
+    out = marked.join(beaten.withColumn("beaten", F.lit(True)), "q", "left")
+    return out.select("id", "h", "line", (again | F.col("beaten").isNotNull()).alias("gone"))
 
 
 def with_first(lines: DataFrame) -> DataFrame:
-    """Adds ``first``, the first place of the line's set, or null where the set occurs once.
+    """Adds ``first``, the number of the first line of the line's set, or null where the set occurs once.
 
-    A set that very many lines hold never meets in one task: there are fewer than ``HOT_SHARE`` such sets, so their first places
+    A set that very many lines hold never meets in one task: there are fewer than ``HOT_SHARE`` such sets, so their first lines
     are broadcast, and the other lines are joined without them.
     """
-    firsts = stored(lines.groupBy("s", "c").agg(F.min(place_of()).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    lines = lines.select("id", "h", "line", "s", "c")
+    firsts = stored(lines.groupBy("s", "c").agg(F.min("q").alias("first"), F.count("*").alias("n")).where("n > 1"))
     most = max(HOT_SET, lines.count() // HOT_SHARE)
     cold, hot = (firsts.where(t).select("s", "c", "first") for t in (F.col("n") <= most, F.col("n") > most))
     if not hot.take(1):
@@ -278,11 +277,6 @@ def with_first(lines: DataFrame) -> DataFrame:
     return rest.join(cold, ["s", "c"], "left").unionByName(lines.join(F.broadcast(hot), ["s", "c"]))
 
 
-def place_of():
-    """The order of lines: null ids last."""
-    return F.struct(F.col("id").isNull().alias("none"), "id", "h", "line")
-
-
 def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray, high: np.ndarray, first_few: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(later, earlier, more, keys): the earliest candidates of each later entry of a key, and keys where some had more.
 
@@ -479,8 +473,8 @@ def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def verified(rows: DataFrame, pairs: DataFrame, least: int, kind: str, repeats: bool) -> DataFrame:
-    """(q, id, h, line): lines that match an earlier one of their pair."""
+def verified(rows: DataFrame, pairs: DataFrame, least: int, repeats: bool) -> DataFrame:
+    """(q): lines that match an earlier one of their pair."""
     pairs = stored(pairs)
     involved = pairs.select(F.col("x").alias("q")).unionByName(pairs.select(F.col("y").alias("q")))
     context = rows.sparkSession.sparkContext
@@ -501,27 +495,19 @@ def verified(rows: DataFrame, pairs: DataFrame, least: int, kind: str, repeats:
                 size = own.size[hit]
                 ends = np.concatenate([[0], np.cumsum(size)])
                 index = np.arange(ends[-1]) + np.repeat(own.head[hit] - ends[:-1], size)
-                take = pa.array(own.doc[hit])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(q[hit]), part.column("id").slice(at, to - at).take(take), part.column("h").slice(at, to - at).take(take), pa.array(own.number[hit].astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(own.word[index].view(np.int64))),
-                ], ["q", "id", "h", "line", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(q[hit]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(own.word[index].view(np.int64)))], ["q", "words"])
 
     # Every line whose bit is set comes; the joins keep those that are asked for. Rows that share id and text bring a line twice; one is kept.
-    sets = rows.select("id", "h", "o", "text").mapInArrow(bring, f"q bigint, id {kind}, h bigint, line int, words array<bigint>")
-    sets = sets.join(involved.distinct(), "q", "left_semi").select("q", place_of().alias("p"), "words")
+    sets = rows.select("o", "text").mapInArrow(bring, "q bigint, words array<bigint>").join(involved.distinct(), "q", "left_semi")
     sets = stored(sets.dropDuplicates(["q"]) if repeats else sets)
-    full = pairs.join(sets.select(F.col("q").alias("x"), F.col("p").alias("p1"), F.col("words").alias("w1")), "x")
-    full = full.join(sets.select(F.col("q").alias("y"), F.col("p").alias("p2"), F.col("words").alias("w2")), "y").where("p1 <> p2")
+    full = pairs.where("x <> y").join(sets.select(F.col("q").alias("x"), F.col("words").alias("w1")), "x").join(sets.select(F.col("q").alias("y"), F.col("words").alias("w2")), "y")
     full = full.where(F.size(F.array_intersect("w1", "w2")) * 9 >= (F.size("w1") + F.size("w2")) * 4)
-    first = F.col("p1") < F.col("p2")
-    return full.select(F.when(first, F.col("y")).otherwise(F.col("x")).alias("q"), F.when(first, F.col("p2")).otherwise(F.col("p1")).alias("p")).select("q", "p.id", "p.h", "p.line").distinct()
+    return full.select(F.greatest("x", "y").alias("q")).distinct()
 
 
 def gone_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """(id, h, n, gone): for each document with a line of enough words, how many it has and the numbers of those that go."""
-    found = matches(docs, doc_id, text, least).distinct()
-    return found.groupBy("id", "h").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("gone"))
+    return matches(docs, doc_id, text, least).groupBy("id", "h").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("gone"))
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
