@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from locusweave.functions.scalar import CODING_TERMS, IN_SAMPLE, PLOF_TERMS, distance_tier, id_field, joined_key
 from locusweave.operators.aggregates import count_if, dedup_rollup
 from locusweave.operators.keys import HOT_ROWS, attach_single, salted_pair
-from locusweave.operators.ranges import both_orientations, point_in_interval
+from locusweave.operators.ranges import point_in_interval
+from locusweave.session import durable
 
 # ---- non-coding lead with a truncating co-member -----------------------------------------------
 
@@ -94,25 +95,35 @@ def burden_pairs(burden: DataFrame, direction: str = "LoF") -> DataFrame:
     )
 
 
-def proximal_sets(burden: DataFrame, targets: DataFrame, credible: DataFrame, study: DataFrame, pad: int = 500_000) -> DataFrame:
-    """Burden genes with a fine-mapped set of the same disease near the gene body.
-
-    Disease and chromosome are equality keys of the binned join, so a disease with a third of the
-    sets is still spread over the genome.
-    """
+def _burden_bodies(burden: DataFrame, targets: DataFrame) -> DataFrame:
     genes = targets.select(
         F.col("id").alias("gene_id"), F.col("approvedSymbol").alias("gene_symbol"),
         F.col("genomicLocation.chromosome").alias("chrom"), F.col("genomicLocation.start").alias("gstart"),
         F.col("genomicLocation.end").alias("gend"),
     )
-    bodies = burden.join(genes, "gene_id").withColumnRenamed("burden_disease", "disease_id")
-    diseases = study.select("studyId", F.explode("diseaseIds").alias("disease_id"))
-    sets = credible.where((F.col("studyType") == "gwas") & (F.col("confidence") == IN_SAMPLE)).select(
+    return burden.join(genes, "gene_id").withColumnRenamed("burden_disease", "disease_id")
+
+
+def _gwas_sets(credible: DataFrame) -> DataFrame:
+    return credible.where((F.col("studyType") == "gwas") & (F.col("confidence") == IN_SAMPLE)).select(
         F.col("studyLocusId").alias("gwas_sl"), F.col("studyId").alias("gwas_study"), F.col("variantId").alias("gwas_lead"),
         F.col("position").alias("gwas_pos"), F.col("chromosome").alias("chrom"),
-    ).join(diseases.withColumnRenamed("studyId", "gwas_study"), "gwas_study")
+    )
+
+
+def _study_diseases(study: DataFrame) -> DataFrame:
+    return study.select(F.col("studyId").alias("gwas_study"), F.explode("diseaseIds").alias("disease_id"))
+
+
+def proximal_sets(burden: DataFrame, targets: DataFrame, credible: DataFrame, study: DataFrame, pad: int = 500_000) -> DataFrame:
+    """Burden genes with a fine-mapped set of the same disease near the gene body.
+
+    Disease and chromosome are equality keys of the binned join, so a disease with a third of the
+    sets is still spread over the genome.
+    """
+    sets = _gwas_sets(credible).join(_study_diseases(study), "gwas_study")
     return point_in_interval(
-        sets, bodies, pos="gwas_pos", start="gstart", end="gend", by=["disease_id"], pad=pad,
+        sets, _burden_bodies(burden, targets), pos="gwas_pos", start="gstart", end="gend", by=["disease_id"], pad=pad,
         bin_width=(1 << 20, 1 << 26),
     )
 
@@ -121,19 +132,33 @@ def convergent_triplets(
     burden: DataFrame, targets: DataFrame, credible: DataFrame, study: DataFrame, coloc: DataFrame, *,
     min_h4: float = 0.8, pad: int = 500_000, qtl_types: Sequence[str] = ("eqtl", "pqtl", "sqtl"),
 ) -> DataFrame:
-    """Burden gene, nearby set of the disease, and a colocalised molecular set of the same gene."""
-    near = proximal_sets(burden_pairs(burden), targets, credible, study, pad)
-    qtl = credible.where(F.col("studyType").isin(list(qtl_types)) & (F.col("confidence") == IN_SAMPLE)).join(
+    """Burden gene, nearby set of the disease, and a colocalised molecular set of the same gene.
+
+    A link names the set and, by its molecular set, the gene. So every join is one of equal keys and gives no more
+    rows than there are links: the pairs of all genes and sets that are near each other are never formed, and
+    nearness is a test on the rows that are left. The sets are stored once, for both ends of a link.
+    """
+    credible = durable(credible.where(F.col("confidence") == IN_SAMPLE).select(
+        "studyLocusId", "studyId", "variantId", "chromosome", "position", "studyType", "confidence"
+    ))
+    bodies = _burden_bodies(burden_pairs(burden), targets)
+    qtl = credible.where(F.col("studyType").isin(list(qtl_types))).join(
         study.where(F.col("geneId").isNotNull()).select("studyId", "geneId"), "studyId"
     ).select(F.col("studyLocusId").alias("qtl_sl"), F.col("geneId").alias("gene_id"), F.col("studyType").alias("qtl_type"))
+    # Genes without burden drop before any link is moved.
+    qtl = qtl.join(bodies.select("gene_id").distinct(), "gene_id", "left_semi")
     links = coloc.where(F.col("h4") >= min_h4).select("leftStudyLocusId", "rightStudyLocusId", "h4", "clpp", "betaRatioSignAverage")
-    # The gene of the molecular set is joined to the links first: links without one drop early,
-    # and the second join has two keys.
-    typed = both_orientations(links, "leftStudyLocusId", "rightStudyLocusId").withColumnsRenamed(
-        {"leftStudyLocusId": "gwas_sl", "rightStudyLocusId": "qtl_sl"}
-    ).join(qtl, "qtl_sl")
+    # Both ends of each link; repeated ones go with the repeated triplets.
+    ends = links.select(F.inline(F.array(*[
+        F.struct(F.col(a).alias("gwas_sl"), F.col(b).alias("qtl_sl"), "h4", "clpp", "betaRatioSignAverage")
+        for a, b in (("leftStudyLocusId", "rightStudyLocusId"), ("rightStudyLocusId", "leftStudyLocusId"))
+    ])))
+    sets = _gwas_sets(credible).join(_study_diseases(study), "gwas_study")
+    found = ends.join(qtl, "qtl_sl").join(sets, "gwas_sl").join(bodies, ["gene_id", "disease_id", "chrom"]).where(
+        (F.col("gwas_pos") >= F.col("gstart") - pad) & (F.col("gwas_pos") <= F.col("gend") + pad)
+    )
     traits = study.select(F.col("studyId").alias("gwas_study"), F.col("traitFromSource").alias("trait"))
-    return near.join(typed, ["gwas_sl", "gene_id"]).distinct().join(traits, "gwas_study", "left")
+    return found.distinct().join(traits, "gwas_study", "left")
 
 
 def dedup_triplets(triplets: DataFrame) -> DataFrame:

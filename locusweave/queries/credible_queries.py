@@ -389,12 +389,12 @@ JOIN fx_credible q ON q.study_locus_id=co.z AND q.study_type IN ('eqtl','pqtl','
 
 
 def filter2(t: Tables):
-    return evidence.convergent_triplets(t.gene_burden, t.target, t.credible_set, t.study, t.colocalisation)
+    return evidence.convergent_triplets(t.gene_burden, t.target, t.credible_heads, t.study, t.colocalisation)
 
 
 @query("proximal_sets", f"SELECT gene_id, disease_id, burden_score, gwas_sl, gwas_lead, gwas_pos FROM ({_NEAR}) n")
 def _near(t):
-    return evidence.proximal_sets(evidence.burden_pairs(t.gene_burden), t.target, t.credible_set, t.study).select(
+    return evidence.proximal_sets(evidence.burden_pairs(t.gene_burden), t.target, t.credible_heads, t.study).select(
         "gene_id", "disease_id", "burden_score", "gwas_sl", "gwas_lead", "gwas_pos"
     )
 

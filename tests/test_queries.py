@@ -42,3 +42,10 @@ def test_fixtures_read_whole_tables():
     for name, sql in DERIVED.items():
         assert not re.search(r"WHERE[^)]*%\s*\d+\s*=", sql), name
         assert "LIMIT" not in sql.upper(), name
+
+
+def test_convergence_forms_no_pairs_by_range(spark):
+    """Links name set and gene, so their joins have equal keys; no gene meets all the sets around it."""
+    df = entry.queries()["convergent_triplets"](spark, str(FOLDER))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bin" not in plan and "_lvl" not in plan
