@@ -118,60 +118,108 @@ def distance_stratified_auprc(scored: DataFrame, cuts: Sequence[int] = (100_000,
 # ---- loci ------------------------------------------------------------------------------------------
 
 
+def _around(loci: DataFrame, window: int, *extra: str) -> DataFrame:
+    return loci.select("locus_id", "chrom", *extra, (F.col("pos") - window).alias("_s"), (F.col("pos") + window).alias("_e"))
+
+
 def candidate_genes(loci: DataFrame, genes: DataFrame, window: int = 500_000) -> DataFrame:
     """Genes whose body lies within the window of each locus, sorted and joined, with their number
-    and whether the known effector is outside."""
-    around = loci.select("locus_id", "chrom", "effector", (F.col("pos") - window).alias("_s"), (F.col("pos") + window).alias("_e"))
+    and whether the known effector is outside.
+
+    Loci meet distinct bodies, and the list of genes is made once for each set of bodies that occurs. The lists are
+    joined last, so that no locus is moved with its list.
+    """
+    body = F.struct("chrom", "g_start", "g_end")
     hits = interval_overlap(
-        around, genes.select("chrom", "gene_id", "g_start", "g_end"), a_start="_s", a_end="_e",
+        _around(loci, window), genes.select("chrom", "g_start", "g_end").distinct(), a_start="_s", a_end="_e",
         b_start="g_start", b_end="g_end", bin_width=2 * window,
     )
-    packed = hits.groupBy("locus_id").agg(
-        F.array_join(F.array_sort(F.collect_set("gene_id")), ";").alias("candidate_genes"),
-        F.count_distinct("gene_id").alias("n_candidates"),
-        F.bool_or(F.col("gene_id") == F.col("effector")).alias("_in"),
+    sets = hits.groupBy("locus_id").agg(F.array_sort(F.collect_set(body)).alias("_set"))
+    lists = sets.select("_set").distinct().select("_set", F.explode("_set").alias("_body")).join(
+        genes.select(body.alias("_body"), "gene_id"), "_body"
+    ).groupBy("_set").agg(F.array_sort(F.collect_set("gene_id")).alias("_genes")).select(
+        "_set", F.array_join("_genes", ";").alias("candidate_genes"), F.size("_genes").cast("long").alias("n_candidates")
     )
-    return loci.join(packed, "locus_id", "left").select(
+    own = genes.groupBy(F.col("gene_id").alias("effector")).agg(F.collect_set(body).alias("_own"))
+    return loci.join(sets, "locus_id", "left").join(own, "effector", "left").join(lists, "_set", "left").select(
         *loci.columns, F.coalesce("candidate_genes", F.lit("")).alias("candidate_genes"),
         F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
-        (~F.coalesce("_in", F.lit(False))).alias("effector_outside"),
+        (~F.coalesce(F.arrays_overlap("_set", "_own"), F.lit(False))).alias("effector_outside"),
+    )
+
+
+def candidate_classes(loci: DataFrame, genes: DataFrame, tss: DataFrame, window: int = 500_000) -> DataFrame:
+    """The candidate genes of each locus as classes: genes of one body and one TSS, which no distance tells apart.
+
+    ``loci``: ``locus_id, chrom, pos, effector``; ``genes`` (one row per gene): ``gene_id, chrom, g_start, g_end``;
+    ``tss``: ``gene_id, gene_chrom, tss``, for some genes. One row per locus and class: its first gene, ``n_genes``, and
+    whether the effector is a candidate of the locus. Rows grow with the loci, not with loci times genes of one place.
+    """
+    placed = genes.select("gene_id", "chrom", "g_start", "g_end").join(tss, "gene_id", "left")
+    classes = placed.groupBy("chrom", "g_start", "g_end", "gene_chrom", "tss").agg(
+        F.min("gene_id").alias("gene_id"), F.count(F.lit(1)).alias("n_genes")
     )
+    own = genes.select(F.col("gene_id").alias("effector"), F.col("chrom").alias("_c"), F.col("g_start").alias("_gs"), F.col("g_end").alias("_ge"))
+    near = F.expr(f"coalesce(_c = chrom AND _ge >= _gs AND _ge >= pos - {window} AND _gs <= pos + {window}, false)")
+    around = _around(loci.join(own, "effector", "left").withColumn("effector_in_cand", near), window, "pos", "effector", "effector_in_cand")
+    return interval_overlap(
+        around, classes, a_start="_s", a_end="_e", b_start="g_start", b_end="g_end", bin_width=2 * window,
+    ).select("locus_id", "chrom", "pos", "effector", "effector_in_cand", "gene_id", "n_genes", "gene_chrom", "tss")
 
 
-def scored_candidates(loci: DataFrame, elements: DataFrame, tss: DataFrame, max_anchor: int = 50_000) -> DataFrame:
-    """Each locus with its anchor element and one row per candidate gene.
+def scored_candidates(loci: DataFrame, elements: DataFrame, classes: DataFrame, max_anchor: int = 50_000) -> DataFrame:
+    """Each locus with its anchor element and one row per class of candidate genes.
 
-    ``loci``: ``locus_id, chrom, pos, candidate_genes, effector``; ``elements``: ``chrom, mid,
-    key``; ``tss``: ``gene_id, gene_chrom, tss``. Distance runs from the anchor to the TSS, or to
-    the locus when the gene lies on another chromosome or has no TSS. A locus without a candidate has no row.
+    ``loci``: ``locus_id, chrom, pos``; ``elements``: ``chrom, mid, key``; ``classes``: see :func:`candidate_classes`.
+    Distance runs from the anchor to the TSS, or to the locus when the gene lies on another chromosome or has no TSS. A
+    locus without a candidate has no row.
     """
-    anchored = nearest_join(loci, elements, max_distance=max_anchor, key_out="anchor", pos_out="anchor_mid", distance="anchor_dist")
-    listed = anchored.select("*", F.posexplode(F.split("candidate_genes", ";")).alias("cand_no", "gene_id")).where("gene_id <> ''")
-    placed = listed.join(tss, "gene_id", "left")
+    anchored = nearest_join(
+        loci.select("locus_id", "chrom", "pos"), elements, max_distance=max_anchor, key_out="anchor", pos_out="anchor_mid", distance="anchor_dist"
+    ).drop("chrom", "pos")
     away = F.when(F.col("gene_chrom") == F.col("chrom"), F.abs(F.col("anchor_mid") - F.col("tss")))
-    return placed.withColumn("gene_dist", F.coalesce(away, F.abs(F.col("anchor_mid") - F.col("pos"))))
+    return anchored.join(classes, "locus_id").withColumn("gene_dist", F.coalesce(away, F.abs(F.col("anchor_mid") - F.col("pos"))))
 
 
 def skipped_loci(loci: DataFrame, elements: DataFrame, max_anchor: int = 50_000) -> DataFrame:
-    """One row: loci in all, those without an anchor element, those with one but without candidate gene, and the rest, which are scored."""
+    """One row: loci in all, those without an anchor element, those with one but without candidate gene, and the rest, which are scored.
+
+    ``loci`` has the flag ``has_candidate``.
+    """
     anchored = nearest_join(loci, elements, max_distance=max_anchor, how="left", key_out="anchor", pos_out="anchor_mid", distance="anchor_dist")
-    bare, empty = F.col("anchor").isNull(), F.coalesce("candidate_genes", F.lit("")) == ""
+    bare, empty = F.col("anchor").isNull(), ~F.col("has_candidate")
     return anchored.agg(
         F.count(F.lit(1)).alias("n_loci"), F.count(F.when(bare, 1)).alias("no_anchor"), F.count(F.when(~bare & empty, 1)).alias("no_candidate"),
         F.count(F.when(~bare & ~empty, 1)).alias("n_scored"),
     )
 
 
+def with_candidate(loci: DataFrame, genes: DataFrame, window: int = 500_000) -> DataFrame:
+    """Adds ``has_candidate``: whether any gene body lies within the window of the locus; no list is made."""
+    hits = interval_overlap(
+        _around(loci, window), genes.select("chrom", "g_start", "g_end").distinct(), a_start="_s", a_end="_e",
+        b_start="g_start", b_end="g_end", bin_width=2 * window,
+    ).select("locus_id").distinct().withColumn("has_candidate", F.lit(True))
+    return loci.join(hits, "locus_id", "left").withColumn("has_candidate", F.coalesce("has_candidate", F.lit(False)))
+
+
 def nominate_effectors(candidates: DataFrame, score: Column | None = None) -> DataFrame:
-    """Top gene by score and nearest gene per locus, ties to the earlier candidate."""
+    """Top gene by score and nearest gene per locus, ties to the earlier candidate.
+
+    ``candidates`` are single genes with their place ``cand_no`` in the list, or classes of them with ``n_genes``, whose
+    first genes stand for them; the score of a class must be that of each of its genes.
+    """
     value = contact("gene_dist") if score is None else score
     ranked = candidates.withColumn("_s", value)
+    classes = "n_genes" in candidates.columns
+    no = F.col("gene_id" if classes else "cand_no")
+    found = F.col("effector_in_cand") if classes else F.col("gene_id") == F.col("effector")
     return ranked.groupBy("locus_id").agg(
         F.max("effector").alias("effector"),
-        F.max("anchor").alias("anchor"), F.max("anchor_dist").alias("anchor_dist"), F.count(F.lit(1)).alias("n_cand"),
-        F.min_by("gene_id", F.struct((-F.col("_s")).alias("s"), F.col("cand_no"))).alias("top_gene"),
-        F.min_by("gene_id", F.struct(F.col("gene_dist"), F.col("cand_no"))).alias("nearest_gene"),
-        F.bool_or(F.col("gene_id") == F.col("effector")).alias("effector_in_cand"),
+        F.max("anchor").alias("anchor"), F.max("anchor_dist").alias("anchor_dist"), (F.sum("n_genes") if classes else F.count(F.lit(1))).alias("n_cand"),
+        F.min_by("gene_id", F.struct((-F.col("_s")).alias("s"), no.alias("no"))).alias("top_gene"),
+        F.min_by("gene_id", F.struct(F.col("gene_dist"), no.alias("no"))).alias("nearest_gene"),
+        F.bool_or(found).alias("effector_in_cand"),
     ).withColumn("hit", F.col("top_gene") == F.col("effector")).withColumn("dist_hit", F.col("nearest_gene") == F.col("effector"))
 
 

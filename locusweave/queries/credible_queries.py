@@ -576,11 +576,11 @@ _NOMINATED = f"""SELECT locus_id, max(effector) AS effector, max(anchor) AS anch
 
 
 def nominated(t: Tables):
-    loci = scoring.candidate_genes(t.fx_locus, t.fx_gene).select("locus_id", "chrom", "pos", "candidate_genes", "effector")
+    loci = t.fx_locus.select("locus_id", "chrom", "pos", "effector")
     elements = t.fx_element.select("chrom", (F.col("el_start") + 500).alias("mid"), F.col("element_id").alias("key"))
     # Some genes have no TSS; their distance runs to the locus.
     tss = t.fx_gene.where("CAST(substr(gene_id, 2) AS BIGINT) % 7 <> 3").select("gene_id", F.col("chrom").alias("gene_chrom"), "tss")
-    candidates = scoring.scored_candidates(loci, elements, tss)
+    candidates = scoring.scored_candidates(loci, elements, scoring.candidate_classes(loci, t.fx_gene, tss))
     # A score that differs from plain distance, so that the two rankings can disagree.
     return scoring.nominate_effectors(candidates, F.expr("((gene_dist * 31 + anchor_dist) % 997) / 997.0D"))
 
@@ -595,7 +595,7 @@ SELECT count(*) AS n_loci, count(*) FILTER (WHERE NOT near) AS no_anchor, count(
   count(*) FILTER (WHERE near AND candidate_genes<>'') AS n_scored
 FROM (SELECT c.*, EXISTS (SELECT 1 FROM fx_element e WHERE e.chrom=c.chrom AND abs(e.el_start+500-c.pos)<=2000) AS near FROM ({_CANDS}) c) x""")
 def _skipped(t):
-    loci = scoring.candidate_genes(t.fx_locus, t.fx_gene, window=500_000)
+    loci = scoring.with_candidate(t.fx_locus, t.fx_gene, window=500_000)
     elements = t.fx_element.select("chrom", (F.col("el_start") + 500).alias("mid"), F.col("element_id").alias("key"))
     return scoring.skipped_loci(loci, elements, max_anchor=2_000)
 

@@ -196,3 +196,20 @@ def test_checks_tell_a_fit_from_what_is_none(spark):
     found = models.fit_check(features, full, "y").first()
     assert (found.n, found.n_positive, found.optimal) == (400, rows.where("y = 1").count(), True)
     assert not models.fit_check(features, short, "y").first().optimal
+
+
+def test_genes_of_one_place_are_one_class(spark):
+    """Two hundred genes with one body: one row for a locus, counted whole, and lists as before."""
+    genes = spark.range(200).selectExpr("concat('G', id) AS gene_id", "'chr1' AS chrom", "1000L AS g_start", "2000L AS g_end")
+    tss = spark.createDataFrame([("G7", "chr1", 1_500)], "gene_id string, gene_chrom string, tss long")
+    loci = spark.createDataFrame([("L1", "chr1", 5_000, "G150"), ("L2", "chr1", 9_000_000, "G3"), ("L3", "chr1", 400_000, "X")], "locus_id string, chrom string, pos long, effector string")
+    elements = spark.createDataFrame([("chr1", 4_000, "e1")], "chrom string, mid long, key string")
+    classes = scoring.candidate_classes(loci, genes, tss)
+    assert sorted((r.locus_id, r.gene_id, r.n_genes, r.effector_in_cand) for r in classes.collect()) == [
+        ("L1", "G0", 199, True), ("L1", "G7", 1, True), ("L3", "G0", 199, False), ("L3", "G7", 1, False)]
+    r = scoring.nominate_effectors(scoring.scored_candidates(loci, elements, classes)).collect()
+    assert [(x.locus_id, x.n_cand, x.top_gene, x.nearest_gene, x.effector_in_cand) for x in r] == [("L1", 200, "G0", "G0", True)]
+    lists = {x.locus_id: x for x in scoring.candidate_genes(loci, genes).collect()}
+    assert lists["L1"].candidate_genes == ";".join(sorted(f"G{i}" for i in range(200))) and lists["L1"].n_candidates == 200
+    assert (lists["L1"].effector_outside, lists["L2"].effector_outside, lists["L3"].effector_outside) == (False, True, True)
+    assert {x.locus_id: x.has_candidate for x in scoring.with_candidate(loci, genes).collect()} == {"L1": True, "L2": False, "L3": True}
