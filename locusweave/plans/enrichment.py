@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.operators.aggregates import count_if
@@ -18,8 +18,9 @@ def foreground_background(members: DataFrame, pip_cut: float = 0.5, layer: str |
     foreground, so one grouped maximum replaces the two distinct tables and their anti join.
     """
     used = members.where(F.col("data_layer") == layer) if layer else members
-    confident = used.where(F.col("PIP") >= pip_cut).select("cs_id")
-    same_sets = used.join(confident.distinct(), "cs_id", "left_semi").where(F.col("PIP").isNotNull())
+    # The best probability of the set goes along with its members: they are computed and moved once.
+    best = F.max("PIP").over(Window.partitionBy("cs_id"))
+    same_sets = used.withColumn("_best", best).where((F.col("_best") >= pip_cut) & F.col("PIP").isNotNull() & F.col("cs_id").isNotNull())
     return same_sets.groupBy("chromosome", "position", "variant_hg38").agg(F.max("PIP").alias("_p")).select(
         "chromosome", "position", "variant_hg38", F.when(F.col("_p") >= pip_cut, "fg").otherwise("bg").alias("group")
     )

@@ -501,7 +501,8 @@ def fg_bg(t: Tables):
 
 
 def labelled(t: Tables):
-    return enrichment.annotate_classes(fg_bg(t), t.fx_interval.withColumnsRenamed({"i_start": "start", "i_end": "end"}), bin_width=4096)
+    # The distinct variants are stored: they are measured, matched and joined again.
+    return enrichment.annotate_classes(durable(fg_bg(t)), t.fx_interval.withColumnsRenamed({"i_start": "start", "i_end": "end"}), bin_width=4096)
 
 
 @query("foreground_background", _FGBG)
@@ -527,7 +528,7 @@ SELECT class, fg_n, bg_n, n_fg, n_bg, round(100*fg_n/n_fg,6) AS fg_pct, round(10
     (SELECT class, count(*) FILTER (WHERE "group"='fg') AS fg_n, count(*) FILTER (WHERE "group"='bg') AS bg_n FROM ({_LABELS}) l GROUP BY 1) c,
     (SELECT count(*) FILTER (WHERE "group"='fg') AS n_fg, count(*) FILTER (WHERE "group"='bg') AS n_bg FROM ({_FGBG}) v) t) x""")
 def _enrich(t):
-    found = enrichment.class_enrichment(enrichment.class_counts(labelled(t), t.fx_interval), with_p=False)
+    found = enrichment.class_enrichment(enrichment.class_counts(durable(labelled(t)), t.fx_interval), with_p=False)
     return rounded(found, "fg_pct", "bg_pct", "fold", "ci_lo", "ci_hi", "odds_ratio")
 
 
@@ -546,7 +547,7 @@ SELECT class, a AS fg_n, b AS bg_n, round(sum(exp({_log_p('i')})),6) AS fisher_p
   SELECT *, unnest(generate_series(greatest(0, k-n), least(k, m))) AS i FROM ({_CELLS}) c) x
 WHERE {_log_p('i')}<={_log_p('a')}+1e-7 GROUP BY 1, 2, 3""")
 def _enrich_exact(t):
-    found = enrichment.class_enrichment(enrichment.class_counts(labelled(t), t.fx_interval))
+    found = enrichment.class_enrichment(enrichment.class_counts(durable(labelled(t)), t.fx_interval))
     return rounded(found.select("class", "fg_n", "bg_n", "fisher_p"), "fisher_p")
 
 

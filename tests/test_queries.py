@@ -49,3 +49,9 @@ def test_convergence_forms_no_pairs_by_range(spark):
     df = entry.queries()["convergent_triplets"](spark, str(FOLDER))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "_bin" not in plan and "_lvl" not in plan
+
+
+@pytest.mark.parametrize("name", ["class_enrichment", "class_enrichment_exact"])
+def test_enrichment_counts_stored_labels(spark, name):
+    """Counts, totals and the exact test read the labelled variants; none of them plans the members again."""
+    assert not [f for f in entry.queries()[name](spark, str(FOLDER)).inputFiles() if "lineitem" in f]
