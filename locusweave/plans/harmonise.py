@@ -106,7 +106,7 @@ def harmonize_metabolomics(df: DataFrame) -> DataFrame:
 
 def aou_burden(sd3: DataFrame, sd5: DataFrame, sd7: DataFrame) -> DataFrame:
     """Three supplementary burden sheets under one schema; the first keeps one row per
-    (gene, phenotype, ancestry group), the one with the smallest p."""
+    (gene, phenotype, ancestry group), the one with the smallest p (then beta, annotation and gene id, so that reruns agree)."""
     def shaped(df: DataFrame, trait: Column, annotation: Column, beta: Column, p: Column, group: Column, table: str) -> DataFrame:
         return df.select(
             F.col("gene_symbol").alias("gene"), "gene_id", F.col("phenoname").alias("phenotype_id"),
@@ -118,7 +118,7 @@ def aou_burden(sd3: DataFrame, sd5: DataFrame, sd7: DataFrame) -> DataFrame:
     a = shaped(sd3, F.col("description"), F.col("annotation"), F.col("meta_BETA_Burden"), F.col("meta_p"), F.col("similarity_group"), "SD3_216pLoF")
     a = latest_or_best(
         a, ["gene", "phenotype_id", "ancestry_group"],
-        [F.col("pval_burden").isNull(), F.col("pval_burden"), F.col("beta_burden"), F.col("annotation")],
+        [F.col("pval_burden").isNull(), F.col("pval_burden"), F.col("beta_burden"), F.col("annotation"), F.col("gene_id"), F.col("trait"), F.col("category")],
     ).select(*a.columns)
     b = shaped(sd5, F.col("description"), F.col("annotation"), F.col("BETA_Burden"), F.col("Pvalue_Burden"), F.lit("META"), "SD5_44crossdomain")
     c = shaped(sd7, as_null("string"), F.lit("pLoF"), as_null("string"), F.col("META_Pvalue_Burden"), F.lit("META"), "SD7_193novel")

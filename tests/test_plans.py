@@ -213,3 +213,15 @@ def test_genes_of_one_place_are_one_class(spark):
     assert lists["L1"].candidate_genes == ";".join(sorted(f"G{i}" for i in range(200))) and lists["L1"].n_candidates == 200
     assert (lists["L1"].effector_outside, lists["L2"].effector_outside, lists["L3"].effector_outside) == (False, True, True)
     assert {x.locus_id: x.has_candidate for x in scoring.with_candidate(loci, genes).collect()} == {"L1": True, "L2": False, "L3": True}
+
+
+def test_burden_ties_go_to_the_first_gene(spark):
+    """Equal p, beta and annotation: the same row whatever the order of the rows."""
+    rows = [("S", f"G{i}", "D1", "d", "c", "LoF", "0.5", "0.01", "EUR") for i in range(40)]
+    names = "gene_symbol string, gene_id string, phenoname string, description string, category string, annotation string, b string, p string, similarity_group string"
+    for own in (rows, rows[::-1]):
+        base = spark.createDataFrame(own, names).coalesce(1)
+        found = harmonise.aou_burden(
+            base.withColumnsRenamed({"b": "meta_BETA_Burden", "p": "meta_p"}), base.withColumnsRenamed({"b": "BETA_Burden", "p": "Pvalue_Burden"}).limit(0),
+            base.withColumnRenamed("p", "META_Pvalue_Burden").limit(0))
+        assert [r.gene_id for r in found.collect()] == ["G0"]
