@@ -1,7 +1,7 @@
 """Line-oriented formats: sheets with an offset header, FASTA and chain files.
 
 Lines carry their place as ``(file, block, line)``: a block is a file split, and lines are ordered
-inside it. Values that run on from earlier lines (the current FASTA record, the current chain) are
+inside it; neither file nor block is NULL. Values that run on from earlier lines (the current FASTA record, the current chain) are
 carried in two steps, over the short list of blocks and inside each block, so a file of any size
 is parsed by as many tasks as it has splits.
 """
@@ -14,8 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusweave.operators.keys import join_on
-
 PLACE = ("file", "block", "line")
 
 
@@ -32,12 +30,13 @@ def carry_down(lines: DataFrame, mark: Column, out: str) -> DataFrame:
     """The last non-NULL ``mark`` at or before each line of the file."""
     marked = lines.withColumn("_m", mark)
     seen = marked.where(F.col("_m").isNotNull()).groupBy("file", "block").agg(F.max_by("_m", "line").alias("_tail"))
-    blocks = join_on(lines.select("file", "block").distinct(), seen, ["file", "block"], "left")
+    blocks = lines.select("file", "block").distinct().join(seen.hint("merge"), ["file", "block"], "left")
     over_blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.withColumn("_carry", F.last("_tail", ignorenulls=True).over(over_blocks)).drop("_tail")
     inside = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     local = marked.withColumn("_here", F.last("_m", ignorenulls=True).over(inside))
-    return join_on(local, carried, ["file", "block"]).withColumn(
+    # Lines are where the window put them. A size guessed from the file, before lines are expanded, must not broadcast them.
+    return local.join(carried.hint("merge"), ["file", "block"]).withColumn(
         out, F.coalesce("_here", "_carry")
     ).drop("_m", "_here", "_carry")
 
@@ -50,7 +49,7 @@ def running_sum(lines: DataFrame, amount: Column, out: str, group: str) -> DataF
     offsets = totals.select("file", group, "block", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_off"))
     inside = Window.partitionBy("file", group, "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     local = valued.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    return join_on(local, offsets, ["file", group, "block"]).withColumn(
+    return local.join(offsets.hint("merge"), ["file", group, "block"]).withColumn(
         out, F.col("_off") + F.col("_in")
     ).drop("_v", "_in", "_off")
 
@@ -64,7 +63,7 @@ def number_lines(lines: DataFrame, out: str = "number") -> DataFrame:
     splits = lines.groupBy("file", "block").agg(F.min("line").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("file", "block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    return lines.join(offsets, ["file", "block"]).withColumn(out, F.col("_off") + F.col("line") - F.col("_first")).drop("_first", "_off")
+    return lines.join(offsets.hint("merge"), ["file", "block"]).withColumn(out, F.col("_off") + F.col("line") - F.col("_first")).drop("_first", "_off")
 
 
 def read_sheets(

@@ -159,3 +159,11 @@ def test_track_documents_have_a_bound(spark):
     docs = track_documents(rows, F.struct("name"), "track", ["chrom"], ["name"], most=100)
     sizes = [len(r.track) for r in docs.collect()]
     assert docs.columns == ["chrom", "track"] and sum(sizes) == 5_000 and max(sizes) <= 200
+
+
+def test_lines_are_never_broadcast(spark):
+    """Lines that come from a small file by expansion look small to the planner; they stay where the windows put them."""
+    lines = spark.range(40).selectExpr("'f' AS file", "id DIV 10 AS block", "id AS line", "CASE WHEN id % 10 = 0 THEN concat('>c', id) ELSE 'ACGT' END AS value")
+    chunks = text.parse_fasta(lines, chunk=8)
+    assert "BroadcastExchange" not in chunks._jdf.queryExecution().executedPlan().toString()
+    assert chunks.count() == 4 * 5
