@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -142,42 +142,96 @@ def _ranked_rows(df: DataFrame, x: str, y: str, row_id: str) -> DataFrame:
 SHUFFLE_ROUNDS, _PRIME = 12, 2_147_483_647
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A smaller number of the same remainder by the prime, which is one below a power of two: high bits are added to the low ones."""
+    high = x >> 31
+    x &= _PRIME
+    x += high
+    return x
+
+
 def _mixed(x: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A number below the prime that depends on both in a way that no sum of them shows; two squarings, all within a long."""
-    t = (x + key) % _PRIME
-    t = (t * t + 48271 * t + 11) % _PRIME
-    return (t * t + 16807 * t + key) % _PRIME
+    t = _folded(x + key)
+    u = t + 48271
+    u *= t
+    u += 11
+    u = _folded(_folded(u))
+    v = u + 16807
+    v *= u
+    v += key
+    v = _folded(_folded(v))
+    return v - _PRIME * (v >= _PRIME)
 
 
 def shuffled_places(k: np.ndarray, n: int, rep: np.ndarray, seed: int) -> np.ndarray:
-    """A bijection of the places 0 .. n - 1 for every ``rep``, by arithmetic alone.
+    """A bijection of the places 0 .. n - 1 for every ``rep`` (one number, or one for each place), by arithmetic alone.
 
     In each round a place has one partner, at the same sum; a coin that both share decides whether they swap.
     """
     for i in range(SHUFFLE_ROUNDS):
         turn = _mixed(rep * SHUFFLE_ROUNDS + i, np.int64(seed))
-        partner = (turn % n + n - k) % n
-        coin = _mixed(np.maximum(k, partner) % _PRIME, turn) // 8 % 2
-        k = np.where(coin == 1, partner, k)
+        partner = turn % n - k
+        partner += n * (partner < 0)
+        coin = _mixed(np.maximum(k, partner), turn) & 8
+        k = np.where(coin, partner, k)
     return k
 
 
-def _shuffled_rhos(ranked: DataFrame, row_id: str, reps: int, seed: int) -> DataFrame:
-    """Rows are numbered once, in the order of a hash of their ids; each replicate finds the partner of every row by arithmetic."""
-    fixed = ranked.withColumn("_h", hash_hex(F.lit(seed), F.lit("id"), F.col(row_id)))
-    placed = durable(row_numbers(fixed, ["_h", row_id], "CAST(conv(substring(_h, 1, 3), 16, 10) AS INT)", out="_k").selectExpr("_k - 1 AS _k", "_rx", "_ry"))
-    n = placed.count()
+#: Rows of one side of a tile at most, tiles there should be at least, and rows shuffled at a time.
+TILE_ROWS, _TILES, _AT_ONCE = 1 << 22, 64, 1 << 15
+
 
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        rep = np.arange(1, reps + 1, dtype=np.int64)
-        for part in parts:
-            k = part.to_numpy(zero_copy_only=False).astype(np.int64)
-            found = shuffled_places(np.repeat(k, reps), n, np.tile(rep, len(k)), seed)
-            yield pa.FixedSizeListArray.from_arrays(pa.array(found), reps).cast(pa.list_(pa.int64()))
+def _centred(ranked: DataFrame) -> tuple[int, DataFrame, float]:
+    """Rows, ranks less their mean, and the root of the product of their squares' sums: all that is the same in every shuffle."""
+    n = ranked.count()
+    moved = ranked.withColumns({c: F.col(c) - F.lit((n + 1) / 2) for c in ("_rx", "_ry")})
+    xx, yy = moved.agg(F.sum(F.col("_rx") * F.col("_rx")), F.sum(F.col("_ry") * F.col("_ry"))).first()
+    return n, moved, math.sqrt(xx or 0.0) * math.sqrt(yy or 0.0)
 
-    # A few rows at a time become ``reps`` numbers each; the rows of all replicates meet their partners by one equi-join.
-    spread = placed.repartition("_k").select("_rx", F.posexplode(F.arrow_udf(run, "array<bigint>")("_k")).alias("_r", "_k"))
-    return spread.join(placed.select("_k", "_ry"), "_k").groupBy((F.col("_r") + 1).alias("rep")).agg(F.corr("_rx", "_ry").alias("rho"))
+
+def _shuffled_rhos(ranked: DataFrame, row_id: str, reps: int, seed: int, tile: int = TILE_ROWS) -> DataFrame:
+    """Rows are numbered once, in the order of a hash of their ids; each replicate finds the partner of every row by arithmetic.
+
+    A tile is a block of rows, a block of partners and a share of the replicates. It holds the ranks of its two blocks
+    and gives one sum of products for each replicate, so rows of replicates are neither written nor moved.
+    """
+    fixed = ranked.withColumn("_h", hash_hex(F.lit(seed), F.lit("id"), F.col(row_id)))
+    placed = durable(row_numbers(fixed, ["_h", row_id], "CAST(conv(substring(_h, 1, 3), 16, 10) AS INT)", out="_k").selectExpr("_k - 1 AS _k", "_rx", "_ry"))
+    n, placed, scale = _centred(placed)
+    if n >= _PRIME:
+        raise ValueError(f"{n} rows; the shuffle numbers fewer than {_PRIME}")
+    blocks = max(1, -(-n // tile))
+    shares = min(reps, max(1, -(-_TILES // blocks**2)))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j, share = (v.as_py() for v in key)
+        side, k, v = (table[c].to_numpy() for c in ("_side", "_k", "_v"))
+        own, other = side == 0, side == 1
+        first, xs, ys = i * tile, np.zeros(int(own.sum())), np.zeros(int(other.sum()))
+        xs[k[own] - first], ys[k[other] - j * tile] = v[own], v[other]
+        chosen, sums = np.arange(share + 1, reps + 1, shares, dtype=np.int64), []
+        for rep in chosen:
+            total = 0.0
+            for at in range(0, len(xs), _AT_ONCE):
+                part = xs[at:at + _AT_ONCE]
+                met = shuffled_places(np.arange(first + at, first + at + len(part), dtype=np.int64), n, rep, seed) - j * tile
+                if blocks > 1:
+                    here = (met >= 0) & (met < len(ys))
+                    part, met = part[here], met[here]
+                total += float(part @ ys[met])
+            sums.append(total)
+        return pa.table({"rep": pa.array(chosen, pa.int32()), "s": pa.array(sums, pa.float64())})
+
+    whole, every = f"explode(sequence(0, {blocks - 1}))", f"explode(sequence(0, {shares - 1})) AS _share"
+    sides = [
+        placed.selectExpr("_k", f"{r} AS _v", f"{at} AS _side", f"CAST(_k DIV {tile} AS INT) AS {block}").selectExpr("*", f"{whole} AS {across}").selectExpr("*", every)
+        for at, (r, block, across) in enumerate((("_rx", "_i", "_j"), ("_ry", "_j", "_i")))
+    ]
+    # By number, as the tiles are small to move but long to work on, and few tasks would get several.
+    dealt = sides[0].unionByName(sides[1]).repartition(4 * blocks**2 * shares, "_i", "_j", "_share")
+    tiles = dealt.groupBy("_i", "_j", "_share").applyInArrow(run, "rep int, s double")
+    return tiles.groupBy("rep").agg(F.try_divide(F.sum("s"), F.lit(scale)).alias("rho"))
 
 
 def permutation_rhos(df: DataFrame, x: str, y: str, row_id: str, reps: int = 5000, seed: int = 7) -> DataFrame:
@@ -188,7 +242,8 @@ def permutation_rhos(df: DataFrame, x: str, y: str, row_id: str, reps: int = 500
 def permutation_corr(df: DataFrame, x: str, y: str, row_id: str, reps: int = 5000, seed: int = 7) -> DataFrame:
     """One-sided permutation p (rho at or below the observed one) with add-one smoothing."""
     ranked = _ranked_rows(df, x, y, row_id)
-    observed = ranked.agg(F.corr("_rx", "_ry").alias("obs_rho"))
+    _, moved, scale = _centred(ranked)
+    observed = moved.agg(F.try_divide(F.sum(F.col("_rx") * F.col("_ry")), F.lit(scale)).alias("obs_rho"))
     return attach_single(_shuffled_rhos(ranked, row_id, reps, seed), observed).agg(
         F.max("obs_rho").alias("obs_rho"), F.count(F.lit(1)).alias("reps"),
         F.expr("sum(CASE WHEN rho <= obs_rho THEN 1 ELSE 0 END) AS n_le"),

@@ -187,3 +187,18 @@ def test_concordance_and_robustness(data):
     assert got["all"].n == matched.count() and got["a"].n < got["all"].n and 0 <= got["all"].fisher_p <= 1
     one = robustness_stats(matched, "id", reps=20, shuffles=20).collect()
     assert len(one) == 1 and one[0].ci_lo < one[0].obs_rho < one[0].ci_hi
+
+
+def test_shuffles_are_summed_in_tiles(spark):
+    """Rows cut into several blocks give the same sums as one block, and no row of a replicate is joined."""
+    from locusweave.operators.stats import _ranked_rows, _shuffled_rhos
+
+    ranked = _ranked_rows(spark.range(101).selectExpr("id", "pmod(id * 37, 50) / 7.0D AS x", "pmod(id * id, 31) / 3.0D AS y"), "x", "y", "id")
+    one, many = ({r.rep: round(r.rho, 12) for r in _shuffled_rhos(ranked, "id", 30, 7, tile).collect()} for tile in (1 << 20, 17))
+    assert one == many and len(one) == 30
+    rows = {r["id"]: r for r in ranked.collect()}
+    order = [r["id"] for r in ranked.selectExpr("id", "md5(concat_ws('|', 7, 'id', id)) AS h").orderBy("h").collect()]
+    places = shuffled_places(np.arange(101), 101, np.int64(3), 7)
+    x, y = [rows[i]["_rx"] for i in order], [rows[order[p]]["_ry"] for p in places]
+    assert one[3] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
+    assert "Join" not in _shuffled_rhos(ranked, "id", 30, 7)._jdf.queryExecution().optimizedPlan().toString()
