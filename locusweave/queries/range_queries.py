@@ -10,6 +10,7 @@ from locusweave.operators.ranges import (
 )
 from locusweave.plans import credible, liftover, screens
 from locusweave.queries.registry import Tables, query, rounded
+from locusweave.session import durable
 from locusweave.sources import sinks, text
 
 
@@ -131,7 +132,7 @@ def _lift_top(t):
 
 @query("liftover_lists", f"SELECT study_locus_id, lifted_ids, n_input, n_mapped FROM ({_MEMBER_LIFT}) x")
 def _lift_lists(t):
-    return liftover.lift_variant_list(signals(t), t.fx_chain, col="members", row_id="study_locus_id").select(
+    return liftover.lift_variant_list(durable(signals(t)), t.fx_chain, col="members", row_id="study_locus_id").select(
         "study_locus_id", "lifted_ids", "n_input", "n_mapped"
     )
 
@@ -143,7 +144,8 @@ FROM (SELECT count(*) AS n_signals, count(*) FILTER (WHERE lift_status='ok') AS
   FROM ({_TOP}) x) a,
 (SELECT CAST(sum(n_input) AS BIGINT) AS members_input, CAST(sum(n_mapped) AS BIGINT) AS members_mapped FROM ({_MEMBER_LIFT}) y) b""")
 def _lift_qc(t):
-    s = signals(t)
+    # Both lifts measure, reduce and join the signals: they are put together once.
+    s = durable(signals(t))
     top = liftover.lift_variants(s, t.fx_chain, col="top")
     lists = liftover.lift_variant_list(s, t.fx_chain, col="members", row_id="study_locus_id")
     return rounded(liftover.lift_qc(top, lists), "top_map_rate", "member_map_rate")

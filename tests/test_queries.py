@@ -55,3 +55,9 @@ def test_convergence_forms_no_pairs_by_range(spark):
 def test_enrichment_counts_stored_labels(spark, name):
     """Counts, totals and the exact test read the labelled variants; none of them plans the members again."""
     assert not [f for f in entry.queries()[name](spark, str(FOLDER)).inputFiles() if "lineitem" in f]
+
+
+@pytest.mark.parametrize("name", ["liftover_lists", "liftover_qc"])
+def test_lift_reads_stored_signals(spark, name):
+    """Signals are put together once; what measures, reduces and joins them reads the stored table."""
+    assert not [f for f in entry.queries()[name](spark, str(FOLDER)).inputFiles() if "lineitem" in f]
