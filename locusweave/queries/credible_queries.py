@@ -294,6 +294,12 @@ FROM ({AOU} UNION ALL {UKB} UNION ALL {FINNGEN} UNION ALL {_molqtl_sql('eqtl')}
 WHERE position IS NOT NULL"""
 
 
+def stored_sources(t: Tables) -> Tables:
+    """The same tables with both raw sources written once: six harmonised sources read them."""
+    t.__dict__.update(fx_source_a=durable(t.fx_source_a), fx_source_b=durable(t.fx_source_b))
+    return t
+
+
 def unified(t: Tables):
     return harmonise.unify([aou(t), ukb(t), finngen(t), molqtl(t, "eqtl"), molqtl(t, "pqtl"), metabolomics(t)])
 
@@ -316,7 +322,7 @@ SELECT source, count(*) AS n_rows, count(DISTINCT variant_hg38) AS n_variants, c
 FROM ({UNIFIED}) x GROUP BY 1""")
 def _source_qc(t):
     # One pass over the six sources; what follows reads the stored profile.
-    return rounded(harmonise.source_qc(durable(harmonise.source_profile(unified(t)))), "pip_median")
+    return rounded(harmonise.source_qc(durable(harmonise.source_profile(unified(stored_sources(t))))), "pip_median")
 
 
 @query("unified_qc_document", f"""
@@ -324,7 +330,7 @@ SELECT 'layer' AS section, data_layer AS item, count(*) AS n FROM ({UNIFIED}) x
 UNION ALL SELECT 'assay', assay_basis, count(*) FROM ({UNIFIED}) x GROUP BY 2
 UNION ALL SELECT 'total', unnest(['rows', 'pip_gt09', 'variants']), unnest([count(*), count(*) FILTER (WHERE pip>0.9), count(DISTINCT variant_hg38)]) FROM ({UNIFIED}) x""")
 def _qc_document(t):
-    return harmonise.qc_document(durable(harmonise.source_profile(unified(t))))
+    return harmonise.qc_document(durable(harmonise.source_profile(unified(stored_sources(t)))))
 
 
 @query("variant_overlap", f"""

@@ -61,3 +61,12 @@ def test_enrichment_counts_stored_labels(spark, name):
 def test_lift_reads_stored_signals(spark, name):
     """Signals are put together once; what measures, reduces and joins them reads the stored table."""
     assert not [f for f in entry.queries()[name](spark, str(FOLDER)).inputFiles() if "lineitem" in f]
+
+
+def test_profile_reads_stored_sources(spark):
+    """Six harmonised sources read two stored tables; none plans the members again."""
+    from locusweave.queries import credible_queries
+    from locusweave.queries.registry import Tables
+
+    table = credible_queries.unified(credible_queries.stored_sources(Tables(spark, str(FOLDER))))
+    assert not [f for f in table.inputFiles() if "lineitem" in f]
