@@ -230,14 +230,58 @@ def coloc_feasibility(gwas: DataFrame, qtl: DataFrame, *, max_distance: int = 50
     ).withColumn("near_rate", F.try_divide("n_near", "n_signals")).withColumn("shared_rate", F.try_divide("n_shared", "n_signals"))
 
 
-def clpp(a: DataFrame, b: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+#: Sets with more members than this are not carried along with each of their members.
+CARRIED = 64
+
+
+def _member_lists(df: DataFrame) -> DataFrame:
+    """A row per set: its members in order of the variant, merged per variant. Stored, as several joins start from it."""
+    merged = df.where(F.col("variant_id").isNotNull()).repartition("set_id").groupBy("set_id", "variant_id").agg(F.sum("pip").alias("p"))
+    return durable(merged.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct(F.col("variant_id").alias("v"), "p"))).alias("m")))
+
+
+def _product_sums(a: DataFrame, b: DataFrame, hot_rows: int | None) -> DataFrame:
+    """One row per product, summed per pair of sets: for sets of any length."""
+    left, right = (df.selectExpr(f"set_id AS {n}_id", "inline(m)").withColumnsRenamed({"v": "variant_id", "p": f"_{n}"}) for n, df in (("a", a), ("b", b)))
+    left, right, on = salted_pair(left, right, ["variant_id"], ["a_id"], hot_rows, tiles_on=["b_id"])
+    return left.join(right, on).groupBy("a_id", "b_id").agg(F.sum(F.col("_a") * F.col("_b")).alias("clpp"), F.count(F.lit(1)).alias("n_shared"))
+
+
+def _carried_sums(a: DataFrame, b: DataFrame, hot_rows: int | None) -> DataFrame:
+    """Each member carries its whole set, so a pair is summed up where it meets, at its first shared variant; no pair is moved.
+
+    ``_rest`` has a bit for each other member of the set. Most pairs have none in common: they share one variant.
+    """
+    def entries(df: DataFrame, n: str) -> DataFrame:
+        bits = "transform(m, x -> shiftleft(1L, CAST(pmod(xxhash64(x.v), 64L) AS INT)))"
+        rest = f"aggregate(transform({bits}, (x, j) -> IF(j = _i, 0L, x)), 0L, (s, x) -> s | x)"
+        return df.selectExpr("*", "posexplode(m) AS (_i, _x)").selectExpr(
+            f"set_id AS {n}_id", "_x.v AS variant_id", f"_x.p AS _{n}", f"m AS _{n}_all", f"{rest} AS _{n}_rest"
+        )
+
+    left, right, on = salted_pair(entries(a, "a"), entries(b, "b"), ["variant_id"], ["a_id"], hot_rows, tiles_on=["b_id"])
+    alone = "(_a_rest & _b_rest) = 0"
+    earlier = "exists(_a_all, x -> x.v < variant_id AND exists(_b_all, y -> y.v = x.v))"
+    products = "flatten(transform(_a_all, x -> transform(filter(_b_all, y -> y.v = x.v), y -> x.p * y.p)))"
+    return left.join(right, on).where(f"{alone} OR NOT {earlier}").selectExpr(
+        "a_id", "b_id", "_a * _b AS _one", f"CASE WHEN NOT ({alone}) THEN {products} END AS _all"
+    ).selectExpr(
+        "a_id", "b_id",
+        "CASE WHEN _all IS NULL THEN _one ELSE aggregate(_all, CAST(NULL AS DOUBLE), (s, x) -> coalesce(s + x, s, x)) END AS clpp",
+        "CASE WHEN _all IS NULL THEN 1L ELSE CAST(size(_all) AS BIGINT) END AS n_shared",
+    )
+
+
+def clpp(a: DataFrame, b: DataFrame, hot_rows: int | None = HOT_ROWS, carried: int = CARRIED) -> DataFrame:
     """Sum of products of member probabilities of every pair of sets that share variants.
 
     Inputs: ``set_id, variant_id, pip``. Members of one set are merged per variant first. A variant that very
-    many sets hold is cut into shares on both sides, and each pair of shares is a tile of its own.
+    many sets hold is cut into shares on both sides, and each pair of shares is a tile of its own. Pairs of sets
+    with up to ``carried`` members each are written once and never moved; those of longer sets are grouped.
     """
-    def merged(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(F.col("set_id").alias(f"{name}_id"), "variant_id").agg(F.sum("pip").alias(f"_{name}"))
-
-    left, right, on = salted_pair(merged(a, "a"), merged(b, "b"), ["variant_id"], ["a_id"], hot_rows, tiles_on=["b_id"])
-    return left.join(right, on).groupBy("a_id", "b_id").agg(F.sum(F.col("_a") * F.col("_b")).alias("clpp"), F.count(F.lit(1)).alias("n_shared"))
+    a, b = _member_lists(a), _member_lists(b)
+    longest = a.select("m").unionAll(b.select("m")).agg(F.max(F.size("m"))).first()[0] or 0
+    if longest <= carried:
+        return _carried_sums(a, b, hot_rows)
+    (a_short, a_long), (b_short, b_long) = ((df.where(F.size("m") <= carried), df.where(F.size("m") > carried)) for df in (a, b))
+    return _carried_sums(a_short, b_short, hot_rows).unionByName(_product_sums(a_long, b, hot_rows)).unionByName(_product_sums(a_short, b_long, hot_rows))

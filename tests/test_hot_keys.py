@@ -31,6 +31,33 @@ def test_variant_in_very_many_sets(spark):
     assert one == other and len(one) == 1000 * 200
 
 
+@pytest.mark.parametrize("carried", [64, 3])
+def test_pairs_of_sets_are_summed_where_they_meet(spark, carried):
+    """Sets of one to nine members, some repeated, some without probability; with ``carried`` at 3 most are too long to travel."""
+    rows = [[(f"{n}{i}", None if (i + j) % 13 == 0 else f"v{(i * 7 + j * j * 3) % 40}", None if (i * j) % 11 == 5 else (i + j) % 8 / 8) for i in range(60) for j in range(i % 9 + 1)] for n in "ab"]
+    merged = []
+    for side in rows:
+        found = {}
+        for s, v, p in side:
+            if v is not None:
+                old = found.setdefault(s, {}).get(v)
+                found[s][v] = p if old is None else old if p is None else old + p
+        merged.append(found)
+    want = {}
+    for s, one in merged[0].items():
+        for t, two in merged[1].items():
+            if shared := [(one[v], two[v]) for v in one.keys() & two.keys()]:
+                known = [x * y for x, y in shared if x is not None and y is not None]
+                want[s, t] = (sum(known) if known else None, len(shared))
+    a, b = (spark.createDataFrame(side, "set_id string, variant_id string, pip double") for side in rows)
+    found = clpp(a, b, 20, carried)
+    if carried == 64:
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [a_id" not in plan and "Join Inner" in plan
+    got = [((r.a_id, r.b_id), (r.clpp, r.n_shared)) for r in found.collect()]
+    assert len(got) == len(want) and dict(got) == want and any(n > 2 for _, n in want.values())
+
+
 def test_text_queries_go_alone():
     """With a package of the text operators blocked, all other queries stay."""
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; n = e.queries(); print(len(n), sum(k.startswith('op') for k in n), 'pipeline' in n, len(e.oracle_sql()))"
