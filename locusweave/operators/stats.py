@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusweave.functions.digests import Heads
 from locusweave.functions.tails import correlation_p, fisher_p
-from locusweave.operators.keys import attach_single
+from locusweave.operators.keys import attach_single, hot_counts, hot_table
 from locusweave.operators.ordered import average_rank, fit_cuts, prefix_sums, row_numbers
 from locusweave.session import durable
 
@@ -106,18 +107,122 @@ def poisson_weight(uniform: Column) -> Column:
     return expr.otherwise(len(limits))
 
 
+#: Rows that one task draws weights for, draws made at a time, distinct pairs of ranks that one task may hold, their weights, and weights that are worth a task.
+DRAWN_ROWS, _DRAWS, HELD_CELLS, _HELD_WEIGHTS, _WORTH = 1 << 14, 1 << 15, 1 << 22, 1 << 26, 1 << 20
+
+
 def _replicated(df: DataFrame, reps: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
 
 
-def bootstrap_rhos(df: DataFrame, x: str, y: str, row_id: str, reps: int = 2000, seed: int = 42) -> DataFrame:
+def _poisson_weights(heads: np.ndarray) -> np.ndarray:
+    """``poisson_weight`` of hashes given as whole numbers of 48 bits."""
+    weights, total = np.zeros(heads.shape, np.uint8), 0.0
+    for k in range(13):
+        total += math.exp(-1.0) / math.factorial(k)
+        weights += heads >= np.uint64(math.ceil(total * 16**12))
+    return weights
+
+
+def _drawn_cells(ranked: DataFrame, row_id: str, reps: int, seed: int, most: int) -> DataFrame:
+    """The weights of all replicates, summed per pair of ranks: ``rep, block, w``, and the pairs of a block as its replicate 0.
+
+    A block holds whole pairs of ranks, chosen by a hash; pairs with more than ``most`` rows are cut. A task draws a share of
+    the replicates for one block, so the rows of replicates are neither written nor moved.
+    """
+    named = ranked.selectExpr("_rx", "_ry", f"coalesce(concat('|', CAST(`{row_id}` AS STRING)), '') AS _id")
+    n = named.count()
+    blocks = max(1, -(-n // most))
+    shares = max(1, min(reps, -(-_TILES // blocks), n * reps // (blocks * _WORTH)))
+    hot, part = hot_counts(named, ["_rx", "_ry"], most), "0"
+    if hot:
+        named = named.join(F.broadcast(hot_table(named, ["_rx", "_ry"], {k: (n,) for k, n in hot.items()}, ["_cut"])), ["_rx", "_ry"], "left")  # bounded, see hot_counts
+        part = "coalesce(pmod(xxhash64(_id), CAST(_cut AS BIGINT)), 0)"
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block, share = (v.as_py() for v in key)
+        x, y = (table[c].to_numpy() for c in ("_rx", "_ry"))
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        starts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        heads = Heads([v.encode() for v in table["_id"].take(order).to_pylist()])
+        found = [(0, None, x[starts].tobytes(), y[starts].tobytes())] if share == 0 else []
+        chosen, at_once = np.arange(share + 1, reps + 1, shares), max(1, _DRAWS // len(x))
+        for digits in range(1, len(str(reps)) + 1):
+            same = [int(r) for r in chosen if len(str(r)) == digits]
+            for at in range(0, len(same), at_once):
+                some = same[at:at + at_once]
+                weights = np.add.reduceat(_poisson_weights(heads([f"{seed}|{r}".encode() for r in some])), starts, axis=1, dtype=np.uint32)
+                if weights.max() < 256:
+                    weights = weights.astype(np.uint8)
+                found += [(r, w.tobytes(), None, None) for r, w in zip(some, weights)]
+        rep, w, xs, ys = zip(*found) if found else ((), (), (), ())
+        return pa.table({
+            "rep": pa.array(rep, pa.int32()), "block": pa.array([block] * len(rep), pa.int32()),
+            **{c: pa.array(v, pa.binary()) for c, v in (("w", w), ("x", xs), ("y", ys))},
+        })
+
+    dealt = named.selectExpr("_rx", "_ry", "_id", f"CAST(pmod(xxhash64(_rx, _ry, {part}), {blocks}L) AS INT) AS _block").selectExpr("*", f"explode(sequence(0, {shares - 1})) AS _share")
+    # By number, as a block is small to move but long to work on.
+    dealt = dealt.repartition(min(4096, 2 * blocks * shares), "_block", "_share")
+    return durable(dealt.groupBy("_block", "_share").applyInArrow(run, "rep int, block int, w binary, x binary, y binary"))
+
+
+def _cell_rhos(drawn: DataFrame, reps: int, cells: int) -> DataFrame:
+    """``rep, n, rho`` from the weights of all pairs of ranks; a task has a share of the replicates and the pairs of every block."""
+    shares = max(1, min(reps, max(min(_TILES, reps * cells // _WORTH), -(-reps * cells // _HELD_WEIGHTS))))
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, block = (table[c].to_numpy() for c in ("rep", "block"))
+        w, xs, ys = (table[c] for c in ("w", "x", "y"))
+        parts, x, y, size = {}, [], [], 0
+        for i in np.flatnonzero(rep == 0):
+            x.append(np.frombuffer(xs[int(i)].as_py()))
+            y.append(np.frombuffer(ys[int(i)].as_py()))
+            parts[block[i]] = (size, len(x[-1]))
+            size += len(x[-1])
+        places = [np.unique(np.concatenate(v), return_inverse=True)[1] for v in (x, y)]
+        out = []
+        for r in np.unique(rep[rep > 0]):
+            weight = np.zeros(size)
+            for i in np.flatnonzero(rep == r):
+                first, n = parts[block[i]]
+                own = w[int(i)].as_py()
+                weight[first:first + n] = np.frombuffer(own, np.uint8 if len(own) == n else np.uint32)
+            total, moved, squares = weight.sum(), [], []
+            if total == 0:
+                continue
+            for place in places:
+                hist = np.bincount(place, weight)
+                centred = np.cumsum(hist) - (hist + total) / 2
+                moved.append(centred[place])
+                squares.append(float(hist @ centred**2))
+            scale = math.sqrt(squares[0]) * math.sqrt(squares[1])
+            out.append((int(r), int(total), float(weight @ (moved[0] * moved[1])) / scale if total >= 3 and scale else None))
+        rep, n, rho = zip(*out) if out else ((), (), ())
+        return pa.table({"rep": pa.array(rep, pa.int32()), "n": pa.array(n, pa.int64()), "rho": pa.array(rho, pa.float64())})
+
+    pairs = drawn.where("rep = 0").selectExpr("*", f"explode(sequence(0, {shares - 1})) AS _share")
+    dealt = pairs.unionByName(drawn.where("rep > 0").selectExpr("*", f"rep % {shares} AS _share")).repartition(2 * shares, "_share")
+    return dealt.groupBy("_share").applyInArrow(run, "rep int, n bigint, rho double")
+
+
+def bootstrap_rhos(
+    df: DataFrame, x: str, y: str, row_id: str, reps: int = 2000, seed: int = 42, *, most: int = DRAWN_ROWS, held: int = HELD_CELLS,
+) -> DataFrame:
     """Spearman's rho of each replicate. A replicate weighs every row by a Poisson(1) draw that
-    depends only on (seed, replicate, row id), so replicates need no shared sample state."""
-    rows = durable(df.dropna(subset=[x, y]).select(x, y, row_id))
-    drawn = _replicated(rows, reps).withColumn(
+    depends only on (seed, replicate, row id), so replicates need no shared sample state.
+
+    Weights are summed per pair of ranks before anything moves. With over ``held`` distinct pairs the replicates are rows of one table.
+    """
+    ranked = _ranked_rows(df, x, y, row_id)
+    cells = ranked.select("_rx", "_ry").distinct().count()
+    if cells <= held:
+        return _cell_rhos(_drawn_cells(ranked, row_id, reps, seed, most), reps, cells)
+    drawn = _replicated(ranked, reps).withColumn(
         "_w", poisson_weight(hash_uniform(F.lit(seed), F.col("rep"), F.col(row_id)))
     ).where(F.col("_w") > 0)
-    return spearman(drawn.withColumnRenamed("_w", "w"), x, y, by=["rep"], weight="w").select("rep", "n", "rho")
+    return spearman(drawn.withColumnRenamed("_w", "w"), "_rx", "_ry", by=["rep"], weight="w").select("rep", "n", "rho")
 
 
 def bootstrap_corr(
@@ -133,8 +238,8 @@ def bootstrap_corr(
 
 
 def _ranked_rows(df: DataFrame, x: str, y: str, row_id: str) -> DataFrame:
-    """Complete rows with the ranks of both columns, written once: every replicate reads them."""
-    rows = df.dropna(subset=[x, y]).select(x, y, row_id)
+    """Complete rows with the ranks of both columns, written once: every replicate reads them. So are the rows, which both ranks start from."""
+    rows = durable(df.dropna(subset=[x, y]).select(x, y, row_id))
     return durable(average_rank(average_rank(rows, x, out="_rx"), y, out="_ry").select(row_id, "_rx", "_ry"))
 
 

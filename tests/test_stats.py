@@ -1,15 +1,17 @@
 """Statistics against direct computation and known values."""
 
+import hashlib
 import math
 import random
 
 import numpy as np
 import pytest
 
+from locusweave.functions.digests import Heads
 from locusweave.functions.tails import correlation_p_value, fisher_two_sided
 from locusweave.operators.ranking import binary_metrics, group_rankings
 from locusweave.operators.stats import (
-    bootstrap_corr, fisher_exact, katz_fold, partial_spearman, permutation_corr, permutation_rhos, poisson_weight, shuffled_places, sign_table, spearman,
+    bootstrap_corr, bootstrap_rhos, fisher_exact, katz_fold, partial_spearman, permutation_corr, permutation_rhos, poisson_weight, shuffled_places, sign_table, spearman,
 )
 from locusweave.plans.screens import by_subset, concordance_stats, robustness_stats
 from pyspark.sql import functions as F
@@ -127,6 +129,33 @@ def test_resampling(data):
     assert perm.p_one_sided == pytest.approx(1 / 61)
 
 
+def test_heads_of_digests():
+    texts = [("é|" * (i % 3) + "x" * i).encode() for i in range(150)]
+    heads = Heads(texts)
+    for prefixes in ([b""], [b"42|7"], [b"42|1999", b"42|2000"], [b"9" * 130, b"8" * 130]):
+        want = [[int(hashlib.md5(p + t).hexdigest()[:12], 16) for t in texts] for p in prefixes]
+        assert heads(prefixes).tolist() == want
+
+
+@pytest.mark.parametrize("most,hot", [(1 << 14, False), (37, True)])
+def test_bootstrap_moves_no_replicate(spark, most, hot):
+    """The same replicates as by the rows of all of them, with ties, a pair that most rows share, NULLs and null ids."""
+    rows = spark.range(700).selectExpr(
+        "CASE WHEN id = 9 THEN NULL ELSE concat(repeat('é', CAST(id % 40 AS INT)), id) END AS id",
+        f"CASE WHEN id % 31 = 0 THEN NULL WHEN {hot} AND id % 3 > 0 THEN 1.5D ELSE CAST(id * 37 % 53 AS DOUBLE) END AS x",
+        f"CASE WHEN {hot} AND id % 3 > 0 THEN 2.5D ELSE CAST(id * 11 % 17 AS DOUBLE) END AS y")
+    one, other = ({r.rep: (r.n, r.rho) for r in bootstrap_rhos(rows, "x", "y", "id", 120, most=most, held=held).collect()} for held in (1 << 20, 0))
+    assert one.keys() == other.keys() and len(one) == 120
+    assert all(one[k][0] == other[k][0] and one[k][1] == pytest.approx(other[k][1], abs=1e-12) for k in one)
+
+
+def test_bootstrap_of_few_rows(spark):
+    for n in (0, 1, 2, 4):
+        rows = spark.range(n).selectExpr("id", "id AS x", "7 AS y")
+        one, other = (sorted((r.rep, r.n, r.rho) for r in bootstrap_rhos(rows, "x", "y", "id", 30, held=held).collect()) for held in (1 << 20, 0))
+        assert one == other and all(r[2] is None for r in one)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 101, 1000])
 def test_shuffled_places_are_bijections(n):
     reps = 200
