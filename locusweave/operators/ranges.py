@@ -102,7 +102,8 @@ def _inside(at: str, low: str, high: str, closed: str) -> str:
 def _widths(bin_width: int | Sequence[int] | None, size: Extent) -> tuple[int, ...]:
     """The given width, or one that suits most intervals, and wider levels as far as the longest interval goes."""
     if bin_width is not None and not isinstance(bin_width, int):
-        return tuple(bin_width)
+        # Points are copied to every level, so levels that no interval is long enough for are left out.
+        return tuple(w for i, w in enumerate(bin_width) if i == 0 or size.longest > FANOUT * bin_width[i - 1])
     widths = [bin_width or 1024]
     while bin_width is None and widths[0] < size.usual:
         widths[0] *= 2

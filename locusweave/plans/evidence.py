@@ -119,9 +119,9 @@ def proximal_sets(burden: DataFrame, targets: DataFrame, credible: DataFrame, st
     """Burden genes with a fine-mapped set of the same disease near the gene body.
 
     Disease and chromosome are equality keys of the binned join, so a disease with a third of the
-    sets is still spread over the genome.
+    sets is still spread over the genome. The sets are stored: the join measures them before it bins them.
     """
-    sets = _gwas_sets(credible).join(_study_diseases(study), "gwas_study")
+    sets = durable(_gwas_sets(credible).join(_study_diseases(study), "gwas_study"))
     return point_in_interval(
         sets, _burden_bodies(burden, targets), pos="gwas_pos", start="gstart", end="gend", by=["disease_id"], pad=pad,
         bin_width=(1 << 20, 1 << 26),
@@ -219,10 +219,10 @@ def coloc_feasibility(gwas: DataFrame, qtl: DataFrame, *, max_distance: int = 50
     """Confident signals of one side near (or sharing a variant with) a confident signal of the other.
 
     Both sides: ``chrom, pos, variant_id, pip``. One row: signals, with a neighbour, with a
-    shared variant.
+    shared variant. The confident signals are stored, as each step starts from them.
     """
-    left = gwas.where(F.col("pip") >= min_pip).select("chrom", "pos", "variant_id")
-    right = qtl.where(F.col("pip") >= min_pip).select("chrom", F.col("pos").alias("start"), F.col("pos").alias("end"), "variant_id")
+    left = durable(gwas.where(F.col("pip") >= min_pip).select("chrom", "pos", "variant_id"))
+    right = durable(qtl.where(F.col("pip") >= min_pip).select("chrom", F.col("pos").alias("start"), F.col("pos").alias("end"), "variant_id"))
     near = point_in_interval(left, right, pad=max_distance, how="flag", bin_width=max_distance)
     shared = right.select("variant_id").distinct().withColumn("_s", F.lit(True))
     return near.join(shared, "variant_id", "left").agg(

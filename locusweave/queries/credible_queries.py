@@ -465,9 +465,13 @@ _SIDE = f"""SELECT c.chrom, m.pos, m.variant_id, m.pip, c.study_type, c.study_lo
 JOIN fx_cs_member m ON m.study_locus_id=c.study_locus_id WHERE c.confidence={IN_SAMPLE}"""
 
 
-def side(t: Tables, kind: str):
-    rows = t.fx_credible.where((F.col("study_type") == kind) & F.col("confidence").endswith("in-sample LD")).select("study_locus_id")
-    return t.fx_cs_member.join(rows, "study_locus_id").select("chrom", "pos", "variant_id", "pip", F.col("study_locus_id").alias("set_id"))
+def sides(t: Tables, *kinds: str, min_pip: float | None = None):
+    """Members of the in-sample sets of each type, from one stored pass over the lines."""
+    rows = t.set_members(kinds).where(F.col("confidence").endswith("in-sample LD"))
+    if min_pip is not None:
+        rows = rows.where(F.col("pip") >= min_pip)
+    rows = durable(rows.select("study_type", "chrom", "pos", "variant_id", "pip", F.col("study_locus_id").alias("set_id")))
+    return [rows.where(F.col("study_type") == kind).drop("study_type") for kind in kinds]
 
 
 @query("coloc_feasibility", f"""
@@ -477,7 +481,7 @@ SELECT count(*) AS n_signals, count(*) FILTER (WHERE near) AS n_near, count(*) F
     EXISTS(SELECT 1 FROM ({_SIDE}) q WHERE q.study_type='pqtl' AND q.pip>=0.5 AND q.variant_id=g.variant_id) AS shared
   FROM ({_SIDE}) g WHERE g.study_type='gwas' AND g.pip>=0.5) x""")
 def _feasibility(t):
-    return rounded(evidence.coloc_feasibility(side(t, "gwas"), side(t, "pqtl")), "near_rate", "shared_rate")
+    return rounded(evidence.coloc_feasibility(*sides(t, "gwas", "pqtl", min_pip=0.5), min_pip=0.5), "near_rate", "shared_rate")
 
 
 @query("clpp", f"""
@@ -486,7 +490,7 @@ SELECT a.study_locus_id AS a_id, b.study_locus_id AS b_id, round(sum(a.p*b.p),6)
   (SELECT study_locus_id, variant_id, sum(pip) AS p FROM ({_SIDE}) x WHERE study_type='pqtl' GROUP BY 1, 2) b ON a.variant_id=b.variant_id
 GROUP BY 1, 2""")
 def _clpp(t):
-    return rounded(evidence.clpp(side(t, "eqtl"), side(t, "pqtl")), "clpp")
+    return rounded(evidence.clpp(*sides(t, "eqtl", "pqtl")), "clpp")
 
 
 # ---- enrichment ------------------------------------------------------------------------------------------------------------

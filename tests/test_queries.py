@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from locusweave.queries.fixtures import DERIVED
+from locusweave.session import durable
 from tools.check import rows_of
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -70,3 +71,22 @@ def test_profile_reads_stored_sources(spark):
 
     table = credible_queries.unified(credible_queries.stored_sources(Tables(spark, str(FOLDER))))
     assert not [f for f in table.inputFiles() if "lineitem" in f]
+
+
+@pytest.mark.parametrize("name", ["coloc_feasibility", "clpp", "proximal_sets"])
+def test_lines_are_read_once(spark, name, monkeypatch):
+    """What is stored on the way is planned from the lines; nothing after it looks at them again."""
+    from locusweave.plans import evidence
+    from locusweave.queries import credible_queries
+
+    seen = []
+
+    def counted(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        seen.append(plan.count("l_extendedprice") > 0)
+        return durable(df)
+
+    monkeypatch.setattr(evidence, "durable", counted)
+    monkeypatch.setattr(credible_queries, "durable", counted)
+    found = entry.queries()[name](spark, str(FOLDER))
+    assert sum(seen) == 1 and "l_extendedprice" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -186,3 +186,14 @@ def test_nearest_join_on_one_full_bin(spark):
     targets = spark.range(n).selectExpr("'1' AS chrom", "id * 3 + 1 AS mid", "CAST(id AS STRING) AS key")
     found = nearest_join(points, targets, max_distance=4 * n)
     assert found.where("near_dist = 1").count() == n
+
+
+def test_levels_that_no_interval_needs_hold_no_point(spark):
+    points = spark.range(500).selectExpr("'1' AS chrom", "id * 40 AS pos")
+    spans = spark.range(60).selectExpr("'1' AS chrom", "id * 300 AS start", "id * 300 + 150 AS end", "id")
+    for longest, copies in ((0, 1), (17 * 1024, 2)):
+        own = spans.selectExpr("chrom", "start", f"IF(id = 0, start + greatest({longest}, 150), end) AS end", "id")
+        pairs = point_in_interval(points, own, bin_width=(1 << 10, 1 << 16))
+        assert ("Generate inline" in pairs._jdf.queryExecution().optimizedPlan().toString()) == (copies == 2)
+        want = {(p.pos, i.id) for p in points.collect() for i in own.collect() if i.start <= p.pos <= i.end}
+        assert {(r.pos, r.id) for r in pairs.collect()} == want and pairs.count() == len(want)
