@@ -5,11 +5,13 @@ target stops at twice its source's size and the excess is shared again by weight
 
 Rates. Document d of source s gets the rate r = 2 / (1 + exp(-(a_s + b z_d))), the exponential tilt under the
 bound of two copies. ``z`` is a document's log size, centred. The constraints: the words taken from each source
-equal its target, and the mix keeps the word-weighted mean of z that the sources alone would give it (or, for sources
-below their bound, moves it by ``shift``), so that no source meets its target by preferring short documents. The convex dual is solved by Newton steps; each step is one aggregate of
+equal its target, and the mix keeps the word-weighted mean of z: by default the one that the sources alone would give it (or, for sources
+below their bound, moved by ``shift``); with ``shift=None`` that of the whole table, so that the mix has the document lengths of
+the table although its sources have other shares. There the tilt ``b`` stays within ``TILT``: where the table's mean is out of reach,
+the mix comes as near as that allows, and rates that are not found in ``STEPS`` steps are equal within a source. The convex dual is solved by Newton steps; each step is one aggregate of
 three sums per source over all documents, and the driver solves for one number per source and one shared
 number (the coupling is a border of the diagonal, so no matrix is formed). Sources at the bound take every document twice.
-A dual that does not converge, because no rates meet the constraints, is an error.
+With a ``shift`` given, a dual that does not converge, because no rates meet the constraints, is an error.
 
 Copies. The documents that hold over 1/128 of their source (fewer than 128 a source) are rounded one after the
 other, largest first, each carrying the remainder on. The rest are rounded along the running sum of their rates,
@@ -43,6 +45,8 @@ FINE = 1 << 40
 #: Documents of one source and size class that one task puts in order.
 PART = 1 << 18
 TOLERANCE = 1e-9
+#: Largest tilt by log size towards the mean of the whole table.
+TILT = 2.0
 
 
 def word_count(text: Column) -> Column:
@@ -84,14 +88,20 @@ def _exact(c: Column) -> Column:
     return F.sum(F.round(c * F.lit(float(FINE))).cast("decimal(38,0)"))
 
 
-def _solve(spark: SparkSession, base: DataFrame, sums: list, target: dict[str, float], shift: float = 0.0) -> tuple[dict[str, float], float]:
+def _solve(spark: SparkSession, base: DataFrame, sums: list, target: dict[str, float], shift: float | None = 0.0) -> tuple[dict[str, float], float]:
     """(a by source, b): Newton on the dual over the sources that are neither empty nor at the bound."""
     free = {r["k"]: (r["n"], r["nz"]) for r in sums if 0 < target[r["k"]] < MOST * r["n"] * (1 - 1e-12)}
     if not free:
         return {}, 0.0
     a, b = {k: math.log(target[k] / (MOST * n - target[k])) for k, (n, _) in free.items()}, 0.0
+    equal, most = dict(a), math.inf if shift is not None else TILT
     scale = sum(target[k] for k in free)
-    want_z = sum(target[k] * nz / n for k, (n, nz) in free.items()) + shift * scale
+    if shift is not None:
+        want_z = sum(target[k] * nz / n for k, (n, nz) in free.items()) + shift * scale
+    else:
+        # What the whole mix should hold, less what the sources at their bound bring.
+        mean = sum(r["nz"] for r in sums) / sum(r["n"] for r in sums)
+        want_z = mean * sum(target.values()) - sum(target[r["k"]] * r["nz"] / r["n"] for r in sums if r["n"] and r["k"] not in free)
     for _ in range(STEPS):
         tilt = _table(spark, [(k, v) for k, v in sorted(a.items())], "k string, a double")
         r = _sigma(F.col("a") + F.lit(b) * F.col("z"))
@@ -102,16 +112,20 @@ def _solve(spark: SparkSession, base: DataFrame, sums: list, target: dict[str, f
         p = {x["k"]: [float(x[c]) / FINE for c in ("g", "gz", "h", "hz", "hzz")] for x in sorted(parts, key=lambda x: x["k"])}
         miss = {k: target[k] - p[k][0] for k in p}
         miss_z = want_z - sum(x[1] for x in p.values())
-        if max(abs(m) for m in miss.values()) <= TOLERANCE * scale + 1e-3 and abs(miss_z) <= TOLERANCE * scale * 10 + 1e-3:
-            return a, b
         # The border is removed first: what is left of the shared equation once each source has answered.
         pivot = sum(x[4] - x[3] * x[3] / x[2] for x in p.values() if x[2] > 0)
         step = (miss_z - sum(x[3] * miss[k] / x[2] for k, x in p.items() if x[2] > 0)) / pivot if pivot > 1e-9 * scale else 0.0
         step = max(-1.0, min(1.0, step))
+        step = max(-most, min(most, b + step)) - b
+        out_of_reach = shift is None and step == 0.0
+        if max(abs(m) for m in miss.values()) <= TOLERANCE * scale + 1e-3 and (out_of_reach or abs(miss_z) <= TOLERANCE * scale * 10 + 1e-3):
+            return a, b
         b += step
         for k, x in p.items():
             if x[2] > 0:
                 a[k] += max(-2.0, min(2.0, (miss[k] - x[3] * step) / x[2]))
+    if shift is None:
+        return equal, 0.0
     raise ArithmeticError(f"no rates found in {STEPS} steps: off by {max(map(abs, miss.values()))} words, {miss_z} of log size")
 
 
@@ -136,7 +150,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
         F.first("source").alias("source"), F.sum("size").alias("n"), F.count("*").alias("docs"), (_exact(F.col("size") * F.col("z")).cast("double") / FINE).alias("nz")).collect()
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", shift: float = 0.0) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", shift: float | None = 0.0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (0, 1 or 2) and taken, a row for each row of ``docs``."""
     spark = docs.sparkSession
     base, sums = measured(docs, doc_id, text, source)

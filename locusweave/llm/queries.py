@@ -59,7 +59,7 @@ ORACLES["op7_quality_rules"] = quality_rules.SQL
 
 @query
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mix(table(spark, folder, "documents"), shift=None).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 #: Categories of the toxicity chain before the label itself: groups of the words that mark it.

@@ -135,6 +135,33 @@ def test_mix_moves_the_mean_log_size(spark):
     assert abs(moved - still + 0.15) < 0.03
 
 
+def test_registered_mix_keeps_the_mean_log_size_of_the_table(spark, tmp_path):
+    from locusweave.llm.queries import op8_mixing
+
+    # Sources of one length profile each: other shares of the sources would move the mean.
+    rng = random.Random(23)
+    rows = [(k, "w " * (1 + int(rng.lognormvariate(3 + 0.6 * (s in "ad"), 0.8))), s) for k in range(4000) for s in ["abcd"[k % 4]]]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    mean = lambda pairs: sum(w * np.log1p(n) for n, w in pairs) / sum(w for _, w in pairs)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    mixed = op8_mixing(spark, str(tmp_path)).collect()
+    plain = mixing.mix(docs).collect()
+    table, tilted, equal = (mean(v) for v in ([(r["size"], r["size"]) for r in mixed], [(r["size"], r.taken) for r in mixed], [(r["size"], r.taken) for r in plain]))
+    assert abs(tilted - table) < 0.02 < 0.04 < abs(equal - table)
+    by = {r.doc_id: r for r in mixed}
+    for s in "abcd":
+        own = [by[k] for k, _, t in rows if t == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.02 * own[0].target + 2
+
+
+def test_mean_that_is_out_of_reach(spark):
+    """One length in each source: no rates move the mean, and the targets are met all the same; so they are at the largest tilt."""
+    for lengths in ((3, 30), (3, 30, 300)):
+        docs = spark.createDataFrame([(k, "w " * n, f"s{j}") for j, n in enumerate(lengths) for k in range(j * 100, j * 100 + 60)], "doc_id bigint, text string, source string")
+        for r in mixing.mix(docs, shift=None).groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+            assert abs(r["sum(taken)"] - r["max(target)"]) <= 300
+
+
 def test_no_document_is_shuffled_by_source(spark):
     docs = spark.createDataFrame([(k, "w " * (k % 90), "abc"[k % 3]) for k in range(500)], "doc_id bigint, text string, source string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
