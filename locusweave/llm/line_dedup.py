@@ -9,8 +9,11 @@ only, so no more is done for them. First places of larger sets are compared by w
 are ordered by rarity, so that two matching sets share one of the first |x| - ceil(4/5 |x|) + 1 words of each.
 An entry is such a word of a line, with its place and size. Entries that share a word are a candidate pair if
 their sizes allow 4/5, if the places of the word leave enough common words behind it, and if their parity maps
-(each word flips one of 124 bits) do not differ in more places than 4/5 allows. What is left is verified on the words. A word that more than ``BLOCK`` entries share is dealt
-out as tiles of two blocks.
+(each word flips one of 124 bits) do not differ in more places than 4/5 allows. What is left is verified on the words.
+
+Entries and sets are many more than lines, so they are no rows of a shuffle: a task deals what it gathers into buckets by
+word or set, and a row is a block of up to ``SHARE`` of a bucket. A bucket's entries are put in order where it arrives. A word that more
+than ``BLOCK`` entries share leaves its bucket and is dealt out as tiles of two blocks; of a set, a task sends one place a time.
 
 A line goes by any one earlier match, so the pairs within a family of similar lines are not all written: first a
 line's ``FIRST`` earliest candidates behind each word are verified; only lines that had more and still stay are then
@@ -29,7 +32,7 @@ words goes, one that never had any stays; an empty table gives an empty table; o
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +49,13 @@ PART = 1 << 14
 LEAST = 1
 #: Words of the smallest set that can match one of another size: 4 of 5.
 SMALLEST = 4
-#: Rows of one set beyond which its first place is broadcast.
+#: Rows of a bucket of sets that a task holds before it keeps only the first place of each set.
 HOT_SET = 1 << 13
-#: A hot set also holds over one in this many of all lines, so there are fewer of them.
-HOT_SHARE = 10_000
 BLOCK = 4096
+#: Words of all texts for each bucket of words and sets; a bucket has about a fifth as many entries. Smaller buckets are made up to so many.
+BUCKET, SMALL_BUCKET, BUCKETS = 1 << 20, 1 << 14, 1 << 10
+#: Entries that a task gathers before it deals them out, entries that travel as one row, and rows of a bucket held before hot words leave it.
+FLUSH, SHARE, HELD = 1 << 19, 1 << 8, 1 << 21
 #: Earliest candidates of a line behind one word that are verified first.
 FIRST = 2
 #: Bits of the maps that tell which lines and documents to read again; fixed, and read again means only more work.
@@ -66,28 +71,33 @@ MANY = (1 << 14) - 1
 
 
 class Lines:
-    """The lines of a run of texts with enough different words, and their distinct words."""
+    """The lines of a run of texts with enough different words, and their distinct words; only lines that ``wanted`` marks, if given."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, least: int) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, least: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
         data = lower(raw)
         start, end, doc = words(data, offsets)
-        h = word_hashes(data, start, end)
         feeds = np.cumsum(raw == 10)
         feed = feeds[start] if len(start) else start
         # Number of the line in its text: line feeds since the text began.
         before = np.concatenate([[0], feeds])[offsets[:-1]]
-        first = np.ones(len(h), bool)
+        first = np.ones(len(start), bool)
         first[1:] = (feed[1:] != feed[:-1]) | (doc[1:] != doc[:-1])
         line = np.cumsum(first) - 1
         at = np.flatnonzero(first)
         self.doc, self.number = doc[at], feed[at] - before[doc[at]]
+        if wanted is not None:
+            hit = wanted(self.doc, self.number)
+            inside = hit[line]
+            start, end, line = start[inside], end[inside], (np.cumsum(hit) - 1)[line[inside]]
+            self.doc, self.number = self.doc[hit], self.number[hit]
+        h = word_hashes(data, start, end)
         order = np.argsort(h)
         order = order[np.argsort(_short(line[order]), kind="stable")]
         h, line = h[order], line[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
         h, line = h[new], line[new]
-        size = np.bincount(line, minlength=len(at))
+        size = np.bincount(line, minlength=len(self.doc))
         keep = size >= least
         inside = keep[line]
         self.doc, self.number, self.size = self.doc[keep], self.number[keep], size[keep]
@@ -135,12 +145,16 @@ def _short(x: np.ndarray) -> np.ndarray:
 
 
 def _cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CELLS, np.int64)
+    total, met = np.zeros(CELLS, np.int64), [np.zeros(0, np.int64)]
     for part in parts:
         for _, _, data, offsets in text_chunks(part.column(0)):
             data = lower(data)
             start, end, _ = words(data, offsets)
-            total += np.bincount((word_hashes(data, start, end) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+            met.append((word_hashes(data, start, end) % np.uint64(CELLS)).astype(np.int64))
+            if sum(map(len, met)) > CELLS:
+                total += np.bincount(np.concatenate(met), minlength=CELLS)
+                met = met[:1]
+    total += np.bincount(np.concatenate(met), minlength=CELLS)
     if total.any():
         pieces = total.astype("<i8").reshape(-1, PART)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces))), pa.array([p.tobytes() for p in pieces], pa.binary())], ["part", "n"])
@@ -154,19 +168,61 @@ def _added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "n"])
 
 
-def rarity(docs: DataFrame, text: str) -> np.ndarray:
-    """A 16-bit level of each cell that rises with its count; 2^20 numbers whatever the data."""
+def rarity(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """A 16-bit level of each cell that rises with its count, 2^20 numbers whatever the data; and the number of words."""
     schema = "part bigint, n binary"
     found = docs.select(text).mapInArrow(_cells, schema).repartition("part").mapInArrow(_added, schema).toArrow()
     count = np.zeros((CELLS // PART, PART))
     for part, n in zip(found.column("part").to_pylist(), found.column("n"), strict=True):
         count[part] = np.frombuffer(n.as_py(), "<i8")
-    return np.minimum(np.log2(1 + count.ravel()) * 1500, 65535).astype(np.uint16)
+    return np.minimum(np.log2(1 + count.ravel()) * 1500, 65535).astype(np.uint16), int(count.sum())
 
 
-#: Columns that lines (set hash, order, check hash, text hash, id, number) and entries (word, order, place, parity) share.
+#: Numbers of an entry: word, order, size and place with parity, parity.
 NUMBERS = ["word", "q", "at", "high"]
-FLAT = [*NUMBERS, "id", "line"]
+FLAT = ["kind", "bucket", *NUMBERS, "block", "id"]
+#: Rows of FLAT by kind: a document (text hash, first number, lines, runs), a pair (earlier, later, whether there were more), a block of
+#: entries kept for the second pass, an entry of a hot word, a line whose set has an earlier place; on their way, blocks of entries and of sets.
+DOCUMENT, PAIR, KEPT, HOT, AGAIN, ENTRIES, SETS = range(7)
+
+
+def _flat(kind: int, n: int, id_type: pa.DataType, **columns) -> pa.RecordBatch:
+    """``n`` rows of a kind; columns that are not given are null."""
+    none = {"bucket": pa.nulls(n, pa.int32()), "block": pa.nulls(n, pa.binary()), "id": pa.nulls(n, id_type), **{c: pa.nulls(n, pa.int64()) for c in NUMBERS}}
+    columns = none | {"kind": pa.array(np.full(n, kind, np.int32))} | {c: x if isinstance(x, pa.Array) else pa.array(x) for c, x in columns.items()}
+    return pa.RecordBatch.from_arrays([columns[c] for c in FLAT], FLAT)
+
+
+def _packed(rows: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Runs of ``rows`` as bytes, one for each start."""
+    ends = np.append(starts, len(rows)) * rows.shape[1] * 8
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def _dealt(kind: int, rows: np.ndarray, key: np.ndarray, buckets: int, share: int, id_type: pa.DataType) -> pa.RecordBatch:
+    """``rows`` by bucket of their key, at most ``share`` to a block."""
+    bucket = (mixed(key) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(_short(bucket), kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    first = _runs(bucket)
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    starts = np.flatnonzero(place % share == 0)
+    return _flat(kind, len(starts), id_type, bucket=bucket[starts].astype(np.int32), block=_packed(rows, starts))
+
+
+def _firsts(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each set among rows (set hash, order, check hash), and the numbers of the other lines."""
+    sets = sets[np.lexsort((sets[:, 1], sets[:, 2], sets[:, 0]))]
+    new = np.ones(len(sets), bool)
+    new[1:] = (sets[1:, ::2] != sets[:-1, ::2]).any(1)
+    first = sets[new]
+    # A row that repeats a document brings the same number again.
+    return first, sets[:, 1][sets[:, 1] != first[np.cumsum(new) - 1, 1]]
 
 
 def numbered(rows: DataFrame) -> tuple[DataFrame, bool]:
@@ -205,18 +261,32 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, bool]:
     return stored(rows.join(own, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))).select("id", "text", "h", "o")), repeats
 
 
-def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(id, h, line, gone): a row for each line with enough words; ``h`` is the hash of its text, ``gone`` if it goes."""
+def matched(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
+    """(id, h, n, line): a row for each line that goes, or one without a line; ``h`` is the hash of its text, ``n`` its lines with enough words."""
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.where(F.length("text") > 0).withColumn("h", F.xxhash64("text"))
     kind = dict(rows.dtypes)["id"]
     rows, repeats = numbered(rows)
-    level = docs.sparkSession.sparkContext.broadcast(rarity(rows, "text"))
+    level, total = rarity(rows, "text")
+    level, buckets, flush, share = docs.sparkSession.sparkContext.broadcast(level), max(total // BUCKET, min(total // SMALL_BUCKET, BUCKETS)) + 1, FLUSH, SHARE
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
+        entries, sets, id_type = [], [], pa.null()
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            if not sets:
+                return
+            first, again = _firsts(np.concatenate(sets))
+            rows = np.concatenate(entries)
+            yield _dealt(ENTRIES, rows, rows[:, 0] >> 24, buckets, share, id_type)
+            yield _dealt(SETS, first, first[:, 0], buckets, share, id_type)
+            yield _flat(AGAIN, len(again), id_type, q=again)
+            entries.clear()
+            sets.clear()
+
         for part in parts:
-            order = part.column("o").to_numpy()
+            order, id_type = part.column("o").to_numpy(), part.schema.field("id").type
             for at, to, data, offsets in text_chunks(part.column("text")):
                 own = Lines(data, offsets, least)
                 if not len(own.doc):
@@ -231,56 +301,49 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
                 if len(seen) > 1 << 20:
                     seen.clear()
                 line, word, *rest = own.prefixes(level.value, new & (own.size >= SMALLEST))
-                ids = part.column("id").slice(at, to - at)
-                none = pa.nulls(len(line), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(q[line]), *map(pa.array, rest), pa.nulls(len(line), ids.type), none], FLAT)
-                take = pa.array(own.doc)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(s), pa.array(q), pa.array(own.check_hash()), part.column("h").slice(at, to - at).take(take), ids.take(take), pa.array(own.number.astype(np.int32)),
-                ], FLAT)
-
-    flat = ", ".join(f"{c} bigint" for c in NUMBERS) + f", id {kind}, line int"
-    # Lines and entries share one pass and one shuffle: entries go by their word, lines anywhere.
-    made = rows.mapInArrow(cut, flat)
-    key = F.when(F.col("line").isNull(), _key()).otherwise(F.xxhash64("q"))
-    made = made.repartition(key).sortWithinPartitions(_key()).mapInArrow(_paired(BLOCK, FIRST), f"{flat}, y bigint, more int")
-    # Read several times, by kind: lines, pairs, entries kept for the second pass, entries of hot words.
-    kind_of = "CASE WHEN line IS NOT NULL THEN 0 WHEN y IS NOT NULL THEN 1 WHEN more = 2 THEN 2 ELSE 3 END"
-    made = stored(made.withColumn("kind", F.expr(kind_of)), "kind")
-    lines = made.where("kind = 0").select("id", F.col("high").alias("h"), "line", "q", F.col("word").alias("s"), F.col("at").alias("c"))
-    # Rows that share id and text bring each line as often; one is kept.
-    marked = with_first(lines.dropDuplicates(["q"]) if repeats else lines)
+                entries.append(np.stack([word, q[line], *rest], 1))
+                sets.append(np.stack([s, q, own.check_hash()], 1))
+                starts = _runs(own.doc)
+                ends = np.append(starts[1:], len(own.doc))
+                take = pa.array(at + own.doc[starts])
+                yield _flat(
+                    DOCUMENT, len(starts), id_type, id=part.column("id").take(take), word=part.column("h").take(take), q=order[at + own.doc[starts]], at=ends - starts,
+                    high=(own.number[ends - 1].astype(np.int64) >> 20) + 1,
+                )
+                if sum(map(len, entries)) + sum(map(len, sets)) > flush:
+                    yield from dealt()
+        yield from dealt()
+
+    flat = "kind int, bucket int, " + ", ".join(f"{c} bigint" for c in NUMBERS) + f", block binary, id {kind}"
+    # Entries and sets travel in blocks, by their bucket; what is finished goes anywhere with them.
+    key = F.when(F.col("bucket").isNull(), F.xxhash64("q")).otherwise(F.col("bucket"))
+    made = rows.mapInArrow(cut, flat).repartition(key).sortWithinPartitions("bucket", "kind").mapInArrow(_paired(BLOCK, FIRST, HELD, HOT_SET), flat)
+    # Read several times, by kind.
+    made = stored(made, "kind")
+    documents = made.where(F.col("kind") == DOCUMENT).select("id", F.col("word").alias("h"), F.col("q").alias("o"), F.col("at").alias("n"), "high")
+    # Rows that share id and text bring a document as often; one is kept.
+    documents = documents.dropDuplicates(["o"]) if repeats else documents
     found = candidates(made)
     beaten = stored(verified(rows, found.select("x", "y").distinct(), least, repeats))
     # Lines that stay although they had more candidates than were verified; the entries behind their words were kept.
     open_ = stored(found.where("more = 1").select(F.col("x").alias("q")).distinct().join(beaten, "q", "left_anti"))
     if open_.take(1):
-        entries = made.where("kind IN (2, 3)").select(*FLAT, "kind")
-        beaten = stored(beaten.unionByName(verified(rows, all_candidates(entries, open_), least, repeats)).distinct())
-    again = F.col("first").isNotNull() & (F.col("q") != F.col("first"))
-    out = marked.join(beaten.withColumn("beaten", F.lit(True)), "q", "left")
-    return out.select("id", "h", "line", (again | F.col("beaten").isNotNull()).alias("gone"))
-
+        beaten = beaten.unionByName(verified(rows, all_candidates(made, open_), least, repeats))
+    gone = made.where(F.col("kind") == AGAIN).select("q").unionByName(beaten).distinct().withColumn("run", F.shiftright("q", 20))
+    run = F.shiftright("o", 20)
+    documents = documents.withColumn("run", F.explode(F.sequence(run, run + F.col("high") - 1)))
+    return documents.join(gone, "run", "left").select("id", "h", "n", (F.col("q") - F.col("o")).cast("int").alias("line"))
 
-def with_first(lines: DataFrame) -> DataFrame:
-    """Adds ``first``, the number of the first line of the line's set, or null where the set occurs once.
 
-    A set that very many lines hold never meets in one task: there are fewer than ``HOT_SHARE`` such sets, so their first lines
-    are broadcast, and the other lines are joined without them.
-    """
-    firsts = stored(lines.groupBy("s", "c").agg(F.min("q").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    most = max(HOT_SET, lines.count() // HOT_SHARE)
-    cold, hot = (firsts.where(t).select("s", "c", "first") for t in (F.col("n") <= most, F.col("n") > most))
-    if not hot.take(1):
-        return lines.join(cold, ["s", "c"], "left")
-    rest = lines.join(F.broadcast(hot.select("s", "c")), ["s", "c"], "left_anti")
-    return rest.join(cold, ["s", "c"], "left").unionByName(lines.join(F.broadcast(hot), ["s", "c"]))
+def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """(id, h, line): the lines that go; ``h`` is the hash of their text."""
+    return matched(docs, doc_id, text, least).where(F.col("line").isNotNull()).select("id", "h", "line")
 
 
-def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray, high: np.ndarray, first_few: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray, high: np.ndarray, first_few: int | None, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """(later, earlier, more, keys): the earliest candidates of each later entry of a key, and keys where some had more.
 
-    Rows of a key lie together.
+    Rows of a key lie together. Without ``first_few`` all candidates come, of the entries that ``wanted`` marks, step by step.
     """
     if len(key) < 2:
         return
@@ -314,8 +377,13 @@ def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray,
             other = q[a] != q[b]
             a, b = a[other], b[other]
             ahead = q[a] <= q[b]
-            later.append(np.where(ahead, b, a))
-            earlier.append(np.where(ahead, a, b))
+            a, b = np.where(ahead, b, a), np.where(ahead, a, b)
+            if first_few is None:
+                own = wanted[by_size[a]]
+                yield q[a[own]], q[b[own]], None, None
+                continue
+            later.append(a)
+            earlier.append(b)
         first = last
     later, earlier = np.concatenate(later), np.concatenate(earlier)
     if len(later):
@@ -330,65 +398,128 @@ def _compared(key: np.ndarray, word: np.ndarray, q: np.ndarray, at: np.ndarray,
         yield later, earlier, more, cut_short
 
 
-def _paired(most: int | None, first_few: int):
-    """Partitions sorted by word -> candidate pairs.
+def _chunks(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole keys with about 2^24 pairs at most; a key of more is a run of its own."""
+    starts = _runs(key)
+    ends = np.append(starts[1:], len(key))
+    total = np.cumsum((ends - starts) ** 2)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 24), side="right")))
+        yield int(starts[at]), int(ends[to - 1])
+        at = to
 
-    Lines, entries of a word with over ``most`` entries, and (marked with 2) entries of a word behind which a line had
-    more candidates than came out, come out as they are.
-    """
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, hot, kind = np.zeros((1 + len(NUMBERS), 0), np.int64), None, pa.null()
 
-        def out(rows: np.ndarray, y: pa.Array, more: pa.Array) -> pa.RecordBatch:
-            n = rows.shape[1]
-            return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(n, kind), pa.nulls(n, pa.int32()), y, more], [*FLAT, "y", "more"])
+def _pairs(rows: np.ndarray, key: np.ndarray, first_few: int | None, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """``_compared`` over entries in the order of their key."""
+    for a, b in _chunks(key):
+        bits = rows[a:b].view(np.uint64)
+        yield from _compared(key[a:b], bits[:, 0], rows[a:b, 1], bits[:, 2], bits[:, 3], first_few, None if wanted is None else wanted[a:b])
+
 
-        def as_is(rows: np.ndarray, mark: int | None = None) -> pa.RecordBatch:
-            n = rows.shape[1]
-            return out(rows[1:], pa.nulls(n, pa.int64()), pa.array([mark] * n, pa.int32()))
+def _paired(most: int, first_few: int, most_held: int, most_sets: int):
+    """Blocks by bucket -> candidate pairs, and the lines whose set has an earlier place.
 
-        def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            key = rows[0]
-            size = np.bincount(np.cumsum(np.append(False, key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    Entries of a word with over ``most`` entries come out as they are, and entries of words behind which a line had more candidates
+    than came out as blocks of whole words. What is held of a bucket is reduced on the way: beyond ``most_held`` entries hot words leave it,
+    beyond ``most_sets`` sets only the first place of each stays.
+    """
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_type, now, held, hot, room = pa.null(), None, [], np.zeros(0, np.int64), 0
+
+        def by_word() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Entries held and their keys in order, how many share the word, and whether it is hot."""
+            rows = np.concatenate(held)
+            rows = rows[np.argsort(rows[:, 0] >> 24, kind="stable")]
+            key = rows[:, 0] >> 24
+            size = np.diff(np.append(_runs(key), len(key)))
             size = np.repeat(size, size)
-            if most is not None and (size > most).any():
-                yield as_is(rows[:, size > most])
-            rows = rows[:, (size > 1) & (size <= most) if most is not None else size > 1]
-            bits = rows.view(np.uint64)
-            for later, earlier, more, keys in _compared(rows[0], bits[1], rows[2], bits[3], bits[4], first_few):
-                if most is not None and len(keys):
-                    yield as_is(rows[:, np.isin(rows[0], keys)], 2)
-                pairs = np.zeros((len(NUMBERS), len(later)), np.int64)
-                pairs[1] = later
-                yield out(pairs, pa.array(earlier), pa.array(more))
+            return rows, key, size, (size > most) | np.isin(key, hot)
+
+        def as_is(rows: np.ndarray) -> pa.RecordBatch:
+            return _flat(HOT, len(rows), id_type, **{c: np.ascontiguousarray(rows[:, k]) for k, c in enumerate(NUMBERS)})
+
+        def reduced() -> Iterator[pa.RecordBatch]:
+            nonlocal held, hot, room
+            if now[1] == SETS:
+                first, again = _firsts(np.concatenate(held))
+                yield _flat(AGAIN, len(again), id_type, q=again)
+                held = [first]
+            else:
+                rows, key, _, over = by_word()
+                yield as_is(rows[over])
+                hot, held = np.unique(np.append(hot, key[over])), [rows[~over]]
+            room = max(room, 2 * len(held[0]))
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            nonlocal held, hot
+            if held and now[1] == SETS:
+                _, again = _firsts(np.concatenate(held))
+                if len(again):
+                    yield _flat(AGAIN, len(again), id_type, q=again)
+            elif held:
+                rows, key, size, over = by_word()
+                if over.any():
+                    yield as_is(rows[over])
+                rows, key = rows[~over & (size > 1)], key[~over & (size > 1)]
+                for later, earlier, more, keys in _pairs(rows, key, first_few):
+                    yield _flat(PAIR, len(later), id_type, q=later, word=earlier, at=more.astype(np.int64))
+                    if len(keys):
+                        own = slice(int(np.searchsorted(key, keys[0])), int(np.searchsorted(key, keys[-1], side="right")))
+                        kept = np.isin(key[own], keys)
+                        own, word = rows[own][kept], key[own][kept]
+                        # Blocks of whole words, each of ``most`` entries or a word more.
+                        starts = _runs(word)
+                        starts = starts[_runs(starts // most)]
+                        yield _flat(KEPT, len(starts), id_type, block=_packed(own, starts))
+            held, hot = [], np.zeros(0, np.int64)
 
         for part in parts:
-            kind = part.schema.field("id").type
-            line = part.column("line").is_valid()
-            if line.true_count:
-                own = part.filter(line)
-                yield pa.RecordBatch.from_arrays([*own.select(FLAT).columns, pa.nulls(own.num_rows, pa.int64()), pa.nulls(own.num_rows, pa.int32())], [*FLAT, "y", "more"])
-                part = part.filter(part.column("line").is_null())
-            rows = np.stack([part.column(c).to_numpy() for c in NUMBERS])
-            key = rows[:1] >> 24
-            rows = np.concatenate([key if "tile" not in part.schema.names else mixed(mixed(key) + part.column("tile").to_numpy().astype(np.uint64)).view(np.int64), rows])
-            if hot is not None and rows.shape[1]:
-                more = int(np.argmin(np.append(rows[0] == hot, False)))
-                if more:
-                    yield as_is(rows[:, :more])
-                rows, hot = rows[:, more:], hot if more == rows.shape[1] else None
-            rows = np.concatenate([rest, rows], 1)
-            if not rows.shape[1]:
-                rest = rows
+            id_type = part.schema.field("id").type
+            kind = part.column("kind").to_numpy()
+            blocks = kind >= ENTRIES
+            if not blocks.all():
+                yield part.filter(pa.array(~blocks))
+                part, kind = part.filter(pa.array(blocks)), kind[blocks]
+            if not len(kind):
                 continue
-            cut = rows.shape[1] - int(np.argmin(np.append(rows[0, ::-1] == rows[0, -1], False)))
-            rest = rows[:, cut:]
-            if cut:
-                yield from emit(rows[:, :cut])
-            if most is not None and rest.shape[1] > most:
-                yield as_is(rest)
-                rest, hot = rest[:, :0], rest[0, -1]
-        yield from emit(rest)
+            bucket, block = part.column("bucket").to_numpy(), part.column("block")
+            starts = _runs(bucket.astype(np.int64) * 8 + kind)
+            for a, b in zip(starts, np.append(starts[1:], len(kind)), strict=True):
+                if now != (bucket[a], kind[a]):
+                    yield from finished()
+                    now, room = (bucket[a], kind[a]), most_sets if kind[a] == SETS else most_held
+                held.append(_numbers(block.slice(a, b - a), 3 if kind[a] == SETS else len(NUMBERS)).copy())
+                if sum(map(len, held)) > room:
+                    yield from reduced()
+        yield from finished()
+
+    return run
+
+
+def _numbers(blocks: pa.Array, columns: int) -> np.ndarray:
+    """The rows of blocks that lie together."""
+    ends = np.frombuffer(blocks.buffers()[1], np.int32)[blocks.offset : blocks.offset + len(blocks) + 1]
+    return np.frombuffer(blocks.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int64).reshape(-1, columns)
+
+
+def _tiled(first_few: int):
+    """Entries of hot words sorted by word and tile -> candidate pairs."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, rest_key = np.zeros((0, len(NUMBERS)), np.int64), np.zeros(0, np.int64)
+
+        def out(rows: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for later, earlier, more, _ in _pairs(rows, key, first_few):
+                yield pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier), pa.array(more)], ["x", "y", "more"])
+
+        for part in parts:
+            rows = np.stack([part.column(c).to_numpy() for c in NUMBERS], 1)
+            key = mixed(mixed(rows[:, 0] >> 24) + part.column("tile").to_numpy().astype(np.uint64)).view(np.int64)
+            rows, key = np.concatenate([rest, rows]), np.concatenate([rest_key, key])
+            cut = int(_runs(key)[-1]) if len(key) else 0
+            rest, rest_key = rows[cut:], key[cut:]
+            yield from out(rows[:cut], key[:cut])
+        yield from out(rest, rest_key)
 
     return run
 
@@ -399,36 +530,43 @@ def _key():
 
 def candidates(made: DataFrame) -> DataFrame:
     """(x, y, more): candidate pairs of lines, y the earlier; ``more`` if x has further ones behind the same word."""
-    pairs = made.where("kind = 1").select(F.col("q").alias("x"), "y", "more")
-    hot = made.where("kind = 3")
+    pairs = made.where(F.col("kind") == PAIR).select(F.col("q").alias("x"), F.col("word").alias("y"), F.col("at").cast("int").alias("more"))
+    hot = made.where(F.col("kind") == HOT).select(*NUMBERS)
     if not hot.take(1):
         return pairs
     blocks = hot.groupBy(_key().alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
     hot = skew_join(hot.withColumn("k", _key()), blocks, ["k"], salt_on=["q"]).withColumn("own", F.pmod(F.xxhash64("q"), F.col("n")).cast("long"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least("own", j) * (1 << 31) + F.greatest(F.col("own"), j)))
-    hot = hot.select(*FLAT, tile.alias("tile")).repartition(_key(), "tile").sortWithinPartitions(_key(), "tile")
-    tiled = hot.mapInArrow(_paired(None, FIRST), made.select(*FLAT, "y", "more").schema)
-    return stored(pairs.unionByName(tiled.select(F.col("q").alias("x"), "y", "more")))
+    hot = hot.select(*NUMBERS, tile.alias("tile")).repartition(_key(), "tile").sortWithinPartitions(_key(), "tile")
+    return stored(pairs.unionByName(hot.mapInArrow(_tiled(FIRST), "x bigint, y bigint, more int")))
 
 
-def all_candidates(entries: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(x, y): every candidate pair of the lines in ``wanted`` (q).
+def all_candidates(made: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(x, y): every candidate pair of the lines in ``wanted`` (q), and of some more.
 
-    Entries meet by word and size class (sizes that allow 4/5 lie in neighbouring classes); the entries of a hot word (kind 3)
-    are dealt out in shares of about ``BLOCK``, and a wanted line goes to each share.
+    The blocks that were kept hold whole words, so their entries are compared where they are. Entries of a hot word meet by word and size
+    class (sizes that allow 4/5 lie in neighbouring classes); they are dealt out in shares of about ``BLOCK``, and a wanted line goes to each share.
     """
+    asked = made.sparkSession.sparkContext.broadcast(bit_map(wanted, "q", LINE_BITS))
+
+    def compared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not part.num_rows:
+                continue
+            rows = _numbers(part.column("block"), len(NUMBERS))
+            for later, earlier, _, _ in _pairs(rows, rows[:, 0] >> 24, None, in_map(asked.value, np.ascontiguousarray(rows[:, 1]))):
+                yield pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier)], ["x", "y"])
+
+    pairs = made.where(F.col("kind") == KEPT).select("block").mapInArrow(compared, "x bigint, y bigint")
+
     def numbers(at: str) -> list:
         a = F.col(at)
         return [F.shiftrightunsigned(a, 50), F.shiftrightunsigned(a, 36).bitwiseAND(F.lit(MANY))]
 
-    entries = entries.withColumn("k", _key())
-    blocks = entries.where("kind = 3").groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shares"))
-    hot = entries.where("kind = 3")
-    if hot.take(1):
-        hot = skew_join(hot, stored(blocks), ["k"], salt_on=["q"])
-    else:
-        hot = hot.withColumn("shares", F.lit(1))
-    shared = entries.where("kind = 2").withColumn("shares", F.lit(1)).unionByName(hot)
+    hot = made.where(F.col("kind") == HOT).select(*NUMBERS).withColumn("k", _key())
+    if not hot.take(1):
+        return pairs.distinct()
+    shared = skew_join(hot, stored(hot.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shares"))), ["k"], salt_on=["q"])
     size_class = F.floor(F.log(numbers("at")[0].cast("double")) / math.log(1.3)).cast("int")
 
     def side(df: DataFrame, k: int, share) -> DataFrame:
@@ -448,7 +586,7 @@ def all_candidates(entries: DataFrame, wanted: DataFrame) -> DataFrame:
     many = (n1 == MANY) | (n2 == MANY)
     fits = many | ((n1 * 5 >= n2 * 4) & (n2 * 5 >= n1 * 4) & (F.least(n1 - i1, n2 - i2) >= need) & (differ <= both - 2 * need))
     same = (F.col("k") == F.col("k2")) & (F.col("class") == F.col("class2")) & (F.col("share") == F.col("share2"))
-    return x.join(y, same).where(fits).select(F.col("q1").alias("x"), F.col("q2").alias("y")).distinct()
+    return pairs.unionByName(x.join(y, same).where(fits).select(F.col("q1").alias("x"), F.col("q2").alias("y"))).distinct()
 
 
 def _bits(size: int, column: str):
@@ -487,15 +625,11 @@ def verified(rows: DataFrame, pairs: DataFrame, least: int, repeats: bool) -> Da
             part = part.filter(pa.array(in_map(in_docs.value, part.column("o").to_numpy()) | many))
             order = part.column("o").to_numpy()
             for at, to, data, offsets in text_chunks(part.column("text")):
-                own = Lines(data, offsets, least)
+                own = Lines(data, offsets, least, lambda doc, number, first=order[at:to]: in_map(in_lines.value, first[doc] + number))
                 if not len(own.doc):
                     continue
-                q = order[at:to][own.doc] + own.number
-                hit = np.flatnonzero(in_map(in_lines.value, q))
-                size = own.size[hit]
-                ends = np.concatenate([[0], np.cumsum(size)])
-                index = np.arange(ends[-1]) + np.repeat(own.head[hit] - ends[:-1], size)
-                yield pa.RecordBatch.from_arrays([pa.array(q[hit]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(own.word[index].view(np.int64)))], ["q", "words"])
+                ends = np.append(own.head, len(own.word)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(order[at:to][own.doc] + own.number), pa.ListArray.from_arrays(pa.array(ends), pa.array(own.word.view(np.int64)))], ["q", "words"])
 
     # Every line whose bit is set comes; the joins keep those that are asked for. Rows that share id and text bring a line twice; one is kept.
     sets = rows.select("o", "text").mapInArrow(bring, "q bigint, words array<bigint>").join(involved.distinct(), "q", "left_semi")
@@ -507,7 +641,7 @@ def verified(rows: DataFrame, pairs: DataFrame, least: int, repeats: bool) -> Da
 
 def gone_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """(id, h, n, gone): for each document with a line of enough words, how many it has and the numbers of those that go."""
-    return matches(docs, doc_id, text, least).groupBy("id", "h").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("gone"))
+    return matched(docs, doc_id, text, least).groupBy("id", "h", "n").agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:

@@ -256,3 +256,55 @@ def test_lines_of_any_ids(spark, monkeypatch, kind):
     want = {(ordered[n][0], signed(ordered[n][1])): gone for (n, _), gone in brute_lines([(n, r[1]) for n, r in enumerate(ordered)]).items()}
     found = {(r.id, r.h): list(r.gone) for r in line_dedup.gone_lines(docs).collect() if r.gone}
     assert found == want
+
+
+def lines_of_families(rng, documents, copies):
+    """Documents of three lines: near copies from few families, ``copies`` of one line, and short lines."""
+    pool = [[f"f{k}w{j}" for j in range(12)] for k in range(5)]
+    rows = []
+    for k in range(documents):
+        lines = []
+        for _ in range(3):
+            words = list(rng.choice(pool))
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                words[rng.randrange(12)] = f"new{rng.randrange(15)}"
+            lines.append(" ".join(words[: rng.choice([2, 12, 12, 12])]))
+        rows.append((k, "\n".join([*lines, "one very common line of text"][: 4 if k < copies else 3])))
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [{"FLUSH": 20, "SHARE": 2, "SMALL_BUCKET": 100, "HELD": 5, "HOT_SET": 2, "BLOCK": 8, "FIRST": 1}, {"FLUSH": 50, "SHARE": 3, "BUCKET": 50, "FIRST": 1}])
+def test_lines_in_small_blocks(spark, monkeypatch, sizes):
+    """Blocks, buckets and what is held of them may be small: hot words and sets leave on the way, and no match is lost."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rows = lines_of_families(random.Random(23), 70, 50)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = {i: gone for (i, _), gone in brute_lines(rows).items()}
+    found = line_dedup.gone_lines(docs).collect()
+    assert {r.id: list(r.gone) for r in found if r.gone} == want
+    assert {r.id: r.n for r in found} == {i: text.count("\n") + 1 for i, text in rows}
+    assert sorted((r.id, r.line) for r in line_dedup.matches(docs).collect()) == sorted((i, k) for i, gone in want.items() for k in gone)
+
+
+def test_lines_and_entries_are_no_rows(spark, monkeypatch):
+    """What is moved and stored grows with documents and pairs: unlike lines and their entries bring no rows of their own."""
+    tables, own = [], line_dedup.stored
+
+    def stored(df, *parts):
+        tables.append(own(df, *parts))
+        return tables[-1]
+
+    monkeypatch.setattr(line_dedup, "stored", stored)
+    rows = [(k, "\n".join(" ".join(f"d{k}l{j}w{m}" for m in range(9)) for j in range(40))) for k in range(30)]
+    found = line_dedup.gone_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)).collect()
+    assert len(found) == 30 and all(r.n == 40 and not r.gone for r in found)
+    assert tables and all(t.count() <= 30 for t in tables)
+
+
+def test_lines_beyond_a_run_of_numbers(spark):
+    """A document of over 2^20 lines has several runs of numbers; lines that go are named in each."""
+    line = "some words that make up one line"
+    rows = [(1, line), (2, "\n".join([line, *[""] * (1 << 20), line, "other words that stand here alone now", line])), (3, line + "\nlast")]
+    found = {r.id: (r.n, list(r.gone)) for r in line_dedup.gone_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {1: (1, []), 2: (4, [0, (1 << 20) + 1, (1 << 20) + 3]), 3: (2, [0])}
