@@ -55,7 +55,7 @@ BLOCK = 4096
 #: Words of all texts for each bucket of words and sets; a bucket has about a fifth as many entries. Smaller buckets are made up to so many.
 BUCKET, SMALL_BUCKET, BUCKETS = 1 << 20, 1 << 14, 1 << 10
 #: Entries that a task gathers before it deals them out, entries that travel as one row, and rows of a bucket held before hot words leave it.
-FLUSH, SHARE, HELD = 1 << 19, 1 << 8, 1 << 21
+FLUSH, SHARE, HELD = 1 << 17, 1 << 6, 1 << 21
 #: Earliest candidates of a line behind one word that are verified first.
 FIRST = 2
 #: Bits of the maps that tell which lines and documents to read again; fixed, and read again means only more work.
@@ -151,7 +151,7 @@ def _cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = lower(data)
             start, end, _ = words(data, offsets)
             met.append((word_hashes(data, start, end) % np.uint64(CELLS)).astype(np.int64))
-            if sum(map(len, met)) > CELLS:
+            if sum(map(len, met)) > CELLS >> 2:
                 total += np.bincount(np.concatenate(met), minlength=CELLS)
                 met = met[:1]
     total += np.bincount(np.concatenate(met), minlength=CELLS)
@@ -479,8 +479,10 @@ def _paired(most: int, first_few: int, most_held: int, most_sets: int):
             kind = part.column("kind").to_numpy()
             blocks = kind >= ENTRIES
             if not blocks.all():
-                yield part.filter(pa.array(~blocks))
-                part, kind = part.filter(pa.array(blocks)), kind[blocks]
+                # Rows without a bucket come first.
+                done = int(np.count_nonzero(~blocks))
+                yield part.slice(0, done)
+                part, kind = part.slice(done), kind[done:]
             if not len(kind):
                 continue
             bucket, block = part.column("bucket").to_numpy(), part.column("block")
