@@ -391,14 +391,26 @@ def fisher_exact(df: DataFrame, a: str = "a", b: str = "b", c: str = "c", d: str
     return df.withColumn(out, fisher_p(*[F.col(k).cast("long") for k in (a, b, c, d)]))
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """``a / b`` as doubles divide: by zero it is infinite, or no number."""
+    return F.when(b == 0, a * F.lit(math.inf)).otherwise(a / b)
+
+
 def katz_fold(df: DataFrame, a: str, n1: str, b: str, n2: str, z: float = 1.96) -> DataFrame:
-    """Adds percentages, fold enrichment, log-ratio confidence limits and the odds ratio."""
+    """Adds percentages, fold enrichment, log-ratio confidence limits and the odds ratio.
+
+    Empty cells and groups follow the arithmetic of doubles (no background: infinite, an empty group: no number); a row without
+    hits on either side has no fold, limits and odds ratio.
+    """
     ca, cn1, cb, cn2 = (F.col(k).cast("double") for k in (a, n1, b, n2))
-    fold = F.try_divide(ca / cn1, cb / cn2)
-    half = F.when((ca > 0) & (cb > 0), z * F.sqrt(1 / ca - 1 / cn1 + 1 / cb - 1 / cn2))
-    return df.select(
-        "*",
-        (100 * ca / cn1).alias("fg_pct"), (100 * cb / cn2).alias("bg_pct"), fold.alias("fold"),
-        F.exp(F.log(fold) - half).alias("ci_lo"), F.exp(F.log(fold) + half).alias("ci_hi"),
-        F.try_divide(ca * (cn2 - cb), cb * (cn1 - ca)).alias("odds_ratio"),
+    one = F.lit(1.0)
+    half = z * F.sqrt(_ratio(one, ca) - _ratio(one, cn1) + _ratio(one, cb) - _ratio(one, cn2))
+    found = df.select(
+        "*", _ratio(100 * ca, cn1).alias("fg_pct"), _ratio(100 * cb, cn2).alias("bg_pct"),
+        F.when(ca + cb > 0, _ratio(_ratio(ca, cn1), _ratio(cb, cn2))).alias("fold"),
+    )
+    log = F.when(F.col("fold") == 0, F.lit(-math.inf)).otherwise(F.log("fold"))
+    return found.select(
+        "*", F.exp(log - half).alias("ci_lo"), F.exp(log + half).alias("ci_hi"),
+        F.when(ca + cb > 0, _ratio(ca * (cn2 - cb), cb * (cn1 - ca))).alias("odds_ratio"),
     )

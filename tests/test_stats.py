@@ -112,6 +112,20 @@ def test_katz_without_hits(spark):
     assert (row.fold, row.ci_lo) == (None, None)
 
 
+def test_katz_with_empty_cells(spark):
+    """As the statement divides: an empty group or cell is no error, and no row loses what its other counts give."""
+    rows = [(3, 10, 0, 0), (0, 0, 3, 10), (3, 10, 0, 20), (0, 10, 3, 20), (10, 10, 20, 20)]
+    table = katz_fold(spark.createDataFrame(rows, "a long, n1 long, b long, n2 long"), "a", "n1", "b", "n2")
+    got = {tuple(r)[:4]: [str(v) for v in tuple(r)[4:]] for r in table.collect()}
+    assert got == {
+        (3, 10, 0, 0): ["30.0", "nan", "nan", "nan", "nan", "nan"],
+        (0, 0, 3, 10): ["nan", "30.0", "nan", "nan", "nan", "nan"],
+        (3, 10, 0, 20): ["30.0", "0.0", "inf", "nan", "inf", "inf"],
+        (0, 10, 3, 20): ["0.0", "15.0", "0.0", "0.0", "nan", "0.0"],
+        (10, 10, 20, 20): ["100.0", "100.0", "1.0", "1.0", "1.0", "nan"],
+    }
+
+
 def test_sign_table(spark):
     rows = [(1.0, -1.0), (1.0, 1.0), (1.0, -2.0), (-1.0, 3.0), (-1.0, 0.0), (0.0, 1.0), (None, 1.0)]
     r = sign_table(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
