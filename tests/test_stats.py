@@ -126,6 +126,14 @@ def test_katz_with_empty_cells(spark):
     }
 
 
+def test_exact_enrichment_without_background(spark):
+    """Where every variant is foreground there is one table of these totals, so p is 1."""
+    from locusweave.plans.enrichment import class_enrichment
+
+    counts = spark.createDataFrame([("x", 3, 0, 10, 0)], "class string, fg_n long, bg_n long, n_fg long, n_bg long")
+    assert [(r.fg_n, r.bg_n, r.fisher_p) for r in class_enrichment(counts).collect()] == [(3, 0, 1.0)]
+
+
 def test_sign_table(spark):
     rows = [(1.0, -1.0), (1.0, 1.0), (1.0, -2.0), (-1.0, 3.0), (-1.0, 0.0), (0.0, 1.0), (None, 1.0)]
     r = sign_table(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
