@@ -193,9 +193,9 @@ def _along(rows: DataFrame) -> DataFrame:
     return rows.withColumn("copies", (F.shiftright("to", 30) - F.shiftright(F.col("to") - F.col("rate"), 30)).cast("int"))
 
 
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", shift: float | None = 0.0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes its id. Rows that share an id share its copies out in order."""
-    plan = stored(mix(docs, doc_id, text, source).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows")).where("_n > 0"))
+    plan = stored(mix(docs, doc_id, text, source, shift).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows")).where("_n > 0"))
     rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(doc_id).alias("id"))
     same = F.col("id").eqNullSafe(F.col("_id"))
     # The plan has a row per document: it is never broadcast, at any size.

@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -154,6 +154,20 @@ def test_registered_mix_keeps_the_mean_log_size_of_the_table(spark, tmp_path):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 0.02 * own[0].target + 2
 
 
+def test_pipeline_mix_keeps_the_mean_log_size_of_its_input(spark):
+    """The pipeline's stage finds rates by size, as the registered query does, and takes each document as that does."""
+    import corpus_pipeline
+
+    rng = random.Random(24)
+    rows = [(k, "w " * (1 + int(rng.lognormvariate(3 + 0.6 * (s in "ad"), 0.8))), s) for k in range(4000) for s in ["abcd"[k % 4]]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [(r.doc_id, len(r.text) // 2) for r in corpus_pipeline.mix(spark, docs, "").collect()]
+    mean = lambda sizes: sum(n * np.log1p(n) for n in sizes) / sum(sizes)
+    assert abs(mean([n for _, n in got]) - mean([len(t) // 2 for _, t, _ in rows])) < 0.02
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs, shift=None).where("copies > 0").collect()}
+    assert Counter(k for k, _ in got) == copies
+
+
 def test_mean_that_is_out_of_reach(spark):
     """One length in each source: no rates move the mean, and the targets are met all the same; so they are at the largest tilt."""
     for lengths in ((3, 30), (3, 30, 300)):
