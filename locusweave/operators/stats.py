@@ -285,6 +285,66 @@ def shuffled_places(k: np.ndarray, n: int, rep: np.ndarray, seed: int) -> np.nda
 
 #: Rows of one side of a tile at most, tiles there should be at least, and rows shuffled at a time.
 TILE_ROWS, _TILES, _AT_ONCE = 1 << 22, 64, 1 << 15
+#: Rows that a task may hold whole (eight bytes each, and four while they are shuffled), rows of a packed block, and pairs swapped at a time.
+HELD_ROWS, _PACKED, _PAIRS = 1 << 24, 1 << 16, 1 << 14
+
+
+def _swap_pairs(y: np.ndarray, first: int, last: int, turn: int, room: tuple[np.ndarray, ...]) -> None:
+    """Swaps the places ``first`` .. ``last`` with their mirror images where the coin of the larger place says so, as ``shuffled_places`` does.
+
+    The polynomials of ``_mixed`` are worked out for a run of places at a time: the first from its value and slope at the start of the run,
+    both below the prime but for a remainder that the one bit looked at does not need.
+    """
+    step, long_a, long_b, short, mask = room
+    middle = 1 << 30
+    key = (middle * (middle + 16807) + turn) % _PRIME + _PRIME
+    for at in range(last + 1 - (last + 1 - first) // 2, last + 1, _PAIRS):
+        size = min(_PAIRS, last + 1 - at)
+        b, w, v, s, m = step[:size], long_a[:size], long_b[:size], short[:size], mask[:size]
+        t = (at + turn) % _PRIME
+        # t(t + 48271) + 11 of the whole run, less 2^30 once folded: then the next product stays below 2^61.
+        np.add(b, (2 * t + 48271) % _PRIME, out=w)
+        w *= b
+        w += (t * (t + 48271) + 11) % _PRIME - (1 << 61)
+        np.right_shift(w, 31, out=v)
+        w &= _PRIME
+        w += v
+        # u(u + 16807) + turn at u = w + 2^30, where 2^31 counts as one.
+        np.add(w, 16808, out=v)
+        v *= w
+        v += key
+        np.right_shift(v, 31, out=w)
+        v &= _PRIME
+        v += w
+        # Below twice the prime: one more where it is reached takes it off from the low bits, of which the fourth becomes the mask.
+        s[:] = v
+        np.add(s, 1, out=m)
+        m >>= 31
+        s += m
+        s <<= 28
+        swap = s.view(np.int32)
+        swap >>= 31
+        upper, lower = y[at:at + size], y[first + last - at - size + 1:first + last - at + 1][::-1]
+        change = m.view(np.int32)
+        np.bitwise_xor(upper, lower, out=change)
+        change &= swap
+        upper ^= change
+        lower ^= change
+
+
+def shuffled_values(values: np.ndarray, rep: int, seed: int) -> np.ndarray:
+    """``values[shuffled_places(...)]`` of 32-bit values: the rounds swap the values themselves, last round first.
+
+    The two places of a pair lie mirrored, so a round is two runs that meet their reversed halves, and a coin is thrown once for a pair.
+    """
+    n, y = len(values), values.astype(np.int32)
+    room = (np.arange(_PAIRS, dtype=np.int64), *(np.empty(_PAIRS, np.int64) for _ in range(2)), *(np.empty(_PAIRS, np.uint32) for _ in range(2)))
+    turns = _mixed(rep * SHUFFLE_ROUNDS + np.arange(SHUFFLE_ROUNDS, dtype=np.int64), np.int64(seed))
+    for turn in reversed(turns.tolist()):
+        cut = turn % n
+        _swap_pairs(y, 0, cut, turn, room)
+        _swap_pairs(y, cut + 1, n - 1, turn, room)
+    return y
 
 
 def _centred(ranked: DataFrame) -> tuple[int, DataFrame, float]:
@@ -295,10 +355,35 @@ def _centred(ranked: DataFrame) -> tuple[int, DataFrame, float]:
     return n, moved, math.sqrt(xx or 0.0) * math.sqrt(yy or 0.0)
 
 
-def _shuffled_rhos(ranked: DataFrame, row_id: str, reps: int, seed: int, tile: int = TILE_ROWS) -> DataFrame:
+def _held_rhos(placed: DataFrame, n: int, scale: float, reps: int, seed: int) -> DataFrame:
+    """Each task holds all ranks, as whole numbers in packed blocks, and shuffles them for its share of the replicates."""
+    shares = min(reps, _TILES)
+
+    def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        k, x, y = (table[c].to_numpy() for c in ("_k", "_x", "_y"))
+        order = np.argsort(k)
+        return pa.table({"_block": pa.array([key[0].as_py()], pa.int32()), **{c: pa.array([v[order].tobytes()], pa.binary()) for c, v in (("_x", x), ("_y", y))}})
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        order = np.argsort(table["_block"].to_numpy())
+        xs, ys = (np.concatenate([np.frombuffer(table[c][int(i)].as_buffer(), np.int32) for i in order]) for c in ("_x", "_y"))
+        chosen, sums = range(key[0].as_py() + 1, reps + 1, shares), []
+        for rep in chosen:
+            met = shuffled_values(ys, rep, seed)
+            sums.append(sum(float(xs[at:at + _AT_ONCE].astype(np.float64) @ met[at:at + _AT_ONCE].astype(np.float64)) for at in range(0, n, _AT_ONCE)))
+        return pa.table({"rep": pa.array(chosen, pa.int32()), "s": pa.array(sums, pa.float64())})
+
+    whole = placed.selectExpr("_k", "CAST(2 * _rx AS INT) AS _x", "CAST(2 * _ry AS INT) AS _y", f"CAST(_k DIV {_PACKED} AS INT) AS _block")
+    blocks = whole.groupBy("_block").applyInArrow(packed, "_block int, _x binary, _y binary").selectExpr("*", f"explode(sequence(0, {shares - 1})) AS _share")
+    # By range, so that each share is a task of its own.
+    sums = blocks.repartitionByRange(shares, "_share").groupBy("_share").applyInArrow(run, "rep int, s double")
+    return sums.select("rep", F.try_divide(F.col("s") / 4, F.lit(scale)).alias("rho"))
+
+
+def _shuffled_rhos(ranked: DataFrame, row_id: str, reps: int, seed: int, tile: int = TILE_ROWS, held: int = HELD_ROWS) -> DataFrame:
     """Rows are numbered once, in the order of a hash of their ids; each replicate finds the partner of every row by arithmetic.
 
-    A tile is a block of rows, a block of partners and a share of the replicates. It holds the ranks of its two blocks
+    Up to ``held`` rows a task holds all of them. Beyond, a tile is a block of rows, a block of partners and a share of the replicates. It holds the ranks of its two blocks
     and gives one sum of products for each replicate, so rows of replicates are neither written nor moved.
     """
     fixed = ranked.withColumn("_h", hash_hex(F.lit(seed), F.lit("id"), F.col(row_id)))
@@ -306,6 +391,8 @@ def _shuffled_rhos(ranked: DataFrame, row_id: str, reps: int, seed: int, tile: i
     n, placed, scale = _centred(placed)
     if n >= _PRIME:
         raise ValueError(f"{n} rows; the shuffle numbers fewer than {_PRIME}")
+    if n <= held:
+        return _held_rhos(placed, n, scale, reps, seed)
     blocks = max(1, -(-n // tile))
     shares = min(reps, max(1, -(-_TILES // blocks**2)))
 

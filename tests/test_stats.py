@@ -11,7 +11,7 @@ from locusweave.functions.digests import Heads
 from locusweave.functions.tails import correlation_p_value, fisher_two_sided
 from locusweave.operators.ranking import binary_metrics, group_rankings
 from locusweave.operators.stats import (
-    bootstrap_corr, bootstrap_rhos, fisher_exact, katz_fold, partial_spearman, permutation_corr, permutation_rhos, poisson_weight, shuffled_places, sign_table, spearman,
+    bootstrap_corr, bootstrap_rhos, fisher_exact, katz_fold, partial_spearman, permutation_corr, permutation_rhos, poisson_weight, shuffled_places, shuffled_values, sign_table, spearman,
 )
 from locusweave.plans.screens import by_subset, concordance_stats, robustness_stats
 from pyspark.sql import functions as F
@@ -189,6 +189,34 @@ def test_shuffled_places_are_bijections(n):
         assert abs(found[:, 0].mean() - (n - 1) / 2) < 4 * n / np.sqrt(12 * reps) and len(np.unique(found[:, 5])) > min(n, reps) / 3
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 64, 1001, 40_003])
+def test_shuffled_values_are_those_of_the_places(n):
+    values = np.random.default_rng(n).integers(-(1 << 31), (1 << 31) - 1, n).astype(np.int32)
+    for rep in (1, 2, 77, 5000):
+        assert (shuffled_values(values, rep, 7) == values[shuffled_places(np.arange(n), n, np.int64(rep), 7)]).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 90])
+def test_held_ranks_give_the_shuffles_of_tiles(spark, n, monkeypatch):
+    """The same rho of every replicate, whether a task holds all ranks (in several packed blocks) or one block of rows and partners."""
+    from locusweave.operators import stats
+
+    monkeypatch.setattr(stats, "_PACKED", 16)
+    ranked = spark.range(n).selectExpr("id", "CAST(id * 37 % 101 AS DOUBLE) / 2 AS _rx", "CAST(id * 11 % 19 AS DOUBLE) / 2 AS _ry")
+    one, other = ({r.rep: r.rho for r in stats._shuffled_rhos(ranked, "id", 70, 7, tile=40, held=held).collect()} for held in (1 << 20, -1))
+    assert one.keys() == other.keys() and len(one) == (70 if n else 0)
+    assert all(one[k] == other[k] is None or one[k] == pytest.approx(other[k], abs=1e-12) for k in one)
+
+
+def test_held_shuffle_takes_a_partner_once(spark):
+    """Above ``TILE_ROWS`` each row's partner was worked out once for each block of partners; held whole, no row goes to several tiles."""
+    from locusweave.operators import stats
+
+    rows = spark.range(90).selectExpr("id", "CAST(id AS DOUBLE) AS _rx", "CAST(id AS DOUBLE) AS _ry")
+    plan = stats._shuffled_rhos(rows, "id", 70, 7, tile=9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_side" not in plan and "_block" in plan
+
+
 def test_shuffles_have_the_spread_of_random_ones(data):
     """The standard deviation of rho over shuffles is 1 / sqrt(n - 1)."""
     rows = permutation_rhos(data, "x", "y", "id", reps=400).collect()
