@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.functions.scalar import CODING_TERMS, IN_SAMPLE, PLOF_TERMS, distance_tier, id_field, joined_key
 from locusweave.operators.aggregates import count_if, dedup_rollup
-from locusweave.operators.keys import HOT_ROWS, attach_single, salted_pair
+from locusweave.operators.keys import attach_single, salted_pair
 from locusweave.operators.ranges import point_in_interval
 from locusweave.session import durable
 
@@ -247,32 +249,105 @@ def _product_sums(a: DataFrame, b: DataFrame, hot_rows: int | None) -> DataFrame
     return left.join(right, on).groupBy("a_id", "b_id").agg(F.sum(F.col("_a") * F.col("_b")).alias("clpp"), F.count(F.lit(1)).alias("n_shared"))
 
 
+#: Sets of one variant that go into one tile, and meetings of sets that are looked at together.
+TILE_SETS, _MEETINGS = 4_096, 1 << 16
+
+
+def _padded(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, fill: float) -> np.ndarray:
+    """A row for each list, filled up to the longest one."""
+    out = np.full((len(sizes), int(sizes.max(initial=0))), fill, values.dtype)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(values)) - starts[row]] = values
+    return out
+
+
+class _Side:
+    """The sets of one side in a batch of tiles: ids, place of the tile's variant, and all members in order."""
+
+    def __init__(self, tiles: pa.ListArray) -> None:
+        sets = tiles.flatten()
+        ids, at, members = sets.flatten()
+        self.ids, self.at, self.of = ids, at.to_numpy(zero_copy_only=False), np.diff(tiles.offsets.to_numpy())
+        self.sizes = np.diff(members.offsets.to_numpy())
+        self.variants, p = members.flatten().flatten()
+        self.known = p.is_valid().to_numpy(zero_copy_only=False)
+        self.p = p.fill_null(0.0).to_numpy(zero_copy_only=False)
+
+    def coded(self, codes: np.ndarray, fill: int) -> None:
+        """Takes the numbers of its members' variants: lists side by side, and a bit for each member but the tile's own."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        own = starts + self.at
+        self.own_p, self.own_known = self.p[own], self.known[own]
+        self.lists, self.ps, self.knowns = (_padded(v, starts, self.sizes, f) for v, f in ((codes, fill), (self.p, 0.0), (self.known, False)))
+        bits = np.left_shift(np.uint64(1), (codes & 63).astype(np.uint64))
+        bits[own] = 0
+        self.rest = np.bitwise_or.reduceat(bits, starts) if len(starts) else bits
+
+
+def _met(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which meetings are the first of their two sets, with the sum of products, whether it is known, and the shared variants."""
+    total, known, shared = a.own_p[i] * b.own_p[j], a.own_known[i] & b.own_known[j], np.ones(len(i), np.int64)
+    first = np.ones(len(i), bool)
+    # Most sets that meet have no other variant in common, which the bits show. The others are compared member by member, in order.
+    several = np.flatnonzero(a.rest[i] & b.rest[j])
+    m, n = i[several], j[several]
+    sums, some, count, at = np.zeros(len(several)), np.zeros(len(several), bool), np.zeros(len(several), np.int64), np.full(len(several), -1)
+    others = [b.lists[n, q] for q in range(b.lists.shape[1])]
+    for p in range(a.lists.shape[1]):
+        mine = a.lists[m, p]
+        for q, other in enumerate(others):
+            hit = np.flatnonzero(mine == other)
+            if len(hit):
+                x, y = m[hit], n[hit]
+                ok = a.knowns[x, p] & b.knowns[y, q]
+                sums[hit] += np.where(ok, a.ps[x, p] * b.ps[y, q], 0.0)
+                some[hit] |= ok
+                at[hit] = np.where(count[hit] == 0, p, at[hit])
+                count[hit] += 1
+    total[several], known[several], shared[several], first[several] = sums, some, count, at == a.at[m]
+    return first, total, known, shared
+
+
+def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every pair of sets of each tile, at its first shared variant; a run of meetings at a time, whatever a tile holds."""
+    for batch in batches:
+        a, b = _Side(batch.column(0)), _Side(batch.column(1))
+        codes = pa.concat_arrays([a.variants, b.variants]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        a.coded(codes[:len(a.variants)], -1)
+        b.coded(codes[len(a.variants):], -2)
+        # Set i of one side meets all sets of the other in its tile.
+        tile = np.repeat(np.arange(len(a.of)), a.of)
+        begin, meets = (np.cumsum(b.of) - b.of)[tile], b.of[tile]
+        ends = np.cumsum(meets)
+        for at in range(0, int(ends[-1]) if len(ends) else 0, _MEETINGS):
+            place = np.arange(at, min(at + _MEETINGS, int(ends[-1])))
+            i = np.searchsorted(ends, place, side="right")
+            j = begin[i] + place - (ends[i] - meets[i])
+            first, total, known, shared = _met(a, b, i, j)
+            yield pa.RecordBatch.from_arrays([
+                a.ids.take(pa.array(i[first])), b.ids.take(pa.array(j[first])),
+                pa.array(total[first], mask=~known[first]), pa.array(shared[first])], ["a_id", "b_id", "clpp", "n_shared"])
+
+
 def _carried_sums(a: DataFrame, b: DataFrame, hot_rows: int | None) -> DataFrame:
     """Each member carries its whole set, so a pair is summed up where it meets, at its first shared variant; no pair is moved.
 
-    ``_rest`` has a bit for each other member of the set. Most pairs have none in common: they share one variant.
+    The sets of a variant (of a share of them, where they are many) are one row of each side. The rows are dealt by number, as they are
+    small to move but long to work on.
     """
     def entries(df: DataFrame, n: str) -> DataFrame:
-        bits = "transform(m, x -> shiftleft(1L, CAST(pmod(xxhash64(x.v), 64L) AS INT)))"
-        rest = f"aggregate(transform({bits}, (x, j) -> IF(j = _i, 0L, x)), 0L, (s, x) -> s | x)"
-        return df.selectExpr("*", "posexplode(m) AS (_i, _x)").selectExpr(
-            f"set_id AS {n}_id", "_x.v AS variant_id", f"_x.p AS _{n}", f"m AS _{n}_all", f"{rest} AS _{n}_rest"
-        )
+        return df.selectExpr("*", "posexplode(m) AS (_at, _x)").selectExpr(f"set_id AS {n}_id", "_x.v AS variant_id", "_at", "transform(m, x -> struct(x.v AS v, CAST(x.p AS DOUBLE) AS p)) AS _m")
 
     left, right, on = salted_pair(entries(a, "a"), entries(b, "b"), ["variant_id"], ["a_id"], hot_rows, tiles_on=["b_id"])
-    alone = "(_a_rest & _b_rest) = 0"
-    earlier = "exists(_a_all, x -> x.v < variant_id AND exists(_b_all, y -> y.v = x.v))"
-    products = "flatten(transform(_a_all, x -> transform(filter(_b_all, y -> y.v = x.v), y -> x.p * y.p)))"
-    return left.join(right, on).where(f"{alone} OR NOT {earlier}").selectExpr(
-        "a_id", "b_id", "_a * _b AS _one", f"CASE WHEN NOT ({alone}) THEN {products} END AS _all"
-    ).selectExpr(
-        "a_id", "b_id",
-        "CASE WHEN _all IS NULL THEN _one ELSE aggregate(_all, CAST(NULL AS DOUBLE), (s, x) -> coalesce(s + x, s, x)) END AS clpp",
-        "CASE WHEN _all IS NULL THEN 1L ELSE CAST(size(_all) AS BIGINT) END AS n_shared",
+    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a.sparkSession.sparkContext.defaultParallelism)
+    left, right = (
+        df.repartition(parts, *on).groupBy(*on).agg(F.collect_list(F.struct(f"{n}_id", "_at", "_m")).alias(f"_{n}")) for n, df in (("a", left), ("b", right))
     )
+    kinds = [f"{n}_id {df.schema['set_id'].dataType.simpleString()}" for n, df in (("a", a), ("b", b))]
+    return left.join(right, on).select("_a", "_b").mapInArrow(_tile_pairs, f"{', '.join(kinds)}, clpp double, n_shared bigint")
 
 
-def clpp(a: DataFrame, b: DataFrame, hot_rows: int | None = HOT_ROWS, carried: int = CARRIED) -> DataFrame:
+def clpp(a: DataFrame, b: DataFrame, hot_rows: int | None = TILE_SETS, carried: int = CARRIED) -> DataFrame:
     """Sum of products of member probabilities of every pair of sets that share variants.
 
     Inputs: ``set_id, variant_id, pip``. Members of one set are merged per variant first. A variant that very

@@ -58,6 +58,24 @@ def test_pairs_of_sets_are_summed_where_they_meet(spark, carried):
     assert len(got) == len(want) and dict(got) == want and any(n > 2 for _, n in want.values())
 
 
+def test_pairs_of_sets_are_found_in_bounded_runs(spark):
+    """One variant in very many sets of two id types: tasks look at runs of meetings, and no row of the plan is a pair with both whole sets."""
+    from locusweave.plans import evidence
+
+    a = spark.range(900).selectExpr("id DIV 2 AS set_id", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('v', id % 60) END AS variant_id", "0.5D AS pip")
+    b = spark.range(800).selectExpr("concat('b', id DIV 2) AS set_id", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('v', id % 60) END AS variant_id", "0.25D AS pip")
+    found = clpp(a, b)
+    assert "exists(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.a_id, r.b_id): (r.clpp, r.n_shared) for r in found.collect()}
+    assert len(got) == 450 * 400 and found.dtypes == [("a_id", "bigint"), ("b_id", "string"), ("clpp", "double"), ("n_shared", "bigint")]
+    assert all(got[i, f"b{j}"] == ((0.25, 2) if i % 30 == j % 30 else (0.125, 1)) for i in range(450) for j in range(400))
+    tile = evidence._member_lists(a).selectExpr("collect_list(struct(set_id, 0 AS _at, m)) AS _a")
+    other = evidence._member_lists(b).selectExpr("collect_list(struct(set_id, 0 AS _at, m)) AS _b")
+    runs = [x.num_rows for x in evidence._tile_pairs(iter(tile.crossJoin(other).toArrow().to_batches()))]
+    assert sum(runs) == 450 * 400 and max(runs) <= evidence._MEETINGS < sum(runs)
+    assert clpp(a.where("false"), b).count() == 0
+
+
 def test_text_queries_go_alone():
     """With a package of the text operators blocked, all other queries stay."""
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; n = e.queries(); print(len(n), sum(k.startswith('op') for k in n), 'pipeline' in n, len(e.oracle_sql()))"
